@@ -101,7 +101,7 @@ def scan_secrets(docs: DataFrame, near: int = 400) -> DataFrame:
 def redact_secrets(docs: DataFrame, near: int = 400, mark: str = "[secret]") -> DataFrame:
     """docs with every span, base or linked, replaced by a mark (overlapping spans by one), and n_chars, if there, counted anew."""
     columns = docs.columns
-    rows = materialize(with_spans(docs), "secret_texts")
+    rows = materialize(with_spans(docs.select(F.struct(*columns).alias("row"), "doc_id", "text")), "secret_texts")
     some, extra = rows.where(F.col("part_key").isNotNull()), linked(rows, near)
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     every = rows.where(F.col("part_key").isNull()).withColumn("extra", none).unionByName(some.join(extra, "part_key", "left").withColumn("extra", F.coalesce("extra", none)).select(*rows.columns, "extra"))
@@ -115,7 +115,8 @@ def redact_secrets(docs: DataFrame, near: int = 400, mark: str = "[secret]") ->
 
     tail = lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.length("text")))
     text = F.when(F.size(spans) > 0, F.aggregate(spans, zero, step, tail)).otherwise(F.col("text"))
-    redacted = every.withColumn("text", text)
+    cut = every.select("row", (F.size(spans) > 0).alias("changed"), text.alias("text"))
+    out = {c: F.col("row")[c] for c in columns} | {"text": F.col("text")}
     if "n_chars" in columns:
-        redacted = redacted.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return redacted.select(*columns)
+        out["n_chars"] = F.when(F.col("changed"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(out["n_chars"])
+    return cut.select(*(out[c].alias(c) for c in columns))

@@ -1,0 +1,307 @@
+"""Each operator against a brute-force version, and on odd rows: nulls, empty and long texts, ties, repeats, clashing columns."""
+
+import hashlib
+import re
+from zlib import crc32
+
+import numpy as np
+import pandas as pd
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from attesta.llm import exact_topk, html_text, licenses, nearest, packing, quality, secrets, simhash, toxicity, word_bpe
+from attesta.llm.queries import tokenizer_path
+
+ODD = [
+    "", None, " \n\t ", "a", "x " * 40_000, "z" * 60_000, "same text of a few words", "same text of a few words", "Ünïcödé 日本語 😀 ǅ Σ", "<|endoftext|> in a text <|startoftext|>",
+    "token = \"abcdefgh12\" cc by MIT License", "you idiot you moron you are pathetic scum", "password=secret:abcdefgh1", "user_name: bob https://x.y/z AbCdEfGhIjKlMnOpQrStUvWx12",
+]
+CLASH = ["score", "predicted", "held_out", "label", "raw", "features", "fp", "cell", "salt", "length", "start", "base", "weak", "extra", "part_key", "row", "row_key", "pos", "rank", "at"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i if i != 7 else 6, t) for i, t in enumerate(ODD)] + [(None, "no id here"), (None, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return df.select("*", F.lit("en").alias("lang"), F.lit(None).cast("string").alias("source"), F.length("text").cast("long").alias("n_chars"), *(F.lit("clash").alias(c) for c in CLASH))
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(i, i % 3 % 2, int(i in (11, 3))) for i in range(14)] + [(None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+@pytest.mark.parametrize("scores", [toxicity.toxicity_scores, quality.quality_scores])
+def test_scores_of_odd_rows(spark, docs, labels, scores):
+    got = scores(docs, labels).toPandas()
+    assert list(got.columns) == ["doc_id", "held_out", "score", "predicted"] and len(got) == docs.count()
+    assert got.score.between(0, 1).all() and not got.held_out[got.doc_id.isna()].any()
+    held = got.dropna(subset=["doc_id"])
+    assert (held.held_out == [crc32(str(int(i)).encode()) % 5 == 0 for i in held.doc_id]).all()
+    assert len(scores(docs.limit(0), labels).collect()) == 0
+    assert scores(docs, labels.limit(0)).toPandas().score.eq(0).all()
+
+
+@pytest.mark.parametrize("name,scores", [("toxic", toxicity.toxicity_scores), ("quality", quality.quality_scores)])
+def test_held_out_accuracy(spark, name, scores):
+    at = "/root/testdata/sf0.1"
+    truth = spark.read.parquet(f"{at}/labels.parquet").select("doc_id", F.col(name).alias("truth"))
+    got = scores(spark.read.parquet(f"{at}/documents.parquet"), truth.withColumnRenamed("truth", name)).join(truth, "doc_id").where("held_out").toPandas()
+    assert (got.predicted == got.truth).mean() > 0.96
+    ranks, ones = got.score.rank(), got.truth == 1
+    assert (ranks[ones].mean() - (ones.sum() + 1) / 2) / (~ones).sum() > 0.95
+
+
+def test_fm_identity():
+    rng = np.random.default_rng(1)
+    v, w, x = rng.normal(size=(6, 3)), rng.normal(size=6), [0.5, 2.0, -1.0]
+    at = [0, 3, 5]
+    z = 0.3 + sum(w[i] * a for i, a in zip(at, x)) + sum(v[at[i]] @ v[at[j]] * x[i] * x[j] for i in range(3) for j in range(i))
+    assert abs(quality.fm_score(at, x, 0.3, w, v) - 1 / (1 + np.exp(-z))) < 1e-12
+
+
+def test_html():
+    page = (
+        '<html><head><title>t</title><script>var t="</p>";</script></head><body><div class="cookie-notice">We use cookies, accept?</div><nav><a href=x>Home</a></nav>'
+        "<article><h1>A &amp; B</h1><p>First   part, with\n<b>bold</b> words.<p>Second<br>part.<form>mail <input></form><div class=comments><p>Great, thanks!</p></div></article><footer>&copy; me</footer>"
+    )
+    assert html_text.main_text(page) == "A & B\n\nFirst part, with bold words.\n\nSecond part."
+    plain = (
+        '<div id="menu"><a href=x>Home</a></div><div class="c"><h2>Title</h2><p>Some long text, with commas, and words that go on. And on it goes.<p>Second is long enough too, we hope; it has words.'
+        '<ul><li>one<li>two</ul></div><div class="comments"><p>I like this text very much, thanks for it.</p></div><div>Copyright 2020</div>'
+    )
+    assert html_text.main_text(plain).split("\n\n")[0] == "Title" and html_text.main_text(plain).endswith("one\n\ntwo") and "Copyright" not in html_text.main_text(plain)
+    assert html_text.main_text("") == html_text.main_text(None) == html_text.main_text("<p") == ""
+
+
+def test_html_rows(spark):
+    df = spark.createDataFrame([(1, "u", None), (None, None, ""), (1, "u", "<article><p>x</article>"), (2, None, "<p>" + "word " * 50_000), (3, "v", "<<<>>&#x41;&bogus;<a <b")], "page_id long, url string, html string")
+    got = html_text.extract_main_text(df.withColumn("text", F.lit("clash"))).toPandas()
+    assert len(got) == 5 and (got.n_chars == got.text.str.len()).all() and "x" in set(got.text)
+    assert html_text.extract_main_text(df.limit(0)).count() == 0
+
+
+def test_html_test_pages(spark):
+    import html
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    made = {r.page_id: r.text for r in html_text.extract_main_text(pages).collect()}
+    for r in pages.collect():
+        parts = re.split(r"</?(?:p|h1)>", re.search(r"(?s)<article>(.*?)</article>", r.html)[1])
+        assert made[r.page_id] == "\n\n".join(t for x in parts if (t := re.sub(r"\s+", " ", html.unescape(re.sub("<[^>]*>", "", x.replace("<br>", " ")))).strip()))
+
+
+def base_spans(text):
+    found = [(m.start(), 0, m.end()) for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 8]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    return sorted(found + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32])
+
+
+def test_secrets(spark, docs):
+    got, text = secrets.scan_secrets(docs).collect(), {r.doc_id: r.text or "" for r in docs.collect() if r.doc_id is not None}
+    assert len(got) == docs.count()
+    for r in got:
+        if r.doc_id is not None:
+            want = base_spans(text[r.doc_id])
+            joined = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in want)
+            assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest() and [r.n_assign, r.n_access, r.n_hex] == [sum(k == n for _, k, _ in want) for n in range(3)]
+    linked = {r.doc_id: r.spans for r in got}[13]
+    assert linked == "ident:0:14,endpoint:15:28,bare:29:55"
+    alone = spark.createDataFrame([(1, "AbCdEfGhIjKlMnOpQrStUvWx12"), (2, "login: bob"), (3, "login: bob " + "w " * 400 + "AbCdEfGhIjKlMnOpQrStUvWx12"), (4, "https://a.b only")], "doc_id long, text string")
+    assert {r.spans for r in secrets.scan_secrets(alone).collect()} == {""}
+    assert secrets.scan_secrets(docs.limit(0)).count() == 0
+    clean = secrets.redact_secrets(docs)
+    assert clean.columns == docs.columns and clean.count() == docs.count()
+    kept = {r.doc_id: r for r in clean.collect() if r.doc_id is not None}
+    assert kept[10].text == "[secret]\" cc by MIT License" and kept[10].n_chars == len(kept[10].text) and kept[10].base == "clash"
+    assert kept[13].text == "[secret] [secret] [secret]" and kept[12].text == ODD[12] and kept[1].text is None
+
+
+def slow_print(text):
+    words = re.findall("[^\x20\x09-\x0d]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    if not words:
+        return 0
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in [" ".join(words[i : i + 4]) for i in range(len(words) - 3)] or [" ".join(words)]]
+    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+
+
+def slow_components(prints, radius):
+    root = list(range(len(prints)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(prints)):
+        for j in range(i):
+            if bin(prints[i] ^ prints[j]).count("1") <= radius:
+                a, b = top(i), top(j)
+                root[max(a, b)] = min(a, b)
+    return [top(i) for i in range(len(prints))]
+
+
+def test_simhash(spark, docs):
+    got = simhash.near_duplicates(docs).toPandas()
+    assert len(got) == docs.count()
+    texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id is not None}
+    known = got.dropna(subset=["doc_id"])
+    assert all(f"{slow_print(texts[i]):016x}" == f for i, f in zip(known.doc_id, known.fingerprint) if len(texts[i] or "") < 1000)
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0
+    assert {t for t, c in zip(known.doc_id, known.component_id) if c == 0} >= {0, 1, 2}
+
+
+def test_simhash_links_against_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.integers(0, 1 << 63, size=60, dtype=np.uint64)
+    prints = {int(c) for c in centres}
+    for c in centres[:40]:
+        x = int(c)
+        for _ in range(rng.integers(1, 12)):
+            for b in rng.choice(64, size=rng.integers(1, 6), replace=False):
+                x ^= 1 << int(b)
+            prints.add(x)
+    prints |= {int(centres[0]) ^ (1 << a) ^ (1 << b) for a in range(64) for b in range(a)}  # a large group in one ball
+    prints = sorted(prints)
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    for tile in (simhash.TILE, 64):
+        before, simhash.TILE = simhash.TILE, tile
+        try:
+            found = simhash.components(simhash.near_links(spark.createDataFrame([(p,) for p in signed], "fp long"), 4)).collect()
+        finally:
+            simhash.TILE = before
+        root = {r.node: r.root for r in found}
+        mine = pd.Series([root.get(p, p) for p in signed])
+        slow = pd.Series(slow_components(prints, 4))
+        assert mine.groupby(slow).nunique().eq(1).all() and slow.groupby(mine).nunique().eq(1).all()
+
+
+def test_packing(spark, docs):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    got = packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), window=256).toPandas()
+    assert got.groupby("sequence_id").length.sum().max() <= 256
+    by_place = got.sort_values(["sequence_id", "offset"])
+    assert (by_place.offset == by_place.groupby("sequence_id").length.cumsum() - by_place.length).all()
+    assert sorted(by_place.sequence_id.unique()) == list(range(by_place.sequence_id.nunique()))
+    for r in docs.where("doc_id IS NOT NULL AND doc_id <> 6").collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids + [1]
+        mine = got[got.doc_id == r.doc_id].sort_values("start")
+        assert mine.length.sum() == len(ids) == mine.doc_tokens.iloc[0]
+        assert [crc32(np.array(ids[a : a + n], dtype="<u4").tobytes()) for a, n in zip(mine.start, mine.length)] == list(mine.ids_crc32)
+    assert len(got[(got.doc_id == 6)]) == 2 and len(got[got.doc_id.isna()]) == 3
+    assert packing.pack(docs.limit(0), tokenizer_path("byte_bpe_50k.json")).count() == 0
+
+
+def test_plan_is_best_fit_decreasing():
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        window = int(rng.integers(5, 60))
+        lengths = sorted(rng.integers(1, window + 1, size=rng.integers(1, 80)).tolist(), reverse=True)
+        bins = []
+        for x in lengths:
+            fit = [b for b in bins if window - sum(b) >= x]
+            (min(fit, key=lambda b: window - sum(b)) if fit else (bins.append([]) or bins[-1])).append(x)
+        counts = {x: lengths.count(x) for x in set(lengths)}
+        places = packing.plan(counts, window)
+        made = {}
+        for k, (length, rank, first, each, offset) in enumerate(places):
+            end = places[k + 1][1] if k + 1 < len(places) and places[k + 1][0] == length else counts[length]
+            for r in range(rank, end):
+                made.setdefault(first + (r - rank) // each, []).append((offset + (r - rank) % each * length, length))
+        assert all(sum(n for _, n in sorted(m)[:i]) == o for m in made.values() for i, (o, _) in enumerate(sorted(m)))
+        assert sorted(sum(n for _, n in m) for m in made.values()) == sorted(map(sum, bins))
+
+
+def slow_top(ids, x, k, every):
+    out = []
+    for i in [i for i in range(len(ids)) if ids[i] % every == 0]:
+        scores = (x[i] * x).sum(axis=1)
+        near = [j for j in np.lexsort((ids, -scores)) if ids[j] != ids[i]][:k]
+        out += [(int(ids[i]), r + 1, int(ids[j]), float(scores[j])) for r, j in enumerate(near)]
+    return sorted(out)
+
+
+@pytest.fixture(scope="module")
+def vectors(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(900, 12)).astype(np.float32)
+    x[100:400] = x[100]  # one vector holds a third of all rows
+    data = [(i, v.tolist()) for i, v in enumerate(x)]
+    bad = [(2000, None), (2020, [None] + [1.0] * 11), (2040, [float("nan")] * 12), (2060, [float("inf")] * 12), (None, [1.0] * 12), (2080, [])]
+    return x, spark.createDataFrame(data + bad, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash")).withColumn("v", F.lit(1))
+
+
+def test_exact_top_k(spark, vectors):
+    x, df = vectors
+    got = sorted((r.query_id, r.rank, r.vec_id, float(r.score)) for r in exact_topk.exact_top_k(df).collect())
+    assert got == slow_top(np.arange(900), np.floor(x.astype(float) * 64), 20, 20)
+    assert exact_topk.exact_top_k(df.limit(0)).count() == 0
+    few = spark.createDataFrame([(0, [1e30]), (1, [1e30]), (2, [-0.01])], "vec_id long, embedding array<double>")
+    assert [(r.query_id, r.vec_id, r.score) for r in exact_topk.exact_top_k(few).orderBy("rank").collect()] == [(0, 1, 2**63 - 1), (0, 2, -(2**63))]
+
+
+def test_nearest(spark, vectors):
+    x, df = vectors
+    got = sorted(map(tuple, nearest.nearest(df).collect()))
+    want = slow_top(np.arange(900), x.astype(float), 20, 20)
+    assert [g[:3] for g in got] == [w[:3] for w in want] and np.allclose([g[3] for g in got], [w[3] for w in want], rtol=1e-12)
+    zeros = spark.createDataFrame([(0, [0.0, 0.0]), (20, [1.0, 0.0]), (1, [0.0, 2.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in nearest.nearest(zeros).collect()] == [(20, 1, 1, 0.0)]
+    assert nearest.nearest(df.limit(0)).count() == 0
+
+
+def test_word_bpe(spark, docs):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    got = word_bpe.encode_documents(docs, path, keep_text=True).collect()
+    texts = {r.doc_id: r.text or "" for r in docs.collect() if r.doc_id is not None}
+    assert len(got) == docs.count()
+    for r in got:
+        if r.doc_id is not None:
+            ids = library.encode(texts[r.doc_id], add_special_tokens=False).ids
+            assert r.ids == " ".join(map(str, ids)) and r.n_tokens == len(ids) and r.decoded == library.decode(ids, skip_special_tokens=False)
+            assert r.ids_sha256 == hashlib.sha256(r.ids.encode()).hexdigest() and r.decoded_sha256 == hashlib.sha256(r.decoded.encode()).hexdigest()
+    assert word_bpe.encode_documents(docs.limit(0), path).count() == 0
+
+
+def test_word_bpe_random_texts():
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    library, mine = Tokenizer.from_file(path), word_bpe.word_bpe(path)
+    letters = st.sampled_from(list("abcdethionrsABE '’-.,!?0123456789éüñß_\n\t¼ªΣσ中😀") + ["<|endoftext|>", "'ll", "the", "ing"])
+
+    @settings(max_examples=300, deadline=None, database=None)
+    @given(st.lists(letters, max_size=60).map("".join))
+    def same(text):
+        assert mine.encode(text)[1] == " ".join(map(str, library.encode(text, add_special_tokens=False).ids))
+
+    same()
+
+
+def test_licenses(spark, docs):
+    more = ["MIT License", "cc by cc by", "The GNU General  Public-License GNU general public license. Apache\nlicense", "mit licenseé", "cc", "Permission is hereby granted, free of charge, to any good person obtaining a copy of this software and associated documentation files", None]
+    df = docs.select("doc_id", "text", "score", "pos").unionByName(spark.createDataFrame([(100 + i, t, "", "") for i, t in enumerate(more)] * 2, "doc_id long, text string, score string, pos string"))
+    got = licenses.scan_licenses(df).collect()
+    assert len(got) == df.count()
+    texts = {r.doc_id: r.text or "" for r in df.collect() if r.doc_id is not None}
+    for r in got:
+        if r.doc_id is None:
+            continue
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", texts[r.doc_id].translate({c: c + 32 for c in range(65, 91)}))
+        at = [(i, label) for p, label in licenses.BASE.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (len(words), len(at), min([i for i, _ in at], default=None), max([i for i, _ in at], default=None), ",".join(sorted({x for _, x in at})))
+        assert {x for x in r.base_labels.split(",") if x} <= set(r.labels.split(",")) and 0 <= r.score <= 1
+    assert {r.labels for r in got if r.doc_id == 105} == {"mit"}
+    assert licenses.scan_licenses(df.limit(0)).count() == 0
