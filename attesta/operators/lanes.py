@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from attesta.functions import fixed
 from attesta.functions.text import canonical_tokens, concepts, tokenize
+from attesta.sources.scratch import cut
 
 SCOPE = ["tenant_id", "matter_id"]
 DIGITS = 9
@@ -75,12 +76,12 @@ def hash_dense_top_k(questions: DataFrame, chunks: DataFrame, k: int = fixed.LAN
     c = hash_weights(chunks.select(F.col("chunk_id").alias("id"), "text"), dim, mode).withColumnRenamed("id", "chunk_id")
     asked = questions.select("question_id", *SCOPE).join(q, "question_id")
     held = chunks.select("chunk_id", *SCOPE).join(c, "chunk_id")
-    score = asked.join(held, [*SCOPE, "idx"]).groupBy("question_id", "chunk_id").agg(F.round(F.sum(F.col("q") * F.col("weight")), DIGITS).alias("s"))
+    score = asked.join(held, [*SCOPE, "idx"]).groupBy("question_id", "chunk_id").agg((F.round(F.sum(F.col("q") * F.col("weight")), DIGITS) + 0.0).alias("s"))
     every = questions.select("question_id", *SCOPE).join(chunks.select("chunk_id", *SCOPE, "doc_id", "ordinal"), SCOPE)
     return top(every.join(score, ["question_id", "chunk_id"], "left").withColumn("score", F.coalesce("s", F.lit(0.0))).drop("s"), k)
 
 
-def dense_top_k_approx(questions: DataFrame, chunks: DataFrame, k: int, cells: int = 16, probe: int = 4) -> DataFrame:
+def dense_top_k_approx(questions: DataFrame, chunks: DataFrame, k: int, cells: int = 16, probe: int = 13) -> DataFrame:
     """Approximate: chunks are dealt to the nearest of `cells` centres (k-means on a bounded sample), questions probe the nearest few."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -100,9 +101,11 @@ def dense_top_k_approx(questions: DataFrame, chunks: DataFrame, k: int, cells: i
 
 def build_postings(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """postings (scope, term, chunk_id, doc_id, ordinal, tf, dl), terms (scope, term, df, idf), scopes (scope, n, avgdl)."""
-    words = chunks.select(*SCOPE, "chunk_id", "doc_id", "ordinal", F.explode(tokenize("text")).alias("term"), F.size(tokenize("text")).alias("dl"))
-    postings = words.groupBy(*SCOPE, "term", "chunk_id", "doc_id", "ordinal", "dl").agg(F.count("*").alias("tf"))
-    scopes = chunks.select(*SCOPE, F.size(tokenize("text")).alias("dl")).groupBy(*SCOPE).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    # Tokens and postings are index tables: they are written once and read by all that follows.
+    tokens = cut(chunks.select(*SCOPE, "chunk_id", "doc_id", "ordinal", tokenize("text").alias("tokens")).withColumn("dl", F.size("tokens")))
+    words = tokens.select(*SCOPE, "chunk_id", "doc_id", "ordinal", "dl", F.explode("tokens").alias("term"))
+    postings = cut(words.groupBy(*SCOPE, "term", "chunk_id", "doc_id", "ordinal", "dl").agg(F.count("*").alias("tf")))
+    scopes = tokens.groupBy(*SCOPE).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     raw = postings.groupBy(*SCOPE, "term").agg(F.count("*").alias("df")).join(scopes, SCOPE).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy(*SCOPE).agg(F.avg("raw").alias("mean"))
     terms = raw.join(mean, SCOPE).select(*SCOPE, "term", "df", F.when(F.col("raw") < 0, fixed.BM25_EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
@@ -157,8 +160,8 @@ def page_rank(seeds: DataFrame, chunks: DataFrame, edges: DataFrame, rounds: int
     size = chunks.groupBy(*SCOPE).agg(F.count("*").alias("n"))
     linked = edges.groupBy(*SCOPE, "src").agg(F.sum("weight").alias("out")).withColumnRenamed("src", "chunk_id")
     nodes = asked.join(chunks.select(*SCOPE, "chunk_id"), SCOPE).join(size, SCOPE).join(seeds, ["question_id", *SCOPE, "chunk_id"], "left").join(total, "question_id").join(linked, [*SCOPE, "chunk_id"], "left")
-    fixed_part = nodes.select("question_id", *SCOPE, "chunk_id", "n", "out", (F.coalesce("seed", F.lit(0.0)) / F.col("total")).alias("p")).checkpoint()
-    steps = edges.join(linked.withColumnRenamed("chunk_id", "src"), [*SCOPE, "src"]).select(*SCOPE, "src", "dst", (F.col("weight") / F.col("out")).alias("share")).checkpoint()
+    fixed_part = cut(nodes.select("question_id", *SCOPE, "chunk_id", "n", "out", (F.coalesce("seed", F.lit(0.0)) / F.col("total")).alias("p")))
+    steps = cut(edges.join(linked.withColumnRenamed("chunk_id", "src"), [*SCOPE, "src"]).select(*SCOPE, "src", "dst", (F.col("weight") / F.col("out")).alias("share")))
     now = fixed_part.select("question_id", "chunk_id", (1 / F.col("n")).alias("mass"))
     for k in range(rounds):
         state = fixed_part.join(now, ["question_id", "chunk_id"])
@@ -168,7 +171,7 @@ def page_rank(seeds: DataFrame, chunks: DataFrame, edges: DataFrame, rounds: int
         mass = (1 - fixed.DAMPING) * F.col("p") + fixed.DAMPING * (F.coalesce("got", F.lit(0.0)) + F.coalesce("lost", F.lit(0.0)) * F.col("p"))
         now = nxt.select("question_id", "chunk_id", mass.alias("mass"))
         if k % every == every - 1:
-            now = now.checkpoint()
+            now = cut(now)
     return now.withColumnRenamed("mass", "rank_mass")
 
 

@@ -1 +1,144 @@
+"""Queries over the audit chain, metrics, evaluation and settings."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from attesta.operators import audit as A
+from attesta.operators import lanes as L
+from attesta.plans.answers import HIT, hits
+from attesta.plans.registry import query
+from attesta.plans.retrieval import SPARSE, both
+from attesta.sources import tables as S
+
+EVENT = "event AS (SELECT event_id AS id, 'u' || user_id AS tenant_id, event_type AS actor, event_type, props AS payload, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS created_at FROM events)"
+BODY = """'{{"actor":"' || actor || '","created_at":"' || created_at || '","event_type":"' || event_type || '","payload":"' || replace(replace(payload, '\\', '\\\\'), '"', '\\"') || '","previous_hash":"' || {0} || '","tenant_id":"' || tenant_id || '"}}'"""
+CHAIN = f"""WITH RECURSIVE {EVENT}, numbered AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY id) AS n FROM event),
+chain AS (SELECT id, tenant_id, n, 'GENESIS' AS previous_hash, sha256({BODY.format("'GENESIS'")}) AS event_hash FROM numbered WHERE n = 1
+UNION ALL SELECT e.id, e.tenant_id, e.n, c.event_hash, sha256({BODY.format('c.event_hash')}) FROM chain c JOIN numbered e ON e.tenant_id = c.tenant_id AND e.n = c.n + 1)"""
+
+
+def events(spark, d):
+    e = S.table(spark, d, "events")
+    return e.select(F.col("event_id").alias("id"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("tenant_id"), F.col("event_type").alias("actor"), "event_type", F.col("props").alias("payload"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"))
+
+
+@query("r11_eval_records", "SELECT source, doc_id::VARCHAR AS id, coalesce(lang, '') AS split FROM documents")
+def eval_records(spark, d):
+    docs = S.table(spark, d, "documents")
+    even, odd = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 <> 0")
+    return even.unionByName(odd).select("source", F.col("doc_id").cast("string").alias("id"), F.coalesce("lang", F.lit("")).alias("split"))
+
+
+@query("r14_render_rows", "SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'error' ELSE 'answer' END AS event FROM conversations")
+def render_rows(spark, d):
+    c = S.table(spark, d, "conversations")
+    row = F.to_json(F.struct(F.when(F.col("role") == "user", "error").otherwise("answer").alias("event"), F.col("text").alias("data")))
+    return c.select("conv_id", "turn", F.get_json_object(row, "$.event").alias("event"))
+
+
+@query("r81_redact_payload", "SELECT event_id, '[redacted]' AS user_id, event_type AS status FROM events")
+def redact_payload(spark, d):
+    m = F.create_map(F.lit("user_id"), F.col("user_id").cast("string"), F.lit("status"), F.col("event_type"))
+    return S.table(spark, d, "events").select("event_id", A.redact_payload(m).alias("m")).select("event_id", F.col("m.user_id"), F.col("m.status"))
+
+
+@query("r82_canonical_event", f"WITH {EVENT} SELECT id, sha256({BODY.format(chr(39) + 'x' + chr(39))}) AS digest FROM event")
+def canonical_event(spark, d):
+    return events(spark, d).select("id", A.event_digest(F.lit("x")).alias("digest"))
+
+
+@query("r83_append_chain", f"{CHAIN} SELECT id, tenant_id, previous_hash, event_hash FROM chain")
+def append_chain(spark, d):
+    return A.append_chain(events(spark, d)).select("id", "tenant_id", "previous_hash", "event_hash")
+
+
+@query("r84_verify_chain", f"WITH {EVENT}, n AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY id) AS n FROM event) SELECT tenant_id, id FROM n WHERE n = 3 AND id % 2 = 0")
+def verify_chain(spark, d):
+    """Of each chain whose third event has an even id, that event was changed afterwards."""
+    from pyspark.sql.window import Window
+
+    c = A.append_chain(events(spark, d)).withColumn("n", F.row_number().over(Window.partitionBy("tenant_id").orderBy("id")))
+    spoiled = c.withColumn("payload", F.when((F.col("n") == 3) & (F.col("id") % 2 == 0), "{}").otherwise(F.col("payload")))
+    return A.verify_chain(spoiled).select("tenant_id", "id")
+
+
+@query("r85_recent", "SELECT event_id AS id, event_type FROM events ORDER BY event_id DESC LIMIT 50")
+def recent(spark, d):
+    return A.recent(events(spark, d), 50).select("id", "event_type")
+
+
+@query("r86_emit_audit", "SELECT conv_id, turn, 5 AS steps, 2 AS guardrails FROM conversations")
+def emit_audit(spark, d):
+    r = S.table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("request_id"), F.lit("accepted").alias("status"), F.array(F.lit("input"), F.lit("verify")).alias("guardrails"))
+    e = A.emit_audit(r).groupBy("request_id").agg(F.count("*").cast("int").alias("steps"), F.count("guardrail").cast("int").alias("guardrails"))
+    return e.select("request_id.conv_id", "request_id.turn", "steps", "guardrails")
+
+
+@query("r87_usage_counters", "SELECT event_type, user_id, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY GROUPING SETS ((event_type), (user_id), (event_type, user_id))")
+def usage_counters(spark, d):
+    e = S.table(spark, d, "events")
+    e.createOrReplaceTempView("attesta_events")
+    return spark.sql("SELECT event_type, user_id, count(*) AS n, round(sum(value), 2) AS total FROM attesta_events GROUP BY GROUPING SETS ((event_type), (user_id), (event_type, user_id))")
+
+
+@query("r88_rate_by_window", "SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, event_type, count(*) AS n, round(count(*) / 300.0, 6) AS rate FROM events GROUP BY ALL")
+def rate_by_window(spark, d):
+    return A.rate_by_window(S.table(spark, d, "events"), "event_type").withColumn("rate", F.round("rate", 6))
+
+
+@query("r89_latency_quantile", "SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, round(quantile_cont(value, 0.95), 4) AS quantile FROM events GROUP BY ALL")
+def latency_quantile(spark, d):
+    return A.latency_quantile(S.table(spark, d, "events")).withColumn("quantile", F.round("quantile", 4))
+
+
+@query("r90_failure_alert", "SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, count(*) AS failures FROM events WHERE value > 90 GROUP BY ALL")
+def failure_alert(spark, d):
+    return A.failure_alert(S.table(spark, d, "events"), F.col("value") > 90)
+
+
+@query("r91_evaluate", f"WITH {HIT}, r AS (SELECT question_id, bool_or(filename LIKE '%1.txt') AS h FROM hit GROUP BY 1), b AS (SELECT question_id, bool_or(filename LIKE '%1.txt') AS h FROM hit WHERE rank = 1 GROUP BY 1) SELECT round(avg(r.h::INTEGER), 6) AS recall, round(avg(b.h::INTEGER), 6) AS baseline, round(CASE WHEN avg(b.h::INTEGER) <= 0 THEN (avg(r.h::INTEGER) > 0)::INTEGER ELSE greatest(0, (avg(r.h::INTEGER) - avg(b.h::INTEGER)) / avg(b.h::INTEGER)) END, 6) AS lift FROM r JOIN b USING (question_id)")
+def evaluate(spark, d):
+    _, h = hits(spark, d)
+    good = h.filename.like("%1.txt")
+    m = h.groupBy("question_id").agg(F.max(good.cast("int")).alias("r"), F.max((good & (F.col("rank") == 1)).cast("int")).alias("b")).agg(F.avg("r").alias("recall"), F.avg("b").alias("baseline"))
+    return m.select(F.round("recall", 6).alias("recall"), F.round("baseline", 6).alias("baseline"), F.round(A.lift(F.col("recall"), F.col("baseline")), 6).alias("lift"))
+
+
+@query("r92_recall_hit", f"WITH {HIT}, e AS (SELECT question_id, filename AS expected FROM hit WHERE rank = 8 OR rank = 50 UNION ALL SELECT question_id, 'none.txt' FROM question) SELECT question_id, expected, expected <> 'none.txt' AS hit FROM e")
+def recall_hit(spark, d):
+    q, h = hits(spark, d)
+    r = h.where("rank = 8").select("question_id", F.col("filename").alias("expected")).unionByName(q.select("question_id", F.lit("none.txt").alias("expected")))
+    return A.recall_hits(r, h)
+
+
+@query("r94_sample_records", "SELECT doc_id FROM documents ORDER BY md5('7:' || doc_id), doc_id LIMIT 100")
+def sample_records(spark, d):
+    return A.sample_records(S.table(spark, d, "documents").select("doc_id"), "doc_id", 100, 7)
+
+
+@query("r96_gate_check", f"WITH {SPARSE} SELECT 'positive' AS metric, round(avg((score > 0)::INTEGER), 6) AS value, 0.5::DOUBLE AS threshold, avg((score > 0)::INTEGER) >= 0.5 AS passed FROM sparse")
+def gate_check(spark, d):
+    m = L.bm25_top_k(*both(spark, d)).agg(F.avg((F.col("score") > 0).cast("int")).alias("v")).select(F.lit("positive").alias("metric"), F.round("v", 6).alias("value"))
+    return A.gate_check(m, spark.createDataFrame([("positive", 0.5)], "metric string, threshold double"))
+
+
+@query("r101_reindex_required", "SELECT 'u' || user_id AS tenant_id, min(event_type) <> max(event_type) AS reindex FROM events GROUP BY user_id")
+def reindex_required(spark, d):
+    t = events(spark, d).groupBy("tenant_id").agg(F.min("event_type").alias("low"), F.max("event_type").alias("high"))
+    c = t.select("tenant_id", F.lit(None).cast("string").alias("embedder"), F.col("high").alias("previous"), F.lit(None).cast("int").alias("dim"))
+    return A.reindex_required(c, t.select("tenant_id", F.col("low").alias("embedder"), F.lit(384).alias("dim")), "hash", 384)
+
+
+@query("r102_find_audit", "SELECT event_id AS id FROM events WHERE user_id % 2 = 0 AND event_type = 'click'")
+def find_audit(spark, d):
+    j = F.to_json(F.struct(F.lit("input").alias("guardrail"), F.when(F.col("user_id") % 2 == 0, "rejected").otherwise("accepted").alias("status")))
+    e = S.table(spark, d, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_type") == "click", "guardrail").otherwise("chat").alias("event_type"), j.alias("payload_json"))
+    return A.find_audit(e, "input", "rejected").select("id")
+
+
+@query("r103_scrub_attributes", "SELECT event_id, event_type AS model FROM events")
+def scrub_attributes(spark, d):
+    m = F.create_map(F.lit("model"), F.col("event_type"), F.lit("prompt"), F.col("props"), F.lit("other"), F.lit("x"))
+    s = S.table(spark, d, "events").select("event_id", A.scrub_attributes(m).alias("m"))
+    return s.where(F.size("m") == 1).select("event_id", F.col("m.model"))

@@ -1 +1,188 @@
+"""Queries over the lanes, fusion and reranking."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from attesta.operators import lanes as L
+from attesta.plans.registry import query
+from attesta.plans.security import QUESTION
+from attesta.plans.texts import CHUNK, DOC, TOKENS, chunk_table
+from attesta.sources import tables as S
+from attesta.sources.scratch import cut
+
+CONCEPTS = r"(?i)\b(version \d+(?:\.\d+)?|license)\b"
+DIM = 384
+POSTINGS = f"""{CHUNK}, tok AS (SELECT *, {TOKENS.format('text')} AS tokens FROM chunk),
+post AS (SELECT tenant_id, matter_id, term, chunk_id, doc_id, ordinal, dl, count(*) AS tf FROM (SELECT tenant_id, matter_id, chunk_id, doc_id, ordinal, len(tokens) AS dl, unnest(tokens) AS term FROM tok) GROUP BY ALL),
+sco AS (SELECT tenant_id, matter_id, count(*) AS n, avg(len(tokens)) AS avgdl FROM tok GROUP BY ALL),
+raw AS (SELECT p.tenant_id, p.matter_id, term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post p JOIN sco USING (tenant_id, matter_id) GROUP BY ALL),
+term AS (SELECT tenant_id, matter_id, term, df, CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER (PARTITION BY tenant_id, matter_id) ELSE raw END AS idf FROM raw),
+{QUESTION}, qt AS (SELECT question_id, tenant_id, matter_id, term, count(*) AS times FROM (SELECT * EXCLUDE (question), unnest({TOKENS.format('question')}) AS term FROM question) GROUP BY ALL),
+pair AS (SELECT q.question_id, c.tenant_id, c.matter_id, c.chunk_id, c.doc_id, c.ordinal FROM question q JOIN chunk c USING (tenant_id, matter_id))"""
+SPARSE = f"""{POSTINGS}, ss AS (SELECT question_id, chunk_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS s FROM qt JOIN term USING (tenant_id, matter_id, term) JOIN post USING (tenant_id, matter_id, term) JOIN sco USING (tenant_id, matter_id) GROUP BY ALL),
+sparse AS (SELECT * FROM (SELECT pair.*, coalesce(s, 0) AS score, row_number() OVER (PARTITION BY question_id ORDER BY coalesce(s, 0) DESC, doc_id, ordinal) AS rank FROM pair LEFT JOIN ss USING (question_id, chunk_id)) WHERE rank <= 50)"""
+
+
+def weights(name: str, source: str) -> str:
+    return f"""{name}_w AS (SELECT id, ('0x' || substr(md5(w), 1, 8))::BIGINT % {DIM} AS idx, sum(CASE WHEN ('0x' || substr(md5(w), 9, 2))::INTEGER % 2 = 0 THEN 1 ELSE -1 END) AS v FROM ({source}) GROUP BY ALL),
+{name} AS (SELECT id, idx, v / sqrt(sum(v * v) OVER (PARTITION BY id)) AS weight FROM {name}_w)"""
+
+
+DENSE = f"""{weights('qv', 'SELECT question_id AS id, unnest(' + TOKENS.format('question') + ') AS w FROM question')}, {weights('cv', 'SELECT chunk_id AS id, unnest(tokens) AS w FROM tok')},
+ds AS (SELECT p.question_id, p.chunk_id, round(sum(qv.weight * cv.weight), 9) + 0.0 AS s FROM pair p JOIN qv ON qv.id = p.question_id JOIN cv ON cv.id = p.chunk_id AND cv.idx = qv.idx GROUP BY ALL),
+dense AS (SELECT * FROM (SELECT pair.*, coalesce(s, 0) AS score, row_number() OVER (PARTITION BY question_id ORDER BY coalesce(s, 0) DESC, doc_id, ordinal) AS rank FROM pair LEFT JOIN ds USING (question_id, chunk_id)) WHERE rank <= 50)"""
+EDGES = r"""adj AS (SELECT tenant_id, matter_id, chunk_id AS a, lead(chunk_id) OVER (PARTITION BY tenant_id, matter_id, doc_id ORDER BY ordinal) AS b, 0.4::DOUBLE AS weight FROM chunk),
+con AS (SELECT DISTINCT tenant_id, matter_id, chunk_id, lower(unnest(regexp_extract_all(text, '(?i)\b(version \d+(?:\.\d+)?|license)\b', 1))) AS concept FROM chunk),
+und AS (SELECT tenant_id, matter_id, least(a, b) AS a, greatest(a, b) AS b, max(weight) AS weight FROM (SELECT * FROM adj WHERE b IS NOT NULL UNION ALL SELECT x.tenant_id, x.matter_id, x.chunk_id, y.chunk_id, 1.0 FROM con x JOIN con y USING (tenant_id, matter_id, concept) WHERE x.chunk_id < y.chunk_id) GROUP BY 1, 2, 3, 4),
+edge AS (SELECT tenant_id, matter_id, a AS src, b AS dst, weight FROM und UNION ALL SELECT tenant_id, matter_id, b, a, weight FROM und)"""
+SEEDS = """seed AS (SELECT q.question_id, q.tenant_id, q.matter_id, p.chunk_id, count(*) / any_value(nq) AS seed FROM (SELECT *, count(*) OVER (PARTITION BY question_id) AS nq FROM qt) q JOIN post p USING (tenant_id, matter_id, term) GROUP BY ALL)"""
+
+
+def rank_sql(rounds: int = 25) -> str:
+    """PageRank unrolled: one step per round."""
+    head = """outw AS (SELECT tenant_id, matter_id, src AS chunk_id, sum(weight) AS out FROM edge GROUP BY ALL),
+node AS MATERIALIZED (SELECT p.question_id, p.chunk_id, p.tenant_id, p.matter_id, n, out, coalesce(seed, 0) / sum(seed) OVER (PARTITION BY p.question_id) AS p FROM pair p JOIN sco USING (tenant_id, matter_id) LEFT JOIN seed s USING (question_id, chunk_id) LEFT JOIN outw o USING (tenant_id, matter_id, chunk_id)),
+step AS MATERIALIZED (SELECT src, dst, weight / out AS share FROM edge e JOIN outw o ON o.chunk_id = e.src), m0 AS (SELECT question_id, chunk_id, p, out, 1.0 / n AS mass FROM node)"""
+    parts = [
+        f"""m{k + 1} AS MATERIALIZED (SELECT a.question_id, a.chunk_id, a.p, a.out, 0.15 * a.p + 0.85 * (coalesce(g.got, 0) + coalesce(l.lost, 0) * a.p) AS mass FROM m{k} a
+ LEFT JOIN (SELECT question_id, sum(mass) AS lost FROM m{k} WHERE out IS NULL GROUP BY 1) l USING (question_id)
+ LEFT JOIN (SELECT m.question_id, s.dst AS chunk_id, sum(m.mass * s.share) AS got FROM m{k} m JOIN step s ON s.src = m.chunk_id GROUP BY ALL) g USING (question_id, chunk_id))"""
+        for k in range(rounds)
+    ]
+    return ",\n".join([head, *parts])
+
+
+GRAPH = f"""{EDGES}, {SEEDS}, {rank_sql()},
+gs AS (SELECT question_id, chunk_id, round(sum(s), 9) AS score FROM (SELECT question_id, chunk_id, 0.25 * mass AS s FROM m25 WHERE p IS NOT NULL UNION ALL SELECT question_id, chunk_id, 0.1 * seed FROM seed
+ UNION ALL SELECT s.question_id, e.dst, s.seed * e.weight FROM seed s JOIN edge e ON e.src = s.chunk_id) GROUP BY ALL),
+graph AS (SELECT * FROM (SELECT pair.*, score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id, ordinal) AS rank FROM pair JOIN gs USING (question_id, chunk_id)) WHERE rank <= 50 AND score > 0)"""
+FUSED = """laned AS (SELECT *, 0 AS lane, 1.0 / (60 + rank) AS part FROM dense UNION ALL SELECT *, 1, 1.0 / (60 + rank) FROM sparse UNION ALL SELECT *, 2, 2.5 / (60 + rank) FROM graph),
+fused AS (SELECT question_id, tenant_id, matter_id, chunk_id, doc_id, ordinal, coalesce(max(score) FILTER (lane = 0), 0) AS dense_score, coalesce(max(score) FILTER (lane = 1), 0) AS sparse_score, coalesce(max(score) FILTER (lane = 2), 0) AS graph_score,
+ min(lane * 1000 + rank) AS place, sum(part) + 0.25 * greatest(0, least(coalesce(max(score) FILTER (lane = 2), 0), 1)) AS score FROM laned GROUP BY ALL)"""
+CANDS = f"""cand AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, place) AS rank FROM (SELECT f.* EXCLUDE (score), q.question, c.text, c.filename,
+ round(f.score + 0.02 * least(len(list_intersect({TOKENS.format('q.question')}, {TOKENS.format('c.text')})), 5), 9) AS score FROM fused f JOIN question q USING (question_id) JOIN chunk c USING (chunk_id))) WHERE rank <= 30)"""
+CANON_SET = "list_distinct(list_concat({0}, [left(x, -1) FOR x IN {0} IF length(x) > 3 AND ends_with(x, 's')]))"
+STOP = "['a','an','are','did','does','is','the','was','were','what']"
+RERANKED = f"""rr AS (SELECT *, [x FOR x IN {TOKENS.format('question')} IF NOT list_contains({STOP}, x)] AS content, {TOKENS.format('text')} AS words FROM cand),
+rs AS (SELECT *, round(CASE WHEN len(content) = 0 THEN score WHEN len(words) = 0 THEN 0 ELSE 0.75 * len(list_intersect({CANON_SET.format('content')}, {CANON_SET.format('words')})) / len({CANON_SET.format('content')})
+ + 0.25 * len([w FOR w IN words IF list_contains({CANON_SET.format('content')}, w)]) / len(words) + 0.05 * least(score, 1) END, 9) AS rerank_score FROM rr),
+rk AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rerank_score DESC, rank) AS r1, row_number() OVER (PARTITION BY question_id ORDER BY sparse_score DESC, rank) AS r2 FROM rs),
+final AS (SELECT * FROM (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY question_id ORDER BY CASE WHEN r1 <= 4 THEN r1 ELSE 1000 + r2 END) AS rank FROM rk) WHERE rank <= 8)"""
+COLS = "question_id, chunk_id, rank::INTEGER AS rank, round(score, 6) AS score"
+LANES = f"{SPARSE}, {DENSE}, {GRAPH}, {FUSED}, {CANDS}, {RERANKED}"
+
+
+def out(df):
+    return df.select("question_id", "chunk_id", F.col("rank").cast("int").alias("rank"), F.round("score", 6).alias("score"))
+
+
+def both(spark, d):
+    return S.questions(spark, d), cut(chunk_table(spark, d))
+
+
+@query("r46_hash_embed", f"WITH {DOC}, {weights('dv', 'SELECT doc_id AS id, unnest(' + TOKENS.format('text') + ') AS w FROM documents')} SELECT id, idx, round(weight, 6) AS weight FROM dv WHERE weight <> 0")
+def hash_embed(spark, d):
+    return L.hash_weights(S.documents(spark, d).select(F.col("doc_id").alias("id"), "text"), DIM, "md5").select("id", "idx", F.round("weight", 6).alias("weight"))
+
+
+def vectors(spark, d):
+    e = S.table(spark, d, "embeddings").select("vec_id", F.lit("t").alias("tenant_id"), F.col("label").cast("string").alias("matter_id"), F.col("vec_id").cast("string").alias("chunk_id"), F.col("vec_id").alias("doc_id"), F.lit(0).alias("ordinal"), "embedding")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("question_id"), *L.SCOPE, F.col("embedding").alias("q_vector"))
+    return q, e.drop("vec_id")
+
+
+@query("r48_cosine", "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def cosine(spark, d):
+    e = S.table(spark, d, "embeddings").select("vec_id", "embedding")
+    after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return e.join(after, "vec_id").select("vec_id", F.round(L.cosine(F.col("embedding"), F.col("other")), 6).alias("cosine"))
+
+
+@query(
+    "r49_dense_top_k",
+    "SELECT question_id, chunk_id, rank, round(s, 6) AS score FROM (SELECT q.vec_id AS question_id, c.vec_id::VARCHAR AS chunk_id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) AS s, (row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) DESC, c.vec_id))::INTEGER AS rank FROM embeddings q JOIN embeddings c USING (label) WHERE q.vec_id % 100 = 0) WHERE rank <= 50",
+)
+def dense_top_k(spark, d):
+    return out(L.dense_top_k(*vectors(spark, d)))
+
+
+@query("r50_dense_top_k_approx")
+def dense_top_k_approx(spark, d):
+    return out(L.dense_top_k_approx(*vectors(spark, d), 20))
+
+
+@query("r51_postings", f"WITH {POSTINGS} SELECT tenant_id, matter_id, term, df, round(idf, 6) AS idf FROM term")
+def postings(spark, d):
+    return L.build_postings(chunk_table(spark, d))[1].select(*L.SCOPE, "term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query("r52_bm25_top_k", f"WITH {SPARSE} SELECT {COLS} FROM sparse")
+def bm25(spark, d):
+    return out(L.bm25_top_k(*both(spark, d)))
+
+
+@query("r47_hash_dense_top_k", f"WITH {POSTINGS}, {DENSE} SELECT {COLS} FROM dense")
+def hash_dense(spark, d):
+    return out(L.hash_dense_top_k(*both(spark, d)))
+
+
+@query("r54_adjacency_edges", f"WITH {CHUNK}, {EDGES} SELECT src, dst, weight FROM edge WHERE weight < 1")
+def adjacency(spark, d):
+    return L.graph_edges(chunk_table(spark, d), CONCEPTS).where("weight < 1").select("src", "dst", "weight")
+
+
+@query("r55_concept_edges", f"WITH {CHUNK}, {EDGES} SELECT src, dst, weight FROM edge WHERE weight = 1")
+def concept(spark, d):
+    return L.graph_edges(chunk_table(spark, d), CONCEPTS).where("weight = 1").select("src", "dst", "weight")
+
+
+@query("r56_seed_scores", f"WITH {POSTINGS}, {SEEDS} SELECT question_id, chunk_id, round(seed, 6) AS seed FROM seed")
+def seeds(spark, d):
+    return L.seed_scores(*both(spark, d)).select("question_id", "chunk_id", F.round("seed", 6).alias("seed"))
+
+
+@query("r57_page_rank", f"WITH {POSTINGS}, {EDGES}, {SEEDS}, {rank_sql()} SELECT question_id, chunk_id, round(mass, 6) AS mass FROM m25 WHERE p IS NOT NULL")
+def page_rank(spark, d):
+    q, c = both(spark, d)
+    return L.page_rank(L.seed_scores(q, c), c, L.graph_edges(c, CONCEPTS)).select("question_id", "chunk_id", F.round("rank_mass", 6).alias("mass"))
+
+
+@query("r58_graph_top_k", f"WITH {POSTINGS}, {GRAPH} SELECT {COLS} FROM graph")
+def graph(spark, d):
+    q, c = both(spark, d)
+    return out(L.graph_top_k(q, c, L.graph_edges(c, CONCEPTS)))
+
+
+def fused(spark, d):
+    q, c = both(spark, d)
+    return q, c, L.fuse(L.hash_dense_top_k(q, c), L.bm25_top_k(q, c), L.graph_top_k(q, c, L.graph_edges(c, CONCEPTS)))
+
+
+@query("r59_rrf_fuse", f"WITH {LANES} SELECT question_id, chunk_id, round(score, 6) AS score, round(graph_score, 6) AS graph_score FROM fused")
+def rrf(spark, d):
+    return fused(spark, d)[2].select("question_id", "chunk_id", F.round("score", 6).alias("score"), F.round("graph_score", 6).alias("graph_score"))
+
+
+@query("r60_candidates", f"WITH {LANES} SELECT {COLS} FROM cand")
+def candidates(spark, d):
+    q, c, f = fused(spark, d)
+    return out(L.candidates(f, q, c))
+
+
+@query("r61_rerank_scores", f"WITH {LANES} SELECT question_id, chunk_id, round(rerank_score, 6) AS rerank_score FROM rs")
+def rerank_scores(spark, d):
+    q, c, f = fused(spark, d)
+    return L.candidates(f, q, c).select("question_id", "chunk_id", F.round(L.rerank_score(), 6).alias("rerank_score"))
+
+
+@query("r64_rerank_none", f"WITH {LANES} SELECT {COLS} FROM cand WHERE rank <= 8")
+def rerank_none(spark, d):
+    q, c, f = fused(spark, d)
+    return out(L.rerank_none(L.candidates(f, q, c)))
+
+
+@query("r66_retrieve", f"WITH {LANES} SELECT question_id, chunk_id, rank::INTEGER AS rank, round(rerank_score, 6) AS rerank_score FROM final")
+def retrieve(spark, d):
+    q, c = both(spark, d)
+    return L.retrieve(q, c, pattern=CONCEPTS).select("question_id", "chunk_id", F.col("rank").cast("int").alias("rank"), F.round("rerank_score", 6).alias("rerank_score"))

@@ -51,10 +51,10 @@ def validate_requests(spark, d):
     return G.validate_requests(r).select("conv_id", "turn", F.array_join("problems", ",").alias("problems"))
 
 
-@query("r22_effective_request", "SELECT event_id, coalesce(nullif(value::INTEGER % 5, 0), 8) AS top_k, coalesce(CASE WHEN event_id % 3 = 0 THEN event_type END, 'u' || user_id) AS tenant_id FROM events")
+@query("r22_effective_request", "SELECT event_id, coalesce(nullif(floor(value)::INTEGER % 5, 0), 8) AS top_k, coalesce(CASE WHEN event_id % 3 = 0 THEN event_type END, 'u' || user_id) AS tenant_id FROM events")
 def effective_request(spark, d):
     e = S.table(spark, d, "events")
-    value = F.round("value").cast("int") % 5
+    value = F.floor("value").cast("int") % 5
     return e.select("event_id", F.coalesce(F.nullif(value, F.lit(0)), F.lit(8)).alias("top_k"), F.coalesce(F.when(F.col("event_id") % 3 == 0, F.col("event_type")), F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("tenant_id"))
 
 

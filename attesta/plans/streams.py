@@ -1 +1,82 @@
+"""Streaming queries: the events table is read as a file stream and the result compared with the batch form."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from attesta.operators import answers as A
+from attesta.operators import lanes as L
+from attesta.plans.answers import QUOTES
+from attesta.plans.records import CHAIN
+from attesta.plans.registry import query
+from attesta.plans.retrieval import both
+from attesta.plans.texts import CHUNK, EMAIL, PHONE, SSN
+from attesta.sources import tables as S
+from attesta.sources.scratch import folder
+from attesta.streaming import streams as R
+
+
+def place(spark):
+    at = f"{folder(spark)}/streams/{uuid.uuid4().hex}"
+    return f"{at}/out", f"{at}/checkpoint"
+
+
+def stream(spark, d, name):
+    """A table as a stream of its files."""
+    at = f"{d}/{name}.parquet"
+    schema = spark.read.parquet(at).schema
+    folder_, _, file = at.rpartition("/")
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{folder_}/{file}*")
+    return rows.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in rows.columns else rows
+
+
+def events(spark, d):
+    e = stream(spark, d, "events")
+    return e.select(F.col("event_id").alias("id"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("tenant_id"), F.col("event_type").alias("actor"), "event_type", F.col("props").alias("payload"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"))
+
+
+@query("r93_append_chain_stream", f"{CHAIN.replace('PARTITION BY tenant_id ORDER BY id', 'PARTITION BY tenant_id ORDER BY created_at, id')} SELECT id, tenant_id, previous_hash, event_hash FROM chain")
+def append_chain_stream(spark, d):
+    out, checkpoint = place(spark)
+    R.run_to_table(R.append_chain_stream(events(spark, d)), out, checkpoint)
+    return spark.read.parquet(out).select("id", "tenant_id", "previous_hash", "event_hash")
+
+
+@query("r97_ingest_stream", "WITH " + CHUNK.replace("trim(regexp_replace(text, ", f"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '{EMAIL}', '<EMAIL>', 'g'), '{SSN}', '<SSN>', 'g'), '{PHONE}', '<PHONE>', 'g'), ") + " SELECT chunk_id, doc_id, text FROM chunk")
+def ingest_stream(spark, d):
+    out, checkpoint = place(spark)
+    pages = stream(spark, d, "documents").select("doc_id", F.col("source").alias("tenant_id"), F.col("lang").alias("matter_id"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"), F.lit(None).cast("int").alias("page"), "text")
+    R.ingest_stream(pages, out, checkpoint).awaitTermination()
+    return spark.read.parquet(out).select("chunk_id", "doc_id", "text")
+
+
+@query("r98_answer_stream", f"WITH {QUOTES} SELECT question_id, quote FROM quoted")
+def answer_stream(spark, d):
+    out, checkpoint = place(spark)
+    _, chunks = both(spark, d)
+
+    def answer(batch):
+        top = L.bm25_top_k(batch, chunks, 8).join(batch.select("question_id", "question"), "question_id")
+        return A.quote_answers(top.join(chunks.select("chunk_id", "text"), "chunk_id")).select("question_id", "quote")
+
+    i = F.col("item_id")
+    matter = F.element_at(F.array(*map(F.lit, ("en", "de", "fr", "es"))), (F.floor(i / 20) % 4 + 1).cast("int"))
+    q = stream(spark, d, "benchmark").select(i.alias("question_id"), F.concat(F.lit("src"), (i % 20).cast("string")).alias("tenant_id"), matter.alias("matter_id"), F.col("text").alias("question"))
+    R.answer_stream(q, answer, out, checkpoint).awaitTermination()
+    return spark.read.parquet(out).select("question_id", "quote")
+
+
+@query("r99_rates_stream", "SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def rates_stream(spark, d):
+    out, checkpoint = place(spark)
+    R.run_to_table(R.rates_stream(stream(spark, d, "events"), "event_type"), out, checkpoint, "update")
+    return spark.read.parquet(out).withColumn("window_start", F.col("window_start").cast("timestamp_ntz")).groupBy("window_start", "event_type").agg(F.max("n").alias("n"))
+
+
+@query("r100_alert_stream", "SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, count(*) AS failures FROM events WHERE value > 90 GROUP BY ALL")
+def alert_stream(spark, d):
+    out, checkpoint = place(spark)
+    R.run_to_table(R.alert_stream(stream(spark, d, "events"), F.col("value") > 90), out, checkpoint, "update")
+    return spark.read.parquet(out).withColumn("window_start", F.col("window_start").cast("timestamp_ntz")).groupBy("window_start").agg(F.max("failures").alias("failures"))
