@@ -8,6 +8,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from attesta.functions import fixed
@@ -36,7 +37,7 @@ def hasher():
     return digest
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _json_string(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else json.dumps(t))
 

@@ -39,6 +39,10 @@ def scan_risks(texts: DataFrame, risks: DataFrame) -> DataFrame:
     return joined.groupBy("question_id").agg(F.max(F.coalesce(~F.col("valid"), F.lit(False))).alias("rejected"), F.max("risk").alias("max_risk"))
 
 
+def matter_violation(own: str = "matter_id", asked: str = "on_matter") -> Column:
+    return F.when(F.col(own) != F.col(asked), "session matter mismatch")
+
+
 def scope_violations(rows: DataFrame, scopes: DataFrame) -> DataFrame:
     """rows (question_id, tenant_id, matter_id, ...) whose scope is not that of their question."""
     asked = scopes.select("question_id", F.col("tenant_id").alias("asked_tenant"), F.col("matter_id").alias("asked_matter"))

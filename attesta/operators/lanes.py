@@ -12,6 +12,7 @@ from hashlib import blake2b
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from attesta.functions import fixed
@@ -45,7 +46,7 @@ def dense_top_k(questions: DataFrame, chunks: DataFrame, k: int = fixed.LANE_K)
     return top(pairs.withColumn("score", F.round(cosine(F.col("q_vector"), F.col("embedding")), DIGITS)).drop("q_vector", "embedding"), k)
 
 
-@F.pandas_udf("struct<idx:long,sign:int>")
+@F.pandas_udf(StructType([StructField("idx", LongType()), StructField("sign", IntegerType())]))
 def _blake(words: pd.Series, dim: pd.Series) -> pd.DataFrame:
     digests = [blake2b(w.encode(), digest_size=8).digest() for w in words]
     return pd.DataFrame({"idx": [int.from_bytes(h[:4], "big") % n for h, n in zip(digests, dim)], "sign": [1 if h[4] % 2 == 0 else -1 for h in digests]})

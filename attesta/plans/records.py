@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from attesta.operators import audit as A
+from attesta.operators import guards as G
 from attesta.operators import lanes as L
 from attesta.plans.answers import HIT, hits
 from attesta.plans.registry import query
 from attesta.plans.retrieval import SPARSE, both
 from attesta.sources import tables as S
+from attesta.sources.scratch import folder
 
 EVENT = "event AS (SELECT event_id AS id, 'u' || user_id AS tenant_id, event_type AS actor, event_type, props AS payload, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS created_at FROM events)"
 BODY = """'{{"actor":"' || actor || '","created_at":"' || created_at || '","event_type":"' || event_type || '","payload":"' || replace(replace(payload, '\\', '\\\\'), '"', '\\"') || '","previous_hash":"' || {0} || '","tenant_id":"' || tenant_id || '"}}'"""
 CHAIN = f"""WITH RECURSIVE {EVENT}, numbered AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY id) AS n FROM event),
 chain AS (SELECT id, tenant_id, n, 'GENESIS' AS previous_hash, sha256({BODY.format("'GENESIS'")}) AS event_hash FROM numbered WHERE n = 1
-UNION ALL SELECT e.id, e.tenant_id, e.n, c.event_hash, sha256({BODY.format('c.event_hash')}) FROM chain c JOIN numbered e ON e.tenant_id = c.tenant_id AND e.n = c.n + 1)"""
+UNION ALL SELECT e.id, e.tenant_id, e.n, ch, sha256({BODY.format('ch')}) FROM (SELECT tenant_id AS ct, n AS cn, event_hash AS ch FROM chain) c JOIN numbered e ON e.tenant_id = ct AND e.n = cn + 1)"""
 
 
 def events(spark, d):
@@ -142,3 +146,40 @@ def scrub_attributes(spark, d):
     m = F.create_map(F.lit("model"), F.col("event_type"), F.lit("prompt"), F.col("props"), F.lit("other"), F.lit("x"))
     s = S.table(spark, d, "events").select("event_id", A.scrub_attributes(m).alias("m"))
     return s.where(F.size("m") == 1).select("event_id", F.col("m.model"))
+
+
+@query("r10_vector_upsert", "SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN label + 100 ELSE label END AS label FROM embeddings")
+def vector_upsert(spark, d):
+    e = S.table(spark, d, "embeddings").select("vec_id", "label", F.lit(1).alias("version"))
+    return S.upsert(e, e.where("vec_id % 3 = 0").withColumn("label", F.col("label") + 100), ["vec_id"], "version").select("vec_id", "label")
+
+
+@query("r12_write_json", "SELECT item_id, text FROM benchmark")
+def write_json(spark, d):
+    at = f"{folder(spark)}/json/{uuid.uuid4().hex}"
+    b = S.table(spark, d, "benchmark").select("item_id", "text")
+    S.write_json(b, at)
+    return spark.read.schema(b.schema).json(at)
+
+
+@query("r18_matter_scope", "SELECT event_id, CASE WHEN user_id % 2 <> event_id % 2 THEN 'session matter mismatch' END AS violation FROM events")
+def matter_scope(spark, d):
+    e = S.table(spark, d, "events").select("event_id", (F.col("user_id") % 2).alias("matter_id"), (F.col("event_id") % 2).alias("on_matter"))
+    return e.select("event_id", G.matter_violation().alias("violation"))
+
+
+@query("r24_policy", "WITH p(role, action) AS (VALUES ('admin','upload'),('analyst','upload'),('admin','chat'),('analyst','chat'),('viewer','chat'),('admin','read'),('analyst','read'),('viewer','read'),('admin','admin')) SELECT e.event_type, p.role, p.action, count(*) AS n FROM events e JOIN p ON p.role = ['admin','analyst','viewer'][(e.user_id % 3 + 1)::INTEGER] GROUP BY ALL")
+def policy(spark, d):
+    role = F.element_at(F.array(F.lit("admin"), F.lit("analyst"), F.lit("viewer")), (F.col("user_id") % 3 + 1).cast("int"))
+    e = S.table(spark, d, "events").select("event_type", role.alias("role")).groupBy("event_type", "role").agg(F.count("*").alias("n"))
+    return e.join(F.broadcast(G.policy(spark)), "role").select("event_type", "role", "action", "n")
+
+
+@query("r53_scope_rebuild", "SELECT source AS tenant_id, lang AS matter_id, CASE WHEN source = 'src3' THEN 'new' ELSE 'old' END AS state, count(*) AS n FROM documents GROUP BY ALL")
+def scope_rebuild(spark, d):
+    """All scopes are written, then those of one tenant again; the others keep what they had."""
+    at = f"{folder(spark)}/scopes/{uuid.uuid4().hex}"
+    docs = S.documents(spark, d).select("doc_id", "tenant_id", "matter_id")
+    S.write_scope_partitions(docs.withColumn("state", F.lit("old")), at)
+    S.write_scope_partitions(docs.where("tenant_id = 'src3'").withColumn("state", F.lit("new")), at)
+    return spark.read.parquet(at).groupBy("tenant_id", "matter_id", "state").agg(F.count("*").alias("n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from attesta.functions import fixed
@@ -27,7 +28,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(i.alias("question_id"), F.concat(F.lit("src"), (i % 20).cast("string")).alias("tenant_id"), matter.alias("matter_id"), F.col("text").alias("question"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_utf8(s: pd.Series) -> pd.Series:
     return s.map(lambda b: None if b is None else bytes(b).decode("utf-8", "replace"))
 
