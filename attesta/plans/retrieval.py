@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from attesta.operators import lanes as L
 from attesta.plans.registry import query
@@ -186,3 +187,26 @@ def rerank_none(spark, d):
 def retrieve(spark, d):
     q, c = both(spark, d)
     return L.retrieve(q, c, pattern=CONCEPTS).select("question_id", "chunk_id", F.col("rank").cast("int").alias("rank"), F.round("rerank_score", 6).alias("rerank_score"))
+
+
+def recall_at(fused, k=8):
+    """The share of questions with an expected file (here: a name that ends in 1.txt) among the first k of a fusion."""
+    w = Window.partitionBy("question_id").orderBy(F.desc(F.round("score", 9)), "place")
+    top = fused.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k)
+    return top.groupBy("question_id").agg(F.max((F.col("doc_id") % 10 == 1).cast("int")).alias("hit")).agg(F.avg("hit").alias("recall"))
+
+
+@query(
+    "r95_graph_lift",
+    f"""WITH {LANES}, f2 AS (SELECT question_id, doc_id, chunk_id, min(lane * 1000 + rank) AS place, sum(part) AS score FROM laned WHERE lane < 2 GROUP BY ALL),
+a AS (SELECT question_id, max((doc_id % 10 = 1)::INTEGER) AS h FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, place) AS n FROM fused) WHERE n <= 8 GROUP BY 1),
+b AS (SELECT question_id, max((doc_id % 10 = 1)::INTEGER) AS h FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, place) AS n FROM f2) WHERE n <= 8 GROUP BY 1)
+SELECT round((SELECT avg(h) FROM a), 6) AS with_graph, round((SELECT avg(h) FROM b), 6) AS without_graph, round((SELECT avg(h) FROM a) - (SELECT avg(h) FROM b), 6) AS difference""",
+)
+def graph_lift(spark, d):
+    q, c = both(spark, d)
+    dense, sparse = cut(L.hash_dense_top_k(q, c)), cut(L.bm25_top_k(q, c))
+    linked = recall_at(L.fuse(dense, sparse, L.graph_top_k(q, c, L.graph_edges(c, CONCEPTS))))
+    plain = recall_at(L.fuse(dense, sparse)).withColumnRenamed("recall", "base")
+    rows = linked.withColumn("k", F.lit(1)).join(plain.withColumn("k", F.lit(1)), "k")  # one row each
+    return rows.select(F.round("recall", 6).alias("with_graph"), F.round("base", 6).alias("without_graph"), F.round(F.col("recall") - F.col("base"), 6).alias("difference"))
