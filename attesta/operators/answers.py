@@ -208,4 +208,5 @@ def answer_questions(questions: DataFrame, hits: DataFrame, guarded: DataFrame,
     checked = verify_answers(answers, hits, questions)
     joined = questions.select("question_id").join(guarded.select("question_id", F.col("rejected").alias("bad_input")), "question_id", "left").join(flagged.select("question_id", F.col("rejected").alias("bad_hits")), "question_id", "left").join(checked, "question_id", "left")
     exit_ = F.when(F.col("bad_input"), "input rejected").when(F.col("bad_hits").isNull(), "no sources").when(F.col("bad_hits"), "retrieved rejected").otherwise(F.col("status"))
-    return joined.select("question_id", exit_.alias("status"), F.when(exit_.isin("accepted", "repaired"), F.col("answer")).otherwise(F.lit(fixed.REFUSAL)).alias("answer"))
+    texts = F.create_map(*(F.lit(x) for pair in fixed.EXITS.items() for x in pair))
+    return joined.select("question_id", exit_.alias("status"), F.coalesce(F.element_at(texts, exit_), "answer").alias("answer"))

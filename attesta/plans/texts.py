@@ -125,7 +125,7 @@ def normalize_for_match(spark, d):
 @query("r31_normalize_for_guard", "SELECT item_id, text FROM benchmark")
 def normalize_for_guard(spark, d):
     """Marks put between all letters, and look-alikes put for letters, are undone."""
-    spoiled = F.translate(F.regexp_replace("text", "(.)", "$1​"), "aecopxyi", "аесорхуі")
+    spoiled = F.translate(F.regexp_replace("text", "(.)", "$1\u200b"), "aecopxyi", "аесорхуі")
     return S.table(spark, d, "benchmark").select("item_id", T.normalize_for_guard(spoiled).alias("text"))
 
 
