@@ -144,6 +144,15 @@ def verify_answers(answers: DataFrame, hits: DataFrame, questions: DataFrame) ->
     return out.select("question_id", status.alias("status"), final.alias("answer"), F.col("dropped_claims").cast("long").alias("dropped_claims"), F.col("dropped_citations").cast("long").alias("dropped_citations"))
 
 
+def definition_supported(answers: DataFrame, questions: DataFrame) -> DataFrame:
+    """question_id, supported: no definition is asked for, or a quote of the answer's claims gives one."""
+    terms = questions.select("question_id", content_terms(definition_object("question")).alias("terms"))
+    quotes = F.flatten(F.transform("claims", lambda c: F.transform(c["citations"], lambda x: x["quote"])))
+    each = answers.select("question_id", F.explode_outer(quotes).alias("quote")).join(terms, "question_id").withColumn("normal", normalize_for_match("quote"))
+    ok = (F.size("terms") == 0) | F.coalesce(support_score(F.col("normal"), F.col("terms")) > 0, F.lit(False))
+    return each.groupBy("question_id").agg(F.max(ok).alias("supported"))
+
+
 def definition_fallback(checked: DataFrame, answers: DataFrame, hits: DataFrame, questions: DataFrame) -> DataFrame:
     """checked (verify_answers) where a definition is asked for and the answer is not accepted, or its quotes do not define it:
 
@@ -151,10 +160,7 @@ def definition_fallback(checked: DataFrame, answers: DataFrame, hits: DataFrame,
     """
     own = definition_answers(hits).withColumn("claims", F.array(F.struct(F.col("answer").alias("text"), F.array(F.struct("chunk_id", "quote")).alias("citations"))).cast(CLAIMS))
     good = verify_answers(own.select("question_id", "answer", "claims"), hits, questions).where("status = 'accepted'").select("question_id", F.col("answer").alias("definition"))
-    terms = questions.select("question_id", content_terms(definition_object("question")).alias("terms"))
-    quotes = answers.join(terms, "question_id").select("question_id", "terms", F.explode(F.flatten(F.transform("claims", lambda c: F.transform(c["citations"], lambda x: x["quote"])))).alias("quote"))
-    normal = quotes.withColumn("normal", normalize_for_match("quote"))
-    supported = normal.groupBy("question_id").agg(F.max(support_score(F.col("normal"), F.col("terms")) > 0).alias("supported"))
+    supported = definition_supported(answers, questions)
     joined = checked.join(good, "question_id", "left").join(supported, "question_id", "left")
     swap = F.col("definition").isNotNull() & ((F.col("status") != "accepted") | ~F.coalesce("supported", F.lit(False)))
     return joined.select("question_id", F.when(swap, "repaired").otherwise(F.col("status")).alias("status"), F.when(swap, F.col("definition")).otherwise(F.col("answer")).alias("answer"), F.when(swap, F.col("status")).alias("previous_status"))

@@ -150,3 +150,23 @@ def definition_fallback(spark, d):
     wrong = F.array(F.struct(F.lit("No.").alias("text"), F.array(F.struct(F.lit("c9").alias("chunk_id"), F.lit("nowhere").alias("quote"))).alias("citations"))).cast(A.CLAIMS)
     given = b.select("question_id", F.lit("No.").alias("answer"), wrong.alias("claims"))
     return A.definition_fallback(A.verify_answers(given, h, q), given, h, q).select(F.col("question_id").alias("item_id"), "status", "answer", "previous_status")
+
+
+@query("r20_citation_scope", f"WITH {HIT} SELECT s.question_id + 1 AS question_id, s.chunk_id FROM sparse s JOIN question q ON q.question_id = s.question_id + 1 WHERE s.rank <= 8 AND (s.tenant_id <> q.tenant_id OR s.matter_id <> q.matter_id)")
+def citation_scope(spark, d):
+    """Citations that came to the next question by mistake: those from another scope are found."""
+    q, h = hits(spark, d)
+    cited = h.select((F.col("question_id") + 1).alias("question_id"), *G.SCOPE, "chunk_id")
+    return G.scope_violations(cited, q).select("question_id", "chunk_id")
+
+
+@query("r72_definition_support", "SELECT item_id, item_id % 3 <> 1 AS supported FROM benchmark")
+def definition_support(spark, d):
+    """Whether a cited quote defines what is asked; questions that ask for no definition need none."""
+    w = F.lower(F.regexp_extract("text", "[A-Za-z]{6,}", 0))
+    k = F.col("item_id") % 3
+    q = F.when(k == 2, F.concat(F.lit("who sold "), w)).otherwise(F.concat(F.lit("what is "), w, F.lit("?")))
+    quote = F.when(k == 0, F.concat(w, F.lit(" is good."))).otherwise("nothing of it is here.")
+    claims = F.array(F.struct(F.lit("c").alias("text"), F.array(F.struct(F.lit("c1").alias("chunk_id"), quote.alias("quote"))).alias("citations"))).cast(A.CLAIMS)
+    b = S.table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), q.alias("question"), claims.alias("claims"))
+    return A.definition_supported(b, b.select("question_id", "question")).select(F.col("question_id").alias("item_id"), "supported")
