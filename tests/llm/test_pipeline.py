@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from attesta.llm import packing, quality, secrets, simhash, toxicity
 from attesta.llm.queries import tokenizer_path
-from test_operators import base_spans, slow_components
+from test_llm_operators import base_spans, slow_components
 
 
 def test_stages(spark):
