@@ -6,6 +6,12 @@ more than TILE nodes are cut into tiles by population count and hash, and only t
 within the radius meet. Inside a tile (pair) numpy's exclusive-or and bit counts compare all rows exactly; a tile
 returns a spanning forest of its links, never all pairs. Components follow from alternating stars over the forests.
 
+To keep one document of each group of near copies (five words, a similarity of 0.8), 64 bits are too coarse: texts of
+that similarity differ in 5 to 15 of them, and so do unrelated texts of a large corpus. `keep_one` therefore compares
+fingerprints of WIDE bits over the distinct shingles, in blocks keyed by bands of min-hashes, in the same tiles. Two
+texts link if they share a block and differ in at most `wide_radius(0.8)` bits. Of pairs at a similarity of exactly 0.8
+that is 84 in a hundred, and next to all from 0.83 on; at 0.75 it is 19 in a hundred, at 0.7 less than one.
+
 Defined results: a null or empty text, or one without words, has fingerprint zero and links like any other; a text of
 fewer words than a shingle is one shingle; repeated rows have equal rows in the result; a null doc_id is never the
 smallest of its component (null if all are null); extra columns are ignored; an empty table gives an empty result.
@@ -13,6 +19,7 @@ smallest of its component (null if all are null); extra columns are ignored; an
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -25,27 +32,75 @@ from pyspark.sql import functions as F
 from attesta.llm._common import materialize, prepare
 
 TILE, SHORT = 2048, 8
+WIDE, BANDS, ROWS = 1024, 20, 5
+#: Odd multipliers that make further hashes out of one.
+_MULTIPLIERS = np.random.default_rng(42).integers(0, 1 << 63, size=WIDE // 64 + BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def fingerprint_of(text: str | None, shingle: int = 4) -> int:
-    """Bit b is 1 if it is set in over half of the XXH64 values (seed 42) of the lower-cased (A-Z) text's shingles."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The XXH64 values (seed 42) of the lower-cased (A-Z) text's shingles, repeats included; none for a text without words."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     if len(words) > shingle:
         spans = zip(starts[: 1 - shingle].tolist() if shingle > 1 else starts.tolist(), ends[shingle - 1 :].tolist())
-        hashes = np.array([digest(joined[a:b], 42) for a, b in spans], dtype="<u8")
-    else:
-        hashes = np.array([digest(joined, 42)], dtype="<u8")
+        return np.array([digest(joined[a:b], 42) for a, b in spans], dtype="<u8")
+    return np.array([digest(joined, 42)], dtype="<u8")
+
+
+def fingerprint_of(text: str | None, shingle: int = 4) -> int:
+    """Bit b is 1 if it is set in over half of the shingles' hashes."""
+    hashes = shingle_hashes(text, shingle)
     counts = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 65536):
         counts += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def wide_fingerprint(text: str | None, shingle: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """WIDE bits as uint64 words (bit b is 1 if set in over half of the distinct shingles' hashes), and BANDS block keys."""
+    hashes = np.unique(shingle_hashes(text, shingle))
+    lanes = WIDE // 64
+    counts, least = np.zeros(WIDE, dtype=np.int64), np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(hashes), 4080):
+        h = hashes[at : at + 4080, None]
+        x = h * _MULTIPLIERS[:lanes]
+        x ^= x >> np.uint64(32)
+        x *= _MULTIPLIERS[:1]
+        x ^= x >> np.uint64(29)
+        bits = np.unpackbits(x.view(np.uint8), axis=1, bitorder="little")
+        for k in range(0, len(bits), 255):  # 255 ones fit a byte
+            counts += np.add.reduce(bits[k : k + 255], axis=0, dtype=np.uint8)
+        np.minimum(least, (h * _MULTIPLIERS[lanes:]).min(0), out=least)
+    keys = np.array([xxhash.xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)], dtype=np.uint64)
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8"), keys
+
+
+def wide_radius(similarity: float) -> int:
+    """Bits in which wide fingerprints of two equally large shingle sets of that similarity differ: the mean and one deviation."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(WIDE * p + math.sqrt(WIDE * p * (1 - p)))
+
+
+def with_wide_fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """doc_id, the wide fingerprint `bits` (binary) with its population count `ones`, and its block `keys`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [wide_fingerprint(t, shingle) for t in b.column("text").to_pylist()]
+            bits = pa.array([x.tobytes() for x, _ in got], pa.binary())
+            ones = pa.array([int(np.bitwise_count(x).sum()) for x, _ in got], pa.int32())
+            keys = pa.array([k.view(np.int64).tolist() for _, k in got], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), bits, ones, keys], names=["doc_id", "bits", "ones", "keys"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    made = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, bits binary, ones int, keys array<long>")
+    return made.withColumn("fp", F.xxhash64("bits"))
+
+
 def with_fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """doc_id and the fingerprint as a signed long `fp`."""
 
@@ -58,17 +113,27 @@ def with_fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
 
 
+def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits that differ, over the last axis of uint64 words."""
+    total = np.bitwise_count(x[..., 0] ^ y[..., 0])
+    if x.shape[-1] > 1:
+        total = total.astype(np.uint16)
+        for w in range(1, x.shape[-1]):
+            total += np.bitwise_count(x[..., w] ^ y[..., w])
+    return total
+
+
 def forest_of(fps: np.ndarray, radius: int, side: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what lies within radius in fps (uint64), as few as a spanning forest has."""
-    order = np.argsort(np.bitwise_count(fps), kind="stable")
-    x, ones = fps[order], np.bitwise_count(fps)[order].astype(np.int16)
+    """Links (row, row) that connect what lies within radius in fps (rows of uint64 words), as few as a spanning forest has."""
+    count = np.bitwise_count(fps).sum(1, dtype=np.int32)
+    order = np.argsort(count, kind="stable")
+    x, ones = fps[order], count[order]
     label = np.arange(len(x))
     for a in range(0, len(x), side):
         for b in range(a, len(x), side):
             if ones[b] - ones[min(a + side, len(x)) - 1] > radius:
                 break  # sorted by population count: all later tiles differ by more as well
-            near = np.bitwise_count(x[a : a + side, None] ^ x[None, b : b + side]) <= radius
-            i, j = np.nonzero(near)
+            i, j = np.nonzero(differing(x[a : a + side, None], x[None, b : b + side]) <= radius)
             i, j = i + a, j + b
             i, j = i[i < j], j[i < j]
             while len(i):
@@ -81,55 +146,78 @@ def forest_of(fps: np.ndarray, radius: int, side: int = 512) -> tuple[np.ndarray
     while (label[label] != label).any():
         label = label[label]
     child = np.flatnonzero(label != np.arange(len(x)))
-    return x[child], x[label[child]]
+    return order[child], order[label[child]]
+
 
+def compare_cells(radius: int, words: int = 0):
+    """Rows (cell, fp) sorted by cell in, links (a, b) out; holds one cell and one batch at a time.
 
-def compare_cells(radius: int):
-    """Rows (cell, fp) sorted by cell in, links (a, b) out; holds one cell and one batch at a time."""
+    With `words` the fingerprints are as many uint64 words in the binary column `bits`, and fp is only their name.
+    """
 
-    def links(cell: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def links(cell: np.ndarray, fp: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a, b = [], []
         edge = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
         sizes = np.diff(edge)
         for at, n in zip(edge[:-1][sizes > SHORT].tolist(), sizes[sizes > SHORT].tolist()):
-            u, v = forest_of(np.unique(fp[at : at + n]), radius)
-            a.append(u)
-            b.append(v)
+            names, row = np.unique(fp[at : at + n], return_index=True)
+            i, j = forest_of(bits[at + row], radius)
+            a.append(names[i])
+            b.append(names[j])
         short = np.repeat(sizes <= SHORT, sizes)
-        cell, fp = cell[short], fp[short]
+        cell, fp, bits = cell[short], fp[short], bits[short]
         for d in range(1, min(SHORT, len(fp))):
             same = cell[d:] == cell[:-d]
             u, v = fp[d:][same], fp[:-d][same]
             if not len(u):
                 break
-            near = (np.bitwise_count(u ^ v) <= radius) & (u != v)
+            near = (differing(bits[d:][same], bits[:-d][same]) <= radius) & (u != v)
             a.append(u[near])
             b.append(v[near])
         return (np.concatenate(a), np.concatenate(b)) if a else (fp[:0], fp[:0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, fps, held = [], [], 0
+        cells, fps, wide, held = [], [], [], 0
 
-        def out(cell, fp):
-            u, v = links(cell, fp.view(np.uint64))
-            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["a", "b"])
+        def out(cell, fp, bits):
+            u, v = links(cell, fp, bits)
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["a", "b"])
 
         for batch in batches:
             cells.append(batch.column("cell").to_numpy())
             fps.append(batch.column("fp").to_numpy())
+            if words:
+                wide.append(np.frombuffer(b"".join(batch.column("bits").to_pylist()), dtype="<u8").reshape(-1, words))
+            else:
+                wide.append(fps[-1].view(np.uint64).reshape(-1, 1))
             held += len(cells[-1])
             if held > 65536:
-                cell, fp = np.concatenate(cells), np.concatenate(fps)
+                cell, fp, bits = np.concatenate(cells), np.concatenate(fps), np.concatenate(wide)
                 last = int(np.searchsorted(cell, cell[-1], side="left"))  # the last cell may go on in the next batch
                 if last:
-                    yield out(cell[:last], fp[:last])
-                cells, fps, held = [cell[last:]], [fp[last:]], len(cell) - last
+                    yield out(cell[:last], fp[:last], bits[:last])
+                cells, fps, wide, held = [cell[last:]], [fp[last:]], [bits[last:]], len(cell) - last
         if held:
-            yield out(np.concatenate(cells), np.concatenate(fps))
+            yield out(np.concatenate(cells), np.concatenate(fps), np.concatenate(wide))
 
     return run
 
 
+def cells_of(placed: DataFrame, radius: int, stripe: int) -> DataFrame:
+    """Placed nodes (fp, block, ones, parts) in the cells where they are compared: (fp, cell).
+
+    A block without parts is one cell. A node of a large block meets its own tile, and every tile of a stripe of
+    population counts that holds counts within the radius.
+    """
+    reach = -(-radius // stripe)
+    at = F.floor(F.col("ones") / stripe).cast("int")
+    mine = at * 65536 + F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts")).cast("int")
+    stripes = F.sequence(F.greatest(at - reach, F.lit(0)), at + reach)
+    others = F.flatten(F.transform(stripes, lambda p: F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda t: p * 65536 + t)))
+    pairs = F.transform(others, lambda o: F.xxhash64(F.col("block"), F.least(mine, o), F.greatest(mine, o)))
+    return placed.select("fp", F.explode(F.when(F.col("parts").isNull(), F.array("block")).otherwise(pairs)).alias("cell"))
+
+
 def near_links(nodes: DataFrame, radius: int, bands: int = 6) -> DataFrame:
     """Distinct links (a, b) between fingerprints of nodes (fp) whose closure is that of all pairs within radius bits."""
     keep = bands - radius
@@ -141,17 +229,23 @@ def near_links(nodes: DataFrame, radius: int, bands: int = 6) -> DataFrame:
     block = F.explode(F.array(*(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(signed))))
     blocks = nodes.select("fp", block.alias("block"))
     large = blocks.groupBy("block").count().where(F.col("count") > TILE).select("block", F.ceil(F.col("count") / TILE).cast("int").alias("parts"))
-    placed = blocks.join(large, "block", "left")
-    ones, tile = F.bit_count("fp"), F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts")).cast("int")
-    mine = ones * 65536 + tile
-    # A node of a large block meets its own tile, and every tile whose population count lies within the radius.
-    others = F.flatten(F.transform(F.sequence(F.greatest(ones - radius, F.lit(0)), F.least(ones + radius, F.lit(64))), lambda p: F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda t: p * 65536 + t)))
-    pairs = F.transform(others, lambda o: F.xxhash64(F.col("block"), F.least(mine, o), F.greatest(mine, o)))
-    cells = placed.select("fp", F.explode(F.when(F.col("parts").isNull(), F.array("block")).otherwise(pairs)).alias("cell"))
+    placed = blocks.join(large, "block", "left").withColumn("ones", F.bit_count("fp"))
+    cells = cells_of(placed, radius, 1)
     partitions = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return cells.repartition(partitions, "cell").sortWithinPartitions("cell").mapInArrow(compare_cells(radius), "a long, b long").distinct()
 
 
+def wide_links(nodes: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) between nodes (fp, bits, ones, keys) that share a block and lie within radius bits, up to closure."""
+    blocks = nodes.select("fp", "ones", F.explode("keys").alias("block"))
+    shared = blocks.groupBy("block").count().where("count > 1")
+    parts = F.when(F.col("count") > TILE, F.ceil(F.col("count") / TILE).cast("int"))
+    placed = blocks.join(shared.select("block", parts.alias("parts")), "block")
+    cells = cells_of(placed, radius, radius + 1).join(nodes.select("fp", "bits"), "fp").select("cell", "fp", "bits")
+    partitions = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cells.repartition(partitions, "cell").sortWithinPartitions("cell").mapInArrow(compare_cells(radius, WIDE // 64), "a long, b long").distinct()
+
+
 def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Of undirected links (a, b): (node, root), root the smallest node of its component. Alternating large and small stars."""
     edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
@@ -179,17 +273,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, bands: i
     prepare(docs.sparkSession)
     prints = materialize(with_fingerprints(docs, shingle), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = components(near_links(nodes.select("fp"), radius, bands))
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    by_root = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    member = rooted.join(by_root, "root").select("fp", "component_id")
+    member = members(nodes, near_links(nodes.select("fp"), radius, bands))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(member, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 6, bands: int = 8) -> DataFrame:
+def members(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Per node (fp, first_id) the smallest first_id of its component: (fp, component_id)."""
+    roots = components(links)
+    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    by_root = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return rooted.join(by_root, "root").select("fp", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each component: that of the smallest doc_id (of repeated rows, one; rows without a doc_id all stay)."""
-    found = near_duplicates(docs, shingle, radius, bands)
-    chosen = found.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(chosen.where("doc_id IS NOT NULL"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    prepare(docs.sparkSession)
+    prints = materialize(with_wide_fingerprints(docs, shingle), "wide_fingerprints")
+    firsts = [F.first(c).alias(c) for c in ("bits", "ones", "keys")]
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), *firsts), "nodes")
+    member = members(nodes.select("fp", "first_id"), wide_links(nodes, wide_radius(similarity)))
+    chosen = member.select(F.col("component_id").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    kept = docs.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))

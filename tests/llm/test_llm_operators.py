@@ -130,7 +130,7 @@ def slow_print(text):
     return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
 
 
-def slow_components(prints, radius):
+def slow_components(prints, linked):
     root = list(range(len(prints)))
 
     def top(i):
@@ -140,7 +140,7 @@ def slow_components(prints, radius):
 
     for i in range(len(prints)):
         for j in range(i):
-            if bin(prints[i] ^ prints[j]).count("1") <= radius:
+            if linked(prints[i], prints[j]):
                 a, b = top(i), top(j)
                 root[max(a, b)] = min(a, b)
     return [top(i) for i in range(len(prints))]
@@ -177,10 +177,57 @@ def test_simhash_links_against_all_pairs(spark):
             simhash.TILE = before
         root = {r.node: r.root for r in found}
         mine = pd.Series([root.get(p, p) for p in signed])
-        slow = pd.Series(slow_components(prints, 4))
+        slow = pd.Series(slow_components(prints, lambda a, b: bin(a ^ b).count("1") <= 4))
         assert mine.groupby(slow).nunique().eq(1).all() and slow.groupby(mine).nunique().eq(1).all()
 
 
+def slow_wide_link(a, b):
+    """Of two wide fingerprints with keys: a shared key, and few enough bits that differ."""
+    return bool(set(a[1].tolist()) & set(b[1].tolist())) and bin(int.from_bytes(a[0].tobytes(), "little") ^ int.from_bytes(b[0].tobytes(), "little")).count("1") <= simhash.wide_radius(0.8)
+
+
+@pytest.mark.parametrize("tile", [simhash.TILE, 8])
+def test_near_copies_go_and_others_stay(spark, monkeypatch, tile):
+    monkeypatch.setattr(simhash, "TILE", tile)
+    rng = np.random.default_rng(7)
+    texts, group = [], []
+
+    def changed(words, share):
+        """Every word of one stretch replaced: about `share` of the shingles stay, the similarity is share / (2 - share)."""
+        n = round(len(words) * (1 - share))
+        at = int(rng.integers(0, len(words) - n))
+        return [*words[:at], *(f"n{x}" for x in rng.integers(0, 10**9, n)), *words[at + n :]]
+
+    for g in range(20):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 400)]
+        for share in (1, 0.97, 0.95, 0.94):  # similarities of 0.85 and more
+            texts.append(" ".join(changed(words, share)))
+            group.append(g)
+        texts.append(" ".join(changed(words, 0.7)))  # about 0.54: no copy
+        group.append(100 + g)
+    words = [f"w{x}" for x in rng.integers(0, 10**6, 400)]
+    for _ in range(40):  # one larger group, beyond a tile of 8
+        texts.append(" ".join(changed(words, 0.98)))
+        group.append(200)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = sorted(r.doc_id for r in simhash.keep_one(df).collect())
+    assert kept == sorted({g: i for i, g in reversed(list(enumerate(group)))}.values())
+    roots = slow_components([simhash.wide_fingerprint(t) for t in texts], slow_wide_link)
+    assert kept == [i for i, r in enumerate(roots) if i == r]
+
+
+def test_wide_fingerprint_of_odd_texts():
+    for text in (None, "", " \n "):
+        bits, keys = simhash.wide_fingerprint(text)
+        assert not bits.any() and (keys == simhash.wide_fingerprint("")[1]).all()
+    once, twice = simhash.wide_fingerprint("a b c d e f"), simhash.wide_fingerprint("A b  c d e f")
+    assert (once[0] == twice[0]).all() and (once[1] == twice[1]).all()
+    long = " ".join(f"w{i}" for i in range(20_000))
+    assert np.bitwise_count(simhash.wide_fingerprint(long)[0]).sum() > 300
+    h = simhash.shingle_hashes("a b c d e f g a b c d e f g a b c d e f g", 5)
+    assert len(h) == 17 and len(np.unique(h)) == 7
+
+
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
