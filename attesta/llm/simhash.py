@@ -8,9 +8,11 @@ returns a spanning forest of its links, never all pairs. Components follow from
 
 To keep one document of each group of near copies (five words, a similarity of 0.8), 64 bits are too coarse: texts of
 that similarity differ in 5 to 15 of them, and so do unrelated texts of a large corpus. `keep_one` therefore compares
-fingerprints of WIDE bits over the distinct shingles, in blocks keyed by bands of min-hashes, in the same tiles. Two
-texts link if they share a block and differ in at most `wide_radius(0.8)` bits. Of pairs at a similarity of exactly 0.8
-that is 84 in a hundred, and next to all from 0.83 on; at 0.75 it is 19 in a hundred, at 0.7 less than one.
+fingerprints of WIDE bits over the distinct shingles, in blocks keyed by bands of min-hashes, in the same tiles. Pairs
+within the `sure` radius link at once (as a forest). Pairs between that and the `doubtful` radius link if the shingle
+sets themselves are as similar as asked; only those that the sure links have not joined already are looked at, so a
+large group of near copies costs no more than its forest. A pair at exactly 0.8 is missed with a probability of 0.0004
+by the blocks, and of less by the radius.
 
 Defined results: a null or empty text, or one without words, has fingerprint zero and links like any other; a text of
 fewer words than a shingle is one shingle; repeated rows have equal rows in the result; a null doc_id is never the
@@ -33,6 +35,8 @@ from attesta.llm._common import materialize, prepare
 
 TILE, SHORT = 2048, 8
 WIDE, BANDS, ROWS = 1024, 20, 5
+#: Deviations from the mean number of differing bits that the sure radius lies below and the doubtful one above.
+MARGIN = 4
 #: Odd multipliers that make further hashes out of one.
 _MULTIPLIERS = np.random.default_rng(42).integers(0, 1 << 63, size=WIDE // 64 + BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -60,8 +64,8 @@ def fingerprint_of(text: str | None, shingle: int = 4) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def wide_fingerprint(text: str | None, shingle: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """WIDE bits as uint64 words (bit b is 1 if set in over half of the distinct shingles' hashes), and BANDS block keys."""
+def wide_fingerprint(text: str | None, shingle: int = 5) -> tuple[np.ndarray, np.ndarray, int]:
+    """WIDE bits as uint64 words (bit b is 1 if set in over half of the distinct shingles' hashes), BANDS block keys, and the number of distinct shingles."""
     hashes = np.unique(shingle_hashes(text, shingle))
     lanes = WIDE // 64
     counts, least = np.zeros(WIDE, dtype=np.int64), np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
@@ -76,28 +80,29 @@ def wide_fingerprint(text: str | None, shingle: int = 5) -> tuple[np.ndarray, np
             counts += np.add.reduce(bits[k : k + 255], axis=0, dtype=np.uint8)
         np.minimum(least, (h * _MULTIPLIERS[lanes:]).min(0), out=least)
     keys = np.array([xxhash.xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)], dtype=np.uint64)
-    return np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8"), keys
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8"), keys, len(hashes)
 
 
-def wide_radius(similarity: float) -> int:
-    """Bits in which wide fingerprints of two equally large shingle sets of that similarity differ: the mean and one deviation."""
+def wide_radius(similarity: float, deviations: float) -> int:
+    """Bits in which wide fingerprints of two equally large shingle sets of that similarity differ: the mean and so many deviations."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(WIDE * p + math.sqrt(WIDE * p * (1 - p)))
+    return round(WIDE * p + deviations * math.sqrt(WIDE * p * (1 - p)))
 
 
 def with_wide_fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """doc_id, the wide fingerprint `bits` (binary) with its population count `ones`, and its block `keys`."""
+    """doc_id, text_key (a hash of the text), the wide fingerprint `bits` (binary), its population count `ones`, block `keys`, and `n` distinct shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [wide_fingerprint(t, shingle) for t in b.column("text").to_pylist()]
-            bits = pa.array([x.tobytes() for x, _ in got], pa.binary())
-            ones = pa.array([int(np.bitwise_count(x).sum()) for x, _ in got], pa.int32())
-            keys = pa.array([k.view(np.int64).tolist() for _, k in got], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), bits, ones, keys], names=["doc_id", "bits", "ones", "keys"])
+            bits = pa.array([x.tobytes() for x, _, _ in got], pa.binary())
+            ones = pa.array([int(np.bitwise_count(x).sum()) for x, _, _ in got], pa.int32())
+            keys = pa.array([k.view(np.int64).tolist() for _, k, _ in got], pa.list_(pa.int64()))
+            sizes = pa.array([n for _, _, n in got], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), bits, ones, keys, sizes], names=["doc_id", "text_key", "bits", "ones", "keys", "n"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    made = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, bits binary, ones int, keys array<long>")
+    made = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, f"doc_id {kind}, text_key long, bits binary, ones int, keys array<long>, n int")
     return made.withColumn("fp", F.xxhash64("bits"))
 
 
@@ -123,17 +128,22 @@ def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return total
 
 
-def forest_of(fps: np.ndarray, radius: int, side: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Links (row, row) that connect what lies within radius in fps (rows of uint64 words), as few as a spanning forest has."""
+def forest_of(fps: np.ndarray, radius: int, doubtful: int = 0, side: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Links (row, row) that connect what lies within radius in fps (rows of uint64 words), as few as a spanning forest has.
+
+    Then the pairs (row, row) beyond radius and within `doubtful` that the forest does not connect.
+    """
     count = np.bitwise_count(fps).sum(1, dtype=np.int32)
     order = np.argsort(count, kind="stable")
     x, ones = fps[order], count[order]
     label = np.arange(len(x))
+    left, right = [], []
     for a in range(0, len(x), side):
         for b in range(a, len(x), side):
-            if ones[b] - ones[min(a + side, len(x)) - 1] > radius:
+            if ones[b] - ones[min(a + side, len(x)) - 1] > max(radius, doubtful):
                 break  # sorted by population count: all later tiles differ by more as well
-            i, j = np.nonzero(differing(x[a : a + side, None], x[None, b : b + side]) <= radius)
+            far = differing(x[a : a + side, None], x[None, b : b + side])
+            i, j = np.nonzero(far <= radius)
             i, j = i + a, j + b
             i, j = i[i < j], j[i < j]
             while len(i):
@@ -143,27 +153,36 @@ def forest_of(fps: np.ndarray, radius: int, side: int = 512) -> tuple[np.ndarray
                 label = label[label]
                 if (label[i] == label[j]).all():
                     break
+            if doubtful > radius:
+                i, j = np.nonzero((far > radius) & (far <= doubtful))
+                i, j = i + a, j + b
+                apart = (i < j) & (label[i] != label[j])
+                left.append(i[apart])
+                right.append(j[apart])
     while (label[label] != label).any():
         label = label[label]
     child = np.flatnonzero(label != np.arange(len(x)))
-    return order[child], order[label[child]]
+    i, j = (np.concatenate(z) if z else child[:0] for z in (left, right))
+    apart = label[i] != label[j]
+    return order[child], order[label[child]], order[i[apart]], order[j[apart]]
 
 
-def compare_cells(radius: int, words: int = 0):
-    """Rows (cell, fp) sorted by cell in, links (a, b) out; holds one cell and one batch at a time.
+def compare_cells(radius: int, words: int = 0, doubtful: int = 0):
+    """Rows (cell, fp) sorted by cell in, links (a, b, sure) out; holds one cell and one batch at a time.
 
-    With `words` the fingerprints are as many uint64 words in the binary column `bits`, and fp is only their name.
+    With `words` the fingerprints are as many uint64 words in the binary column `bits`, and fp is only their name. Links
+    within radius are sure; those within `doubtful` are not, and are given where the sure links of the cell do not connect.
     """
 
-    def links(cell: np.ndarray, fp: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        a, b = [], []
+    def links(cell: np.ndarray, fp: np.ndarray, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
         edge = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
         sizes = np.diff(edge)
         for at, n in zip(edge[:-1][sizes > SHORT].tolist(), sizes[sizes > SHORT].tolist()):
             names, row = np.unique(fp[at : at + n], return_index=True)
-            i, j = forest_of(bits[at + row], radius)
-            a.append(names[i])
-            b.append(names[j])
+            i, j, k, m = forest_of(bits[at + row], radius, doubtful)
+            yield names[i], names[j], True
+            for s in range(0, len(k), 65536):
+                yield names[k[s : s + 65536]], names[m[s : s + 65536]], False
         short = np.repeat(sizes <= SHORT, sizes)
         cell, fp, bits = cell[short], fp[short], bits[short]
         for d in range(1, min(SHORT, len(fp))):
@@ -171,17 +190,20 @@ def compare_cells(radius: int, words: int = 0):
             u, v = fp[d:][same], fp[:-d][same]
             if not len(u):
                 break
-            near = (differing(bits[d:][same], bits[:-d][same]) <= radius) & (u != v)
-            a.append(u[near])
-            b.append(v[near])
-        return (np.concatenate(a), np.concatenate(b)) if a else (fp[:0], fp[:0])
+            far = differing(bits[d:][same], bits[:-d][same])
+            near = (far <= radius) & (u != v)
+            yield u[near], v[near], True
+            if doubtful > radius:
+                near = (far > radius) & (far <= doubtful)
+                yield u[near], v[near], False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, fps, wide, held = [], [], [], 0
 
         def out(cell, fp, bits):
-            u, v = links(cell, fp, bits)
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["a", "b"])
+            for u, v, sure in links(cell, fp, bits):
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(np.full(len(u), sure))], names=["a", "b", "sure"])
 
         for batch in batches:
             cells.append(batch.column("cell").to_numpy())
@@ -195,10 +217,10 @@ def compare_cells(radius: int, words: int = 0):
                 cell, fp, bits = np.concatenate(cells), np.concatenate(fps), np.concatenate(wide)
                 last = int(np.searchsorted(cell, cell[-1], side="left"))  # the last cell may go on in the next batch
                 if last:
-                    yield out(cell[:last], fp[:last], bits[:last])
+                    yield from out(cell[:last], fp[:last], bits[:last])
                 cells, fps, wide, held = [cell[last:]], [fp[last:]], [bits[last:]], len(cell) - last
         if held:
-            yield out(np.concatenate(cells), np.concatenate(fps), np.concatenate(wide))
+            yield from out(np.concatenate(cells), np.concatenate(fps), np.concatenate(wide))
 
     return run
 
@@ -232,18 +254,45 @@ def near_links(nodes: DataFrame, radius: int, bands: int = 6) -> DataFrame:
     placed = blocks.join(large, "block", "left").withColumn("ones", F.bit_count("fp"))
     cells = cells_of(placed, radius, 1)
     partitions = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cells.repartition(partitions, "cell").sortWithinPartitions("cell").mapInArrow(compare_cells(radius), "a long, b long").distinct()
+    return cells.repartition(partitions, "cell").sortWithinPartitions("cell").mapInArrow(compare_cells(radius), "a long, b long, sure boolean").select("a", "b").distinct()
 
 
-def wide_links(nodes: DataFrame, radius: int) -> DataFrame:
-    """Links (a, b) between nodes (fp, bits, ones, keys) that share a block and lie within radius bits, up to closure."""
+def wide_links(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b, sure) between nodes (fp, bits, ones, keys) that share a block: the sure ones up to closure, and the doubtful ones."""
+    sure, doubtful = wide_radius(similarity, -MARGIN), wide_radius(similarity, MARGIN)
     blocks = nodes.select("fp", "ones", F.explode("keys").alias("block"))
     shared = blocks.groupBy("block").count().where("count > 1")
     parts = F.when(F.col("count") > TILE, F.ceil(F.col("count") / TILE).cast("int"))
     placed = blocks.join(shared.select("block", parts.alias("parts")), "block")
-    cells = cells_of(placed, radius, radius + 1).join(nodes.select("fp", "bits"), "fp").select("cell", "fp", "bits")
+    cells = cells_of(placed, doubtful, doubtful + 1).join(nodes.select("fp", "bits"), "fp").select("cell", "fp", "bits")
     partitions = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cells.repartition(partitions, "cell").sortWithinPartitions("cell").mapInArrow(compare_cells(radius, WIDE // 64), "a long, b long").distinct()
+    found = cells.repartition(partitions, "cell").sortWithinPartitions("cell").mapInArrow(compare_cells(sure, WIDE // 64, doubtful), "a long, b long, sure boolean")
+    return found.distinct()
+
+
+def alike_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Of pairs (a, b) of nodes (fp, first_id, text_key) those whose shingle sets are that similar, from the texts themselves."""
+    asked = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+    named = nodes.join(asked, "fp").select("fp", F.col("first_id").alias("doc_id"), "text_key")
+    texts = docs.select("doc_id", "text").join(named, "doc_id").where(F.xxhash64("text") == F.col("text_key")).select("fp", "text").dropDuplicates(["fp"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            grams = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("fp"), pa.array(grams, pa.binary())], names=["fp", "grams"])
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = []
+            for x, y in zip(b.column("x"), b.column("y")):
+                u, v = np.frombuffer(x.as_buffer(), dtype="<u8"), np.frombuffer(y.as_buffer(), dtype="<u8")
+                both = len(np.intersect1d(u, v, assume_unique=True))
+                good.append(both >= similarity * (len(u) + len(v) - both))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(good, pa.bool_())], names=["a", "b", "good"])
+
+    grams = materialize(texts.mapInArrow(sets, "fp long, grams binary"), "grams")
+    left, right = grams.select(F.col("fp").alias("a"), F.col("grams").alias("x")), grams.select(F.col("fp").alias("b"), F.col("grams").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(alike, "a long, b long, good boolean").where("good").select("a", "b")
 
 
 def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
@@ -286,13 +335,26 @@ def members(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return rooted.join(by_root, "root").select("fp", "component_id")
 
 
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Of docs with a doc_id: doc_id and component_id, the smallest doc_id reachable by links between texts of that similarity."""
+    prints = materialize(with_wide_fingerprints(docs.where("doc_id IS NOT NULL"), shingle), "wide_fingerprints")
+    least = F.min(F.struct("doc_id", "text_key")).alias("least")
+    nodes = prints.groupBy("fp").agg(least, *(F.first(c).alias(c) for c in ("bits", "ones", "keys", "n")))
+    nodes = materialize(nodes.select("fp", F.col("least.doc_id").alias("first_id"), F.col("least.text_key").alias("text_key"), "bits", "ones", "keys", "n"), "nodes")
+    links = materialize(wide_links(nodes, similarity), "wide_links")
+    sure = components(links.where("sure").select("a", "b"))
+    end = nodes.join(sure, nodes["fp"] == sure["node"], "left").select("fp", "n", F.coalesce("root", "fp").alias("root"))
+    ends = [end.select(F.col("fp").alias(c), F.col("n").alias(f"n_{c}"), F.col("root").alias(f"root_{c}")) for c in ("a", "b")]
+    open_pairs = links.where("NOT sure").join(ends[0], "a").join(ends[1], "b").where("root_a <> root_b").where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
+    verified = alike_pairs(materialize(open_pairs.select("a", "b"), "doubtful"), nodes, docs, shingle, similarity)
+    member = members(nodes.select("fp", "first_id"), sure.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified))
+    return prints.select("doc_id", "fp").join(member, "fp").select("doc_id", "component_id")
+
+
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each component: that of the smallest doc_id (of repeated rows, one; rows without a doc_id all stay)."""
     prepare(docs.sparkSession)
-    prints = materialize(with_wide_fingerprints(docs, shingle), "wide_fingerprints")
-    firsts = [F.first(c).alias(c) for c in ("bits", "ones", "keys")]
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), *firsts), "nodes")
-    member = members(nodes.select("fp", "first_id"), wide_links(nodes, wide_radius(similarity)))
-    chosen = member.select(F.col("component_id").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    groups = similar_groups(docs, shingle, similarity)
+    chosen = groups.select(F.col("component_id").alias("doc_id")).distinct()
     kept = docs.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))

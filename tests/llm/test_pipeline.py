@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from attesta.llm import packing, quality, secrets, simhash, toxicity
 from attesta.llm.queries import tokenizer_path
-from test_llm_operators import base_spans, slow_components, slow_wide_link
+from test_llm_operators import base_spans, shingle_set, slow_alike, slow_components
 
 
 def test_stages(spark):
@@ -30,7 +30,7 @@ def test_stages(spark):
             s = quality.quality_scores(before, labels).toPandas()
             assert list(new.index) == sorted(s.doc_id[s.predicted == 1])
         if n == 2:
-            roots = slow_components([simhash.wide_fingerprint(t) for t in old.text], slow_wide_link)
+            roots = slow_components([shingle_set(t) for t in old.text], slow_alike)
             assert list(new.index) == [i for k, i in enumerate(old.index) if roots[k] == k]
         if n == 3:
             for i, text in old.text.items():
