@@ -10,8 +10,8 @@ To keep one document of each group of near copies (five words, a similarity of 0
 that similarity differ in 5 to 15 of them, and so do unrelated texts of a large corpus. `keep_one` therefore compares
 fingerprints of WIDE bits over the distinct shingles, in blocks keyed by bands of min-hashes, in the same tiles. Pairs
 within the `sure` radius link at once (as a forest). Pairs between that and the `doubtful` radius link if the shingle
-sets themselves are as similar as asked; only those that the sure links have not joined already are looked at, so a
-large group of near copies costs no more than its forest. A pair at exactly 0.8 is missed with a probability of 0.0004
+sets themselves are as similar as asked: the cell names the rows in doubt, their sets are brought to it, and pairs that
+links have not joined already are compared there. Only forests leave a cell, never pairs. A pair at exactly 0.8 is missed with a probability of 0.0004
 by the blocks, and of less by the radius.
 
 Defined results: a null or empty text, or one without words, has fingerprint zero and links like any other; a text of
@@ -171,7 +171,8 @@ def compare_cells(radius: int, words: int = 0, doubtful: int = 0):
     """Rows (cell, fp) sorted by cell in, links (a, b, sure) out; holds one cell and one batch at a time.
 
     With `words` the fingerprints are as many uint64 words in the binary column `bits`, and fp is only their name. Links
-    within radius are sure; those within `doubtful` are not, and are given where the sure links of the cell do not connect.
+    within radius are sure. Rows that are not sure are (cell, fp): fp has a pair within `doubtful` that the cell's sure
+    links do not connect.
     """
 
     def links(cell: np.ndarray, fp: np.ndarray, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
@@ -181,8 +182,8 @@ def compare_cells(radius: int, words: int = 0, doubtful: int = 0):
             names, row = np.unique(fp[at : at + n], return_index=True)
             i, j, k, m = forest_of(bits[at + row], radius, doubtful)
             yield names[i], names[j], True
-            for s in range(0, len(k), 65536):
-                yield names[k[s : s + 65536]], names[m[s : s + 65536]], False
+            rows = np.unique(np.concatenate([k, m]))
+            yield np.full(len(rows), cell[at]), names[rows], False
         short = np.repeat(sizes <= SHORT, sizes)
         cell, fp, bits = cell[short], fp[short], bits[short]
         for d in range(1, min(SHORT, len(fp))):
@@ -195,7 +196,7 @@ def compare_cells(radius: int, words: int = 0, doubtful: int = 0):
             yield u[near], v[near], True
             if doubtful > radius:
                 near = (far > radius) & (far <= doubtful)
-                yield u[near], v[near], False
+                yield np.tile(cell[d:][same][near], 2), np.concatenate([u[near], v[near]]), False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, fps, wide, held = [], [], [], 0
@@ -203,7 +204,8 @@ def compare_cells(radius: int, words: int = 0, doubtful: int = 0):
         def out(cell, fp, bits):
             for u, v, sure in links(cell, fp, bits):
                 if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(np.full(len(u), sure))], names=["a", "b", "sure"])
+                    a, b = (np.minimum(u, v), np.maximum(u, v)) if sure else (u, v)
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(u), sure))], names=["a", "b", "sure"])
 
         for batch in batches:
             cells.append(batch.column("cell").to_numpy())
@@ -258,7 +260,7 @@ def near_links(nodes: DataFrame, radius: int, bands: int = 6) -> DataFrame:
 
 
 def wide_links(nodes: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b, sure) between nodes (fp, bits, ones, keys) that share a block: the sure ones up to closure, and the doubtful ones."""
+    """Of nodes (fp, bits, ones, keys) that share a block: sure links (a, b, true) up to closure, and (cell, fp, false) for nodes in doubt."""
     sure, doubtful = wide_radius(similarity, -MARGIN), wide_radius(similarity, MARGIN)
     blocks = nodes.select("fp", "ones", F.explode("keys").alias("block"))
     shared = blocks.groupBy("block").count().where("count > 1")
@@ -270,10 +272,13 @@ def wide_links(nodes: DataFrame, similarity: float) -> DataFrame:
     return found.distinct()
 
 
-def alike_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Of pairs (a, b) of nodes (fp, first_id, text_key) those whose shingle sets are that similar, from the texts themselves."""
-    asked = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    named = nodes.join(asked, "fp").select("fp", F.col("first_id").alias("doc_id"), "text_key")
+def alike_links(doubt: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Of doubt (cell, fp, bits, root, first_id, text_key): links (a, b) up to closure between rows of a cell whose shingle sets are that similar.
+
+    A task holds one cell: about two tiles of rows at most, with their sets.
+    """
+    radius = wide_radius(similarity, MARGIN)
+    named = doubt.select("fp", F.col("first_id").alias("doc_id"), "text_key").dropDuplicates(["fp"])
     texts = docs.select("doc_id", "text").join(named, "doc_id").where(F.xxhash64("text") == F.col("text_key")).select("fp", "text").dropDuplicates(["fp"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,18 +286,28 @@ def alike_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: in
             grams = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("fp"), pa.array(grams, pa.binary())], names=["fp", "grams"])
 
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            good = []
-            for x, y in zip(b.column("x"), b.column("y")):
-                u, v = np.frombuffer(x.as_buffer(), dtype="<u8"), np.frombuffer(y.as_buffer(), dtype="<u8")
-                both = len(np.intersect1d(u, v, assume_unique=True))
-                good.append(both >= similarity * (len(u) + len(v) - both))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(good, pa.bool_())], names=["a", "b", "good"])
+    def alike(rows: pa.Table) -> pa.Table:
+        side = 512
+        fp, bits = rows["fp"].to_numpy(), np.frombuffer(b"".join(rows["bits"].to_pylist()), dtype="<u8").reshape(len(rows), -1)
+        grams = [np.frombuffer(x, dtype="<u8") for x in rows["grams"].to_pylist()]
+        label = np.unique(rows["root"].to_numpy(), return_inverse=True)[1]
+        found = []
+        for a in range(0, len(fp), side):
+            for b in range(a, len(fp), side):
+                i, j = np.nonzero(differing(bits[a : a + side, None], bits[None, b : b + side]) <= radius)
+                i, j = i + a, j + b
+                apart = (i < j) & (label[i] != label[j])
+                for u, v in zip(i[apart].tolist(), j[apart].tolist()):
+                    if label[u] != label[v] and min(len(grams[u]), len(grams[v])) >= similarity * max(len(grams[u]), len(grams[v])):
+                        both = len(np.intersect1d(grams[u], grams[v], assume_unique=True))
+                        if both >= similarity * (len(grams[u]) + len(grams[v]) - both):
+                            found.append((u, v))
+                            label[label == label[v]] = label[u]
+        pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
+        return pa.table({"a": fp[pairs[:, 0]], "b": fp[pairs[:, 1]]})
 
     grams = materialize(texts.mapInArrow(sets, "fp long, grams binary"), "grams")
-    left, right = grams.select(F.col("fp").alias("a"), F.col("grams").alias("x")), grams.select(F.col("fp").alias("b"), F.col("grams").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(alike, "a long, b long, good boolean").where("good").select("a", "b")
+    return doubt.select("cell", "fp", "bits", "root").join(grams, "fp").groupBy("cell").applyInArrow(alike, "a long, b long").distinct()
 
 
 def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
@@ -339,14 +354,14 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     """Of docs with a doc_id: doc_id and component_id, the smallest doc_id reachable by links between texts of that similarity."""
     prints = materialize(with_wide_fingerprints(docs.where("doc_id IS NOT NULL"), shingle), "wide_fingerprints")
     least = F.min(F.struct("doc_id", "text_key")).alias("least")
-    nodes = prints.groupBy("fp").agg(least, *(F.first(c).alias(c) for c in ("bits", "ones", "keys", "n")))
-    nodes = materialize(nodes.select("fp", F.col("least.doc_id").alias("first_id"), F.col("least.text_key").alias("text_key"), "bits", "ones", "keys", "n"), "nodes")
+    nodes = prints.groupBy("fp").agg(least, *(F.first(c).alias(c) for c in ("bits", "ones", "keys")))
+    nodes = materialize(nodes.select("fp", F.col("least.doc_id").alias("first_id"), F.col("least.text_key").alias("text_key"), "bits", "ones", "keys"), "nodes")
     links = materialize(wide_links(nodes, similarity), "wide_links")
     sure = components(links.where("sure").select("a", "b"))
-    end = nodes.join(sure, nodes["fp"] == sure["node"], "left").select("fp", "n", F.coalesce("root", "fp").alias("root"))
-    ends = [end.select(F.col("fp").alias(c), F.col("n").alias(f"n_{c}"), F.col("root").alias(f"root_{c}")) for c in ("a", "b")]
-    open_pairs = links.where("NOT sure").join(ends[0], "a").join(ends[1], "b").where("root_a <> root_b").where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
-    verified = alike_pairs(materialize(open_pairs.select("a", "b"), "doubtful"), nodes, docs, shingle, similarity)
+    rooted = nodes.join(sure, nodes["fp"] == sure["node"], "left").select("fp", "bits", "first_id", "text_key", F.coalesce("root", "fp").alias("root"))
+    doubt = links.where("NOT sure").select(F.col("a").alias("cell"), F.col("b").alias("fp")).join(rooted, "fp")
+    several = doubt.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("cell")
+    verified = alike_links(materialize(doubt.join(several, "cell"), "doubt"), docs, shingle, similarity)
     member = members(nodes.select("fp", "first_id"), sure.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified))
     return prints.select("doc_id", "fp").join(member, "fp").select("doc_id", "component_id")
 
