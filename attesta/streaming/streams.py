@@ -12,7 +12,8 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from attesta.operators.audit import GENESIS, hasher
 from attesta.operators.chunks import chunk_pages, redact_pii
-from attesta.sources.tables import write_scope_partitions
+from attesta.sources.scratch import cut, delete, exists
+from attesta.sources.tables import SCOPE, upsert_chunks, write_scope_partitions
 
 CHAINED = "id long, tenant_id string, actor string, event_type string, payload string, created_at string, previous_hash string, event_hash string"
 
@@ -48,11 +49,23 @@ def alert_stream(events: DataFrame, failed: Column, minutes: int = 5, late: str
 
 
 def ingest_stream(pages: DataFrame, chunks_path: str, checkpoint: str) -> StreamingQuery:
-    """Pages are redacted, cut into chunks and written batch by batch to scope partitions."""
+    """Pages are redacted, cut into chunks and upserted batch by batch into scope partitions.
 
-    def take(batch: DataFrame, _: int) -> None:
-        batch.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        write_scope_partitions(chunk_pages(redact_pii(batch)), chunks_path)
+    A document that comes again takes the place of its former chunks in its scope, so all its pages must come in one
+    batch; one without text changes nothing. What the touched scopes will hold is first written whole beside the
+    checkpoint, under the batch's number: a batch that runs again, even after a failure amid the partitions, writes the same.
+    """
+
+    def take(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        chunks = chunk_pages(redact_pii(batch)).withColumns({c: F.nullif(F.col(c), F.lit("")) for c in SCOPE})  # as partitions keep them
+        merged = f"{checkpoint}/merged/{n}"
+        if not exists(spark, f"{merged}/_SUCCESS"):
+            whole = upsert_chunks(spark.read.schema(chunks.schema).parquet(chunks_path), cut(chunks)) if exists(spark, chunks_path) else chunks
+            whole.write.mode("overwrite").parquet(merged)
+        write_scope_partitions(spark.read.schema(chunks.schema).parquet(merged), chunks_path)
+        delete(spark, f"{checkpoint}/merged/{n - 1}")
 
     return pages.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
