@@ -70,6 +70,16 @@ def held_out(doc_id: Column) -> Column:
     return bucket5(doc_id) == 0
 
 
+def carried(docs: DataFrame) -> Column:
+    """All columns of docs but the text, as one column `rest` that goes through scoring with its row."""
+    return F.struct(*(c for c in docs.columns if c != "text")).alias("rest")
+
+
+def restored(scored: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of docs from text and `rest`."""
+    return scored.select(*((F.col("text") if c == "text" else F.col("rest")[c]).alias(c) for c in columns))
+
+
 def bounded_labels(labels: DataFrame, label: str, max_rows: int) -> DataFrame:
     """At most max_rows labelled rows outside the held-out fold, chosen by a hash of the id: (doc_id, label).
 

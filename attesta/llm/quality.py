@@ -22,8 +22,9 @@ from pyspark.ml.classification import FMClassifier
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from attesta.llm._common import bounded_labels, held_out, materialize, prepare
+from attesta.llm._common import bounded_labels, carried, held_out, materialize, prepare
 
 HASHED, STEPS = 512, 8
 #: The upper ends of the steps of each statistic.
@@ -90,14 +91,15 @@ def fm_score(at: list[int], values: list[float], intercept: float, linear: np.nd
     return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, factor_size: int = 4, rounds: int = 80, threshold: float = 0.3) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, factor_size: int = 4, rounds: int = 80, threshold: float = 0.3, carry: bool = False) -> DataFrame:
     """docs (doc_id, text, n_chars if there, ...) scored by a model of labels (doc_id, quality): doc_id, held_out, score, predicted.
 
-    max_rows bounds the labelled rows used in training.
+    max_rows bounds the labelled rows used in training. With carry, text and `rest` (all other columns) come along.
     """
     prepare(docs.sparkSession)
     chars = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
-    base = docs.select("doc_id", "text", chars.alias("n_chars"))
+    base = docs.select("doc_id", "text", chars.alias("n_chars"), *([carried(docs)] if carry else []))
+    also = ["text", "rest"] if carry else []
     sample = base.where(~held_out(F.col("doc_id"))).join(F.broadcast(bounded_labels(labels, "quality", max_rows)), "doc_id")
 
     @F.udf(VectorUDT())
@@ -115,7 +117,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, fa
     classes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     if len(classes) < 2:
         score = F.lit(float(classes.get(1, 0) / max(1, sum(classes.values()))))
-        return base.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted"))
+        return base.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted"), *also)
     ready = materialize(known.select(F.col("label").cast("double").alias("label"), vector("at", "vals").alias("features")), "quality_vectors").coalesce(2)
     model = FMClassifier(labelCol="label", featuresCol="features", factorSize=factor_size, maxIter=rounds, stepSize=0.1, initStd=0.05, regParam=1e-4, seed=7, solver="adamW").fit(ready)
     intercept, linear, factors = float(model.intercept), np.asarray(model.linear.toArray()), np.asarray(model.factors.toArray())
@@ -124,8 +126,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, fa
         cache: dict[str, int] = {}
         for b in batches:
             got = [fm_score(*inputs_of(t, c, cache), intercept, linear, factors) for t, c in zip(b.column("text").to_pylist(), b.column("n_chars").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(got, pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(got, pa.float64())], names=[*keep, "score"])
 
-    kind = base.schema["doc_id"].dataType.simpleString()
-    scored = base.mapInArrow(score, f"doc_id {kind}, score double")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    keep = ["doc_id", *also]
+    scored = base.mapInArrow(score, StructType([*(base.schema[c] for c in keep), StructField("score", DoubleType())]))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *also)

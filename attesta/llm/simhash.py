@@ -90,7 +90,7 @@ def wide_radius(similarity: float, deviations: float) -> int:
 
 
 def with_wide_fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """doc_id, text_key (a hash of the text), the wide fingerprint `bits` (binary), its population count `ones`, block `keys`, and `n` distinct shingles."""
+    """Of docs (doc_id, row_key, text): doc_id, row_key, the wide fingerprint `bits` (binary), its population count `ones`, block `keys`, and `n` distinct shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -99,10 +99,10 @@ def with_wide_fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
             ones = pa.array([int(np.bitwise_count(x).sum()) for x, _, _ in got], pa.int32())
             keys = pa.array([k.view(np.int64).tolist() for _, k, _ in got], pa.list_(pa.int64()))
             sizes = pa.array([n for _, _, n in got], pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), bits, ones, keys, sizes], names=["doc_id", "text_key", "bits", "ones", "keys", "n"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_key"), bits, ones, keys, sizes], names=["doc_id", "row_key", "bits", "ones", "keys", "n"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    made = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, f"doc_id {kind}, text_key long, bits binary, ones int, keys array<long>, n int")
+    made = docs.select("doc_id", "row_key", "text").mapInArrow(run, f"doc_id {kind}, row_key string, bits binary, ones int, keys array<long>, n int")
     return made.withColumn("fp", F.xxhash64("bits"))
 
 
@@ -273,13 +273,13 @@ def wide_links(nodes: DataFrame, similarity: float) -> DataFrame:
 
 
 def alike_links(doubt: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Of doubt (cell, fp, bits, root, first_id, text_key): links (a, b) up to closure between rows of a cell whose shingle sets are that similar.
+    """Of doubt (cell, fp, bits, root, first_id) of docs (row_key, text): links (a, b) up to closure between rows of a cell whose shingle sets are that similar.
 
     A task holds one cell: about two tiles of rows at most, with their sets.
     """
     radius = wide_radius(similarity, MARGIN)
-    named = doubt.select("fp", F.col("first_id").alias("doc_id"), "text_key").dropDuplicates(["fp"])
-    texts = docs.select("doc_id", "text").join(named, "doc_id").where(F.xxhash64("text") == F.col("text_key")).select("fp", "text").dropDuplicates(["fp"])
+    named = doubt.select("fp", F.col("first_id.row_key").alias("row_key")).dropDuplicates(["fp"])
+    texts = docs.select("row_key", "text").join(named, "row_key").select("fp", "text").dropDuplicates(["fp"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -351,25 +351,32 @@ def members(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Of docs with a doc_id: doc_id and component_id, the smallest doc_id reachable by links between texts of that similarity."""
-    prints = materialize(with_wide_fingerprints(docs.where("doc_id IS NOT NULL"), shingle), "wide_fingerprints")
-    least = F.min(F.struct("doc_id", "text_key")).alias("least")
-    nodes = prints.groupBy("fp").agg(least, *(F.first(c).alias(c) for c in ("bits", "ones", "keys")))
-    nodes = materialize(nodes.select("fp", F.col("least.doc_id").alias("first_id"), F.col("least.text_key").alias("text_key"), "bits", "ones", "keys"), "nodes")
+    """Of docs (doc_id, row_key, text): row_key and component_id, the row_key of the first row reachable by links between texts of that similarity.
+
+    First is the smallest doc_id, and of rows that share it the smallest row_key; rows without a doc_id come last.
+    """
+    prints = materialize(with_wide_fingerprints(docs, shingle), "wide_fingerprints")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "row_key")).alias("first_id")
+    nodes = materialize(prints.groupBy("fp").agg(least, *(F.first(c).alias(c) for c in ("bits", "ones", "keys"))), "nodes")
     links = materialize(wide_links(nodes, similarity), "wide_links")
     sure = components(links.where("sure").select("a", "b"))
-    rooted = nodes.join(sure, nodes["fp"] == sure["node"], "left").select("fp", "bits", "first_id", "text_key", F.coalesce("root", "fp").alias("root"))
+    rooted = nodes.join(sure, nodes["fp"] == sure["node"], "left").select("fp", "bits", "first_id", F.coalesce("root", "fp").alias("root"))
     doubt = links.where("NOT sure").select(F.col("a").alias("cell"), F.col("b").alias("fp")).join(rooted, "fp")
     several = doubt.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("cell")
     verified = alike_links(materialize(doubt.join(several, "cell"), "doubt"), docs, shingle, similarity)
     member = members(nodes.select("fp", "first_id"), sure.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified))
-    return prints.select("doc_id", "fp").join(member, "fp").select("doc_id", "component_id")
+    return prints.select("row_key", "fp").join(member, "fp").select("row_key", F.col("component_id.row_key").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one row of each component: that of the smallest doc_id (of repeated rows, one; rows without a doc_id all stay)."""
+    """docs with one row of each component: that of the smallest doc_id, or without one if none of its rows has any.
+
+    A row is told from others by its doc_id and a 128-bit hash of its text, so ids may be null or repeated.
+    """
     prepare(docs.sparkSession)
-    groups = similar_groups(docs, shingle, similarity)
-    chosen = groups.select(F.col("component_id").alias("doc_id")).distinct()
-    kept = docs.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    part = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("null"))
+    key = F.md5(F.concat(part(F.md5("text")), F.lit("|"), part(F.col("doc_id").cast("string"))))
+    groups = similar_groups(docs.select("doc_id", key.alias("row_key"), "text"), shingle, similarity)
+    chosen = groups.select(F.col("component_id").alias("_row_key")).distinct()
+    once = docs.withColumn("_row_key", key).dropDuplicates(["_row_key"])
+    return once.join(chosen, "_row_key", "left_semi").select(*docs.columns)

@@ -21,8 +21,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from attesta.llm._common import bounded_labels, held_out, materialize, prepare
+from attesta.llm._common import bounded_labels, carried, held_out, materialize, prepare
 
 #: Common English insults.
 SEED_LEXICON = """
@@ -83,8 +84,8 @@ def with_features(docs: DataFrame, keep: list[str], terms: list[str]) -> DataFra
             raw = pa.array([features_of(t, words, prefixes) for t in b.column("text").to_pylist()], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), raw], names=[*keep, "raw"])
 
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    return docs.select(*keep, "text").mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", raw array<double>")
+    given = docs.select(*dict.fromkeys([*keep, "text"]))
+    return given.mapInArrow(run, StructType([*(given.schema[c] for c in keep), StructField("raw", ArrayType(DoubleType()))]))
 
 
 def learn_terms(sample: DataFrame, max_terms: int = 400, min_rows: int = 5, min_log_odds: float = 2.0) -> list[str]:
@@ -105,19 +106,21 @@ def learn_terms(sample: DataFrame, max_terms: int = 400, min_rows: int = 5, min_
     return [r["term"] for r in best.orderBy(F.desc("worth"), "term").limit(max_terms).collect()]
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, trees: int = 20, depth: int = 3) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, trees: int = 20, depth: int = 3, carry: bool = False) -> DataFrame:
     """docs (doc_id, text, ...) scored by a model of labels (doc_id, toxic): doc_id, held_out, score, predicted.
 
     max_rows bounds the labelled rows used in training. A fifth of them draws the calibration curve; the rest grow trees.
+    With carry, text and `rest` (all other columns) come along.
     """
     spark = prepare(docs.sparkSession)
     chosen = bounded_labels(labels, "toxic", max_rows)
     sample = materialize(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "toxic_sample")
     classes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
-    base = docs.select("doc_id", "text")
+    base = docs.select("doc_id", "text", *([carried(docs)] if carry else []))
+    also = ["text", "rest"] if carry else []
     if len(classes) < 2:
         score = F.lit(classes.get(1, 0) / max(1, sum(classes.values())))
-        return base.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.cast("double").alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+        return base.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.cast("double").alias("score"), (score >= 0.5).cast("int").alias("predicted"), *also)
     # The lexicon is learned on one part and the trees on another, else the trees would trust terms that only their own rows hold.
     part = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(5))
     terms = learn_terms(sample.where(part < 2))
@@ -130,8 +133,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000,
     one = lambda df: df.withColumn("p", vector_to_array("probability")[1])
     curve = IsotonicRegression(labelCol="label", featuresCol="p", predictionCol="calibrated").fit(one(model.transform(try_parts[1])).select("p", F.col("label").cast("double").alias("label")))
     every = learn_terms(sample)  # for scoring, terms of all training rows
-    rows = with_features(base.withColumn("held_out", held_out(F.col("doc_id"))), ["doc_id", "held_out"], every).withColumn("features", array_to_vector("raw"))
-    scored = curve.transform(one(model.transform(rows)).select("doc_id", "held_out", "p"))
+    rows = with_features(base.withColumn("held_out", held_out(F.col("doc_id"))), ["doc_id", "held_out", *also], every).withColumn("features", array_to_vector("raw"))
+    scored = curve.transform(one(model.transform(rows)).select("doc_id", "held_out", "p", *also))
     # Isotonic steps tie many rows; a hundredth of the trees' own probability keeps their order.
     score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.99 * F.col("calibrated") + 0.01 * F.col("p")))
-    return scored.select("doc_id", "held_out", score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return scored.select("doc_id", "held_out", score.alias("score"), *also).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

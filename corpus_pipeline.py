@@ -10,22 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta.llm import packing, quality, secrets, simhash, toxicity
-from attesta.llm._common import materialize, table
+from attesta.llm._common import materialize, restored, table
 from attesta.llm.queries import tokenizer_path
 
 
 def kept(docs: DataFrame, scores: DataFrame, good: int) -> DataFrame:
-    """The documents whose prediction is `good`; those without a doc_id cannot be matched and stay."""
-    passed = scores.where((F.col("predicted") == good) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(passed, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """The rows of docs whose own prediction in scores (made with carry) is `good`, whatever their doc_id."""
+    return restored(scores.where(F.col("predicted") == good), docs.columns)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return kept(docs, toxicity.toxicity_scores(docs, table(spark, sf_dir, "labels")), 0)
+    return kept(docs, toxicity.toxicity_scores(docs, table(spark, sf_dir, "labels"), carry=True), 0)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return kept(docs, quality.quality_scores(docs, table(spark, sf_dir, "labels")), 1)
+    return kept(docs, quality.quality_scores(docs, table(spark, sf_dir, "labels"), carry=True), 1)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

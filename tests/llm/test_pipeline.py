@@ -58,3 +58,30 @@ def test_rows_without_id_stay(spark):
     at = "/root/testdata/sf0.001"
     for _, stage in corpus_pipeline.STAGES[:4]:
         assert stage(spark, df.where(F.lit(False)), at).count() == 0
+
+
+def test_rows_are_judged_by_themselves(spark):
+    """Null and repeated ids: each row's own score decides, and only near copies go."""
+    at = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
+    for n, name, scores, good in ((0, "toxic", toxicity.toxicity_scores, 0), (1, "quality", quality.quality_scores, 1)):
+        told = scores(docs, labels).select("doc_id", "predicted").cache()
+        bad, fine = (told.where(F.col("predicted") == v).orderBy("doc_id").first().doc_id for v in (1 - good, good))
+        # the same two texts without an id, and both under one id that is not in the table
+        pair = docs.where(F.col("doc_id").isin(bad, fine))
+        more = docs.unionByName(pair.withColumn("doc_id", F.lit(None).cast("long"))).unionByName(pair.withColumn("doc_id", F.lit(10**12)))
+        text = pair.where(F.col("doc_id") == fine).first().text
+        left = corpus_pipeline.STAGES[n][1](spark, more, at)
+        assert left.columns == docs.columns
+        odd = [(r.doc_id, r.text) for r in left.where("doc_id IS NULL OR doc_id = 1000000000000").collect()]
+        assert sorted(odd, key=str) == [(10**12, text), (None, text)]
+        assert left.count() == told.where(F.col("predicted") == good).count() + 2
+
+
+def test_near_copies_without_or_with_repeated_ids(spark):
+    words = [f"w{i}" for i in range(100)]
+    text, near = " ".join(words), " ".join([*words[:-1], "end"])
+    other, third = " ".join(f"x{i}" for i in range(50)), " ".join(f"y{i}" for i in range(50))
+    rows = [(None, text), (5, near), (7, other), (7, third), (7, third), (None, third + " z"), (None, "one of its own"), (None, "one of its own"), (None, None), (None, None)]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(5, near), (7, other), (7, third), (None, "one of its own"), (None, None)], key=str)
