@@ -3,7 +3,8 @@
 A page is a sequence of text blocks, each with its root-to-leaf tag path. For every path the lengths and the punctuation
 of its blocks are added up and divided by its number of nodes; the two ratios are smoothed over neighbouring blocks,
 fused with what the path's ancestors hold in total, and paths that reach a threshold are content. Elements that are
-never article text (navigation, forms, scripts, ...) are left out by their tag, role, class or id before that.
+never article text (navigation, scripts, ...) are left out by their tag or role before that; a class or id that speaks of
+what is around an article lowers the score, unless its element holds most of the page, and an article element raises it.
 
 Defined results: null or empty html and pages without a content path have an empty text; repeated rows are extracted
 each; null page_id and url are kept; extra columns are ignored; an empty table gives an empty result.
@@ -37,6 +38,9 @@ AROUND_WORDS = set(
     " search pagination pager toolbar copyright legal disclaimer hidden".split()
 )
 ARTICLE = {"article", "main"}
+#: Beginnings of class names that tell of a layout; weights of named elements and articles; the share of a page that no side part holds.
+LAYOUT = {"has", "no", "with", "without", "is", "not", "layout"}
+NAMED_WEIGHT, ARTICLE_WEIGHT, MOST = 0.1, 1.25, 0.75
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = set("article aside body div section main table ul ol dl nav footer header form blockquote td th figure html".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，、؛؟]")
@@ -53,27 +57,33 @@ def around(tag: str, attributes: str) -> bool:
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in AROUND_ROLES:
             return True
-        if name in ("class", "id") and tag not in ARTICLE and AROUND_WORDS & set(re.split(r"[^a-z]+", value)):
-            return True
     return False
 
 
-def blocks_of(html: str) -> list[tuple[str, str, int]]:
-    """The page's blocks in order: root-to-leaf path of block elements, text, characters inside links. Around parts are out."""
-    stack: list[tuple[str, bool, str]] = []  # (tag, whether it or an ancestor stands around the article, step of the path)
-    out: list[tuple[str, str, int]] = []
+def named_around(tag: str, attributes: str) -> bool:
+    """Whether a class or id speaks of what stands around an article; names of a layout (has-sidebar) do not."""
+    if not attributes or tag in ("body", "html") or tag in ARTICLE:
+        return False
+    names = [n for kind, value in ATTRIBUTE.findall(attributes) if kind.lower() in ("class", "id") for n in value.strip("\"'").lower().split()]
+    return any(AROUND_WORDS & set(words) and words[0] not in LAYOUT for words in (re.split(r"[^a-z]+", n) for n in names))
+
+
+def blocks_of(html: str) -> list[tuple[str, str, int, tuple[int, ...]]]:
+    """The page's blocks in order: root-to-leaf path of block elements, text, characters inside links, ancestors named as around. Around parts are out."""
+    stack: list[tuple[str, bool, str, tuple[int, ...]]] = []  # (tag, whether it or an ancestor stands around the article, step of the path, named elements)
+    out: list[tuple[str, str, int, tuple[int, ...]]] = []
     held: list[str] = []
     linked, in_link, at = 0, 0, 0
 
     def path() -> str:
-        return "/".join(step for t, _, step in stack if t not in INLINE)
+        return "/".join(step for t, _, step, _ in stack if t not in INLINE)
 
     def close() -> None:
         nonlocal held, linked
         if held:
             text = SPACE.sub(" ", entities.unescape("".join(held))).strip()
             if text:
-                out.append((path(), text, linked))
+                out.append((path(), text, linked, stack[-1][3] if stack else ()))
         held, linked = [], 0
 
     def add(text: str) -> None:
@@ -138,7 +148,8 @@ def blocks_of(html: str) -> list[tuple[str, str, int]]:
             header = tag == "header" and not any(t in ARTICLE for t, *_ in stack)
             named = ATTRIBUTE.search(m[3]) if tag in ("div", "section", "td") else None
             step = tag if named is None else f"{tag}.{re.sub('[^A-Za-z0-9_-]+', '.', named[2] or '')}"
-            stack.append((tag, under or header or around(tag, m[3]), step))
+            names = stack[-1][3] if stack else ()
+            stack.append((tag, under or header or around(tag, m[3]), step, (*names, at) if named_around(tag, m[3]) else names))
             in_link += tag == "a"
     close()
     return out
@@ -150,43 +161,47 @@ def main_text(html: str | None, threshold: float = 0.25) -> str:
     if not blocks:
         return ""
     length, points, nodes, total = defaultdict(float), defaultdict(float), defaultdict(int), defaultdict(float)
-    for path, text, linked in blocks:
-        own = max(0, len(text) - linked)
+    parts: dict[int, int] = defaultdict(int)
+    for _, text, _, names in blocks:
+        for k in names:
+            parts[k] += len(text)
+    most = MOST * sum(len(text) for _, text, _, _ in blocks)
+    weights = [NAMED_WEIGHT ** sum(parts[k] < most for k in names) for *_, names in blocks]
+    for (path, text, linked, _), w in zip(blocks, weights):
+        own = max(0, len(text) - linked) * w
         length[path] += own
         points[path] += len(PUNCTUATION.findall(text))
         nodes[path] += 1
         steps = path.split("/")
         for k in range(1, len(steps) + 1):
             total["/".join(steps[:k])] += own
-    ratio = np.array([length[p] / nodes[p] * np.log1p(1 + points[p] / nodes[p]) for p, _, _ in blocks])
+    ratio = np.array([length[p] / nodes[p] * np.log1p(1 + points[p] / nodes[p]) for p, *_ in blocks])
     kernel = np.array([1, 2, 4, 2, 1], dtype=float)
     pad = np.concatenate([np.zeros(2), ratio, np.zeros(2)])
     smooth = np.convolve(pad, kernel, "valid") / np.convolve(np.concatenate([np.zeros(2), np.ones(len(ratio)), np.zeros(2)]), kernel, "valid")
     whole = max(1.0, sum(length.values()))
 
     def held(path: str) -> float:
-        """The largest share of the page's text that a close ancestor holds; an article element counts in full."""
+        """The largest share of the page's text that a close ancestor holds."""
         steps = path.split("/")
-        if ARTICLE & set(steps):
-            return 1.0
         return max((total["/".join(steps[:k])] / whole for k in range(max(1, len(steps) - 1), len(steps)) if steps[k - 1] not in ("html", "body")), default=0.0)
 
-    semantic = any(ARTICLE & set(p.split("/")) for p, _, _ in blocks)
-    fused = np.array([s * (0.5 + held(p)) if not semantic or ARTICLE & set(p.split("/")) else 0.0 for s, (p, _, _) in zip(smooth, blocks)])
+    fused = np.array([s * (0.5 + held(p)) * w * (ARTICLE_WEIGHT if ARTICLE & set(p.split("/")) else 1.0) for s, w, (p, *_) in zip(smooth, weights, blocks)])
     by_path: dict[str, float] = defaultdict(float)
-    for (p, _, _), f in zip(blocks, fused):
+    for (p, *_), f in zip(blocks, fused):
         by_path[p] = max(by_path[p], f)
     bar = threshold * max(by_path.values())
     # The deepest element below the body that holds most of the text; short blocks in it (lists, headings) belong to it.
     holders = [p for p, t in total.items() if t >= 0.6 * whole and p not in ("", "html", "html/body", "body")]
     holder = max(holders, key=lambda p: p.count("/"), default=None)
-    if holder is not None and holder in nodes:
+    if holder is not None and holder in nodes and holder.rpartition("/")[2] not in ARTICLE:
         holder = holder.rpartition("/")[0] if holder.rpartition("/")[0] not in ("", "html", "html/body", "body") else None
 
     def inside(p: str) -> bool:
-        return bool(ARTICLE & set(p.split("/"))) if semantic else holder is not None and (p + "/").startswith(holder + "/")
+        return holder is not None and (p + "/").startswith(holder + "/")
 
-    return "\n\n".join(t for p, t, linked in blocks if (by_path[p] >= bar or inside(p)) and by_path[p] > 0 or inside(p) and linked < len(t))
+    top = max(weights)
+    return "\n\n".join(t for (p, t, linked, _), f, w in zip(blocks, fused, weights) if w == top and ((by_path[p] >= bar or inside(p)) and by_path[p] > 0 or inside(p) and linked < len(t)) or f >= bar > 0)
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:

@@ -79,6 +79,18 @@ def test_html():
     assert html_text.main_text("") == html_text.main_text(None) == html_text.main_text("<p") == ""
 
 
+def test_html_ratios_decide():
+    body = [f"Sentence {i} of the story, which goes on, and on; it has many words, and stops here. " * 4 for i in range(4)]
+    body = [b.strip() for b in body]
+    story = "".join(f"<p>{b}</p>" for b in body)
+    teasers = "".join(f"<article><h3>Teaser {i}</h3><p>Read this too.</p></article>" for i in range(4))
+    assert html_text.main_text(f"<html><body><div class='story'>{story}</div><div class='more'>{teasers}</div></body></html>") == "\n\n".join(body)
+    for name in ("content has-sidebar", "layout-sidebar-right", "article-header", "page-with-comments"):
+        for tag in ("article", "div"):
+            page = f"<html><body><div class='{name}'><{tag}>{story}</{tag}><div class='sidebar'><p>Other things, here.</p></div></div></body></html>"
+            assert html_text.main_text(page) == "\n\n".join(body), (name, tag)
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", None), (None, None, ""), (1, "u", "<article><p>x</article>"), (2, None, "<p>" + "word " * 50_000), (3, "v", "<<<>>&#x41;&bogus;<a <b")], "page_id long, url string, html string")
     got = html_text.extract_main_text(df.withColumn("text", F.lit("clash"))).toPandas()
