@@ -2,29 +2,76 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_TABLES: dict[str, list[str]] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder; only where none is named (tests) one of our own is set."""
+    """The shared folder. Where none is named, a local session (tests) gets one of its own; elsewhere that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
+        master = spark.sparkContext.master
+        if not master.startswith("local["):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors share (master {master})")
         _OWN[app] = tempfile.mkdtemp(prefix="attesta-")
         spark.sparkContext.setCheckpointDir(_OWN[app])
     return _OWN[app]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df.checkpoint(): what follows reads it from the shared folder."""
-    folder(df.sparkSession)
-    return df.checkpoint()
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """df written as a Parquet table in the shared folder and read back: the lineage ends there.
+
+    The table stays until release(), the end of temporaries() or the end of the driver's process.
+    """
+    spark = df.sparkSession
+    path = f"{folder(spark)}/attesta/{uuid.uuid4().hex}/{name}"
+    made = _TABLES.setdefault(spark.sparkContext.applicationId, [])
+    if not made:
+        atexit.register(_release_all, spark)
+    made.append(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def last_table(spark: SparkSession) -> str:
+    """The path of the table that cut() wrote last."""
+    return _TABLES[spark.sparkContext.applicationId][-1]
+
+
+def release(spark: SparkSession, tables: list[str] | None = None) -> None:
+    """Delete the named intermediate tables, or all of this application."""
+    made = _TABLES.get(spark.sparkContext.applicationId, [])
+    for path in list(made if tables is None else tables):
+        delete(spark, path.rpartition("/")[0])
+        if path in made:
+            made.remove(path)
+
+
+def _release_all(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is not None:  # a stopped session has nothing left to delete with
+        release(spark)
+
+
+@contextmanager
+def temporaries(spark: SparkSession) -> Iterator[None]:
+    """Of the tables written inside, all but the last are deleted at the end."""
+    made = _TABLES.setdefault(spark.sparkContext.applicationId, [])
+    before = set(made)
+    try:
+        yield
+    finally:
+        release(spark, [p for p in made if p not in before][:-1])
 
 
 def _at(spark: SparkSession, path: str):
