@@ -1,12 +1,17 @@
 """HTML extraction by tag-path ratios.
 
-A page is a sequence of text blocks, each with its root-to-leaf tag path. For every path the lengths and the punctuation
-of its blocks are added up and divided by its number of nodes; the two ratios are smoothed over neighbouring blocks,
-fused with what the path's ancestors hold in total, and paths that reach a threshold are content. Elements that are
-never article text (navigation, scripts, ...) are left out by their tag or role before that; a class or id that speaks of
-what is around an article lowers the score, unless its element holds most of the page, and an article element raises it.
+A page is a sequence of text blocks, each with its root-to-leaf tag path, kept as a node of a trie. For every path the
+lengths and the punctuation of its blocks are added up and divided by its number of nodes; the two ratios are smoothed
+over neighbouring blocks and fused with what the path's parent holds in total. Paths that reach a threshold are content.
+The deepest element that holds most of the page's text is the article's; short blocks in it (headings, lists) belong to
+it, but the parts of it whose own ratios stay below the threshold, and lists of links, do not.
 
-Defined results: null or empty html and pages without a content path have an empty text; repeated rows are extracted
+Elements that are never article text (navigation, scripts, ...) are left out by their tag or role before that. A class or
+id that speaks of what is around an article lowers the score, unless its element holds most of the page; an article
+element raises it. A page is read in one pass: the work grows with its length, not with its depth.
+
+Defined results: null or empty html and pages without a content path have an empty text; a quote that is never closed
+ends its attribute at the tag's end; a tag that is cut off is left out up to the next tag; repeated rows are extracted
 each; null page_id and url are kept; extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -14,6 +19,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -23,194 +29,361 @@ from pyspark.sql import DataFrame
 
 from attesta.llm._common import prepare
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[A-Za-z/!?][^<>]*\Z""", re.S)
-ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: A tag whose attributes are well formed; anything else goes through odd_tag().
+TAG = re.compile(r"""<(/?)([A-Za-z][^\s/><"'=]*+)((?:\s++[^\s"'<>/=]++(?:\s*+=\s*+(?:"[^"<>]*+"|'[^'<>]*+'|[^\s"'=<>`]++))?+)*+)\s*+(/?)>""")
+NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+STEP = re.compile(r"[\s/]*+([^\s/>][^\s/>=]*+)?+(\s*+=\s*+)?+")
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+BODY = re.compile(r"</head\s*>|<body\b", re.I)
 #: Elements whose content is no text, elements without content, and elements that open no block.
-RAW = {"script", "style", "noscript", "template", "svg", "math", "textarea", "iframe", "object", "canvas", "title", "head", "select", "audio", "video"}
-VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
-#: Elements, roles and words in class or id that mark what is around an article.
-AROUND = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "fieldset"}
+RAW = {"script", "style", "noscript", "template", "svg", "textarea", "iframe", "object", "canvas", "title", "head", "select", "audio", "video"}
+VOID = set("area base col embed img input link meta param source track wbr".split())
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math mfrac mi mn mo mover mrow msqrt msub msubsup msup mtext munder q rp rt ruby s samp semantics small span strike strong sub sup time tt u var".split())
+#: Elements and roles that mark what is around an article.
+AROUND = {"nav", "footer", "aside", "button", "menu", "dialog", "fieldset"}
 AROUND_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "form"}
-AROUND_WORDS = set(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs sidebar side widget footer foot header masthead"
-    " cookie cookies consent gdpr notice popup modal overlay comment comments commentlist respond reply disqus share sharing social related recommended newsletter subscribe signup login"
-    " search pagination pager toolbar copyright legal disclaimer hidden".split()
+#: Words in class or id that speak of what is around an article whatever stands beside them, and words that do so only beside words of the second and third kind.
+NAMED = set("nav navbar navigation breadcrumb breadcrumbs sidebar footer masthead gdpr popup modal disqus newsletter pagination pager toolbar advert adverts advertisement advertising sponsored commentlist".split())
+NAMED_BESIDE = set(
+    "ad ads sponsor banner menu side widget widgets foot notice consent cookie cookies overlay comment comments respond reply replies share sharing social related recommended recommendations promo promos"
+    " teaser teasers trending popular subscribe signup login search copyright legal disclaimer hidden".split()
+)
+BESIDE = set(
+    "area bar block body bottom box btn button buttons center col column container content form group icon icons inner item items large left link links list main more outer page pane panel primary read right row"
+    " secondary section site slot small sticky text top unit wrap wrapper article articles blog entry news post posts reader readers story stories thread user users global js".split()
 )
+HEADS = {"header", "head"}
 ARTICLE = {"article", "main"}
-#: Beginnings of class names that tell of a layout; weights of named elements and articles; the share of a page that no side part holds.
+#: Beginnings of class names that tell of a layout; weights of named elements and articles; the share of a page that no side part holds, and the share that the article's element holds.
 LAYOUT = {"has", "no", "with", "without", "is", "not", "layout"}
-NAMED_WEIGHT, ARTICLE_WEIGHT, MOST = 0.1, 1.25, 0.75
+NAMED_WEIGHT, ARTICLE_WEIGHT, MOST, HOLDS, LINKED = 0.1, 1.25, 0.75, 0.6, 0.8
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = set("article aside body div section main table ul ol dl nav footer header form blockquote td th figure html".split())
+#: Elements that part a page, and the heads of sections.
+PARTS = {"", "html", "body", "article", "main", "section", "div", "center", "form", "header"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 PUNCTUATION = re.compile(r"[.,;:!?…。，、؛؟]")
 SPACE = re.compile(r"\s+")
+WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+
+
+class Marks:
+    """Where the characters stand that end tags and values, looked up by bisection; made for pages with odd tags only."""
+
+    def __init__(self, html: str):
+        self.at: dict[str, list[int]] = {c: [] for c in "<>\"'"}
+        for m in re.finditer("[<>\"']", html):
+            self.at[m[0]].append(m.start())
+
+    def next(self, char: str, at: int) -> int | None:
+        places = self.at[char]
+        k = bisect_left(places, at)
+        return places[k] if k < len(places) else None
+
+
+def odd_tag(html: str, at: int, marks: Marks) -> tuple[int, str] | None:
+    """The end of a tag whose name ends at `at`, and its attributes written plainly; None for a tag that is cut off.
 
+    A quoted value that holds the end of a tag counts as one only if what follows it is the rest of a tag.
+    """
+    end, found = marks.next(">", at), []
+    if end is None:
+        return None
+    while True:
+        m = STEP.match(html, at)
+        at = m.end()
+        if at >= len(html):
+            return None
+        name = m[1] or ""
+        if m[2] is None:
+            if name:
+                found.append(name)
+            if html[at] == ">":
+                return at + 1, " ".join(found)
+            if not name:
+                at += 1
+            continue
+        quote = html[at]
+        if quote in "\"'":
+            close, end = marks.next(quote, at + 1), marks.next(">", at)
+            if close is not None and (end is None or close < end):
+                fits = True
+            elif close is not None:
+                after, begin = marks.next(">", close), marks.next("<", close)
+                fits = after is not None and (begin is None or after < begin) and html[close + 1 : close + 2] in (" ", "\t", "\n", "\r", "\f", "/", ">")
+            else:
+                fits = False
+            if not fits:
+                return None if end is None else (end + 1, " ".join(found))
+            value, at = html[at + 1 : close], close + 1
+        else:
+            stop = at
+            while stop < len(html) and html[stop] not in " \t\n\r\f>":
+                stop += 1
+            value, at = html[at:stop], stop
+        if name and '"' not in value:
+            found.append(f'{name}="{value}"')
+
+
+def values_of(attributes: str) -> dict[str, str]:
+    out: dict[str, str] = {}
+    for name, value in ATTRIBUTE.findall(attributes):
+        out.setdefault(name.lower(), value.strip("\"'"))
+    return out
 
-def around(tag: str, attributes: str) -> bool:
+
+def around(tag: str, values: dict[str, str]) -> bool:
     """Whether an element holds what stands around an article."""
     if tag in AROUND:
         return True
-    if not attributes or tag in ("body", "html"):
+    return bool(values) and tag not in ("body", "html") and ("hidden" in values or values.get("aria-hidden", "").lower() == "true" or values.get("role", "").lower() in AROUND_ROLES)
+
+
+def speaks_of_around(name: str) -> bool:
+    """Whether one class or id speaks of what is around an article; a word of a subject beside it (social-science) or of a layout (has-sidebar) takes that back."""
+    words = [w.lower() for w in WORDS.findall(name)]
+    if not words or words[0] in LAYOUT:
         return False
-    for name, value in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in AROUND_ROLES:
-            return True
-    return False
+    if NAMED & set(words):
+        return True
+    others = [w for w in words if w not in NAMED_BESIDE]
+    if len(others) < len(words):
+        return all(w in BESIDE or w in HEADS for w in others)
+    return bool(HEADS & set(words)) and all(w in HEADS or w in {"page", "site", "main", "top", "global", "wrap", "wrapper", "container"} for w in words)
 
 
-def named_around(tag: str, attributes: str) -> bool:
-    """Whether a class or id speaks of what stands around an article; names of a layout (has-sidebar) do not."""
-    if not attributes or tag in ("body", "html") or tag in ARTICLE:
+def named_around(tag: str, values: dict[str, str]) -> bool:
+    if tag in ("body", "html"):
         return False
-    names = [n for kind, value in ATTRIBUTE.findall(attributes) if kind.lower() in ("class", "id") for n in value.strip("\"'").lower().split()]
-    return any(AROUND_WORDS & set(words) and words[0] not in LAYOUT for words in (re.split(r"[^a-z]+", n) for n in names))
-
-
-def blocks_of(html: str) -> list[tuple[str, str, int, tuple[int, ...]]]:
-    """The page's blocks in order: root-to-leaf path of block elements, text, characters inside links, ancestors named as around. Around parts are out."""
-    stack: list[tuple[str, bool, str, tuple[int, ...]]] = []  # (tag, whether it or an ancestor stands around the article, step of the path, named elements)
-    out: list[tuple[str, str, int, tuple[int, ...]]] = []
-    held: list[str] = []
-    linked, in_link, at = 0, 0, 0
-
-    def path() -> str:
-        return "/".join(step for t, _, step, _ in stack if t not in INLINE)
-
-    def close() -> None:
-        nonlocal held, linked
-        if held:
-            text = SPACE.sub(" ", entities.unescape("".join(held))).strip()
-            if text:
-                out.append((path(), text, linked, stack[-1][3] if stack else ()))
-        held, linked = [], 0
-
-    def add(text: str) -> None:
-        nonlocal linked
-        if text and not (stack and stack[-1][1]):
-            held.append(text)
-            linked += len(text) * bool(in_link)
-
-    size = len(html)
-    while at < size:
-        m = TOKEN.search(html, at)
-        if m is None:
-            add(html[at:])
-            break
-        add(html[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            continue
-        if tag == "br" or tag == "hr":
+    return tag == "form" or bool(values) and any(speaks_of_around(n) for kind in ("class", "id") for n in values.get(kind, "").split())
+
+
+class Page:
+    """The blocks of a page in order, the trie of their paths and the tree of elements named as around."""
+
+    def __init__(self, html: str):
+        self.steps, self.tags, self.parent, self.children = [""], [""], [0], {}  # the trie; node 0 is the page
+        self.named_parent = [0]  # the tree of named elements; node 0 stands for none
+        self.blocks: list[tuple[int, str, int, int]] = []  # path, text, characters inside links, named element
+        self.read(html)
+
+    def node(self, parent: int, tag: str, step: str) -> int:
+        key = (parent, step)
+        if (at := self.children.get(key)) is None:
+            at = self.children[key] = len(self.steps)
+            self.steps.append(step)
+            self.tags.append(tag)
+            self.parent.append(parent)
+        return at
+
+    def read(self, html: str) -> None:
+        # Open elements: tag, path, named element, whether around, whether in an article, and the places below of the last block element and the last scope.
+        stack: list[tuple[str, int, int, bool, bool, int, int]] = []
+        open_at: dict[str, list[int]] = defaultdict(list)
+        held: list[str] = []
+        linked, links, at, size = 0, 0, 0, len(html)
+        marks: Marks | None = None
+        unended: set[str] = set()
+
+        def close() -> None:
+            nonlocal held, linked
+            if held:
+                text = SPACE.sub(" ", entities.unescape("".join(held))).strip()
+                if text:
+                    top = stack[-1] if stack else ("", 0, 0)
+                    self.blocks.append((top[1], text, min(linked, len(text)), top[2]))
+            held, linked = [], 0
+
+        def add(text: str) -> None:
+            nonlocal linked
+            if text and not (stack and stack[-1][3]):
+                held.append(text)
+                if links:
+                    linked += len(text)
+
+        def cut(depth: int) -> None:
+            nonlocal links
+            while len(stack) > depth:
+                tag = stack.pop()[0]
+                open_at[tag].pop()
+                links -= tag == "a"
+
+        while at < size:
+            begin = html.find("<", at)
+            if begin < 0:
+                add(html[at:])
+                break
+            if begin > at:
+                add(html[at:begin])
+            m = TAG.match(html, begin)
+            if m:
+                at, ends, tag, attributes, alone = m.end(), m[1], m[2].lower(), m[3], bool(m[4])
+            else:
+                after = html[begin + 1 : begin + 2]
+                if after == "!" or after == "?":
+                    mark = "-->" if html.startswith("<!--", begin) else "]]>" if html.startswith("<![CDATA[", begin) else ">"
+                    end = html.find(mark, begin + 2)
+                    at = size if end < 0 else end + len(mark)
+                    continue
+                m = NAME.match(html, begin)
+                if not m:
+                    add("<")
+                    at = begin + 1
+                    continue
+                marks = marks or Marks(html)
+                got = odd_tag(html, m.end(), marks)
+                if got is None:
+                    at = marks.next("<", begin + 1) or size
+                    continue
+                at, ends, tag, attributes, alone = got[0], m[1], m[2].lower(), got[1], html[got[0] - 2] == "/"
             if tag == "br":
                 add(" ")
-            else:
-                close()
-            continue
-        if tag in VOID:
-            continue
-        if m[1]:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if depth is None or tag in INLINE and any(t in SCOPES for t, *_ in stack[depth:]):
-                continue  # an end tag without its start
-            if tag not in INLINE or any(t not in INLINE for t, *_ in stack[depth:]):
-                close()
-            del stack[depth:]
-            in_link = sum(t == "a" for t, *_ in stack)
-            continue
-        if tag in RAW:
-            if tag == "head":
+                continue
+            if tag == "hr":
                 close()
-                end = re.compile(r"</head\s*>|<body\b", re.I).search(html, at)
-                at = end.start() if end and end[0].lower().startswith("<body") else end.end() if end else at
                 continue
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            at = end.end() if end else size if tag in ("script", "style") else at
-            continue
-        if tag in CLOSES or tag not in INLINE:
-            gone = CLOSES.get(tag, {"p"} if tag not in INLINE else set())
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in gone:
+            if tag in VOID:
+                continue
+            inline = tag in INLINE
+            if ends:
+                places = open_at.get(tag)
+                if not places:
+                    if tag == "p":
+                        close()
+                    continue  # an end tag without its start
+                depth = places[-1]
+                if inline and stack[-1][6] >= depth:
+                    continue  # its start stands outside the element
+                if stack[-1][5] >= depth:
                     close()
-                    del stack[k:]
-                    break
-                if stack[k][0] in SCOPES:
-                    break
-        if tag not in INLINE:
-            close()
-            while stack and stack[-1][0] in INLINE:
-                stack.pop()  # an inline element left open ends with its block
-            in_link = sum(t == "a" for t, *_ in stack)
-        if not m[3].endswith("/"):
-            under = bool(stack and stack[-1][1])
-            header = tag == "header" and not any(t in ARTICLE for t, *_ in stack)
-            named = ATTRIBUTE.search(m[3]) if tag in ("div", "section", "td") else None
-            step = tag if named is None else f"{tag}.{re.sub('[^A-Za-z0-9_-]+', '.', named[2] or '')}"
-            names = stack[-1][3] if stack else ()
-            stack.append((tag, under or header or around(tag, m[3]), step, (*names, at) if named_around(tag, m[3]) else names))
-            in_link += tag == "a"
-    close()
-    return out
+                cut(depth)
+                continue
+            if tag in RAW:
+                if tag == "head":
+                    close()
+                    end = BODY.search(html, at)
+                    at = end.start() if end and end[0].lower().startswith("<body") else end.end() if end else at
+                elif tag not in unended:
+                    end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+                    if end is None:
+                        unended.add(tag)
+                        at = size if tag in ("script", "style") else at
+                    else:
+                        at = end.end()
+                continue
+            values = values_of(attributes) if attributes else {}
+            if not inline:
+                last = max((open_at[t][-1] for t in CLOSES.get(tag, {"p"}) if open_at.get(t)), default=-1)
+                close()
+                if stack and last >= 0 and last >= stack[-1][6]:
+                    cut(last)
+                while stack and stack[-1][0] in INLINE and stack[-1][0] != "a":
+                    cut(len(stack) - 1)  # an inline element left open ends with its block
+            elif tag == "a":
+                if "href" not in values:
+                    continue
+                if open_at["a"] and open_at["a"][-1] > stack[-1][6]:
+                    cut(open_at["a"][-1])
+            if alone and tag not in ("p", "div", "article", "section"):
+                continue
+            _, path, named, under, article, block, scope = stack[-1] if stack else ("", 0, 0, False, False, -1, -1)
+            place = len(stack)
+            if inline:
+                under = under or bool(values) and around(tag, values)
+            else:
+                step = tag
+                if tag in ("div", "section", "td"):
+                    kind = values.get("class") or values.get("id") or values.get("role") or ""
+                    step = f"{tag}.{'.'.join(kind.split())}" if kind else tag
+                path, block = self.node(path, tag, step), place
+                under = under or tag == "header" and not article or around(tag, values)
+                article = article or tag in ARTICLE
+                scope = place if tag in SCOPES else scope
+                if not under and named_around(tag, values):
+                    self.named_parent.append(named)
+                    named = len(self.named_parent) - 1
+            stack.append((tag, path, named, under, article, block, scope))
+            open_at[tag].append(place)
+            links += tag == "a"
+        close()
+
+
+def path_ratio(length: np.ndarray, points: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """Characters for each node of a path, weighted by the punctuation marks for each node."""
+    n = np.maximum(nodes, 1)
+    return length / n * np.log1p(1 + points / n)
+
+
+def smoothed(ratio: np.ndarray) -> np.ndarray:
+    """Over two neighbouring blocks on each side."""
+    kernel = np.array([1, 2, 4, 2, 1], dtype=float)
+    padded = lambda x: np.concatenate([np.zeros(2), x, np.zeros(2)])
+    return np.convolve(padded(ratio), kernel, "valid") / np.convolve(padded(np.ones(len(ratio))), kernel, "valid")
 
 
 def main_text(html: str | None, threshold: float = 0.25) -> str:
     """The content blocks joined by a blank line."""
-    blocks = blocks_of(html or "")
-    if not blocks:
+    page = Page(html or "")
+    if not page.blocks:
         return ""
-    length, points, nodes, total = defaultdict(float), defaultdict(float), defaultdict(int), defaultdict(float)
-    parts: dict[int, int] = defaultdict(int)
-    for _, text, _, names in blocks:
-        for k in names:
-            parts[k] += len(text)
-    most = MOST * sum(len(text) for _, text, _, _ in blocks)
-    weights = [NAMED_WEIGHT ** sum(parts[k] < most for k in names) for *_, names in blocks]
-    for (path, text, linked, _), w in zip(blocks, weights):
-        own = max(0, len(text) - linked) * w
-        length[path] += own
-        points[path] += len(PUNCTUATION.findall(text))
-        nodes[path] += 1
-        steps = path.split("/")
-        for k in range(1, len(steps) + 1):
-            total["/".join(steps[:k])] += own
-    ratio = np.array([length[p] / nodes[p] * np.log1p(1 + points[p] / nodes[p]) for p, *_ in blocks])
-    kernel = np.array([1, 2, 4, 2, 1], dtype=float)
-    pad = np.concatenate([np.zeros(2), ratio, np.zeros(2)])
-    smooth = np.convolve(pad, kernel, "valid") / np.convolve(np.concatenate([np.zeros(2), np.ones(len(ratio)), np.zeros(2)]), kernel, "valid")
-    whole = max(1.0, sum(length.values()))
-
-    def held(path: str) -> float:
-        """The largest share of the page's text that a close ancestor holds."""
-        steps = path.split("/")
-        return max((total["/".join(steps[:k])] / whole for k in range(max(1, len(steps) - 1), len(steps)) if steps[k - 1] not in ("html", "body")), default=0.0)
-
-    fused = np.array([s * (0.5 + held(p)) * w * (ARTICLE_WEIGHT if ARTICLE & set(p.split("/")) else 1.0) for s, w, (p, *_) in zip(smooth, weights, blocks)])
-    by_path: dict[str, float] = defaultdict(float)
-    for (p, *_), f in zip(blocks, fused):
-        by_path[p] = max(by_path[p], f)
-    bar = threshold * max(by_path.values())
-    # The deepest element below the body that holds most of the text; short blocks in it (lists, headings) belong to it.
-    holders = [p for p, t in total.items() if t >= 0.6 * whole and p not in ("", "html", "html/body", "body")]
-    holder = max(holders, key=lambda p: p.count("/"), default=None)
-    if holder is not None and holder in nodes and holder.rpartition("/")[2] not in ARTICLE:
-        holder = holder.rpartition("/")[0] if holder.rpartition("/")[0] not in ("", "html", "html/body", "body") else None
-
-    def inside(p: str) -> bool:
-        return holder is not None and (p + "/").startswith(holder + "/")
-
-    top = max(weights)
-    return "\n\n".join(t for (p, t, linked, _), f, w in zip(blocks, fused, weights) if w == top and ((by_path[p] >= bar or inside(p)) and by_path[p] > 0 or inside(p) and linked < len(t)) or f >= bar > 0)
-
-
-def extract_main_text(pages: DataFrame) -> DataFrame:
+    paths, parents, tags = len(page.steps), page.parent, page.tags
+    at = np.array([b[0] for b in page.blocks])
+    chars, linked = np.array([len(b[1]) for b in page.blocks], dtype=float), np.array([b[2] for b in page.blocks], dtype=float)
+    named = np.array([b[3] for b in page.blocks])
+    # Characters in each named element; those that hold most of the page are not around anything.
+    inside_named = np.bincount(named, chars, len(page.named_parent))
+    for k in range(len(inside_named) - 1, 0, -1):
+        inside_named[page.named_parent[k]] += inside_named[k]
+    sides = np.zeros(len(inside_named), dtype=int)
+    for k in range(1, len(sides)):
+        sides[k] = sides[page.named_parent[k]] + (inside_named[k] < MOST * chars.sum())
+    sides = sides[named]
+    weight = NAMED_WEIGHT**sides.astype(float)
+    own = np.maximum(0, chars - linked) * weight
+    points = np.array([len(PUNCTUATION.findall(b[1])) for b in page.blocks], dtype=float)
+    length, marks, nodes = np.bincount(at, own, paths), np.bincount(at, points, paths), np.bincount(at, minlength=paths).astype(float)
+    in_links, all_chars = np.bincount(at, linked, paths), np.bincount(at, chars, paths)
+    # What each element of the trie holds with all below it: children come after their parents.
+    below = [length.copy(), marks.copy(), nodes.copy()]
+    for x in below:
+        for k in range(paths - 1, 0, -1):
+            x[parents[k]] += x[k]
+    total, whole = below[0], max(1.0, length.sum())
+    ratio = path_ratio(length, marks, nodes)[at]
+    top = ("", "html", "body")
+    share = np.array([0.0 if tags[parents[k]] in top else total[parents[k]] / whole for k in range(paths)])
+    article, depth, part = [False] * paths, [0] * paths, [0] * paths
+    for k in range(1, paths):
+        article[k] = article[parents[k]] or tags[k] in ARTICLE
+        depth[k] = depth[parents[k]] + 1
+        part[k] = k if tags[k] in PARTS else part[parents[k]]
+    fused = smoothed(ratio) * (0.5 + share[at]) * weight * np.where(np.array(article)[at], ARTICLE_WEIGHT, 1.0)
+    best = np.zeros(paths)
+    np.maximum.at(best, at, fused)
+    bar = threshold * best.max()
+    if bar <= 0:
+        return ""
+    # The deepest part that holds most of the text, and the parts below it whose own ratios are high enough.
+    holders = [k for k in range(paths) if tags[k] in PARTS and total[k] >= HOLDS * whole]
+    holder = max(holders, key=lambda k: depth[k], default=0)
+    part_ratio = path_ratio(*below)
+    good = [False] * paths
+    good[holder] = True
+    for k in range(holder + 1, paths):
+        good[k] = good[parents[k]] and (tags[k] not in PARTS or part_ratio[k] >= threshold * part_ratio[holder])
+    of_links = (in_links >= LINKED * np.maximum(all_chars, 1)) & np.array([t not in HEADINGS for t in tags])
+    inside = np.array(good)[at] & ~of_links[at]
+    keep = (sides == sides.min()) & (inside | (fused >= bar))
+    return "\n\n".join(b[1] for b, yes in zip(page.blocks, keep) if yes)
+
+
+def extract_main_text(pages: DataFrame, threshold: float = 0.25) -> DataFrame:
     """pages (page_id, url, html, ...): page_id, url, text, n_chars."""
     prepare(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(h) for h in b.column("html").to_pylist()]
+            texts = [main_text(h, threshold) for h in b.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
