@@ -7,7 +7,8 @@ characters of it in the same text, an identifier or endpoint if a base secret or
 change base ones.
 
 Offsets without a UDF: split() gives the gaps between matches and regexp_extract_all() the matches, and a running sum of
-lengths (code points) gives their places. Texts that cannot match a pattern skip it.
+lengths (code points) gives their places. Texts that cannot match a pattern skip it. Running sums and redaction go block
+by block of matches, as appending to one array or text would take time with the square of their number.
 
 Defined results: a null text is empty; a text without spans has zero counts, the digest of the empty string and empty
 `spans`; repeated rows are scanned each; a null doc_id is kept; extra columns are ignored; an empty table gives an empty
@@ -16,6 +17,8 @@ result; spans that start together are in the order of their kinds.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,25 +31,43 @@ HEX = r"[0-9a-f]{32,}"
 #: The method's own patterns.
 IDENT = r"""((?i)access_?key(?:_?id)?|client_?id|user_?name|login|account)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,})"""
 ENDPOINT = r"""[a-z][a-z0-9+]{1,9}://[A-Za-z0-9._~:/?#@!$&'()*+,;=%-]+"""
-BARE = r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/]{24,64}={0,2}(?![A-Za-z0-9+/_=-])"
+BARE = r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/]{24,}+={0,2}+(?![A-Za-z0-9+/_=-])"
 KINDS = ["assign", "access", "hex", "ident", "endpoint", "bare"]
+SPANS = "array<struct<start:int,kind:int,end:int>>"
+#: Matches that a running sum or a redaction takes at a time.
+BLOCK = 256
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def by_block(items: Column, state: Column, block: Callable[[Column, Column], Column]) -> Column:
+    """The states after each block of items: block(items of the block, state before it) gives the next one."""
+    numbers = F.sequence(F.lit(0), F.ceil(F.size(items) / BLOCK).cast("int") - 1)
+    step = lambda acc, b: F.concat(acc, F.array(block(F.slice(items, b * BLOCK + 1, F.lit(BLOCK)), F.element_at(acc, -1))))
+    return F.slice(F.aggregate(numbers, F.array(state), step), F.lit(2), F.size(numbers))
 
 
 def found(text: Column, pattern: str, kind: int, fit, gate: Column | None = None, group: int = 0) -> Column:
     """array<struct<start, kind, end>> of the pattern's leftmost matches; fit: of the group's text, whether a match counts."""
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits
-    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), F.zip_with(hits, parts, lambda h, p: F.struct(F.length(h).alias("n"), fit(p).alias("ok"))), lambda g, h: F.struct(F.length(g).alias("gap"), h["n"].alias("n"), h["ok"].alias("ok")))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    sized = F.zip_with(hits, parts, lambda h, p: F.struct(F.length(h).alias("n"), fit(p).alias("ok")))
+    # The last gap has no match; it drops out as zip_with gives it a null length.
+    steps = F.filter(F.zip_with(gaps, sized, lambda g, h: F.struct(F.length(g).alias("gap"), h["n"].alias("n"), h["ok"].alias("ok"))), lambda x: x["n"].isNotNull())
+    none = F.array().cast(SPANS)
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["gap"]
         end = begin + x["n"]
         return F.struct(end.alias("at"), F.when(x["ok"], F.concat(acc["out"], F.array(F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))))).otherwise(acc["out"]).alias("out"))
 
+    start = lambda at: F.struct(at.alias("at"), none.alias("out"))
+    spans = bound(steps, lambda s: F.flatten(F.transform(by_block(s, start(F.lit(0)), lambda items, before: F.aggregate(items, start(before["at"]), step)), lambda b: b["out"])))
     gate = text.rlike(pattern) if gate is None else gate & text.rlike(pattern)
-    return F.when(gate, F.aggregate(steps, start, step, lambda acc: acc["out"])).otherwise(none)
+    return F.when(gate, spans).otherwise(none)
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
@@ -58,7 +79,7 @@ def with_spans(docs: DataFrame) -> DataFrame:
     anchored = text.contains("://") | text.contains("AKIA") | text.rlike(IDENT)
     mixed = lambda s: s.rlike("[0-9]") & s.rlike("[A-Za-z]")
     weak = F.when(anchored, F.concat(found(text, IDENT, 3, yes), found(text, ENDPOINT, 4, yes, gate=text.contains("://")), found(text, BARE, 5, mixed)))
-    rows = docs.withColumn("base", F.array_sort(base)).withColumn("weak", F.coalesce(weak, F.array().cast("array<struct<start:int,kind:int,end:int>>")))
+    rows = docs.withColumn("base", F.array_sort(base)).withColumn("weak", F.coalesce(weak, F.array().cast(SPANS)))
     key = F.md5(F.concat_ws("\u0001", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text))
     return rows.withColumn("part_key", F.when(F.size("weak") > 0, key))
 
@@ -88,7 +109,7 @@ def scan_secrets(docs: DataFrame, near: int = 400) -> DataFrame:
     rows = materialize(with_spans(docs.select("doc_id", "text")).drop("text"), "secret_spans")
     out = rows.join(linked(rows, near), "part_key", "left")
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
-    extra = F.coalesce("extra", F.array().cast("array<struct<start:int,kind:int,end:int>>"))
+    extra = F.coalesce("extra", F.array().cast(SPANS))
     return out.select(
         "doc_id",
         *(count(k).alias(f"n_{KINDS[k]}") for k in range(3)),
@@ -98,23 +119,35 @@ def scan_secrets(docs: DataFrame, near: int = 400) -> DataFrame:
     )
 
 
+def without_spans(text: Column, spans: Column, mark: str) -> Column:
+    """The text with a mark for each run of overlapping spans (sorted by start)."""
+
+    def block(items: Column, before: Column) -> Column:
+        # Only the stretch of the text that these spans begin in is cut up.
+        stretch = F.substring(text, before["at"] + 1, F.greatest(F.element_at(items, -1)["start"] - before["at"], F.lit(0)))
+        begin = F.struct(before["at"].alias("at"), F.array().cast("array<string>").alias("out"))
+
+        def step(acc: Column, s: Column, here: Column) -> Column:
+            piece = F.concat(F.substring(here, acc["at"] - before["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(piece))).otherwise(acc["out"]).alias("out"))
+
+        return bound(stretch, lambda here: F.aggregate(items, begin, lambda acc, s: step(acc, s, here)))
+
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    tail = lambda states: F.substring(text, F.element_at(states, -1)["at"] + 1, F.length(text))
+    whole = lambda states: F.concat(F.array_join(F.flatten(F.transform(states, lambda b: b["out"])), ""), tail(states))
+    return bound(by_block(spans, first, block), whole)
+
+
 def redact_secrets(docs: DataFrame, near: int = 400, mark: str = "[secret]") -> DataFrame:
     """docs with every span, base or linked, replaced by a mark (overlapping spans by one), and n_chars, if there, counted anew."""
     columns = docs.columns
     rows = materialize(with_spans(docs.select(F.struct(*columns).alias("row"), "doc_id", "text")), "secret_texts")
     some, extra = rows.where(F.col("part_key").isNotNull()), linked(rows, near)
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    none = F.array().cast(SPANS)
     every = rows.where(F.col("part_key").isNull()).withColumn("extra", none).unionByName(some.join(extra, "part_key", "left").withColumn("extra", F.coalesce("extra", none)).select(*rows.columns, "extra"))
     spans = F.array_sort(F.concat("base", "extra"))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        clear = s["start"] >= acc["at"]
-        more = F.concat(acc["out"], F.when(clear, F.concat(F.substring("text", acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(F.lit("")))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), more.alias("out"))
-
-    tail = lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.length("text")))
-    text = F.when(F.size(spans) > 0, F.aggregate(spans, zero, step, tail)).otherwise(F.col("text"))
+    text = F.when(F.size(spans) > 0, bound(spans, lambda s: without_spans(F.col("text"), s, mark))).otherwise(F.col("text"))
     cut = every.select("row", (F.size(spans) > 0).alias("changed"), text.alias("text"))
     out = {c: F.col("row")[c] for c in columns} | {"text": F.col("text")}
     if "n_chars" in columns:
