@@ -4,7 +4,8 @@ Each text is tokenized once. A text longer than a window is first cut into full
 than a window. Best-fit decreasing treats equal runs alike, so it needs only how many runs of each length there are: at
 most `window` counts, a proven bound, whatever the corpus. A segment tree indexed by remaining capacity finds the
 tightest open window for a length; a group of windows with equal contents is one entry, and equal runs fill it together.
-Executors then number the runs of each length (in salted parts, as one length may hold most runs) and look their places up.
+Executors then number the runs of each length (in salted parts, as one length may hold most runs) and look their places
+up. The salt is drawn when a run is written, so that equal rows part too; how many parts there are follows from the count.
 
 Defined results: a null or empty text is one id, the end id; repeated rows are packed each; a null doc_id is kept;
 extra columns are ignored; an empty table gives an empty result. Ties are taken in order of doc_id, then of content.
@@ -13,7 +14,8 @@ extra columns are ignored; an empty table gives an empty result. Ties are taken
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from zlib import crc32
 
@@ -25,13 +27,21 @@ from pyspark.sql.window import Window
 
 from attesta.llm._common import materialize, prepare
 
-SALTS = 256
+#: White-space characters in a row from which on the tokenizers library takes over.
+LONG_RUN = 50_000
+#: Salts drawn, and the runs that a salted part of the numbering is meant to hold.
+SALTS, PART_RUNS = 1 << 20, 100_000
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str):
-    """The byte-level BPE of a tokenizers file, run by tiktoken: the same ids, several times as fast (tested to be equal)."""
+def encoder(path: str) -> Callable[[str], list[int]]:
+    """The byte-level BPE of a tokenizers file, run by tiktoken: the same ids, several times as fast (tested to be equal).
+
+    A run of hundreds of thousands of white-space characters is beyond its pattern matcher; such a text is left to the
+    tokenizers library.
+    """
     import tiktoken
+    from tokenizers import Tokenizer
 
     spec = json.loads(open(path, encoding="utf-8").read())
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -40,18 +50,28 @@ def encoder(path: str):
     added = {t["content"]: t["id"] for t in spec["added_tokens"]}
     ranks = {bytes(letter[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
     pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-    return tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
+    bpe = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
+    long_run, library = re.compile(r"\s{%d}" % LONG_RUN), []
+
+    def encode(text: str) -> list[int]:
+        if len(text) <= LONG_RUN or not long_run.search(text):
+            return bpe.encode(text, allowed_special="all")
+        if not library:
+            library.append(Tokenizer.from_file(path))
+        return library[0].encode(text, add_special_tokens=False).ids
+
+    return encode
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, window: int, end_id: int) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(tokenizer_path)
+        encode = encoder(tokenizer_path)
         for b in batches:
             row, start, length, check, total = [], [], [], [], []
             for i, text in enumerate(b.column("text").to_pylist()):
-                ids = bpe.encode(text or "", allowed_special="all")
+                ids = encode(text or "")
                 ids.append(end_id)
                 raw = np.array(ids, dtype="<u4").tobytes()
                 for at in range(0, len(ids), window):
@@ -138,8 +158,10 @@ def plan(counts: dict[int, int], window: int) -> list[tuple[int, int, int, int,
 def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int = 1) -> DataFrame:
     """docs (doc_id, text, ...) packed: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = prepare(docs.sparkSession)
-    cut = materialize(pieces(docs, tokenizer_path, window, end_id), "pieces")
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS)).cast("int"))
+    drawn = (F.rand(11) * SALTS).cast("int").alias("drawn")
+    cut = materialize(pieces(docs, tokenizer_path, window, end_id).select("*", drawn), "pieces")
+    parts = max(1, -(-cut.count() // PART_RUNS))
+    salted = cut.withColumn("salt", F.col("drawn") % min(parts, SALTS))
     sized = materialize(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "sizes")
     by_length = {r["length"]: r["n"] for r in sized.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `window` rows
     places = plan(by_length, window)
