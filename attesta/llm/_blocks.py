@@ -1,7 +1,9 @@
 """Blocks of queries against shards of candidates, for the two exhaustive vector searches.
 
-Queries are dealt to blocks of a bounded size and candidates to shards; a cell is one block and one shard. A task reads
-a cell sorted: first the block's queries, then the shard's candidates as a stream, so it holds one block and one batch.
+Queries are dealt to blocks of a bounded size in bytes (their vectors and what is kept of their best candidates) and
+candidates to shards; a cell is one block and one shard. A task reads a cell sorted: first the block's queries, then the
+shard's candidates as a stream, so it holds one block and one batch. Each candidate is copied to every block, so blocks
+are as large as a task's memory allows.
 """
 
 from __future__ import annotations
@@ -14,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BLOCK, SHARD, SHARDS, ROWS = 4096, 250_000, 8, 2048
+#: Bytes of a block, and of one kept candidate of one query; candidates of a shard, the least number of shards, and candidates compared at a time.
+BLOCK_BYTES, KEPT_BYTES, SHARD, SHARDS, ROWS = 128 << 20, 144, 250_000, 8, 2048
 
 
 def usable(vectors: DataFrame, nonzero: bool) -> DataFrame:
@@ -27,11 +30,11 @@ def usable(vectors: DataFrame, nonzero: bool) -> DataFrame:
     return rows.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
 
 
-def cells_of(rows: DataFrame, is_query: Column) -> DataFrame:
+def cells_of(rows: DataFrame, is_query: Column, k: int) -> DataFrame:
     """Rows (cell, tag, vec_id, v) partitioned and sorted by cell; tag 0: a query, 1: a candidate. Vectors meet those of their own size only."""
-    n = rows.agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q")).first()
-    blocks, shards = max(1, -(-n["q"] // BLOCK)), max(SHARDS, -(-n["n"] // SHARD))
-    size = F.size("v")
+    n = rows.agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q"), F.coalesce(F.max(F.size("v")), F.lit(1)).alias("d")).first()
+    block_rows = max(1, BLOCK_BYTES // (8 * n["d"] + KEPT_BYTES * k))
+    blocks, shards = max(1, -(-n["q"] // block_rows)), max(SHARDS, -(-n["n"] // SHARD))
     asked = rows.where(is_query).distinct()
     block = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks)).cast("int")
     shard = F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(shards)).cast("int")

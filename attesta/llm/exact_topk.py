@@ -84,6 +84,6 @@ class Accumulators:
 def exact_top_k(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     """vectors (vec_id, embedding, ...): for each id divisible by `every`, its k highest integer inner products."""
     prepare(vectors.sparkSession)
-    cells = cells_of(usable(vectors, nonzero=False), F.col("vec_id") % every == 0)
+    cells = cells_of(usable(vectors, nonzero=False), F.col("vec_id") % every == 0, k)
     found = cells.mapInArrow(stream(lambda ids, queries: Accumulators(ids, queries, k)), "query_id long, query_key long, vec_id long, score long")
     return best(found, k)
