@@ -4,7 +4,8 @@ A word is a string of base symbols, the last with its word-end mark. An automato
 position, every token that is a suffix of the prefix read so far. The last token of a prefix's encoding is unique: it is
 the one whose predecessor (the last token of the shorter prefix) forms a compatible pair with it, that is, the two
 tokens' own text encodes to just them. It is stored for each prefix, and back-pointers from the whole word give the ids.
-Distinct words are encoded once per task and kept in a bounded cache.
+Distinct words are encoded once per task and kept in a bounded cache of two generations: a full one becomes the old one,
+and words that are met again move back, so that frequent words are never encoded anew.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; repeated rows are encoded each; a null
 doc_id is kept; extra columns are ignored; an empty table gives an empty result.
@@ -28,7 +29,7 @@ from attesta.llm._common import prepare
 #: Of texts with only these characters, `re` and str.lower() split and fold as the tokenizers library does.
 PLAIN = re.compile(r"[\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-įĲ-ž‐-‧‰-›€]*")
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
-CACHE_WORDS, CACHE_CHARS = 150_000, 40
+CACHE_WORDS, CACHE_CHARS = 100_000, 40
 
 
 class WordBpe:
@@ -54,7 +55,11 @@ class WordBpe:
             if self.merged(t) == [t]:
                 self.automaton.add_word(t, t)
         self.automaton.make_automaton()
-        self.cache: dict[str, tuple[int, str, str]] = {}
+        # word -> number of ids, ids, token texts (each joined by a space): three tables for the new generation, one for the old
+        self.counts: dict[str, int] = {}
+        self.id_texts: dict[str, str] = {}
+        self.token_texts: dict[str, str] = {}
+        self.old: tuple[dict[str, int], dict[str, str], dict[str, str]] = ({}, {}, {})
 
     def packed(self, token: str) -> str:
         """A token with its word-end mark folded into the last symbol, so that each symbol is one character."""
@@ -108,17 +113,27 @@ class WordBpe:
 
     def word(self, word: str) -> tuple[int, str, str]:
         """Number of ids, ids and token texts (each joined by a space) of a split word."""
-        if (known := self.cache.get(word)) is not None:
-            return known
         letters = "".join(map(self.letter.__getitem__, word.encode("utf-8", "replace")))
         symbols = letters[:-1] + chr(ord(letters[-1]) + 0xE000) if self.end else letters
         ids = [self.ids[t] for t in self.last_tokens(symbols)]
-        got = (len(ids), " ".join(map(str, ids)), " ".join(self.text[i] for i in ids))
-        if len(word) <= CACHE_CHARS:
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
-            self.cache[word] = got
-        return got
+        return len(ids), " ".join(map(str, ids)), " ".join(self.text[i] for i in ids)
+
+    def learn(self, words: set[str]) -> list[str]:
+        """Put words into the new generation; those too long to stay there are returned."""
+        new, old = (self.counts, self.id_texts, self.token_texts), self.old
+        for w in words:
+            got = (old[0][w], old[1][w], old[2][w]) if w in old[0] else self.word(w)
+            for table, value in zip(new, got):
+                table[w] = value
+        return [w for w in words if len(w) > CACHE_CHARS]
+
+    def forget(self, words: list[str]) -> None:
+        for table in (self.counts, self.id_texts, self.token_texts):
+            for w in words:
+                del table[w]
+        if len(self.counts) >= CACHE_WORDS:
+            self.old = (self.counts, self.id_texts, self.token_texts)
+            self.counts, self.id_texts, self.token_texts = {}, {}, {}
 
     def words(self, text: str) -> list[str]:
         if PLAIN.fullmatch(text) and unicodedata.is_normalized("NFC", text):
@@ -133,11 +148,14 @@ class WordBpe:
         n, ids, tokens, at = 0, [], [], 0
         marks = [(m.start(), m.end()) for m in self.special.finditer(text)] if self.special and "<|" in text else []
         for begin, end in [*marks, (len(text), len(text))]:
-            for w in self.words(text[at:begin]) if begin > at else ():
-                k, i, t = self.cache.get(w) or self.word(w)
-                n += k
-                ids.append(i)
-                tokens.append(t)
+            if begin > at:
+                words = self.words(text[at:begin])
+                long = self.learn(set(words).difference(self.counts))
+                n += sum(map(self.counts.__getitem__, words))
+                if words:
+                    ids.append(" ".join(map(self.id_texts.__getitem__, words)))
+                    tokens.append(" ".join(map(self.token_texts.__getitem__, words)))
+                self.forget(long)
             if end > begin:
                 n += 1
                 ids.append(str(self.added[text[begin:end]]))
