@@ -2,10 +2,12 @@
 
 All rolling word k-gram hashes of all texts are joined by Spark with the positions of the same hashes in license
 templates (a fixed, small table, so its side is broadcast). Each hit votes for its diagonal, text position less template
-position; votes are added up by text, template and diagonal, diagonals that lie close are merged (words put in or left
-out shift them), and a merged span is verified: the share of the template's k-grams it holds, and its length. Base
-phrases count where all their k-grams stand on one diagonal, that is, where their words stand consecutively. k is two,
-as the shortest fixed phrases have two words.
+position; votes are added up by text, template and diagonal, and diagonals that lie close are merged (words put in or left
+out shift them). A merged span is verified on the text's words there: a k-gram that was hit says which template words
+stand at a place of the text, so the longest chain of hits that runs on in both is what the span holds of its template in
+order; it must be a large enough share, and not drawn out. Phrases of up to three words, and so the base phrases, count
+where all their k-grams stand on one diagonal, that is, where their words stand consecutively. k is two, as the shortest
+fixed phrases have two words.
 
 Defined results: a null text is empty; a text without words or hits has zero counts, null first_word and last_word, empty
 labels and score 0; repeated rows are scanned each; a null doc_id is kept; extra columns are ignored; an empty table
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -104,6 +106,20 @@ def grams_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, row_key string, n_words long, grams array<long>")
 
 
+def in_order(hits: Column, grams: Column) -> Column:
+    """The most template k-grams in a chain of hits (pos, back = -spot; sorted) that runs on in the text and the template.
+
+    longest[s]: the longest chain that ends at spot s. Hits of one place come with falling spots, so none follows another.
+    """
+    longest = F.array_repeat(F.lit(0), grams.cast("int"))
+
+    def step(acc: Column, h: Column) -> Column:
+        here = F.coalesce(F.array_max(F.slice(acc, F.lit(1), -h["back"])), F.lit(0)) + 1
+        return F.transform(acc, lambda x, s: F.when(s == -h["back"], F.greatest(x, here)).otherwise(x))
+
+    return F.array_max(F.aggregate(hits, longest, step))
+
+
 def scan_licenses(docs: DataFrame, shift: int = 2, share: float = 0.8) -> DataFrame:
     """docs (doc_id, text, ...): doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
@@ -117,21 +133,24 @@ def scan_licenses(docs: DataFrame, shift: int = 2, share: float = 0.8) -> DataFr
     sizes = F.array(*(F.lit(len(p.split()) - K + 1) for p, _ in TEMPLATES))
     names = F.array(*(F.lit(label) for _, label in TEMPLATES))
     grams = F.get(sizes, F.col("template"))
-    votes = hits.where(F.col("template") >= 0).select("row_key", "template", (F.col("pos") - F.col("spot")).alias("diagonal"), "spot").distinct()
-    lines = votes.groupBy("row_key", "template", "diagonal").agg(F.count("*").alias("votes"), F.collect_set("spot").alias("spots"))
+    votes = hits.where(F.col("template") >= 0).select("row_key", "template", (F.col("pos") - F.col("spot")).alias("diagonal"), "pos", "spot").distinct()
+    lines = votes.groupBy("row_key", "template", "diagonal").agg(F.count("*").alias("votes"), F.collect_list(F.struct("pos", (-F.col("spot")).alias("back"))).alias("hits"))
     ordered = Window.partitionBy("row_key", "template").orderBy("diagonal")
     island = F.sum(F.when(F.col("diagonal") - F.lag("diagonal").over(ordered) <= shift, 0).otherwise(1)).over(ordered)
+    whole, base = F.col("votes") == grams, F.col("template") < len(BASE)
     merged = lines.withColumn("island", island).groupBy("row_key", "template", "island").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("spots")))).alias("held"),
+        F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"),
         (F.max("diagonal") - F.min("diagonal")).alias("drift"),
-        F.sum(F.when((F.col("template") < len(BASE)) & (F.col("votes") == grams), 1).otherwise(0)).alias("whole"),
-        F.min(F.when((F.col("template") < len(BASE)) & (F.col("votes") == grams), F.col("diagonal"))).alias("first_word"),
-        F.max(F.when((F.col("template") < len(BASE)) & (F.col("votes") == grams), F.col("diagonal"))).alias("last_word"),
+        F.max(whole).alias("consecutive"),
+        F.sum(F.when(base & whole, 1).otherwise(0)).alias("whole"),
+        F.min(F.when(base & whole, F.col("diagonal"))).alias("first_word"),
+        F.max(F.when(base & whole, F.col("diagonal"))).alias("last_word"),
     )
-    # A span holds enough of its template and is not drawn out; phrases of up to three words must be whole.
-    part = F.col("held") / grams
-    fits = F.when(grams <= 2, part >= 1).otherwise(part >= share) & (F.col("drift") <= F.greatest(F.lit(shift), (grams / 2).cast("int")))
-    spans = merged.withColumn("share", F.when(fits | (F.col("whole") > 0), F.least(F.lit(1.0), part)))
+    # Phrases of up to three words must be consecutive; longer ones are verified by their longest chain in order.
+    part = F.when(F.col("consecutive"), 1.0).when(grams > 2, in_order(F.col("hits"), grams) / grams).otherwise(0.0)
+    measured = merged.withColumn("part", part)
+    fits = F.col("consecutive") | (F.col("part") >= share) & (F.col("drift") <= F.greatest(F.lit(shift), (grams / 2).cast("int")))
+    spans = measured.withColumn("share", F.when(fits, F.col("part")))
     label = F.get(names, F.col("template"))
     by_text = spans.groupBy("row_key").agg(
         F.sum("whole").alias("n_base"), F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"), F.max("share").alias("score"),
