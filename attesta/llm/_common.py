@@ -5,39 +5,19 @@ from __future__ import annotations
 import io
 import os
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attesta.sources.scratch import cut as materialize  # noqa: F401  (the operators take it from here)
+
 #: Rows in one Arrow batch handed to Python; texts can be long, so batches stay small.
 BATCH_ROWS = 512
-_OWN_DIR: dict[str, str] = {}
 _SHIPPED: set[str] = set()
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; where it is unset (tests), one of our own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_DIR:
-        _OWN_DIR[app] = tempfile.mkdtemp(prefix="attesta-")
-        spark.sparkContext.setCheckpointDir(_OWN_DIR[app])
-    return _OWN_DIR[app]
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: the lineage ends there."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/attesta/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def prepare(spark: SparkSession) -> SparkSession:
     """Bound the Arrow batches and make this package importable in the Python workers, wherever the driver was started."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
@@ -80,15 +60,20 @@ def restored(scored: DataFrame, columns: list[str]) -> DataFrame:
     return scored.select(*((F.col("text") if c == "text" else F.col("rest")[c]).alias(c) for c in columns))
 
 
-def bounded_labels(labels: DataFrame, label: str, max_rows: int) -> DataFrame:
-    """At most max_rows labelled rows outside the held-out fold, chosen by a hash of the id: (doc_id, label).
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
+    """At most max_rows labelled rows (doc_id, label, text, ...) of docs outside the held-out fold, chosen by a hash of the id.
 
-    An id labelled more than once takes its largest label; null ids and labels are left out.
+    An id labelled more than once takes its largest label, an id with several rows that of the smallest text (and of
+    equal texts any, as a whole row); null ids and labels are left out.
     """
-    return (
+    chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id")
         .agg(F.max(label).cast("int").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_rows)
     )
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = docs.where(~held_out(F.col("doc_id"))).join(F.broadcast(chosen), "doc_id")
+    one = rows.groupBy("doc_id", "label").agg(F.min(F.struct("text", *rest)).alias("row"))
+    return one.select("doc_id", "label", "row.*")
