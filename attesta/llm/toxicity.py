@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from attesta.llm._common import bounded_labels, carried, held_out, materialize, prepare
+from attesta.llm._common import carried, held_out, labelled_sample, materialize, prepare
 
 #: Common English insults.
 SEED_LEXICON = """
@@ -36,8 +36,10 @@ SECOND_PERSON = "you your yours yourself ur u du dich dir dein deine ihr euch tu
 #: Signs that stand for letters.
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
-MASKED = re.compile(r"(?<!\S)(?=\S*[A-Za-z])(?=\S*[0-9@$!*])[A-Za-z0-9@$!*]{3,24}(?!\S)")
+MASKED = re.compile(r"(?<!\S)(?=\S*[A-Za-z])(?=\S*[0-9@$!*])[A-Za-z0-9@$!*]{3,}(?!\S)")
 PREFIX, NEAR = 5, 6
+#: Tenths of the sample that the lexicon is learned on (two draw the curve, the rest grow the trees), and the trees' own share of a score.
+LEXICON_PARTS, TIE = 5, 1e-6
 FEATURES = ["seed", "terms", "prefixes", "hits", "any", "near_you", "you", "caps", "exclaim", "punct", "masked", "masked_hits", "digits", "length"]
 
 
@@ -109,32 +111,32 @@ def learn_terms(sample: DataFrame, max_terms: int = 400, min_rows: int = 5, min_
 def toxicity_scores(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, trees: int = 20, depth: int = 3, carry: bool = False) -> DataFrame:
     """docs (doc_id, text, ...) scored by a model of labels (doc_id, toxic): doc_id, held_out, score, predicted.
 
-    max_rows bounds the labelled rows used in training. A fifth of them draws the calibration curve; the rest grow trees.
+    max_rows bounds the labelled rows used in training, one for each id: half of them teach the lexicon, a fifth draws the
+    calibration curve, the rest grow the trees.
     With carry, text and `rest` (all other columns) come along.
     """
     spark = prepare(docs.sparkSession)
-    chosen = bounded_labels(labels, "toxic", max_rows)
-    sample = materialize(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "toxic_sample")
+    sample = materialize(labelled_sample(docs.select("doc_id", "text"), labels, "toxic", max_rows), "toxic_sample")
     classes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     base = docs.select("doc_id", "text", *([carried(docs)] if carry else []))
     also = ["text", "rest"] if carry else []
     if len(classes) < 2:
         score = F.lit(classes.get(1, 0) / max(1, sum(classes.values())))
         return base.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.cast("double").alias("score"), (score >= 0.5).cast("int").alias("predicted"), *also)
-    # The lexicon is learned on one part and the trees on another, else the trees would trust terms that only their own rows hold.
-    part = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(5))
-    terms = learn_terms(sample.where(part < 2))
+    # The lexicon is learned on one part, the trees on another and the curve on a third, else the trees would trust terms
+    # that only their own rows hold. All of them, and the scores, see the same lexicon.
+    part = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(10))
+    terms = learn_terms(sample.where(part < LEXICON_PARTS))
     known = materialize(with_features(sample.withColumn("part", part), ["label", "part"], terms).withColumn("features", array_to_vector("raw")).drop("raw"), "toxic_features")
     known = known.coalesce(2)
-    try_parts = [known.where("part < 4 AND part > 1"), known.where("part = 4")]
+    try_parts = [known.where((F.col("part") >= LEXICON_PARTS) & (F.col("part") < 8)), known.where("part >= 8")]
     if any(p.select("label").distinct().count() < 2 for p in try_parts):
         try_parts = [known, known]
     model = GBTClassifier(labelCol="label", featuresCol="features", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=7, maxBins=32).fit(try_parts[0])
     one = lambda df: df.withColumn("p", vector_to_array("probability")[1])
     curve = IsotonicRegression(labelCol="label", featuresCol="p", predictionCol="calibrated").fit(one(model.transform(try_parts[1])).select("p", F.col("label").cast("double").alias("label")))
-    every = learn_terms(sample)  # for scoring, terms of all training rows
-    rows = with_features(base.withColumn("held_out", held_out(F.col("doc_id"))), ["doc_id", "held_out", *also], every).withColumn("features", array_to_vector("raw"))
+    rows = with_features(base.withColumn("held_out", held_out(F.col("doc_id"))), ["doc_id", "held_out", *also], terms).withColumn("features", array_to_vector("raw"))
     scored = curve.transform(one(model.transform(rows)).select("doc_id", "held_out", "p", *also))
-    # Isotonic steps tie many rows; a hundredth of the trees' own probability keeps their order.
-    score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.99 * F.col("calibrated") + 0.01 * F.col("p")))
+    # Isotonic steps tie many rows; a millionth of the trees' own probability keeps their order and moves no score that can be seen.
+    score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (1 - TIE) * F.col("calibrated") + TIE * F.col("p")))
     return scored.select("doc_id", "held_out", score.alias("score"), *also).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
