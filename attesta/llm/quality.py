@@ -24,9 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from attesta.llm._common import bounded_labels, carried, held_out, materialize, prepare
+from attesta.llm._common import carried, held_out, labelled_sample, materialize, prepare
 
-HASHED, STEPS = 512, 8
+HASHED, STEPS = 1 << 16, 8
+#: Training rows that must hold an input for it to count (of few rows, a fiftieth).
+MIN_ROWS = 20
 #: The upper ends of the steps of each statistic.
 CUTS = {
     "log_chars": [2, 3, 4, 5, 6, 7, 9],
@@ -66,7 +68,7 @@ def inputs_of(text: str | None, n_chars: int | None, cache: dict[str, int]) -> t
     }
     at = [HASHED + k * STEPS + int(np.searchsorted(CUTS[name], stats[name], side="right")) for k, name in enumerate(CUTS)]
     values = [1.0] * len(at)
-    weight = np.zeros(HASHED)
+    used, weight = np.zeros(0, dtype=np.int64), np.zeros(0)
     if counted:
         if len(cache) > 200_000:
             cache.clear()
@@ -77,10 +79,10 @@ def inputs_of(text: str | None, n_chars: int | None, cache: dict[str, int]) -> t
                 if len(w) <= 40:
                     cache[w] = h
             slots.append(h)
-        np.add.at(weight, slots, np.log1p(np.fromiter(counted.values(), dtype=float, count=len(counted))))
+        used, place = np.unique(slots, return_inverse=True)
+        weight = np.bincount(place, np.log1p(np.fromiter(counted.values(), dtype=float, count=len(counted))))
         weight /= np.sqrt((weight**2).sum())
-    used = np.flatnonzero(weight)
-    return [*used.tolist(), *at], [*weight[used].tolist(), *values]
+    return [*used.tolist(), *at], [*weight.tolist(), *values]
 
 
 def fm_score(at: list[int], values: list[float], intercept: float, linear: np.ndarray, factors: np.ndarray) -> float:
@@ -94,17 +96,13 @@ def fm_score(at: list[int], values: list[float], intercept: float, linear: np.nd
 def quality_scores(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, factor_size: int = 4, rounds: int = 80, threshold: float = 0.3, carry: bool = False) -> DataFrame:
     """docs (doc_id, text, n_chars if there, ...) scored by a model of labels (doc_id, quality): doc_id, held_out, score, predicted.
 
-    max_rows bounds the labelled rows used in training. With carry, text and `rest` (all other columns) come along.
+    max_rows bounds the labelled rows used in training, one for each id. With carry, text and `rest` (all other columns) come along.
     """
     prepare(docs.sparkSession)
     chars = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
     base = docs.select("doc_id", "text", chars.alias("n_chars"), *([carried(docs)] if carry else []))
     also = ["text", "rest"] if carry else []
-    sample = base.where(~held_out(F.col("doc_id"))).join(F.broadcast(bounded_labels(labels, "quality", max_rows)), "doc_id")
-
-    @F.udf(VectorUDT())
-    def vector(at, values):
-        return Vectors.sparse(SIZE, sorted(zip(at, values)))
+    sample = labelled_sample(base.select("doc_id", "text", "n_chars"), labels, "quality", max_rows)
 
     def inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, int] = {}
@@ -118,9 +116,20 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, fa
     if len(classes) < 2:
         score = F.lit(float(classes.get(1, 0) / max(1, sum(classes.values()))))
         return base.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted"), *also)
+    # Inputs that few training rows hold would only be learned by heart, so they do not count; at most SIZE numbers.
+    least = min(MIN_ROWS, max(1, sum(classes.values()) // 50))
+    common = frozenset(r["slot"] for r in known.select(F.explode("at").alias("slot")).groupBy("slot").count().where(F.col("count") >= least).select("slot").collect())
+
+    @F.udf(VectorUDT())
+    def vector(at, values):
+        return Vectors.sparse(SIZE, sorted((a, v) for a, v in zip(at, values) if a in common))
+
     ready = materialize(known.select(F.col("label").cast("double").alias("label"), vector("at", "vals").alias("features")), "quality_vectors").coalesce(2)
-    model = FMClassifier(labelCol="label", featuresCol="features", factorSize=factor_size, maxIter=rounds, stepSize=0.1, initStd=0.05, regParam=1e-4, seed=7, solver="adamW").fit(ready)
-    intercept, linear, factors = float(model.intercept), np.asarray(model.linear.toArray()), np.asarray(model.factors.toArray())
+    model = FMClassifier(labelCol="label", featuresCol="features", factorSize=factor_size, maxIter=rounds, stepSize=0.1, initStd=0.01, regParam=1e-3, seed=7, solver="adamW").fit(ready)
+    intercept, linear, factors = float(model.intercept), np.array(model.linear.toArray()), np.array(model.factors.toArray())
+    unknown = np.ones(SIZE, dtype=bool)
+    unknown[sorted(common)] = False
+    linear[unknown], factors[unknown] = 0, 0  # such slots still bear the numbers that they were set up with
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, int] = {}
