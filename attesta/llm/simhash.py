@@ -8,11 +8,13 @@ returns a spanning forest of its links, never all pairs. Components follow from
 
 To keep one document of each group of near copies (five words, a similarity of 0.8), 64 bits are too coarse: texts of
 that similarity differ in 5 to 15 of them, and so do unrelated texts of a large corpus. `keep_one` therefore compares
-fingerprints of WIDE bits over the distinct shingles, in blocks keyed by bands of min-hashes, in the same tiles. Pairs
-within the `sure` radius link at once (as a forest). Pairs between that and the `doubtful` radius link if the shingle
-sets themselves are as similar as asked: the cell names the rows in doubt, their sets are brought to it, and pairs that
-links have not joined already are compared there. Only forests leave a cell, never pairs. A pair at exactly 0.8 is missed with a probability of 0.0004
-by the blocks, and of less by the radius.
+fingerprints of WIDE bits over the distinct shingles, in blocks keyed by bands of min-hashes, in the same tiles; blocks
+that have the same smallest node are one. Pairs within the `sure` radius link at once (as a forest). Pairs between that
+and the `doubtful` radius link if the shingle sets themselves are as similar as asked: the cell names the rows in doubt,
+their sets are brought to it, and pairs that links have not joined already are compared there. Fingerprints of a few
+shingles scatter more, so pairs with a text of up to SMALL shingles never link unseen, have a wider doubtful radius, and
+blocks of more and shorter bands. Only forests leave a cell, never pairs. The blocks miss a pair at exactly 0.8 with a
+probability of 0.00007 (3e-8 for texts of up to SMALL shingles), and more similar ones far less often still.
 
 Defined results: a null or empty text, or one without words, has fingerprint zero and links like any other; a text of
 fewer words than a shingle is one shingle; repeated rows have equal rows in the result; a null doc_id is never the
@@ -32,13 +34,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm._common import materialize, prepare
+from attesta.sources.scratch import last_table, release
 
 TILE, SHORT = 2048, 8
-WIDE, BANDS, ROWS = 1024, 20, 5
+#: Of wide fingerprints: bits, bands of min-hashes, min-hashes in a band (long and small texts), nodes of a tile.
+WIDE, BANDS, ROWS, SMALL_ROWS, WIDE_TILE = 1024, 24, 5, 3, 512
+#: Shingles of a small text, and the doubtful radius of such: five deviations above the mean of four and five shingles, the pair at 0.8 that scatters most.
+SMALL, SMALL_RADIUS = 25, 256
 #: Deviations from the mean number of differing bits that the sure radius lies below and the doubtful one above.
 MARGIN = 4
 #: Odd multipliers that make further hashes out of one.
 _MULTIPLIERS = np.random.default_rng(42).integers(0, 1 << 63, size=WIDE // 64 + BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: The most parts that the rows of one key are dealt to.
+MAX_SALTS = 64
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -64,8 +72,11 @@ def fingerprint_of(text: str | None, shingle: int = 4) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def wide_fingerprint(text: str | None, shingle: int = 5) -> tuple[np.ndarray, np.ndarray, int]:
-    """WIDE bits as uint64 words (bit b is 1 if set in over half of the distinct shingles' hashes), BANDS block keys, and the number of distinct shingles."""
+def wide_fingerprint(text: str | None, shingle: int = 5, similarity: float = 0.8) -> tuple[np.ndarray, np.ndarray, int]:
+    """WIDE bits as uint64 words (bit b is 1 if set in over half of the distinct shingles' hashes), block keys, and the number of distinct shingles.
+
+    A text may be similar to another of `similarity` times its size, so those about SMALL have the keys of both kinds.
+    """
     hashes = np.unique(shingle_hashes(text, shingle))
     lanes = WIDE // 64
     counts, least = np.zeros(WIDE, dtype=np.int64), np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
@@ -79,7 +90,8 @@ def wide_fingerprint(text: str | None, shingle: int = 5) -> tuple[np.ndarray, np
         for k in range(0, len(bits), 255):  # 255 ones fit a byte
             counts += np.add.reduce(bits[k : k + 255], axis=0, dtype=np.uint8)
         np.minimum(least, (h * _MULTIPLIERS[lanes:]).min(0), out=least)
-    keys = np.array([xxhash.xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)], dtype=np.uint64)
+    kinds = [ROWS] * (len(hashes) >= SMALL) + [SMALL_ROWS] * (len(hashes) * similarity < SMALL)
+    keys = np.array([xxhash.xxh64_intdigest(least[k * rows : (k + 1) * rows].tobytes(), k) for rows in kinds for k in range(BANDS)], dtype=np.uint64)
     return np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8"), keys, len(hashes)
 
 
@@ -89,12 +101,12 @@ def wide_radius(similarity: float, deviations: float) -> int:
     return round(WIDE * p + deviations * math.sqrt(WIDE * p * (1 - p)))
 
 
-def with_wide_fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
+def with_wide_fingerprints(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """Of docs (doc_id, row_key, text): doc_id, row_key, the wide fingerprint `bits` (binary), its population count `ones`, block `keys`, and `n` distinct shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [wide_fingerprint(t, shingle) for t in b.column("text").to_pylist()]
+            got = [wide_fingerprint(t, shingle, similarity) for t in b.column("text").to_pylist()]
             bits = pa.array([x.tobytes() for x, _, _ in got], pa.binary())
             ones = pa.array([int(np.bitwise_count(x).sum()) for x, _, _ in got], pa.int32())
             keys = pa.array([k.view(np.int64).tolist() for _, k, _ in got], pa.list_(pa.int64()))
@@ -128,33 +140,36 @@ def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return total
 
 
-def forest_of(fps: np.ndarray, radius: int, doubtful: int = 0, side: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Links (row, row) that connect what lies within radius in fps (rows of uint64 words), as few as a spanning forest has.
+def forest_of(fps: np.ndarray, sure: np.ndarray, doubtful: np.ndarray, side: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Links (row, row) that connect what lies within the sure radius in fps (rows of uint64 words), as few as a spanning forest has.
 
-    Then the pairs (row, row) beyond radius and within `doubtful` that the forest does not connect.
+    Then the pairs (row, row) beyond that and within the doubtful radius that the forest does not connect. Each row has
+    its radii; a pair has the smaller sure one and the larger doubtful one.
     """
     count = np.bitwise_count(fps).sum(1, dtype=np.int32)
     order = np.argsort(count, kind="stable")
-    x, ones = fps[order], count[order]
+    x, ones, low, high = fps[order], count[order], sure[order], doubtful[order]
+    reach = max(int(low.max(initial=0)), int(high.max(initial=0)))
     label = np.arange(len(x))
     left, right = [], []
     for a in range(0, len(x), side):
         for b in range(a, len(x), side):
-            if ones[b] - ones[min(a + side, len(x)) - 1] > max(radius, doubtful):
+            if ones[b] - ones[min(a + side, len(x)) - 1] > reach:
                 break  # sorted by population count: all later tiles differ by more as well
             far = differing(x[a : a + side, None], x[None, b : b + side])
-            i, j = np.nonzero(far <= radius)
+            near = far <= np.minimum(low[a : a + side, None], low[None, b : b + side])
+            i, j = np.nonzero(near)
             i, j = i + a, j + b
             i, j = i[i < j], j[i < j]
             while len(i):
-                low = np.minimum(label[i], label[j])
-                np.minimum.at(label, label[i], low)
-                np.minimum.at(label, label[j], low)
+                least = np.minimum(label[i], label[j])
+                np.minimum.at(label, label[i], least)
+                np.minimum.at(label, label[j], least)
                 label = label[label]
                 if (label[i] == label[j]).all():
                     break
-            if doubtful > radius:
-                i, j = np.nonzero((far > radius) & (far <= doubtful))
+            if high.any():
+                i, j = np.nonzero(~near & (far <= np.maximum(high[a : a + side, None], high[None, b : b + side])))
                 i, j = i + a, j + b
                 apart = (i < j) & (label[i] != label[j])
                 left.append(i[apart])
@@ -167,68 +182,73 @@ def forest_of(fps: np.ndarray, radius: int, doubtful: int = 0, side: int = 512)
     return order[child], order[label[child]], order[i[apart]], order[j[apart]]
 
 
+def radii(sizes: np.ndarray, sure: int, doubtful: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's radii by its number of distinct shingles; a text about as large as a small one counts as small."""
+    small = sizes < 2 * SMALL
+    return np.where(small, 0, sure), np.where(small, max(SMALL_RADIUS, doubtful), doubtful)
+
+
 def compare_cells(radius: int, words: int = 0, doubtful: int = 0):
     """Rows (cell, fp) sorted by cell in, links (a, b, sure) out; holds one cell and one batch at a time.
 
-    With `words` the fingerprints are as many uint64 words in the binary column `bits`, and fp is only their name. Links
-    within radius are sure. Rows that are not sure are (cell, fp): fp has a pair within `doubtful` that the cell's sure
-    links do not connect.
+    With `words` the fingerprints are as many uint64 words in the binary column `bits`, fp is only their name, and `n` the
+    number of shingles, from which the radii follow. Links within the radius are sure. Rows that are not sure are
+    (cell, fp): fp has a pair within the doubtful radius that the cell's sure links do not connect.
     """
 
-    def links(cell: np.ndarray, fp: np.ndarray, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    def links(cell: np.ndarray, fp: np.ndarray, bits: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        low, high = radii(size, radius, doubtful) if words else (np.full(len(fp), radius), np.zeros(len(fp), dtype=int))
         edge = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
         sizes = np.diff(edge)
         for at, n in zip(edge[:-1][sizes > SHORT].tolist(), sizes[sizes > SHORT].tolist()):
             names, row = np.unique(fp[at : at + n], return_index=True)
-            i, j, k, m = forest_of(bits[at + row], radius, doubtful)
+            row += at
+            i, j, k, m = forest_of(bits[row], low[row], high[row])
             yield names[i], names[j], True
             rows = np.unique(np.concatenate([k, m]))
             yield np.full(len(rows), cell[at]), names[rows], False
         short = np.repeat(sizes <= SHORT, sizes)
-        cell, fp, bits = cell[short], fp[short], bits[short]
+        cell, fp, bits, low, high = cell[short], fp[short], bits[short], low[short], high[short]
         for d in range(1, min(SHORT, len(fp))):
             same = cell[d:] == cell[:-d]
             u, v = fp[d:][same], fp[:-d][same]
             if not len(u):
                 break
             far = differing(bits[d:][same], bits[:-d][same])
-            near = (far <= radius) & (u != v)
+            near = (far <= np.minimum(low[d:][same], low[:-d][same])) & (u != v)
             yield u[near], v[near], True
-            if doubtful > radius:
-                near = (far > radius) & (far <= doubtful)
-                yield np.tile(cell[d:][same][near], 2), np.concatenate([u[near], v[near]]), False
+            if words:
+                doubt = ~near & (far <= np.maximum(high[d:][same], high[:-d][same])) & (u != v)
+                yield np.tile(cell[d:][same][doubt], 2), np.concatenate([u[doubt], v[doubt]]), False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, fps, wide, held = [], [], [], 0
+        parts, held = [], 0
 
-        def out(cell, fp, bits):
-            for u, v, sure in links(cell, fp, bits):
+        def out(columns):
+            for u, v, sure in links(*columns):
                 if len(u):
                     a, b = (np.minimum(u, v), np.maximum(u, v)) if sure else (u, v)
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(u), sure))], names=["a", "b", "sure"])
 
         for batch in batches:
-            cells.append(batch.column("cell").to_numpy())
-            fps.append(batch.column("fp").to_numpy())
-            if words:
-                wide.append(np.frombuffer(b"".join(batch.column("bits").to_pylist()), dtype="<u8").reshape(-1, words))
-            else:
-                wide.append(fps[-1].view(np.uint64).reshape(-1, 1))
-            held += len(cells[-1])
+            cell, fp = batch.column("cell").to_numpy(), batch.column("fp").to_numpy()
+            bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), dtype="<u8").reshape(-1, words) if words else fp.view(np.uint64).reshape(-1, 1)
+            parts.append((cell, fp, bits, batch.column("n").to_numpy() if words else cell))
+            held += len(cell)
             if held > 65536:
-                cell, fp, bits = np.concatenate(cells), np.concatenate(fps), np.concatenate(wide)
-                last = int(np.searchsorted(cell, cell[-1], side="left"))  # the last cell may go on in the next batch
+                columns = [np.concatenate(x) for x in zip(*parts)]
+                last = int(np.searchsorted(columns[0], columns[0][-1], side="left"))  # the last cell may go on in the next batch
                 if last:
-                    yield from out(cell[:last], fp[:last], bits[:last])
-                cells, fps, wide, held = [cell[last:]], [fp[last:]], [bits[last:]], len(cell) - last
+                    yield from out([x[:last] for x in columns])
+                parts, held = [tuple(x[last:] for x in columns)], held - last
         if held:
-            yield from out(np.concatenate(cells), np.concatenate(fps), np.concatenate(wide))
+            yield from out([np.concatenate(x) for x in zip(*parts)])
 
     return run
 
 
-def cells_of(placed: DataFrame, radius: int, stripe: int) -> DataFrame:
-    """Placed nodes (fp, block, ones, parts) in the cells where they are compared: (fp, cell).
+def cells_of(placed: DataFrame, radius: int, stripe: int, keep: list[str]) -> DataFrame:
+    """Placed nodes (fp, block, ones, parts, ...) in the cells where they are compared: cell and the columns to keep.
 
     A block without parts is one cell. A node of a large block meets its own tile, and every tile of a stripe of
     population counts that holds counts within the radius.
@@ -239,7 +259,7 @@ def cells_of(placed: DataFrame, radius: int, stripe: int) -> DataFrame:
     stripes = F.sequence(F.greatest(at - reach, F.lit(0)), at + reach)
     others = F.flatten(F.transform(stripes, lambda p: F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda t: p * 65536 + t)))
     pairs = F.transform(others, lambda o: F.xxhash64(F.col("block"), F.least(mine, o), F.greatest(mine, o)))
-    return placed.select("fp", F.explode(F.when(F.col("parts").isNull(), F.array("block")).otherwise(pairs)).alias("cell"))
+    return placed.select(F.explode(F.when(F.col("parts").isNull(), F.array("block")).otherwise(pairs)).alias("cell"), *keep)
 
 
 def near_links(nodes: DataFrame, radius: int, bands: int = 6) -> DataFrame:
@@ -254,19 +274,22 @@ def near_links(nodes: DataFrame, radius: int, bands: int = 6) -> DataFrame:
     blocks = nodes.select("fp", block.alias("block"))
     large = blocks.groupBy("block").count().where(F.col("count") > TILE).select("block", F.ceil(F.col("count") / TILE).cast("int").alias("parts"))
     placed = blocks.join(large, "block", "left").withColumn("ones", F.bit_count("fp"))
-    cells = cells_of(placed, radius, 1)
+    cells = cells_of(placed, radius, 1, ["fp"])
     partitions = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return cells.repartition(partitions, "cell").sortWithinPartitions("cell").mapInArrow(compare_cells(radius), "a long, b long, sure boolean").select("a", "b").distinct()
 
 
 def wide_links(nodes: DataFrame, similarity: float) -> DataFrame:
-    """Of nodes (fp, bits, ones, keys) that share a block: sure links (a, b, true) up to closure, and (cell, fp, false) for nodes in doubt."""
+    """Of nodes (fp, bits, ones, keys, n) that share a block: sure links (a, b, true) up to closure, and (cell, fp, false) for nodes in doubt."""
     sure, doubtful = wide_radius(similarity, -MARGIN), wide_radius(similarity, MARGIN)
-    blocks = nodes.select("fp", "ones", F.explode("keys").alias("block"))
-    shared = blocks.groupBy("block").count().where("count > 1")
-    parts = F.when(F.col("count") > TILE, F.ceil(F.col("count") / TILE).cast("int"))
-    placed = blocks.join(shared.select("block", parts.alias("parts")), "block")
-    cells = cells_of(placed, doubtful, doubtful + 1).join(nodes.select("fp", "bits"), "fp").select("cell", "fp", "bits")
+    reach = max(doubtful, SMALL_RADIUS)
+    blocks = nodes.select("fp", F.explode("keys").alias("key"))
+    # Near copies share most of their blocks; those with one smallest node are one block, so that its nodes meet once.
+    shared = blocks.groupBy("key").agg(F.min("fp").alias("block"), F.count("*").alias("n")).where("n > 1").select("key", "block")
+    joined = materialize(blocks.join(shared, "key").select("fp", "block").distinct(), "blocks")
+    large = joined.groupBy("block").count().where(F.col("count") > WIDE_TILE).select("block", F.ceil(F.col("count") / WIDE_TILE).cast("int").alias("parts"))
+    placed = joined.join(large, "block", "left").join(nodes.select("fp", "bits", "ones", "n"), "fp")
+    cells = cells_of(placed, reach, reach + 1, ["fp", "bits", "n"])
     partitions = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = cells.repartition(partitions, "cell").sortWithinPartitions("cell").mapInArrow(compare_cells(sure, WIDE // 64, doubtful), "a long, b long, sure boolean")
     return found.distinct()
@@ -275,9 +298,9 @@ def wide_links(nodes: DataFrame, similarity: float) -> DataFrame:
 def alike_links(doubt: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Of doubt (cell, fp, bits, root, first_id) of docs (row_key, text): links (a, b) up to closure between rows of a cell whose shingle sets are that similar.
 
-    A task holds one cell: about two tiles of rows at most, with their sets.
+    A task holds one cell: about two tiles (of WIDE_TILE rows) at most, with their sets.
     """
-    radius = wide_radius(similarity, MARGIN)
+    doubtful = wide_radius(similarity, MARGIN)
     named = doubt.select("fp", F.col("first_id.row_key").alias("row_key")).dropDuplicates(["fp"])
     texts = docs.select("row_key", "text").join(named, "row_key").select("fp", "text").dropDuplicates(["fp"])
 
@@ -290,15 +313,18 @@ def alike_links(doubt: DataFrame, docs: DataFrame, shingle: int, similarity: flo
         side = 512
         fp, bits = rows["fp"].to_numpy(), np.frombuffer(b"".join(rows["bits"].to_pylist()), dtype="<u8").reshape(len(rows), -1)
         grams = [np.frombuffer(x, dtype="<u8") for x in rows["grams"].to_pylist()]
+        sizes = np.array([len(g) for g in grams])
+        high = radii(sizes, 0, doubtful)[1]
         label = np.unique(rows["root"].to_numpy(), return_inverse=True)[1]
         found = []
         for a in range(0, len(fp), side):
             for b in range(a, len(fp), side):
-                i, j = np.nonzero(differing(bits[a : a + side, None], bits[None, b : b + side]) <= radius)
+                near = differing(bits[a : a + side, None], bits[None, b : b + side]) <= np.maximum(high[a : a + side, None], high[None, b : b + side])
+                i, j = np.nonzero(near)
                 i, j = i + a, j + b
-                apart = (i < j) & (label[i] != label[j])
+                apart = (i < j) & (label[i] != label[j]) & (np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j]))
                 for u, v in zip(i[apart].tolist(), j[apart].tolist()):
-                    if label[u] != label[v] and min(len(grams[u]), len(grams[v])) >= similarity * max(len(grams[u]), len(grams[v])):
+                    if label[u] != label[v]:
                         both = len(np.intersect1d(grams[u], grams[v], assume_unique=True))
                         if both >= similarity * (len(grams[u]) + len(grams[v]) - both):
                             found.append((u, v))
@@ -310,19 +336,42 @@ def alike_links(doubt: DataFrame, docs: DataFrame, shingle: int, similarity: flo
     return doubt.select("cell", "fp", "bits", "root").join(grams, "fp").groupBy("cell").applyInArrow(alike, "a long, b long").distinct()
 
 
+def salts_for(most: int, rows: int, spark) -> int:
+    """To how many parts the rows of a key are dealt, so that the key with the most rows does not hold more than a task's share."""
+    return max(1, min(MAX_SALTS, -(-most * int(spark.conf.get("spark.sql.shuffle.partitions")) // max(1, rows))))
+
+
+def dealt(rows: DataFrame, by: str, salts: int) -> DataFrame:
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+
+
+def copied(rows: DataFrame, salts: int) -> DataFrame:
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
+
 def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """Of undirected links (a, b): (node, root), root the smallest node of its component. Alternating large and small stars."""
+    """Of undirected links (a, b): (node, root), root the smallest node of its component. Alternating large and small stars.
+
+    The links of a node with very many of them are dealt to several tasks.
+    """
+    spark = links.sparkSession
     edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     before = None
     for _ in range(max_rounds):
-        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        old = [last_table(spark)]
+        both = edges.select("u", "v", F.lit(False).alias("centre")).unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), F.lit(True).alias("centre")))
+        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"), F.max("centre").alias("centre")), "lows")
+        old.append(last_table(spark))
+        sizes = low.agg(F.coalesce(F.max("n"), F.lit(0)).alias("most"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+        salts = salts_for(2 * sizes["most"], sizes["rows"], spark)
         # large star: larger neighbours go to the smallest of the neighbourhood
-        large = edges.select(F.col("v").alias("u"), F.col("u").alias("w")).join(low, "u").select(F.col("w").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        around = dealt(edges.select(F.col("v").alias("u"), F.col("u").alias("w")), "w", salts)
+        large = around.join(copied(low.where("centre").select("u", "m"), salts), ["u", "salt"]).select(F.col("w").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: a node and its smaller neighbours go to the smallest of them
-        small_low = large.groupBy("u").agg(F.min("v").alias("m"))
-        kept = large.join(small_low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        small_low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        kept = dealt(large, "v", salts).join(copied(small_low.where("n > 1").select("u", "m"), salts), ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         edges = materialize(kept.unionByName(small_low.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        release(spark, old)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if before == (now["n"], now["h"]):
             break
@@ -344,28 +393,32 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, bands: i
 
 def members(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """Per node (fp, first_id) the smallest first_id of its component: (fp, component_id)."""
+    spark = nodes.sparkSession
     roots = components(links)
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    by_root = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rooted.join(by_root, "root").select("fp", "component_id")
+    rooted = materialize(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "rooted")
+    several = materialize(rooted.groupBy("root").agg(F.min("first_id").alias("least"), F.count("*").alias("n")).where("n > 1"), "roots")
+    sizes = several.agg(F.coalesce(F.max("n"), F.lit(0)).alias("most"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    salts = salts_for(sizes["most"], sizes["rows"], spark)
+    under = dealt(rooted.where("root <> fp"), "fp", salts).join(copied(several.select("root", "least"), salts), ["root", "salt"]).select("fp", F.col("least").alias("component_id"))
+    alone = rooted.where("root = fp").join(several.select("root", "least"), "root", "left").select("fp", F.when(F.col("least").isNotNull(), F.col("least")).otherwise(F.col("first_id")).alias("component_id"))
+    return under.unionByName(alone)
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Of docs (doc_id, row_key, text): row_key and component_id, the row_key of the first row reachable by links between texts of that similarity.
+    """Of docs (doc_id, row_key, text): (fp, component_id) for each different wide fingerprint; component_id is the first row (bare, doc_id, row_key) reachable by links between texts of that similarity.
 
-    First is the smallest doc_id, and of rows that share it the smallest row_key; rows without a doc_id come last.
+    First is the smallest doc_id, and of rows that share it the smallest row_key; rows without a doc_id (bare) come last.
     """
-    prints = materialize(with_wide_fingerprints(docs, shingle), "wide_fingerprints")
+    prints = with_wide_fingerprints(docs, shingle, similarity)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "row_key")).alias("first_id")
-    nodes = materialize(prints.groupBy("fp").agg(least, *(F.first(c).alias(c) for c in ("bits", "ones", "keys"))), "nodes")
+    nodes = materialize(prints.groupBy("fp").agg(least, *(F.first(c).alias(c) for c in ("bits", "ones", "keys", "n"))), "nodes")
     links = materialize(wide_links(nodes, similarity), "wide_links")
     sure = components(links.where("sure").select("a", "b"))
     rooted = nodes.join(sure, nodes["fp"] == sure["node"], "left").select("fp", "bits", "first_id", F.coalesce("root", "fp").alias("root"))
     doubt = links.where("NOT sure").select(F.col("a").alias("cell"), F.col("b").alias("fp")).join(rooted, "fp")
     several = doubt.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("cell")
     verified = alike_links(materialize(doubt.join(several, "cell"), "doubt"), docs, shingle, similarity)
-    member = members(nodes.select("fp", "first_id"), sure.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified))
-    return prints.select("row_key", "fp").join(member, "fp").select("row_key", F.col("component_id.row_key").alias("component_id"))
+    return members(nodes.select("fp", "first_id"), sure.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -377,6 +430,6 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     part = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("null"))
     key = F.md5(F.concat(part(F.md5("text")), F.lit("|"), part(F.col("doc_id").cast("string"))))
     groups = similar_groups(docs.select("doc_id", key.alias("row_key"), "text"), shingle, similarity)
-    chosen = groups.select(F.col("component_id").alias("_row_key")).distinct()
+    chosen = groups.select(F.col("component_id.row_key").alias("_row_key")).distinct()
     once = docs.withColumn("_row_key", key).dropDuplicates(["_row_key"])
     return once.join(chosen, "_row_key", "left_semi").select(*docs.columns)
