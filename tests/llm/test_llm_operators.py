@@ -91,6 +91,44 @@ def test_html_ratios_decide():
             assert html_text.main_text(page) == "\n\n".join(body), (name, tag)
 
 
+BODY = [("Sentence %d of the story, which goes on, and on; it has many words, and stops here. " % i * 4).strip() for i in range(4)]
+STORY, WANTED = "".join(f"<p>{b}</p>" for b in BODY), "\n\n".join(BODY)
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f"<main><article>{STORY}</article><article class='comment'><p>I like it a lot, thanks; it is good, and fine. I shall come back.</p></article></main>", WANTED),
+        (f"<main>{STORY}<div><h3>More</h3><p>Read this too.</p></div></main>", WANTED),
+        (f"<main>{STORY}<div class='teaser'><p>Read this too, as it is long and has points; it goes on, and on, and on.</p></div></main>", WANTED),
+        (f"<body><article><p data-x='a\">{STORY[3:]}</article>", WANTED),
+        (f"<article><p title=\"it's\" alt=\"a > b\">{STORY[3:]}<p class='x>It's a dog's life</p></article>", WANTED + "\n\nIt's a dog's life"),
+        (f"<article>{STORY}<div class='social-science'>{STORY}</div><p id='legal-history'>Of law.</p><p>Then <math><mi>x</mi></math> too.</p></article>", f"{WANTED}\n\n{WANTED}\n\nOf law.\n\nThen x too."),
+        (f"<body><h1>Title</h1>{STORY}<ul><li>one<li>two</ul><div>Copyright 2020</div></body>", f"Title\n\n{WANTED}\n\none\n\ntwo"),
+        (f"<article><h2><a href=x>Head</a></h2>{STORY}<ul><li><a href=a>Some other story</a><li><a href=b>And another</a></ul></article>", f"Head\n\n{WANTED}"),
+        (f"<body><form id=page><div id=content>{STORY}</div><input></form></body>", WANTED),
+    ],
+)
+def test_html_parts_of_articles(page, want):
+    assert html_text.main_text(page) == want
+
+
+def test_html_without_ratios_is_empty(monkeypatch):
+    page = f"<body><article>{STORY}</article></body>"
+    assert html_text.main_text(page) == WANTED
+    monkeypatch.setattr(html_text, "path_ratio", lambda length, points, nodes: np.zeros(len(length)))
+    assert html_text.main_text(page) == ""
+
+
+@pytest.mark.parametrize("part", ["<div>", "<a '", "<p x='a\">text ", "<b><div></b></x>", "<svg>", "<a href=x>", "<foo><p>x", "<!-- ", "<a b=", "<td>x"])
+def test_html_work_grows_with_length_only(part):
+    from time import process_time
+
+    began = process_time()
+    html_text.main_text(part * 10_000 + STORY + "</div>" * 10_000 + "' b")
+    assert process_time() - began < 2
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", None), (None, None, ""), (1, "u", "<article><p>x</article>"), (2, None, "<p>" + "word " * 50_000), (3, "v", "<<<>>&#x41;&bogus;<a <b")], "page_id long, url string, html string")
     got = html_text.extract_main_text(df.withColumn("text", F.lit("clash"))).toPandas()
@@ -124,6 +162,9 @@ def test_secrets(spark, docs):
             assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest() and [r.n_assign, r.n_access, r.n_hex] == [sum(k == n for _, k, _ in want) for n in range(3)]
     linked = {r.doc_id: r.spans for r in got}[13]
     assert linked == "ident:0:14,endpoint:15:28,bare:29:55"
+    long = spark.createDataFrame([(1, "login: bob " + "A1" * 45), (2, "é " + "token=abcdefgh " * 3000 + "end")], "doc_id long, text string")
+    assert {r.doc_id: r.spans for r in secrets.scan_secrets(long).collect()} == {1: "ident:0:10,bare:11:101", 2: ",".join(f"assign:{2 + 15 * i}:{16 + 15 * i}" for i in range(3000))}
+    assert {r.doc_id: r.text for r in secrets.redact_secrets(long).collect()} == {1: "[secret] [secret]", 2: "é " + "[secret] " * 3000 + "end"}
     alone = spark.createDataFrame([(1, "AbCdEfGhIjKlMnOpQrStUvWx12"), (2, "login: bob"), (3, "login: bob " + "w " * 400 + "AbCdEfGhIjKlMnOpQrStUvWx12"), (4, "https://a.b only")], "doc_id long, text string")
     assert {r.spans for r in secrets.scan_secrets(alone).collect()} == {""}
     assert secrets.scan_secrets(docs.limit(0)).count() == 0
@@ -134,6 +175,40 @@ def test_secrets(spark, docs):
     assert kept[13].text == "[secret] [secret] [secret]" and kept[12].text == ODD[12] and kept[1].text is None
 
 
+def test_linking_against_all_pairs(spark):
+    """Texts with many parts at all distances: what is reported is what comparing all pairs of spans reports."""
+    rng = np.random.default_rng(8)
+    parts = ["login: user%d", "client_id=abc%d", "https://host%d.example/x", "AKIAABCDEFGHIJKL%04d", "AbCdEfGhIjKlMnOpQrSt%06d", "password = longenough%d", "0123456789abcdef0123456789%06d", "plain words and more"]
+    texts = []
+    for _ in range(150):
+        text = ""
+        for _ in range(int(rng.integers(1, 25))):
+            p = parts[int(rng.integers(0, len(parts)))]
+            text += (p % rng.integers(0, 9999) if "%" in p else p) + " é" * int(rng.integers(0, 2)) + " x" * int(rng.choice([1, 5, 60, 150, 199, 200, 201, 300])) + " "
+        texts.append(text)
+
+    def slow(text):
+        python = lambda p: re.compile(p.replace("(?i)", "(?i:", 1).replace(')["\']?', '))["\']?', 1) if "(?i)" in p else p)
+        weak = [(m.start(), 3, m.end()) for m in python(secrets.IDENT).finditer(text)] + [(m.start(), 4, m.end()) for m in re.finditer(secrets.ENDPOINT, text)]
+        weak += [(m.start(), 5, m.end()) for m in re.finditer(secrets.BARE, text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+        every = weak + base_spans(text)
+        fits = lambda a, b: b[1] in ((1, 3, 4) if a[1] == 5 else (0, 2, 5)) and (b[2] <= a[0] or b[0] >= a[2]) and abs(a[0] - b[0]) <= 400
+        return ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(base_spans(text) + [w for w in weak if any(fits(w, x) for x in every)]))
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = secrets.scan_secrets(df).collect()
+    assert {r.doc_id: r.spans for r in got} == {i: slow(t) for i, t in enumerate(texts)}
+    assert sum(r.n_linked for r in got) > 300 and any(r.n_linked == 0 for r in got)
+    clean = {r.doc_id: r.text for r in secrets.redact_secrets(df).collect()}
+    for i, t in enumerate(texts):
+        out, last = "", 0
+        for a, b in [tuple(map(int, x.split(":")[1:])) for x in slow(t).split(",") if x]:
+            if a >= last:
+                out += t[last:a] + "[secret]"
+            last = max(last, b)
+        assert clean[i] == out + t[last:]
+
+
 def slow_print(text):
     words = re.findall("[^\x20\x09-\x0d]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
     if not words:
@@ -203,9 +278,9 @@ def slow_alike(a, b):
     return not (a or b) or len(a & b) >= 0.8 * len(a | b)
 
 
-@pytest.mark.parametrize("tile", [simhash.TILE, 8])
+@pytest.mark.parametrize("tile", [simhash.WIDE_TILE, 8])
 def test_near_copies_go_and_others_stay(spark, monkeypatch, tile):
-    monkeypatch.setattr(simhash, "TILE", tile)
+    monkeypatch.setattr(simhash, "WIDE_TILE", tile)
     rng = np.random.default_rng(7)
     texts, group = [], []
 
@@ -234,6 +309,43 @@ def test_near_copies_go_and_others_stay(spark, monkeypatch, tile):
     assert kept == [i for i, r in enumerate(roots) if i == r]
 
 
+def test_short_near_copies_all_go(spark):
+    """Pairs of few shingles at a similarity of 0.8 and little more, and as many below it, beside texts that share a line."""
+    rng = np.random.default_rng(17)
+    texts, pairs = [], []
+    new = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    line = new(7)
+    for g in range(300):
+        words = new(8)  # four shingles, and five with one word more: 0.8
+        pairs.append((words, [*words, *new(1)], True))
+        n = int(rng.integers(4, 40))
+        words = new(n + 4)
+        pairs.append((words, [*words, *new(n // 4)], True))  # n of n + n // 4
+        pairs.append((words := new(n + 4), [*words, *new(n // 4 + 1)], n >= 0.8 * (n + n // 4 + 1)))
+    for a, b, _ in pairs:
+        texts += [" ".join(a), " ".join(b)]
+    texts += [" ".join([*line, *new(4)]) for _ in range(200)]
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert kept == set(range(len(texts))) - {2 * i + 1 for i, (_, _, alike) in enumerate(pairs) if alike}
+
+
+def test_a_centre_with_most_links(spark):
+    """Stars and chains, a third of all links at one node, however its links are dealt."""
+    rng = np.random.default_rng(4)
+    links = [(0, i) for i in range(1, 400)] + [(10_000, i) for i in range(500, 900)] + [(i, i + 1) for i in range(1000, 1040)] + [(899, 1040)]
+    links += [tuple(rng.integers(2000, 2400, 2).tolist()) for _ in range(300)]
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    names = sorted({x for pair in links for x in pair})
+    root = dict(zip(names, names))
+    for _ in range(len(names)):
+        before = dict(root)
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+        if root == before:
+            break
+    assert {n: got.get(n, n) for n in names} == root
+
+
 def test_wide_fingerprint_of_odd_texts():
     for text in (None, "", " \n "):
         bits, keys, n = simhash.wide_fingerprint(text)
@@ -264,6 +376,23 @@ def test_packing(spark, docs):
     assert packing.pack(docs.limit(0), tokenizer_path("byte_bpe_50k.json")).count() == 0
 
 
+def test_packing_of_long_white_space_and_equal_rows(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    texts = [" " * 1_000_000, "a" + "\n" * 300_000 + "b"] + ["same text"] * 40
+    monkeypatch.setattr(packing, "PART_RUNS", 8)
+    got = packing.pack(spark.createDataFrame([(None if i > 1 else i, t) for i, t in enumerate(texts)], "doc_id long, text string"), path).toPandas()
+    for i in (0, 1):
+        ids = library.encode(texts[i], add_special_tokens=False).ids + [1]
+        mine = got[got.doc_id == i].sort_values("start")
+        assert [crc32(np.array(ids[a : a + n], dtype="<u4").tobytes()) for a, n in zip(mine.start, mine.length)] == list(mine.ids_crc32)
+    assert got.doc_id.isna().sum() == 40 and not got.duplicated(["sequence_id", "offset"]).any()
+    by_place = got.sort_values(["sequence_id", "offset"])
+    assert (by_place.offset == by_place.groupby("sequence_id").length.cumsum() - by_place.length).all()
+
+
 def test_plan_is_best_fit_decreasing():
     rng = np.random.default_rng(5)
     for _ in range(30):
@@ -320,6 +449,13 @@ def test_nearest(spark, vectors):
     zeros = spark.createDataFrame([(0, [0.0, 0.0]), (20, [1.0, 0.0]), (1, [0.0, 2.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in nearest.nearest(zeros).collect()] == [(20, 1, 1, 0.0)]
     assert nearest.nearest(df.limit(0)).count() == 0
+    huge = spark.createDataFrame([(i, [1e200 * (-1) ** i, 1e200, float(i)]) for i in range(41)], "vec_id long, embedding array<double>")
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in nearest.nearest(huge).collect() if r.query_id == 0) == [(0, k + 1, 2 * k + 2) for k in range(20)]
+    tiny = np.random.default_rng(9).normal(size=(300, 5))
+    tiny[::2] *= 1e-170
+    found = sorted(map(tuple, nearest.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(tiny)], "vec_id long, embedding array<double>")).collect()))
+    want = slow_top(np.arange(300), tiny, 20, 20)
+    assert [g[:3] for g in found] == [w[:3] for w in want]
 
 
 def test_word_bpe(spark, docs):
@@ -355,6 +491,60 @@ def test_word_bpe_random_texts():
     same()
 
 
+def test_word_bpe_forgets_in_generations(monkeypatch):
+    path = tokenizer_path("word_bpe_49k.json")
+    bpe, texts = word_bpe.WordBpe(path), [" ".join(f"word{i % 7} other{i} {'long' * 20}{i}" for i in range(n, n + 30)) for n in range(0, 300, 10)]
+    want = [bpe.encode(t) for t in texts]
+    monkeypatch.setattr(word_bpe, "CACHE_WORDS", 40)
+    small = word_bpe.WordBpe(path)
+    assert [small.encode(t) for t in texts + texts] == want + want and len(small.counts) < 150 and not any(len(w) > word_bpe.CACHE_CHARS for w in small.counts)
+
+
+def test_licenses_verify_the_order(spark):
+    """Spans against a plain search for the longest chain of word pairs that runs on in text and template."""
+    rng = np.random.default_rng(12)
+    texts = ["cc by and by sa", "CC-BY-SA", "cc by x sa"]
+    for phrase, _ in licenses.TEMPLATES:
+        words = phrase.split()
+        for kind in range(8):
+            w = list(words)
+            if kind == 1:
+                rng.shuffle(w)
+            if kind == 2:
+                w = w[len(w) // 2 :] + w[: len(w) // 2]
+            if kind > 2:
+                for _ in range(kind - 2):
+                    at = int(rng.integers(0, len(w)))
+                    w = w[:at] + ["other"] + w[at + int(rng.integers(0, 2)) :]
+            texts.append(" ".join(["some", "text", *w, "and", "more"]))
+    got = {r.doc_id: r.labels for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+
+    def slow(text):
+        words, labels = re.findall("[a-z]+", text.lower()), set()
+        for phrase, label in licenses.TEMPLATES:
+            p = phrase.split()
+            hits = sorted((i, -s) for i in range(len(words) - 1) for s in range(len(p) - 1) if words[i : i + 2] == p[s : s + 2])
+            lines = {}
+            for i, s in hits:
+                lines.setdefault(i + s, []).append((i, s))
+            if any(len(h) == len(p) - 1 for h in lines.values()):
+                labels.add(label)
+                continue
+            order, islands = sorted(lines), []
+            for d in order:
+                (islands[-1] if islands and d - islands[-1][-1] <= 2 else islands.append([]) or islands[-1]).append(d)
+            for isle in islands:
+                chain = [0] * len(p)
+                for i, s in sorted(h for d in isle for h in lines[d]):
+                    chain[-s] = max(chain[-s], max(chain[:-s], default=0) + 1)
+                if len(p) > 3 and max(chain) / (len(p) - 1) >= 0.8 and isle[-1] - isle[0] <= max(2, (len(p) - 1) // 2):
+                    labels.add(label)
+        return ",".join(sorted(labels))
+
+    assert got == {i: slow(t) for i, t in enumerate(texts)}
+    assert got[0] == "cc-by" and got[1] == "cc-by,cc-by-sa" and got[2] == "cc-by"
+
+
 def test_licenses(spark, docs):
     more = ["MIT License", "cc by cc by", "The GNU General  Public-License GNU general public license. Apache\nlicense", "mit licenseé", "cc", "Permission is hereby granted, free of charge, to any good person obtaining a copy of this software and associated documentation files", None]
     df = docs.select("doc_id", "text", "score", "pos").unionByName(spark.createDataFrame([(100 + i, t, "", "") for i, t in enumerate(more)] * 2, "doc_id long, text string, score string, pos string"))
