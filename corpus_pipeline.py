@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from attesta.llm import packing, quality, secrets, simhash, toxicity
 from attesta.llm._common import materialize, restored, table
 from attesta.llm.queries import tokenizer_path
+from attesta.sources.scratch import last_table, release, temporaries
 
 
 def kept(docs: DataFrame, scores: DataFrame, good: int) -> DataFrame:
@@ -46,7 +47,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Each stage's table is deleted when the next one is written; the last stays for the caller."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage_{name}")
+        with temporaries(spark):
+            docs = materialize(stage(spark, docs, sf_dir), f"stage_{name}")
+        release(spark, before)
+        before = [last_table(spark)]
     return docs
