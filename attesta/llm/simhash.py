@@ -37,8 +37,8 @@ from attesta.llm._common import materialize, prepare
 from attesta.sources.scratch import last_table, release
 
 TILE, SHORT = 2048, 8
-#: Of wide fingerprints: bits, bands of min-hashes, min-hashes in a band (long and small texts), nodes of a tile.
-WIDE, BANDS, ROWS, SMALL_ROWS, WIDE_TILE = 1024, 24, 5, 3, 512
+#: Of wide fingerprints: bits, bands of min-hashes, min-hashes in a band (long and small texts), nodes of a tile, and shingles in the sets that a tile of verification holds.
+WIDE, BANDS, ROWS, SMALL_ROWS, WIDE_TILE, TILE_SHINGLES = 1024, 24, 5, 3, 2048, 4 << 20
 #: Shingles of a small text, and the doubtful radius of such: five deviations above the mean of four and five shingles, the pair at 0.8 that scatters most.
 SMALL, SMALL_RADIUS = 25, 256
 #: Deviations from the mean number of differing bits that the sure radius lies below and the doubtful one above.
@@ -247,17 +247,20 @@ def compare_cells(radius: int, words: int = 0, doubtful: int = 0):
     return run
 
 
-def cells_of(placed: DataFrame, radius: int, stripe: int, keep: list[str]) -> DataFrame:
+def cells_of(placed: DataFrame, radius: int, keep: list[str], striped: bool = True) -> DataFrame:
     """Placed nodes (fp, block, ones, parts, ...) in the cells where they are compared: cell and the columns to keep.
 
-    A block without parts is one cell. A node of a large block meets its own tile, and every tile of a stripe of
-    population counts that holds counts within the radius.
+    A block without parts is one cell. A node of a large block meets its own tile and, if striped, every tile of the
+    stripes of one population count that lie within the radius; else every tile of the block (for fingerprints so wide
+    that all counts lie within the radius).
     """
-    reach = -(-radius // stripe)
-    at = F.floor(F.col("ones") / stripe).cast("int")
-    mine = at * 65536 + F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts")).cast("int")
-    stripes = F.sequence(F.greatest(at - reach, F.lit(0)), at + reach)
-    others = F.flatten(F.transform(stripes, lambda p: F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda t: p * 65536 + t)))
+    tile = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts")).cast("int")
+    tiles = F.sequence(F.lit(0), F.col("parts") - 1)
+    mine, others = tile, tiles
+    if striped:
+        mine = F.col("ones") * 65536 + tile
+        stripes = F.sequence(F.greatest(F.col("ones") - radius, F.lit(0)), F.col("ones") + radius)
+        others = F.flatten(F.transform(stripes, lambda p: F.transform(tiles, lambda t: p * 65536 + t)))
     pairs = F.transform(others, lambda o: F.xxhash64(F.col("block"), F.least(mine, o), F.greatest(mine, o)))
     return placed.select(F.explode(F.when(F.col("parts").isNull(), F.array("block")).otherwise(pairs)).alias("cell"), *keep)
 
@@ -274,7 +277,7 @@ def near_links(nodes: DataFrame, radius: int, bands: int = 6) -> DataFrame:
     blocks = nodes.select("fp", block.alias("block"))
     large = blocks.groupBy("block").count().where(F.col("count") > TILE).select("block", F.ceil(F.col("count") / TILE).cast("int").alias("parts"))
     placed = blocks.join(large, "block", "left").withColumn("ones", F.bit_count("fp"))
-    cells = cells_of(placed, radius, 1, ["fp"])
+    cells = cells_of(placed, radius, ["fp"])
     partitions = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return cells.repartition(partitions, "cell").sortWithinPartitions("cell").mapInArrow(compare_cells(radius), "a long, b long, sure boolean").select("a", "b").distinct()
 
@@ -282,23 +285,23 @@ def near_links(nodes: DataFrame, radius: int, bands: int = 6) -> DataFrame:
 def wide_links(nodes: DataFrame, similarity: float) -> DataFrame:
     """Of nodes (fp, bits, ones, keys, n) that share a block: sure links (a, b, true) up to closure, and (cell, fp, false) for nodes in doubt."""
     sure, doubtful = wide_radius(similarity, -MARGIN), wide_radius(similarity, MARGIN)
-    reach = max(doubtful, SMALL_RADIUS)
     blocks = nodes.select("fp", F.explode("keys").alias("key"))
     # Near copies share most of their blocks; those with one smallest node are one block, so that its nodes meet once.
     shared = blocks.groupBy("key").agg(F.min("fp").alias("block"), F.count("*").alias("n")).where("n > 1").select("key", "block")
     joined = materialize(blocks.join(shared, "key").select("fp", "block").distinct(), "blocks")
     large = joined.groupBy("block").count().where(F.col("count") > WIDE_TILE).select("block", F.ceil(F.col("count") / WIDE_TILE).cast("int").alias("parts"))
     placed = joined.join(large, "block", "left").join(nodes.select("fp", "bits", "ones", "n"), "fp")
-    cells = cells_of(placed, reach, reach + 1, ["fp", "bits", "n"])
+    cells = cells_of(placed, 0, ["fp", "bits", "n"], striped=False)
     partitions = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = cells.repartition(partitions, "cell").sortWithinPartitions("cell").mapInArrow(compare_cells(sure, WIDE // 64, doubtful), "a long, b long, sure boolean")
     return found.distinct()
 
 
 def alike_links(doubt: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Of doubt (cell, fp, bits, root, first_id) of docs (row_key, text): links (a, b) up to closure between rows of a cell whose shingle sets are that similar.
+    """Of doubt (cell, fp, bits, root, first_id, parts) of docs (row_key, text): links (a, b) up to closure between rows of a cell whose shingle sets are that similar.
 
-    A task holds one cell: about two tiles (of WIDE_TILE rows) at most, with their sets.
+    A task holds one cell, about two tiles of WIDE_TILE rows at most, with their sets. A cell whose sets are large comes in
+    parts, and each two parts meet in a cell of their own.
     """
     doubtful = wide_radius(similarity, MARGIN)
     named = doubt.select("fp", F.col("first_id.row_key").alias("row_key")).dropDuplicates(["fp"])
@@ -333,7 +336,10 @@ def alike_links(doubt: DataFrame, docs: DataFrame, shingle: int, similarity: flo
         return pa.table({"a": fp[pairs[:, 0]], "b": fp[pairs[:, 1]]})
 
     grams = materialize(texts.mapInArrow(sets, "fp long, grams binary"), "grams")
-    return doubt.select("cell", "fp", "bits", "root").join(grams, "fp").groupBy("cell").applyInArrow(alike, "a long, b long").distinct()
+    mine = F.pmod(F.xxhash64("fp", F.lit(2)), F.col("parts")).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.xxhash64("cell", F.least(mine, o), F.greatest(mine, o)))
+    cells = doubt.select(F.explode(meets).alias("cell"), "fp", "bits", "root")
+    return cells.join(grams, "fp").groupBy("cell").applyInArrow(alike, "a long, b long").distinct()
 
 
 def salts_for(most: int, rows: int, spark) -> int:
@@ -414,9 +420,9 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     nodes = materialize(prints.groupBy("fp").agg(least, *(F.first(c).alias(c) for c in ("bits", "ones", "keys", "n"))), "nodes")
     links = materialize(wide_links(nodes, similarity), "wide_links")
     sure = components(links.where("sure").select("a", "b"))
-    rooted = nodes.join(sure, nodes["fp"] == sure["node"], "left").select("fp", "bits", "first_id", F.coalesce("root", "fp").alias("root"))
+    rooted = nodes.join(sure, nodes["fp"] == sure["node"], "left").select("fp", "bits", "n", "first_id", F.coalesce("root", "fp").alias("root"))
     doubt = links.where("NOT sure").select(F.col("a").alias("cell"), F.col("b").alias("fp")).join(rooted, "fp")
-    several = doubt.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("cell")
+    several = doubt.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.sum("n") / TILE_SHINGLES).cast("int").alias("parts")).where("low <> high").select("cell", F.greatest("parts", F.lit(1)).alias("parts"))
     verified = alike_links(materialize(doubt.join(several, "cell"), "doubt"), docs, shingle, similarity)
     return members(nodes.select("fp", "first_id"), sure.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(verified))
 

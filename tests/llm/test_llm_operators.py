@@ -278,9 +278,10 @@ def slow_alike(a, b):
     return not (a or b) or len(a & b) >= 0.8 * len(a | b)
 
 
-@pytest.mark.parametrize("tile", [simhash.WIDE_TILE, 8])
-def test_near_copies_go_and_others_stay(spark, monkeypatch, tile):
+@pytest.mark.parametrize("tile,shingles", [(simhash.WIDE_TILE, simhash.TILE_SHINGLES), (8, simhash.TILE_SHINGLES), (simhash.WIDE_TILE, 1000)])
+def test_near_copies_go_and_others_stay(spark, monkeypatch, tile, shingles):
     monkeypatch.setattr(simhash, "WIDE_TILE", tile)
+    monkeypatch.setattr(simhash, "TILE_SHINGLES", shingles)
     rng = np.random.default_rng(7)
     texts, group = [], []
 
