@@ -39,6 +39,20 @@ DEFINE = r"\b(?:define|definition\s+of|meaning\s+of)\s+([a-z0-9][a-z0-9 +#./-]{1
 TYPES_OF = r"\b(?:types?|kinds?|categories|breeds?|varieties)\s+of\s+([a-z][a-z -]{1,80}?)(?=[()?,.;:]|\band\b|$)"
 SOME_TYPES = r"\b([a-z][a-z -]{2,40})\s+(?:types?|kinds?|categories|breeds?|varieties)\b"
 
+# What the reranker looks for around a term, and words that ask for a definition.
+LONG_FORM, AS_FORM, ASKS_DEFINITION = r"\b[a-z][a-z -]{3,}\s+\(", r"\b[^.!?]{0,80}\bas\b", r"\b(what|define|definition|meaning)\b"
+# How a sentence defines a term: what stands before and after it, and the points; then the points of a noun and of a verb.
+SUPPORT = [
+    (r"\b[a-z][a-z -]{3,}\s+\(", r"\)", 1.5),
+    ("", r"\s+(?:is|are|was|were|means|refers\s+to|is\s+defined\s+as)\b", 1.5),
+    ("", r"\b[^.!?]{0,100}\bas\s+(?:a|an|the)\b", 1.25),
+    (r"\bintroduced\s+", r"\s+as\s+(?:a|an|the)\b", 1.0),
+]
+NOUN_POINTS, VERB_POINTS = 0.5, 1.0
+# What stands around a term whose definition follows, and the rest of the sentence without references.
+DEFINES = [(r"\bintroduced\s+", r"\s+as\s+"), ("", r"\)?\s+(?:is|are|means|refers\s+to|is\s+defined\s+as)\s+"), ("", r"\)?[^.!?]{0,80}\bas\s+")]
+DEFINED = r"(.+?)(?:\s+\[[0-9,\s-]+\])?[.!?]$"
+
 # Sizes and weights.
 CHUNK_SIZE, CHUNK_OVERLAP = 900, 160
 TOP_K, LANE_K, RERANK_INPUT = 8, 50, 30
@@ -46,6 +60,8 @@ RRF_CONSTANT, GRAPH_WEIGHT, GRAPH_BONUS, OVERLAP_BONUS, OVERLAP_CAP = 60, 2.5, 0
 BM25_K1, BM25_B, BM25_EPSILON = 1.5, 0.75, 0.25
 ADJACENT_WEIGHT, CONCEPT_WEIGHT, DAMPING, ROUNDS = 0.4, 1.0, 0.85, 25
 RANK_SHARE, SEED_SHARE = 0.25, 0.1
+COVERAGE, DENSITY, FUSED_SHARE, BACKFILL = 0.75, 0.25, 0.05, 4
+LONG_FORM_BOOST, AS_FORM_BOOST, PHRASE_BOOST, MAX_BOOST = 0.35, 0.25, 0.2, 0.6
 MAX_UPLOAD_BYTES = 25 * 1024 * 1024
 
 # Access policy: role and action.
@@ -54,6 +70,9 @@ POLICY = [
     ("admin", "read"), ("analyst", "read"), ("viewer", "read"), ("admin", "admin"),
 ]
 
+# Fields of an event that its digest covers, and the hash before the first event.
+EVENT_FIELDS = ["actor", "created_at", "event_type", "payload", "previous_hash", "tenant_id"]
+GENESIS = "GENESIS"
 # Keys of an audit payload whose values are kept.
 AUDIT_KEYS = [
     "request_id", "doc_id", "matter_id", "filename", "chunk_count", "pii_entities_redacted", "retrieved_chunk_ids", "selected_doc_ids",
@@ -83,3 +102,11 @@ EXITS = {
     "retrieved rejected": "Request rejected by retrieved-content guardrails.",
     "rejected": REFUSAL,
 }
+# Why an answer was verified as it was.
+REASONS = {
+    "no quote": "no claim had a verbatim citation in retrieved chunks",
+    "off type": "no claim directly answered the type requested in the question",
+    "all hold": "all returned claims have at least one verbatim citation",
+    "dropped": "dropped unsupported citations, claims, or off-question claims",
+}
+SCAN_REASONS = {"rejected": "prompt-injection pattern detected", "accepted": "no prompt-injection pattern detected"}

@@ -116,16 +116,26 @@ def type_targets(normal_question: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(type_objects(normal_question), topic_terms)))
 
 
-def match_spans(text: Column | str, pattern: str) -> Column:
-    """array<struct<start, end, value>> of a pattern's matches, in code points: the gaps between them come from split()."""
-    t = col(text)
+def match_spans(text: Column | str, pattern: str, block: int = 256) -> Column:
+    """array<struct<start, end, value>> of a pattern's matches, in code points: the gaps between them come from split().
+
+    Matches are placed within blocks and the blocks one after another, as appending each to one array would take time
+    with the square of their number.
+    """
+    t, spans = col(text), "array<struct<start:int,end:int,value:string>>"
     gaps, hits = F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
-    both = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("gap"), h.alias("hit")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+    both = F.filter(F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("gap"), h.alias("hit"))), lambda x: x["hit"].isNotNull())
+    begin = lambda at: F.struct(at.alias("at"), F.array().cast(spans).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + F.length(x["hit"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["hit"].alias("value")))).alias("out"))
+        start = acc["at"] + x["gap"]
+        end = start + F.length(x["hit"])
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value")))).alias("out"))
+
+    def placed(pairs: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.ceil(F.size(pairs) / block).cast("int") - 1)
+        after = lambda acc, b: F.concat(acc, F.array(F.aggregate(F.slice(pairs, b * block + 1, F.lit(block)), begin(F.element_at(acc, -1)["at"]), step)))
+        return F.flatten(F.transform(F.aggregate(numbers, F.array(begin(F.lit(0))), after), lambda b: b["out"]))
 
-    return F.when(t.rlike(pattern), F.aggregate(both, start, step, lambda acc: acc["out"])).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+    # transform() of one value names it, so that it is computed once
+    return F.when(t.rlike(pattern), F.element_at(F.transform(F.array(both), placed), 1)).otherwise(F.array().cast(spans))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +14,9 @@ from attesta.sources.scratch import cut
 
 CITATION = "array<struct<chunk_id:string,quote:string>>"
 CLAIMS = f"array<struct<text:string,citations:{CITATION}>>"
+#: What a verified citation takes from its chunk, and the claims that hold such citations.
+SOURCE = {"doc_id": "string", "filename": "string", "tenant_id": "string", "matter_id": "string", "page": "int"}
+VERIFIED = f"array<struct<text:string,citations:array<struct<chunk_id:string,quote:string,{','.join(f'{k}:{v}' for k, v in SOURCE.items())}>>>>"
 LEAD = "Based on the retrieved source, "
 
 
@@ -39,7 +44,7 @@ def prompt_pack(hits: DataFrame) -> DataFrame:
 
 
 def parse_answers(raw: DataFrame) -> DataFrame:
-    """raw (question_id, json): answer, claims, and `malformed` for what is no answer."""
+    """raw (question_id, json): answer, claims, and `malformed` for what is no answer: no JSON, or JSON without an answer text."""
     parsed = F.from_json("json", f"answer string, claims {CLAIMS}", {"mode": "PERMISSIVE"})
     return raw.select("question_id", parsed.alias("p")).select("question_id", "p.answer", F.coalesce("p.claims", F.array().cast(CLAIMS)).alias("claims"), F.col("p.answer").isNull().alias("malformed"))
 
@@ -54,14 +59,8 @@ def support_score(text: Column, terms: Column) -> Column:
     own, p = content_terms(text), target_pattern(terms)
     has = lambda before, after: F.regexp_like(text, F.concat(F.lit(before), p, F.lit(after)))
     points = lambda ok, n: F.when(ok, n).otherwise(0.0)
-    score = (
-        points(has(r"\b[a-z][a-z -]{3,}\s+\(", r"\)"), 1.5)
-        + points(has("", r"\s+(?:is|are|was|were|means|refers\s+to|is\s+defined\s+as)\b"), 1.5)
-        + points(has("", r"\b[^.!?]{0,100}\bas\s+(?:a|an|the)\b"), 1.25)
-        + points(has(r"\bintroduced\s+", r"\s+as\s+(?:a|an|the)\b"), 1.0)
-        + points(F.arrays_overlap(own, F.array(*map(F.lit, fixed.DEFINITION_NOUNS))), 0.5)
-        + points(F.arrays_overlap(own, F.array(*map(F.lit, fixed.DEFINITION_VERBS))), 1.0)
-    )
+    score = reduce(lambda x, y: x + y, (points(has(before, after), n) for before, after, n in fixed.SUPPORT))
+    score += points(F.arrays_overlap(own, F.array(*map(F.lit, fixed.DEFINITION_NOUNS))), fixed.NOUN_POINTS) + points(F.arrays_overlap(own, F.array(*map(F.lit, fixed.DEFINITION_VERBS))), fixed.VERB_POINTS)
     return F.when(F.arrays_overlap(own, terms), score).otherwise(0.0)
 
 
@@ -73,10 +72,9 @@ def definition_answers(hits: DataFrame) -> DataFrame:
     scored = each.withColumn("normal", normal).withColumn("score", support_score(F.col("normal"), F.col("terms"))).where("score > 0")
     w = Window.partitionBy("question_id").orderBy(F.desc("score"), "rank", "pos")
     best = scored.withColumn("n", F.row_number().over(w)).where("n = 1")
-    p, tail = target_pattern(F.col("terms")), r"(.+?)(?:\s+\[[0-9,\s-]+\])?[.!?]$"
-    body = F.lit("")
-    for before, after in ((r"\bintroduced\s+", r"\s+as\s+"), ("", r"\)?\s+(?:is|are|means|refers\s+to|is\s+defined\s+as)\s+"), ("", r"\)?[^.!?]{0,80}\bas\s+")):
-        got = F.regexp_replace(F.call_function("regexp_extract", F.col("normal"), F.concat(F.lit(before), p, F.lit(after + tail)), F.lit(1)), r"[.!? ]+$", "")
+    p, body = target_pattern(F.col("terms")), F.lit("")
+    for before, after in fixed.DEFINES:
+        got = F.regexp_replace(F.call_function("regexp_extract", F.col("normal"), F.concat(F.lit(before), p, F.lit(after + fixed.DEFINED)), F.lit(1)), r"[.!? ]+$", "")
         body = F.when(body != "", body).otherwise(got)
     label = definition_label("question")
     text = F.when(body != "", F.concat(label, F.lit(" is "), body, F.lit("."))).otherwise(F.concat(label, F.lit(" is described by the cited source.")))
@@ -86,14 +84,17 @@ def definition_answers(hits: DataFrame) -> DataFrame:
 def verify_citations(answers: DataFrame, hits: DataFrame) -> DataFrame:
     """Each citation of answers (question_id, claims) with `verified`: its chunk was retrieved and holds the quote verbatim (normalized).
 
-    An empty quote passes, and is marked in empty_quote.
+    A verified citation takes doc_id, filename, tenant_id, matter_id and page from that chunk, as far as hits have them.
+    An empty quote passes, and is marked in empty_quote. A claim without citations is one row without chunk_id and cite.
     """
     claims = answers.select("question_id", F.posexplode("claims").alias("claim", "c")).select("question_id", "claim", F.col("c.text").alias("claim_text"), F.posexplode_outer("c.citations").alias("cite", "x"))
     cited = claims.select("question_id", "claim", "claim_text", "cite", "x.chunk_id", "x.quote")
-    held = hits.select("question_id", "chunk_id", normalize_for_match("text").alias("norm_text")).dropDuplicates(["question_id", "chunk_id"])
+    own = [(F.col(k) if k in hits.columns else F.lit(None)).cast(v).alias(k) for k, v in SOURCE.items()]
+    held = hits.select("question_id", "chunk_id", normalize_for_match("text").alias("norm_text"), F.struct(*own).alias("source")).dropDuplicates(["question_id", "chunk_id"])
     joined = cited.join(held, ["question_id", "chunk_id"], "left").withColumn("norm_quote", normalize_for_match("quote"))
     ok = F.coalesce(F.col("norm_text").contains(F.col("norm_quote")), F.lit(False))
-    return joined.withColumn("verified", ok).withColumn("empty_quote", F.col("norm_quote") == "").drop("norm_text", "norm_quote")
+    marked = joined.withColumn("verified", ok).withColumn("empty_quote", F.col("norm_quote") == "")
+    return marked.select("question_id", "claim", "claim_text", "cite", "chunk_id", "quote", "verified", "empty_quote", *(F.when(F.col("verified"), F.col("source")[k]).alias(k) for k in SOURCE))
 
 
 def answers_type(question: Column, generated: Column, quotes: Column) -> Column:
@@ -122,26 +123,40 @@ def answers_type(question: Column, generated: Column, quotes: Column) -> Column:
 
 
 def verify_answers(answers: DataFrame, hits: DataFrame, questions: DataFrame) -> DataFrame:
-    """answers (question_id, answer, claims): status accepted, repaired or rejected, the text that stands, and what was dropped."""
+    """answers (question_id, answer, claims): question_id, status, answer, dropped_claims, dropped_citations, reason, claims.
+
+    A claim stands if it has a verified citation and answers the type that is asked for, if one is. dropped_citations
+    counts the citations that are not verified and those of claims off the type; dropped_claims the latter claims only.
+    Without a claim that stands the answer is rejected; without a dropped citation it is accepted as it is; else it is
+    repaired, from the claims that stand. Their citations are the verified ones, with what they take from their chunks.
+    """
     cites = verify_citations(answers, hits)
-    quotes = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("verified"), F.struct("cite", "quote")))), lambda x: x["quote"]), " ")
-    by_claim = cites.groupBy("question_id", "claim", "claim_text").agg(F.count("chunk_id").alias("cited"), F.sum(F.col("verified").cast("int")).alias("kept"), quotes.alias("quotes"))
-    joined = by_claim.join(answers.select("question_id", "answer"), "question_id").join(questions.select("question_id", "question"), "question_id")
+    one = F.struct("cite", F.struct("chunk_id", "quote", *SOURCE).alias("c"))
+    kept = F.transform(F.array_sort(F.collect_list(F.when(F.col("verified"), one))), lambda x: x["c"])
+    by_claim = cites.groupBy("question_id", "claim", "claim_text").agg(F.count("cite").alias("cited"), kept.alias("kept"))
+    joined = by_claim.join(answers.select("question_id", "answer"), "question_id").join(questions.select("question_id", "question"), "question_id", "left")
     norm = normalize_for_match
-    normal = joined.withColumns({"nq": norm("question"), "ng": norm(F.concat_ws(" ", "answer", "claim_text")), "nt": norm("quotes")})
-    good = (F.col("kept") > 0) & answers_type(F.col("nq"), F.col("ng"), F.col("nt"))
-    marked = normal.withColumn("good", F.coalesce(good, F.lit(False)))
-    text = F.when(clean_ends(F.coalesce("claim_text", F.lit(""))) != "", clean_ends(F.col("claim_text"))).otherwise(clean_ends(F.col("quotes")))
+    quotes = F.array_join(F.transform("kept", lambda c: c["quote"]), " ")
+    normal = joined.withColumns({"nq": norm(F.coalesce("question", F.lit(""))), "ng": norm(F.concat_ws(" ", "answer", "claim_text")), "nt": norm(quotes)})
+    held = F.size("kept") > 0
+    marked = normal.withColumn("good", held & F.coalesce(answers_type(F.col("nq"), F.col("ng"), F.col("nt")), F.lit(False)))
+    own = clean_ends(F.coalesce("claim_text", F.lit("")))
+    words = F.filter(F.transform("kept", lambda c: clean_ends(c["quote"])), lambda q: q != "")
+    text = F.when(own != "", own).otherwise(F.array_join(words, " "))
+    stands = F.struct("claim", text.alias("t"), F.struct(F.col("claim_text").alias("text"), F.col("kept").alias("citations")).alias("c"))
     grouped = marked.groupBy("question_id").agg(
-        F.sum((~F.col("good")).cast("int")).alias("dropped_claims"),
-        F.sum(F.when(F.col("good"), F.col("cited") - F.col("kept")).otherwise(F.col("cited"))).alias("dropped_citations"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("good"), F.struct("claim", text.alias("t"))))), lambda x: x["t"]), " ").alias("joined"),
-        F.sum(F.col("good").cast("int")).alias("n_good"),
+        F.sum(F.when(held & ~F.col("good"), 1).otherwise(0)).alias("dropped_claims"),
+        F.sum(F.when(F.col("good"), F.col("cited") - F.size("kept")).otherwise(F.col("cited"))).alias("dropped_citations"),
+        F.array_sort(F.collect_list(F.when(F.col("good"), stands))).alias("good"),
     )
-    out = answers.select("question_id", "answer").join(grouped, "question_id", "left").fillna(0, ["dropped_claims", "dropped_citations", "n_good"])
-    status = F.when(F.col("n_good") == 0, "rejected").when((F.col("dropped_claims") == 0) & (F.col("dropped_citations") == 0), "accepted").otherwise("repaired")
-    final = F.when(F.col("n_good") == 0, fixed.REFUSAL).when(status == "accepted", F.col("answer")).otherwise(F.col("joined"))
-    return out.select("question_id", status.alias("status"), final.alias("answer"), F.col("dropped_claims").cast("long").alias("dropped_claims"), F.col("dropped_citations").cast("long").alias("dropped_citations"))
+    out = answers.select("question_id", "answer").join(grouped, "question_id", "left").fillna(0, ["dropped_claims", "dropped_citations"])
+    none, clean = F.coalesce(F.size("good") <= 0, F.lit(True)), F.col("dropped_citations") == 0
+    status = F.when(none, "rejected").when(clean, "accepted").otherwise("repaired")
+    texts = F.filter(F.transform("good", lambda g: g["t"]), lambda t: t != "")
+    final = F.when(none, fixed.REFUSAL).when(clean, F.col("answer")).otherwise(F.array_join(texts, " "))
+    reason = F.when(none & (F.col("dropped_claims") > 0), fixed.REASONS["off type"]).when(none, fixed.REASONS["no quote"]).when(clean, fixed.REASONS["all hold"]).otherwise(fixed.REASONS["dropped"])
+    claims = F.coalesce(F.transform("good", lambda g: g["c"]), F.array()).cast(VERIFIED)
+    return out.select("question_id", status.alias("status"), final.alias("answer"), F.col("dropped_claims").cast("long").alias("dropped_claims"), F.col("dropped_citations").cast("long").alias("dropped_citations"), reason.alias("reason"), claims.alias("claims"))
 
 
 def definition_supported(answers: DataFrame, questions: DataFrame) -> DataFrame:
@@ -153,66 +168,118 @@ def definition_supported(answers: DataFrame, questions: DataFrame) -> DataFrame:
     return each.groupBy("question_id").agg(F.max(ok).alias("supported"))
 
 
-def definition_fallback(checked: DataFrame, answers: DataFrame, hits: DataFrame, questions: DataFrame) -> DataFrame:
-    """checked (verify_answers) where a definition is asked for and the answer is not accepted, or its quotes do not define it:
+def definition_fallback(checked: DataFrame, hits: DataFrame, questions: DataFrame) -> DataFrame:
+    """checked (verify_answers) where a definition is asked for and the answer is not accepted, or its verified quotes do not define it:
 
-    the definition answer takes its place if it is accepted itself. question_id, status, answer, previous_status.
+    the definition answer takes its place if it is accepted itself. question_id, status, answer, previous_status, claims.
     """
     own = definition_answers(hits).withColumn("claims", F.array(F.struct(F.col("answer").alias("text"), F.array(F.struct("chunk_id", "quote")).alias("citations"))).cast(CLAIMS))
-    good = verify_answers(own.select("question_id", "answer", "claims"), hits, questions).where("status = 'accepted'").select("question_id", F.col("answer").alias("definition"))
-    supported = definition_supported(answers, questions)
+    good = verify_answers(own.select("question_id", "answer", "claims"), hits, questions).where("status = 'accepted'").select("question_id", F.col("answer").alias("definition"), F.col("claims").alias("defined"))
+    supported = definition_supported(checked.select("question_id", "claims"), questions)
     joined = checked.join(good, "question_id", "left").join(supported, "question_id", "left")
     swap = F.col("definition").isNotNull() & ((F.col("status") != "accepted") | ~F.coalesce("supported", F.lit(False)))
-    return joined.select("question_id", F.when(swap, "repaired").otherwise(F.col("status")).alias("status"), F.when(swap, F.col("definition")).otherwise(F.col("answer")).alias("answer"), F.when(swap, F.col("status")).alias("previous_status"))
+    pick = lambda new, old: F.when(swap, new).otherwise(F.col(old)).alias(old)
+    return joined.select("question_id", pick(F.lit("repaired"), "status"), pick(F.col("definition"), "answer"), F.when(swap, F.col("status")).alias("previous_status"), pick(F.col("defined"), "claims"))
+
+
+WORD_RUN = r"[\p{L}\p{N}\p{M}_]+"
 
 
 def find_quotes(quotes: DataFrame, texts: DataFrame, words: int = 6) -> DataFrame:
-    """Pairs (quote_id, id) where texts (id, text) hold a quote verbatim (normalized).
+    """Pairs (quote_id, id) where texts (id, text) hold a quote as a substring (both normalized).
 
-    Candidates come from an equi-join of the quote's first words with the texts' word shingles; only hashes are shuffled.
+    Candidates come from equi-joins with what each text surely holds if it holds the quote: the run of a quote's inner
+    words (its first and last may be cut out of longer ones), its longest inner word if there are few, or its first
+    characters if there is none. A null or empty quote is found nowhere.
     """
-    shingle = lambda w, n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, n), " ")))
-    split = lambda c: F.regexp_extract_all(F.col(c), F.lit("[a-z0-9]+"), F.lit(0))
-    q = quotes.select("quote_id", normalize_for_match("quote").alias("nq"))
-    # The first word of a quote may begin within a word of a text, so shingles start at the second.
-    keyed = q.withColumn("w", split("nq")).where(F.size("w") > words).withColumn("h", F.xxhash64(F.array_join(F.slice("w", 2, words), " ")))
-    short = q.where(F.size(split("nq")) <= words)
-    t = cut(cut(texts.select("id", normalize_for_match("text").alias("nt"))).withColumn("w", split("nt")))
-    hashed = t.select("id", F.explode(F.array_distinct(shingle(F.col("w"), words))).alias("h"))
-    pairs = keyed.join(hashed, "h").select("quote_id", "nq", "id").distinct()
-    found = pairs.join(t.select("id", "nt"), "id").where(F.col("nt").contains(F.col("nq"))).select("quote_id", "id")
-    # Quotes too short for a shingle are looked up by each text's words.
-    one = short.withColumn("h", F.element_at(split("nq"), 1)).where(F.col("h").isNotNull())
-    by_word = t.select("id", F.explode(F.array_distinct("w")).alias("h"))
-    few = one.join(by_word, "h").join(t.select("id", "nt"), "id").where(F.col("nt").contains(F.col("nq"))).select("quote_id", "id")
-    return found.unionByName(few).distinct()
+    split = lambda c: F.regexp_extract_all(F.col(c), F.lit(WORD_RUN), F.lit(0))
+    q = quotes.select("quote_id", normalize_for_match("quote").alias("nq")).where("nq <> ''").withColumn("w", split("nq"))
+    inner = F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0)))
+    longest = F.element_at(F.array_sort(F.transform("inner", lambda w, i: F.struct((-F.length(w)).alias("n"), i.alias("i"), w.alias("w")))), 1)["w"]
+    q = cut(q.withColumn("inner", inner).withColumn("tier", F.when(F.size("inner") >= words, F.lit(0)).when(F.size("inner") > 0, F.lit(-1)).otherwise(F.least(F.length("nq"), F.lit(3)))), "quotes")
+    tiers = {r["tier"] for r in q.select("tier").distinct().collect()}  # at most five kinds
+    t = cut(texts.select("id", normalize_for_match("text").alias("nt")).where("nt <> ''").withColumn("w", split("nt")), "texts")
+    found = []
+    for tier in sorted(tiers):
+        asked = q.where(F.col("tier") == tier)
+        if tier == 0:
+            asked = asked.withColumn("key", F.xxhash64(F.array_join(F.slice("inner", 1, words), " ")))
+            runs = F.transform(F.sequence(F.lit(1), F.size("w") - words + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, words), " ")))
+            keys = t.where(F.size("w") >= words).select("id", F.explode(F.array_distinct(runs)).alias("key"))
+        elif tier == -1:
+            asked = asked.withColumn("key", longest)
+            keys = t.select("id", F.explode(F.array_distinct("w")).alias("key"))
+        else:
+            asked = asked.withColumn("key", F.substring("nq", F.lit(1), F.lit(tier)))
+            keys = t.select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.col("nt"), F.lit("(?s)(?=(.{%d}))" % tier), F.lit(1)))).alias("key"))
+        pairs = asked.select("quote_id", "nq", "key").join(keys, "key").select("quote_id", "nq", "id").distinct()
+        found.append(pairs.join(t.select("id", "nt"), "id").where(F.col("nt").contains(F.col("nq"))).select("quote_id", "id"))
+    return reduce(DataFrame.unionByName, found).distinct() if found else q.select("quote_id", F.lit(None).cast(texts.schema["id"].dataType).alias("id")).limit(0)
 
 
 def locate_quotes(pairs: DataFrame) -> DataFrame:
-    """pairs (..., text, quote): start, end (code points, end exclusive), line_start, line_end of the first exact match; null without one."""
-    at = F.instr("text", F.col("quote")) - 1
-    found = pairs.withColumn("start", F.when((at >= 0) & (F.col("quote") != ""), at))
+    """pairs (..., text, quote): start, end (code points, end exclusive), line_start, line_end of the quote; null where it is not found.
+
+    The trimmed quote is looked for as it is, and only where that fails with any white space for its white space.
+    """
+    space = r"[\s\x{0B}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
+    text, clean = F.col("text"), F.regexp_replace("quote", f"^{space}|{space}$", "")
+    literal = lambda w: F.concat(F.lit("\\Q"), F.replace(w, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    pattern = F.array_join(F.transform(F.split(clean, space, -1), literal), space)
+    loose = F.when(clean != "", F.call_function("regexp_extract", text, pattern, F.lit(0)))
+    hit = F.when(clean == "", F.lit(None).cast("string")).when(text.contains(clean), clean).otherwise(F.nullif(loose, F.lit("")))
+    start = F.instr(text, F.col("_hit")) - 1
     lines = lambda upto: F.length(F.regexp_replace(F.substring("text", F.lit(1), upto), "[^\n]", "")) + 1
-    end = F.col("start") + F.length("quote")
-    return found.withColumn("end", end).withColumn("line_start", F.when(F.col("start").isNotNull(), lines(F.col("start")))).withColumn("line_end", F.when(F.col("start").isNotNull(), lines(F.col("end") - 1)))
+    found = pairs.withColumn("_hit", hit).withColumn("start", start).withColumn("end", F.col("start") + F.length("_hit"))
+    last = F.greatest(F.col("end") - 1, F.col("start"))
+    return found.withColumns({"line_start": F.when(F.col("start").isNotNull(), lines(F.col("start"))), "line_end": F.when(F.col("start").isNotNull(), lines(last))}).drop("_hit")
+
+
+def source_excerpts(located: DataFrame, around: int = 2, preview: int = 120) -> DataFrame:
+    """located (locate_quotes) with the lines around the quote: excerpt_start, excerpt_end (from 1), excerpt. Without a quote, the first lines."""
+    lines = F.split("text", "\r?\n", -1)
+    first = F.when(F.col("start").isNull(), 1).otherwise(F.greatest(F.col("line_start") - around, F.lit(1)))
+    last = F.when(F.col("start").isNull(), F.least(F.size(lines), F.lit(preview))).otherwise(F.least(F.size(lines), F.col("line_end") + around))
+    with_range = located.withColumn("excerpt_start", first).withColumn("excerpt_end", last)
+    return with_range.withColumn("excerpt", F.array_join(F.slice(lines, F.col("excerpt_start"), F.col("excerpt_end") - F.col("excerpt_start") + 1), "\n"))
 
 
 def locate_segments(matches: DataFrame, parts: DataFrame) -> DataFrame:
-    """matches (doc_id, start, end) in the text of parts (doc_id, pos, text) joined by spaces: doc_id, pos, part_start, part_end."""
+    """matches (doc_id, start, end) in the text of parts (doc_id, pos, text) joined by spaces: doc_id, pos, part_start, part_end. Empty parts add no space."""
     w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    placed = parts.withColumn("from", F.coalesce(F.sum(F.length("text") + 1).over(w), F.lit(0))).withColumn("to", F.col("from") + F.length("text"))
+    own = F.length(F.coalesce("text", F.lit("")))
+    before = F.coalesce(F.sum(F.when(F.col("n") > 0, F.col("n") + 1).otherwise(0)).over(w), F.lit(0))
+    placed = parts.withColumn("n", own).withColumn("before", before).withColumn("from", F.when((F.col("n") == 0) & (F.col("before") > 0), F.col("before") - 1).otherwise(F.col("before"))).withColumn("to", F.col("from") + F.col("n"))
     hit = matches.join(placed, "doc_id").where((F.col("from") < F.col("end")) & (F.col("to") > F.col("start")))
-    return hit.select("doc_id", "start", "end", "pos", F.greatest(F.col("start") - F.col("from"), F.lit(0)).alias("part_start"), F.least(F.col("end") - F.col("from"), F.length("text")).alias("part_end"))
+    return hit.select(*matches.columns, "pos", F.greatest(F.col("start") - F.col("from"), F.lit(0)).alias("part_start"), F.least(F.col("end") - F.col("from"), F.col("n")).alias("part_end"))
+
+
+def locate_quote_segments(quotes: DataFrame, parts: DataFrame) -> DataFrame:
+    """quotes (doc_id, quote, ...) in the joined parts (doc_id, pos, text) of their document: the ranges of the parts that they touch.
+
+    A quote may run over the border of two parts.
+    """
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: F.coalesce(x["text"], F.lit("")))
+    whole = parts.groupBy("doc_id").agg(F.array_join(F.filter(ordered, lambda t: t != ""), " ").alias("text"))
+    found = locate_quotes(quotes.join(whole, "doc_id")).where("start IS NOT NULL").drop("text", "line_start", "line_end")
+    return locate_segments(found, parts)
 
 
-def answer_questions(questions: DataFrame, hits: DataFrame, guarded: DataFrame, flagged: DataFrame) -> DataFrame:
+def answer_questions(questions: DataFrame, hits: DataFrame, guarded: DataFrame, flagged: DataFrame, answers: DataFrame | None = None) -> DataFrame:
     """All questions in one job, with their exits in order: input rejected, no sources, retrieved text rejected, else verified.
 
-    guarded: guard_questions(); flagged: scan_hits() of the hits.
+    guarded: guard_questions(); flagged: scan_hits() of the hits; answers: those of a model that ran elsewhere, else quotes
+    of the hits. A question for a definition falls back on the sentence that defines it best. question_id, status, answer,
+    previous_status, claims (with verified citations only).
     """
-    answers = quote_answers(hits.join(questions.select("question_id", "question"), "question_id") if "question" not in hits.columns else hits)
-    checked = verify_answers(answers, hits, questions)
+    if "question" not in hits.columns:
+        hits = hits.join(questions.select("question_id", "question"), "question_id")
+    hits = cut(hits, "hits")
+    answers = quote_answers(hits) if answers is None else answers
+    checked = definition_fallback(cut(verify_answers(answers, hits, questions), "checked"), hits, questions)
     joined = questions.select("question_id").join(guarded.select("question_id", F.col("rejected").alias("bad_input")), "question_id", "left").join(flagged.select("question_id", F.col("rejected").alias("bad_hits")), "question_id", "left").join(checked, "question_id", "left")
-    exit_ = F.when(F.col("bad_input"), "input rejected").when(F.col("bad_hits").isNull(), "no sources").when(F.col("bad_hits"), "retrieved rejected").otherwise(F.col("status"))
+    exit_ = F.when(F.col("bad_input"), "input rejected").when(F.col("bad_hits").isNull(), "no sources").when(F.col("bad_hits"), "retrieved rejected").otherwise(F.coalesce("status", F.lit("rejected")))
     texts = F.create_map(*(F.lit(x) for pair in fixed.EXITS.items() for x in pair))
-    return joined.select("question_id", exit_.alias("status"), F.coalesce(F.element_at(texts, exit_), "answer").alias("answer"))
+    through = ~exit_.isin([k for k in fixed.EXITS if k != "rejected"])
+    claims = F.when(through, F.col("claims")).otherwise(F.array().cast(VERIFIED))
+    return joined.select("question_id", exit_.alias("status"), F.coalesce(F.element_at(texts, exit_), "answer").alias("answer"), F.when(through, F.col("previous_status")).alias("previous_status"), F.coalesce(claims, F.array().cast(VERIFIED)).alias("claims"))

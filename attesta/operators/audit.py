@@ -4,17 +4,22 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from attesta.functions import fixed
+from attesta.functions.text import canonical_tokens, tokenize
 
-GENESIS = "GENESIS"
-FIELDS = ["actor", "created_at", "event_type", "payload", "previous_hash", "tenant_id"]
+GENESIS = fixed.GENESIS
+FIELDS = fixed.EVENT_FIELDS
+EVENT = ["id", "tenant_id", "actor", "event_type", "payload", "created_at"]
+CHAINED = "id long, tenant_id string, actor string, event_type string, payload string, created_at string, previous_hash string, event_hash string"
 
 
 def redact_payload(payload: Column) -> Column:
@@ -26,15 +31,28 @@ def scrub_attributes(attributes: Column) -> Column:
     return F.map_filter(attributes, lambda k, v: k.isin(fixed.KEPT_ATTRIBUTES) & ~k.isin(fixed.DELETED_ATTRIBUTES))
 
 
-def hasher():
-    """A function of an event (a dict) and the previous hash; made here so that it travels to the workers by value."""
-    fields, sha = list(FIELDS), hashlib.sha256
+def linker(redact: bool):
+    """A function of an event (a dict) and the previous hash that gives payload and hash; made here so that it travels to the workers by value.
 
-    def digest(row: dict, previous: str) -> str:
-        body = {k: (row | {"previous_hash": previous})[k] for k in fields}
-        return sha(json.dumps(body, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    With redact, the payload's JSON keeps the values of allowed keys only, sorted and compact, before it is hashed; what
+    is no JSON object is redacted as a whole.
+    """
+    fields, sha, allowed, mark = list(FIELDS), hashlib.sha256, frozenset(fixed.AUDIT_KEYS), "[redacted]"
+    dump = lambda x: json.dumps(x, sort_keys=True, separators=(",", ":"))
+
+    def clean(payload: str | None) -> str:
+        try:
+            found = json.loads(payload or "{}")
+        except ValueError:
+            found = None
+        return dump({k: v if k in allowed else mark for k, v in found.items()} if isinstance(found, dict) else mark)
+
+    def link(row: dict, previous: str) -> tuple[str, str]:
+        payload = clean(row["payload"]) if redact else row["payload"]
+        body = row | {"payload": payload, "previous_hash": previous}
+        return payload, sha(dump({k: body[k] for k in fields}).encode()).hexdigest()
 
-    return digest
+    return link
 
 
 @F.pandas_udf(StringType())
@@ -55,23 +73,30 @@ def event_digest(previous: Column) -> Column:
     return F.sha2(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")), 256)
 
 
-def append_chain(events: DataFrame, chain: str = "tenant_id") -> DataFrame:
-    """events (id, tenant_id, actor, event_type, payload, created_at) with previous_hash and event_hash, one chain per `chain`.
+def append_chain(events: DataFrame, chain: str = "tenant_id", redact: bool = True) -> DataFrame:
+    """events (id, tenant_id, actor, event_type, payload, created_at), redacted, with previous_hash and event_hash, one chain per `chain`.
 
-    A chain is sequential by nature; chains run in parallel, and a task holds one chain at a time.
+    A chain is sequential by nature, so one chain is one task; chains run in parallel. A task reads its events sorted and
+    batch by batch, and holds the last hash only.
     """
-    names, hash_of, genesis = ["id", "tenant_id", "actor", "event_type", "payload", "created_at"], hasher(), GENESIS
-
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        previous, out = genesis, []
-        for r in pdf.sort_values("id").to_dict("records"):
-            digest = hash_of(r, previous)
-            out.append({**{n: r[n] for n in names}, "previous_hash": previous, "event_hash": digest})
-            previous = digest
-        return pd.DataFrame(out, columns=[*names, "previous_hash", "event_hash"])
-
-    schema = "id long, tenant_id string, actor string, event_type string, payload string, created_at string, previous_hash string, event_hash string"
-    return events.select(*names).groupBy(chain).applyInPandas(link, schema)
+    names, link, genesis, out = list(EVENT), linker(redact), GENESIS, [*EVENT, "previous_hash", "event_hash"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, previous = object(), genesis
+        for b in batches:
+            rows, before, after = b.to_pylist(), [], []
+            for r in rows:
+                if r[chain] != key:
+                    key, previous = r[chain], genesis
+                r["payload"], digest = link(r, previous)
+                before.append(previous)
+                after.append(digest)
+                previous = digest
+            kept = [pa.array([r["payload"] for r in rows], pa.string()) if n == "payload" else b.column(n) for n in names]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(before, pa.string()), pa.array(after, pa.string())], names=out)
+
+    dealt = events.select(*names).repartition(F.col(chain)).sortWithinPartitions(chain, "id")
+    return dealt.mapInArrow(run, CHAINED)
 
 
 def verify_chain(chained: DataFrame, chain: str = "tenant_id") -> DataFrame:
@@ -101,19 +126,57 @@ def find_audit(events: DataFrame, guardrail: str, status: str) -> DataFrame:
     return events.where((F.col("event_type") == "guardrail") & (at("guardrail") == guardrail) & (at("status") == status))
 
 
-def rate_by_window(events: DataFrame, by: str, minutes: int = 5) -> DataFrame:
-    w = F.window("ts", f"{minutes} minutes")
-    return events.groupBy(w.alias("w"), by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), by, "n", (F.col("n") / (minutes * 60)).alias("rate"))
+def rate_by_window(events: DataFrame, by: str | list[str], minutes: int = 5, amount: str | None = None) -> DataFrame:
+    """Per window and label(s): window_start, labels, n, and the rate per second of events, or of the sum of `amount`."""
+    labels, w = [by] if isinstance(by, str) else list(by), F.window("ts", f"{minutes} minutes")
+    much = F.sum(amount) if amount else F.count("*")
+    return events.groupBy(w.alias("w"), *labels).agg(F.count("*").alias("n"), much.alias("much")).select(F.col("w.start").alias("window_start"), *labels, "n", (F.col("much") / (minutes * 60)).alias("rate"))
 
 
 def latency_quantile(events: DataFrame, q: float = 0.95, minutes: int = 5) -> DataFrame:
     return events.groupBy(F.window("ts", f"{minutes} minutes").alias("w")).agg(F.percentile("value", q).alias("quantile")).select(F.col("w.start").alias("window_start"), "quantile")
 
 
+def bucket_quantile(events: DataFrame, bounds: list[float], q: float = 0.95, minutes: int = 5) -> DataFrame:
+    """The quantile of a histogram with these upper bounds (and one without): linear within its bucket, the last bound beyond it.
+
+    Only the counts of the buckets leave a window's tasks, so this holds at any rate of events.
+    """
+    edges = F.array(*(F.lit(float(b)) for b in bounds))
+    counts = [F.sum((F.col("value") <= b).cast("long")).alias(f"b{i}") for i, b in enumerate(bounds)]
+    cumulative = F.array(*(f"b{i}" for i in range(len(bounds))))
+    hist = events.where(F.col("value").isNotNull()).groupBy(F.window("ts", f"{minutes} minutes").alias("w")).agg(F.count("*").alias("n"), *counts)
+    ranked = hist.select(F.col("w.start").alias("window_start"), (F.col("n") * q).alias("rank"), cumulative.alias("c"))
+    at = F.filter(F.transform("c", lambda c, i: F.when(c >= F.col("rank"), i)), lambda i: i.isNotNull())
+    k = F.get(at, 0)
+    low, before = F.when(k == 0, 0.0).otherwise(F.get(edges, k - 1)), F.when(k == 0, 0).otherwise(F.get("c", k - 1))
+    inside = low + (F.get(edges, k) - low) * (F.col("rank") - before) / (F.get("c", k) - before)
+    return ranked.select("window_start", F.when(k.isNull(), F.lit(float(bounds[-1]))).otherwise(inside).alias("quantile"))
+
+
 def failure_alert(events: DataFrame, failed: Column, minutes: int = 5) -> DataFrame:
     return events.groupBy(F.window("ts", f"{minutes} minutes").alias("w")).agg(F.sum(failed.cast("int")).alias("failures")).where("failures > 0").select(F.col("w.start").alias("window_start"), F.col("failures").cast("long").alias("failures"))
 
 
+def usage_counters(events: DataFrame) -> DataFrame:
+    """events (tenant_id, event_type, status, provider, model, tokens): counters as rows (metric, tenant_id, label, value).
+
+    Uploads by tenant, chats by tenant and status, tokens by tenant, provider and model, events by tenant and type, and
+    failed verifications (a generation that is not accepted) by tenant: one pass, one shuffle.
+    """
+    kind = F.col("event_type")
+    one = lambda when, metric, label, value: F.when(when, F.struct(F.lit(metric).alias("metric"), label.alias("label"), value.cast("double").alias("value")))
+    rows = F.array(
+        one(kind == "upload", "uploads", F.lit(""), F.lit(1)),
+        one(kind == "chat", "chats", F.coalesce("status", F.lit("")), F.lit(1)),
+        one(F.col("tokens").isNotNull(), "tokens", F.concat_ws("/", F.coalesce("provider", F.lit("")), F.coalesce("model", F.lit(""))), F.col("tokens")),
+        one(kind.isNotNull(), "audit_events", kind, F.lit(1)),
+        one((kind == "generate") & (F.coalesce("status", F.lit("")) != "accepted"), "verification_failures", F.lit(""), F.lit(1)),
+    )
+    each = events.select("tenant_id", F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r")).select("r.metric", "tenant_id", "r.label", "r.value")
+    return each.groupBy("metric", "tenant_id", "label").agg(F.sum("value").alias("value"))
+
+
 def recall_hits(records: DataFrame, hits: DataFrame) -> DataFrame:
     """records (question_id, expected) with `hit`: whether the expected file is among the retrieved ones."""
     found = hits.select("question_id", F.col("filename").alias("expected")).distinct()
@@ -121,6 +184,34 @@ def recall_hits(records: DataFrame, hits: DataFrame) -> DataFrame:
     return records.join(yes, ["question_id", "expected"], "left").fillna(False, ["hit"])
 
 
+def contains_terms(answer: Column | str, terms: Column | str) -> Column:
+    """Whether an answer's canonical tokens hold those of every term (an array of texts)."""
+    held = canonical_tokens(tokenize(answer))
+    terms = F.col(terms) if isinstance(terms, str) else terms
+    return F.forall(terms, lambda t: F.size(F.array_except(canonical_tokens(tokenize(t)), held)) == 0)
+
+
+def evaluate(records: DataFrame, responses: DataFrame, hits: DataFrame, sparse: DataFrame) -> DataFrame:
+    """One row of metrics: recall_at_8, faithfulness, citation_valid, bm25_recall_at_1, bm25_recall_at_8 and the lifts over both.
+
+    records (question_id, expected: a file name), responses (question_id, status of the last guard, claims), hits and
+    sparse (question_id, filename, rank) of the hybrid search and of BM25 alone.
+    """
+    near = lambda df, k, name: recall_hits(records, df.where(F.col("rank") <= k)).select("question_id", F.col("hit").cast("int").alias(name))
+    cites = F.size(F.flatten(F.transform("claims", lambda c: c["citations"])))
+    own = responses.select("question_id", (F.col("status") == "accepted").cast("int").alias("faithful"), (cites > 0).cast("int").alias("cited"))
+    joined = near(hits, 8, "r8").join(near(sparse, 1, "b1"), "question_id").join(near(sparse, 8, "b8"), "question_id").join(own, "question_id", "left").fillna(0, ["faithful", "cited"])
+    m = joined.agg(F.avg("r8").alias("recall_at_8"), F.avg("faithful").alias("faithfulness"), F.avg("cited").alias("citation_valid"), F.avg("b1").alias("bm25_recall_at_1"), F.avg("b8").alias("bm25_recall_at_8"))
+    return m.withColumns({"lift_at_1": lift(F.col("recall_at_8"), F.col("bm25_recall_at_1")), "lift_at_8": lift(F.col("recall_at_8"), F.col("bm25_recall_at_8"))})
+
+
+def render_rows(responses: DataFrame) -> DataFrame:
+    """responses (request_id, status, answer, claims): request_id, event (error for what an exit stopped, else answer) and data, its JSON."""
+    stopped = F.col("status").isin([k for k in fixed.EXITS if k != "rejected"])
+    body = F.when(stopped, F.to_json(F.struct(F.col("status").alias("error"), F.col("answer").alias("message")))).otherwise(F.to_json(F.struct("answer", "claims")))
+    return responses.select("request_id", F.when(stopped, "error").otherwise("answer").alias("event"), body.alias("data"))
+
+
 def lift(value: Column, baseline: Column) -> Column:
     """Relative lift, at least 0; over a baseline of 0 it is 1, or 0 without a value."""
     return F.when(baseline <= 0, F.when(value > 0, 1.0).otherwise(0.0)).otherwise(F.greatest(F.lit(0.0), (value - baseline) / baseline))

@@ -21,6 +21,52 @@ def guard_questions(questions: DataFrame, text: str = "question") -> DataFrame:
     return normal.withColumn("repaired", F.col("normal") != F.col(text)).withColumn("rejected", injected(F.col("normal"), False))
 
 
+def scan_questions(questions: DataFrame, text: str = "normal") -> DataFrame:
+    """The decision on each (normalized) question: question_id, rejected, injection, template, reason."""
+    prompt, template = F.col(text).rlike(fixed.PROMPT_INJECTION), F.col(text).rlike(fixed.TEMPLATE_INJECTION)
+    bad = F.coalesce(prompt | template, F.lit(False))
+    reason = F.when(bad, fixed.SCAN_REASONS["rejected"]).otherwise(fixed.SCAN_REASONS["accepted"])
+    return questions.select("question_id", bad.alias("rejected"), F.coalesce(prompt, F.lit(False)).alias("injection"), F.coalesce(template, F.lit(False)).alias("template"), reason.alias("reason"))
+
+
+def select_sources(questions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Pairs (question_id, scope, chunk_id) that questions (question_id, scope, doc_ids) may search: all of their scope, or only the selected documents, which are joined by id."""
+    ids = F.coalesce("doc_ids", F.array().cast("array<string>")) if "doc_ids" in questions.columns else F.array().cast("array<string>")
+    asked = questions.select("question_id", *SCOPE, ids.alias("ids"))
+    own = chunks.select(*SCOPE, F.col("doc_id").cast("string").alias("id"), "chunk_id")
+    every = asked.where("size(ids) = 0").drop("ids").join(own.drop("id"), SCOPE)
+    some = asked.where("size(ids) > 0").select("question_id", *SCOPE, F.explode(F.array_distinct("ids")).alias("id")).join(own, [*SCOPE, "id"]).drop("id")
+    return every.unionByName(some)
+
+
+def own_corpora(questions: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Questions with selected documents get a corpus of their own: (questions, chunks) whose matter_id names the question; others keep their scope.
+
+    So every lane, and what it counts over a corpus, sees the selected documents only. A selection has at most 50 documents.
+    """
+    chosen = F.size(F.coalesce("doc_ids", F.array().cast("array<string>"))) > 0
+    name = F.concat_ws("::", "matter_id", F.lit("question"), F.col("question_id").cast("string"))
+    asked = questions.withColumn("own", F.when(chosen, name))
+    wanted = asked.where("own IS NOT NULL").select(*SCOPE, "own", F.explode(F.array_distinct("doc_ids")).alias("_id"))
+    copies = chunks.withColumn("_id", F.col("doc_id").cast("string")).join(wanted, [*SCOPE, "_id"]).withColumn("matter_id", F.col("own")).select(*chunks.columns)
+    return asked.withColumn("matter_id", F.coalesce("own", "matter_id")).drop("own"), chunks.unionByName(copies)
+
+
+def without_sources(questions: DataFrame, selected: DataFrame) -> DataFrame:
+    """Questions of which no chunk may be searched: question_id, exit."""
+    left = questions.join(selected.select("question_id").distinct().withColumn("some", F.lit(True)), "question_id", "left")
+    return left.select("question_id", F.when(F.col("some").isNull(), "no sources").alias("exit"))
+
+
+def effective_request(requests: DataFrame, top_k: int = fixed.TOP_K) -> DataFrame:
+    """requests with tenant_id, matter_id and top_k as they hold: what is asked for, else the session's (session_tenant, session_matter), else the default; 0 counts as none."""
+    return requests.withColumns({
+        "tenant_id": F.coalesce(F.nullif(F.col("tenant_id"), F.lit("")), "session_tenant"),
+        "matter_id": F.coalesce(F.nullif(F.col("matter_id"), F.lit("")), "session_matter"),
+        "top_k": F.coalesce(F.nullif(F.col("top_k"), F.lit(0)), F.lit(top_k)),
+    })
+
+
 def guard_chunks(chunks: DataFrame) -> DataFrame:
     """With is_injected; done once for each chunk when it is indexed."""
     return chunks.withColumn("is_injected", injected(normalize_for_guard("text"), True))

@@ -6,13 +6,17 @@ which Spark adds them up decides nothing.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 from hashlib import blake2b
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from attesta.functions import fixed
@@ -29,6 +33,31 @@ def top(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def first_of_scope(chunks: DataFrame, n: int) -> DataFrame:
+    """The first n chunks of each scope in corpus order, with their number; Spark cuts to n before the shuffle as well."""
+    w = Window.partitionBy(*SCOPE).orderBy("doc_id", "ordinal")
+    return chunks.select(*SCOPE, "chunk_id", "doc_id", "ordinal").withColumn("number", F.row_number().over(w)).where(F.col("number") <= n)
+
+
+def top_with_zeros(hits: DataFrame, questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """The k best chunks of each question where only hits (question_id, scope, chunk_id, doc_id, ordinal, score) have a score other than 0.
+
+    Chunks without a hit score 0 and rank in corpus order, above negative hits. A question with fewer than k positive
+    hits needs at most k of them, and they are among the first k + (its hits) chunks of its scope; so what is added is never
+    more than the hits and k rows for each question, and no question meets all chunks of its scope.
+    """
+    hits = cut(hits, "hits")
+    tally = hits.groupBy("question_id").agg(F.sum((F.col("score") > 0).cast("int")).alias("good"), F.count("*").alias("n"))
+    short = questions.select("question_id", *SCOPE).join(tally, "question_id", "left").where(F.coalesce("good", F.lit(0)) < k)
+    short = short.select("question_id", *SCOPE, (F.lit(k) + F.coalesce("n", F.lit(0))).cast("int").alias("reach"))
+    most = short.agg(F.max("reach").alias("m")).first()["m"]
+    if most is None:
+        return top(hits, k)
+    first = short.select("question_id", *SCOPE, F.explode(F.sequence(F.lit(1), F.col("reach"))).alias("number")).join(first_of_scope(chunks, most), [*SCOPE, "number"])
+    zeros = first.join(hits.select("question_id", "chunk_id"), ["question_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
+    return top(hits.unionByName(zeros.select(*hits.columns)), k)
+
+
 # Dense lane
 
 
@@ -40,10 +69,19 @@ def cosine(a: Column, b: Column) -> Column:
     return dot / F.when(size == 0, 1.0).otherwise(size)
 
 
-def dense_top_k(questions: DataFrame, chunks: DataFrame, k: int = fixed.LANE_K) -> DataFrame:
-    """questions (question_id, tenant_id, matter_id, q_vector) against chunks (..., embedding) of their scope."""
-    pairs = questions.select("question_id", *SCOPE, "q_vector").join(chunks.where(F.col("embedding").isNotNull()), SCOPE)
-    return top(pairs.withColumn("score", F.round(cosine(F.col("q_vector"), F.col("embedding")), DIGITS)).drop("q_vector", "embedding"), k)
+def dense_top_k(questions: DataFrame, chunks: DataFrame, k: int = fixed.LANE_K, rows: int = 50_000) -> DataFrame:
+    """questions (question_id, tenant_id, matter_id, q_vector) against chunks (..., embedding) of their scope.
+
+    The chunks of a scope are dealt to salts of about `rows`, and each salt keeps its k best, so that a large scope is
+    many tasks and only k rows of each leave them.
+    """
+    held = chunks.where(F.col("embedding").isNotNull())
+    salts = max(8, -(-held.count() // rows))
+    dealt = held.withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int"))
+    asked = questions.select("question_id", *SCOPE, "q_vector", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    scored = asked.join(dealt, [*SCOPE, "salt"]).withColumn("score", F.round(cosine(F.col("q_vector"), F.col("embedding")), DIGITS)).drop("q_vector", "embedding")
+    w = Window.partitionBy("question_id", "salt").orderBy(F.desc("score"), "doc_id", "ordinal")
+    return top(scored.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n", "salt"), k)
 
 
 @F.pandas_udf(StructType([StructField("idx", LongType()), StructField("sign", IntegerType())]))
@@ -53,17 +91,20 @@ def _blake(words: pd.Series, dim: pd.Series) -> pd.DataFrame:
 
 
 def hash_weights(texts: DataFrame, dim: int = 384, mode: str = "blake2b") -> DataFrame:
-    """texts (id, text) as sparse unit vectors: id, idx, weight. Only distinct words are hashed."""
-    words = texts.select("id", F.explode(tokenize("text")).alias("word"))
-    vocabulary = words.select("word").distinct()
+    """texts (id, text) as sparse unit vectors: id, idx, weight.
+
+    blake2b runs over distinct words only; mode "md5" is another hash, for comparison with engines that lack blake2b.
+    """
+    words = texts.select("id", F.explode(tokenize("text")).alias("word")).groupBy("id", "word").agg(F.count("*").alias("times"))
     if mode == "md5":
         h = F.md5("word")
-        hashed = vocabulary.select("word", (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dim).alias("idx"), F.when(F.conv(F.substring(h, 9, 2), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1).alias("sign"))
+        hashed = words.withColumns({"idx": F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dim, "sign": F.when(F.conv(F.substring(h, 9, 2), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)})
     else:
-        hashed = vocabulary.withColumn("h", _blake("word", F.lit(dim))).select("word", "h.idx", "h.sign")
-    summed = words.join(hashed, "word").groupBy("id", "idx").agg(F.sum("sign").alias("w"))
-    norms = summed.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return summed.join(norms, "id").select("id", "idx", (F.col("w") / F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm"))).alias("weight")).where("weight <> 0")
+        vocabulary = words.select("word").distinct().withColumn("h", _blake("word", F.lit(dim))).select("word", "h.idx", "h.sign")
+        hashed = words.join(vocabulary, "word")
+    summed = hashed.groupBy("id", "idx").agg(F.sum(F.col("times") * F.col("sign")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))  # at most dim rows of a text
+    return summed.select("id", "idx", (F.col("w") / F.when(norm == 0, 1.0).otherwise(norm)).alias("weight")).where("weight <> 0")
 
 
 def dense_vectors(weights: DataFrame, dim: int) -> DataFrame:
@@ -71,29 +112,55 @@ def dense_vectors(weights: DataFrame, dim: int) -> DataFrame:
     return weights.groupBy("id").agg(m.alias("m")).select("id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("m", i.cast("long")), F.lit(0.0))).alias("embedding"))
 
 
-def hash_dense_top_k(questions: DataFrame, chunks: DataFrame, k: int = fixed.LANE_K, dim: int = 384, mode: str = "md5") -> DataFrame:
+def hash_dense_top_k(questions: DataFrame, chunks: DataFrame, k: int = fixed.LANE_K, dim: int = 384, mode: str = "blake2b") -> DataFrame:
     """The dense lane over hashed words: a sparse product by an equi-join on (scope, idx); other chunks of the scope score 0."""
     q = hash_weights(questions.select(F.col("question_id").alias("id"), F.col("question").alias("text")), dim, mode).withColumnRenamed("id", "question_id").withColumnRenamed("weight", "q")
     c = hash_weights(chunks.select(F.col("chunk_id").alias("id"), "text"), dim, mode).withColumnRenamed("id", "chunk_id")
     asked = questions.select("question_id", *SCOPE).join(q, "question_id")
-    held = chunks.select("chunk_id", *SCOPE).join(c, "chunk_id")
-    score = asked.join(held, [*SCOPE, "idx"]).groupBy("question_id", "chunk_id").agg((F.round(F.sum(F.col("q") * F.col("weight")), DIGITS) + 0.0).alias("s"))
-    every = questions.select("question_id", *SCOPE).join(chunks.select("chunk_id", *SCOPE, "doc_id", "ordinal"), SCOPE)
-    return top(every.join(score, ["question_id", "chunk_id"], "left").withColumn("score", F.coalesce("s", F.lit(0.0))).drop("s"), k)
+    held = chunks.select("chunk_id", *SCOPE, "doc_id", "ordinal").join(c, "chunk_id")
+    score = (F.round(F.sum(F.col("q") * F.col("weight")), DIGITS) + 0.0).alias("score")
+    hits = asked.join(held, [*SCOPE, "idx"]).groupBy("question_id", *SCOPE, "chunk_id", "doc_id", "ordinal").agg(score)
+    return top_with_zeros(hits, questions, chunks, k)
+
+
+def with_embeddings(chunks: DataFrame, vectors: DataFrame, dim: int | None = None) -> DataFrame:
+    """chunks with the vectors (chunk_id, embedding) that a model elsewhere supplied, as unit vectors; null where there is none or its size is not dim."""
+    v = F.col("embedding").cast("array<double>")
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    unit = F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
+    fits = F.size(v) == dim if dim else F.lit(True)
+    return chunks.join(vectors.select("chunk_id", F.when(fits, unit).alias("embedding")), "chunk_id", "left")
+
 
+def dense_top_k_approx(questions: DataFrame, chunks: DataFrame, k: int, share: float = 0.1, max_sample: int = 20_000) -> DataFrame:
+    """Approximate: chunks are dealt to the nearest of about sqrt(chunks) centres, and questions probe a `share` of the cells.
 
-def dense_top_k_approx(questions: DataFrame, chunks: DataFrame, k: int, cells: int = 16, probe: int = 13) -> DataFrame:
-    """Approximate: chunks are dealt to the nearest of `cells` centres (k-means on a bounded sample), questions probe the nearest few."""
+    The centres are k-means of a sample of at most max_sample chunks (which bounds their number to a fortieth of it);
+    every chunk is dealt to a cell.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    sample = chunks.where(F.col("embedding").isNotNull()).orderBy(F.xxhash64("chunk_id")).limit(20_000).select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    centres = KMeans(k=cells, seed=7, maxIter=10).fit(sample).clusterCenters()
-    table = F.array(*(F.struct(F.array(*(F.lit(float(x)) for x in c)).alias("c"), F.lit(i).alias("cell")) for i, c in enumerate(centres)))
-    near = lambda v: F.array_sort(F.transform(table, lambda t: F.struct((-cosine(v, t["c"])).alias("far"), t["cell"].alias("cell"))))
-    dealt = chunks.withColumn("cell", F.element_at(near(F.col("embedding")), 1)["cell"])
-    asked = questions.withColumn("cell", F.explode(F.transform(F.slice(near(F.col("q_vector")), 1, probe), lambda t: t["cell"])))
-    pairs = asked.select("question_id", *SCOPE, "q_vector", "cell").join(dealt, [*SCOPE, "cell"])
+    held = chunks.where(F.col("embedding").isNotNull()).withColumn("embedding", F.col("embedding").cast("array<double>"))
+    n = held.count()
+    cells = max(1, min(math.isqrt(n), max_sample // 40))
+    sample = held.orderBy(F.xxhash64("chunk_id")).limit(max_sample).select(array_to_vector("embedding").alias("features"))
+    centres = np.array(KMeans(k=cells, seed=7, maxIter=10).fit(sample).clusterCenters()) if n else np.zeros((1, 1))
+    shared = chunks.sparkSession.sparkContext.broadcast(centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-300))
+
+    def placed(rows: DataFrame, vector: str, nearest: int) -> DataFrame:
+        names = rows.columns
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x = np.array(b.column(vector).to_pylist(), dtype=float).reshape(b.num_rows, -1)
+                near = np.argsort(-(x @ shared.value.T), axis=1, kind="stable")[:, :nearest] if b.num_rows else np.zeros((0, nearest), dtype=int)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near.tolist(), pa.list_(pa.int32()))], names=[*names, "cells"])
+
+        return rows.mapInArrow(run, StructType([*rows.schema, StructField("cells", ArrayType(IntegerType()))])).withColumn("cell", F.explode("cells")).drop("cells")
+
+    asked = placed(questions.select("question_id", *SCOPE, F.col("q_vector").cast("array<double>").alias("q_vector")), "q_vector", max(1, math.ceil(share * cells)))
+    pairs = asked.join(placed(held, "embedding", 1), [*SCOPE, "cell"])
     return top(pairs.withColumn("score", F.round(cosine(F.col("q_vector"), F.col("embedding")), DIGITS)).drop("q_vector", "embedding", "cell"), k)
 
 
@@ -103,9 +170,9 @@ def dense_top_k_approx(questions: DataFrame, chunks: DataFrame, k: int, cells: i
 def build_postings(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """postings (scope, term, chunk_id, doc_id, ordinal, tf, dl), terms (scope, term, df, idf), scopes (scope, n, avgdl)."""
     # Tokens and postings are index tables: they are written once and read by all that follows.
-    tokens = cut(chunks.select(*SCOPE, "chunk_id", "doc_id", "ordinal", tokenize("text").alias("tokens")).withColumn("dl", F.size("tokens")))
+    tokens = cut(chunks.select(*SCOPE, "chunk_id", "doc_id", "ordinal", tokenize("text").alias("tokens")).withColumn("dl", F.size("tokens")), "tokens")
     words = tokens.select(*SCOPE, "chunk_id", "doc_id", "ordinal", "dl", F.explode("tokens").alias("term"))
-    postings = cut(words.groupBy(*SCOPE, "term", "chunk_id", "doc_id", "ordinal", "dl").agg(F.count("*").alias("tf")))
+    postings = cut(words.groupBy(*SCOPE, "term", "chunk_id", "doc_id", "ordinal", "dl").agg(F.count("*").alias("tf")), "postings")
     scopes = tokens.groupBy(*SCOPE).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     raw = postings.groupBy(*SCOPE, "term").agg(F.count("*").alias("df")).join(scopes, SCOPE).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy(*SCOPE).agg(F.avg("raw").alias("mean"))
@@ -117,11 +184,11 @@ def bm25_top_k(questions: DataFrame, chunks: DataFrame, k: int = fixed.LANE_K) -
     """BM25 over the scope of each question; chunks without a question's terms score 0 and fill the list in corpus order."""
     postings, terms, scopes = build_postings(chunks)
     asked = questions.select("question_id", *SCOPE, F.explode(tokenize("question")).alias("term")).groupBy("question_id", *SCOPE, "term").agg(F.count("*").alias("times"))
-    hit = asked.join(terms, [*SCOPE, "term"]).join(postings.select(*SCOPE, "term", "chunk_id", "tf", "dl"), [*SCOPE, "term"]).join(scopes, SCOPE)
+    held = postings.select(*SCOPE, "term", "chunk_id", "doc_id", "ordinal", "tf", "dl")
+    hit = asked.join(terms, [*SCOPE, "term"]).join(held, [*SCOPE, "term"]).join(scopes, SCOPE)
     norm = F.col("tf") + fixed.BM25_K1 * (1 - fixed.BM25_B + fixed.BM25_B * F.col("dl") / F.col("avgdl"))
-    summed = hit.groupBy("question_id", "chunk_id").agg(F.round(F.sum(F.col("times") * F.col("idf") * F.col("tf") * (fixed.BM25_K1 + 1) / norm), DIGITS).alias("s"))
-    every = questions.select("question_id", *SCOPE).join(chunks.select("chunk_id", *SCOPE, "doc_id", "ordinal"), SCOPE)
-    return top(every.join(summed, ["question_id", "chunk_id"], "left").withColumn("score", F.coalesce("s", F.lit(0.0))).drop("s"), k)
+    score = F.round(F.sum(F.col("times") * F.col("idf") * F.col("tf") * (fixed.BM25_K1 + 1) / norm), DIGITS).alias("score")
+    return top_with_zeros(hit.groupBy("question_id", *SCOPE, "chunk_id", "doc_id", "ordinal").agg(score), questions, chunks, k)
 
 
 # Graph lane
@@ -151,41 +218,57 @@ def seed_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     return asked.join(held, [*SCOPE, "term"]).groupBy("question_id", *SCOPE, "chunk_id", "n_q").agg(F.count("*").alias("n")).select("question_id", *SCOPE, "chunk_id", (F.col("n") / F.col("n_q")).alias("seed"))
 
 
-def page_rank(seeds: DataFrame, chunks: DataFrame, edges: DataFrame, rounds: int = fixed.ROUNDS, every: int = 5) -> DataFrame:
-    """Personalised PageRank of each question's seeds: question_id, chunk_id, rank_mass.
+def rank_masses(seeds: DataFrame, chunks: DataFrame, edges: DataFrame, rounds: int = fixed.ROUNDS, every: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Personalised PageRank in its sparse form: (question_id, scope, chunk_id, mass) of nodes that a question's seeds reach, and (scope, chunk_id, floor) of linked nodes.
 
-    State is (question, node) over the nodes of the question's scope; lineage is cut by checkpoint() every few rounds.
+    A node's rank is the sum of both. The recursion is linear: what remains of the uniform start is the same for every
+    question (the floor, one more walk), and seeds spread over edges only. The mass of unlinked nodes goes back to the
+    seeds p; with the share r = damping * (p on unlinked nodes), a round's factor of p has the closed form below.
     """
-    total = seeds.groupBy("question_id").agg(F.sum("seed").alias("total"))
-    asked = seeds.select("question_id", *SCOPE).distinct()
-    size = chunks.groupBy(*SCOPE).agg(F.count("*").alias("n"))
-    linked = edges.groupBy(*SCOPE, "src").agg(F.sum("weight").alias("out")).withColumnRenamed("src", "chunk_id")
-    nodes = asked.join(chunks.select(*SCOPE, "chunk_id"), SCOPE).join(size, SCOPE).join(seeds, ["question_id", *SCOPE, "chunk_id"], "left").join(total, "question_id").join(linked, [*SCOPE, "chunk_id"], "left")
-    fixed_part = cut(nodes.select("question_id", *SCOPE, "chunk_id", "n", "out", (F.coalesce("seed", F.lit(0.0)) / F.col("total")).alias("p")))
-    steps = cut(edges.join(linked.withColumnRenamed("chunk_id", "src"), [*SCOPE, "src"]).select(*SCOPE, "src", "dst", (F.col("weight") / F.col("out")).alias("share")))
-    now = fixed_part.select("question_id", "chunk_id", (1 / F.col("n")).alias("mass"))
-    for k in range(rounds):
-        state = fixed_part.join(now, ["question_id", "chunk_id"])
-        lost = state.where(F.col("out").isNull()).groupBy("question_id").agg(F.sum("mass").alias("lost"))
-        moved = state.select("question_id", *SCOPE, F.col("chunk_id").alias("src"), "mass").join(steps, [*SCOPE, "src"]).groupBy("question_id", F.col("dst").alias("chunk_id")).agg(F.sum(F.col("mass") * F.col("share")).alias("got"))
-        nxt = fixed_part.join(lost, "question_id", "left").join(moved, ["question_id", "chunk_id"], "left")
-        mass = (1 - fixed.DAMPING) * F.col("p") + fixed.DAMPING * (F.coalesce("got", F.lit(0.0)) + F.coalesce("lost", F.lit(0.0)) * F.col("p"))
-        now = nxt.select("question_id", "chunk_id", mass.alias("mass"))
-        if k % every == every - 1:
-            now = cut(now)
-    return now.withColumnRenamed("mass", "rank_mass")
+    linked = edges.groupBy(*SCOPE, "src").agg(F.sum("weight").alias("out"))
+    steps = cut(edges.join(linked, [*SCOPE, "src"]).select(*SCOPE, F.col("src").alias("chunk_id"), "dst", (F.col("weight") / F.col("out") * fixed.DAMPING).alias("share")), "steps")
+    nodes = chunks.select(*SCOPE, "chunk_id").join(linked.select(*SCOPE, F.col("src").alias("chunk_id"), F.lit(1).alias("linked")), [*SCOPE, "chunk_id"], "left")
+    size = nodes.groupBy(*SCOPE).agg(F.count("*").alias("n"), F.count("linked").alias("n_linked"))
+    with_p = seeds.join(seeds.groupBy("question_id").agg(F.sum("seed").alias("total")), "question_id").withColumn("p", F.col("seed") / F.col("total")).join(nodes, [*SCOPE, "chunk_id"])
+    back = with_p.groupBy("question_id", *SCOPE).agg((F.sum(F.when(F.col("linked").isNull(), F.col("p")).otherwise(0.0)) * fixed.DAMPING).alias("r")).join(size, SCOPE)
+    start = (1 - fixed.DAMPING) + fixed.DAMPING * (1 - F.col("n_linked") / F.col("n"))
+    given = cut(with_p.select("question_id", *SCOPE, "chunk_id", "p").join(back.select("question_id", *SCOPE, "r", start.alias("c0")), ["question_id", *SCOPE]), "seeds")
+    uniform = nodes.where("linked IS NOT NULL").join(size, SCOPE).select(F.lit(None).cast(seeds.schema["question_id"].dataType).alias("question_id"), *SCOPE, "chunk_id", (1 / F.col("n")).alias("mass"))
+    now = uniform
+    for t in range(rounds):
+        factor = (1 - fixed.DAMPING) * (1 - F.pow("r", F.lit(t))) / (1 - F.col("r")) + F.col("c0") * F.pow("r", F.lit(t))
+        added = given.select("question_id", *SCOPE, "chunk_id", (F.col("p") * factor).alias("mass"))
+        moved = now.join(steps, [*SCOPE, "chunk_id"]).select("question_id", *SCOPE, F.col("dst").alias("chunk_id"), (F.col("mass") * F.col("share")).alias("mass"))
+        now = moved.unionByName(added).groupBy("question_id", *SCOPE, "chunk_id").agg(F.sum("mass").alias("mass"))
+        if t % every == every - 1 or t == rounds - 1:
+            now = cut(now, "masses")
+    return now.where("question_id IS NOT NULL"), now.where("question_id IS NULL").select(*SCOPE, "chunk_id", F.col("mass").alias("floor"))
+
+
+def page_rank(seeds: DataFrame, chunks: DataFrame, edges: DataFrame, rounds: int = fixed.ROUNDS) -> DataFrame:
+    """The rank of every node of a question's scope: question_id, chunk_id, rank_mass. Only this result has a row for each; the walk has not."""
+    mass, floor = rank_masses(seeds, chunks, edges, rounds)
+    every = seeds.select("question_id", *SCOPE).distinct().join(chunks.select(*SCOPE, "chunk_id").join(floor, [*SCOPE, "chunk_id"], "left"), SCOPE)
+    return every.join(mass.select("question_id", "chunk_id", "mass"), ["question_id", "chunk_id"], "left").select("question_id", "chunk_id", (F.coalesce("mass", F.lit(0.0)) + F.coalesce("floor", F.lit(0.0))).alias("rank_mass"))
 
 
 def graph_top_k(questions: DataFrame, chunks: DataFrame, edges: DataFrame, k: int = fixed.LANE_K) -> DataFrame:
-    """A quarter of the rank mass, a tenth of the own seed, and the neighbours' seeds by edge weight; no seeds, no rows."""
-    seeds = seed_scores(questions, chunks)
-    ranks = page_rank(seeds, chunks, edges)
-    own = seeds.select("question_id", "chunk_id", (fixed.SEED_SHARE * F.col("seed")).alias("s"))
-    around = seeds.join(edges.withColumnRenamed("src", "chunk_id"), [*SCOPE, "chunk_id"]).select("question_id", F.col("dst").alias("chunk_id"), (F.col("seed") * F.col("weight")).alias("s"))
-    parts = ranks.select("question_id", "chunk_id", (fixed.RANK_SHARE * F.col("rank_mass")).alias("s")).unionByName(own).unionByName(around)
-    summed = parts.groupBy("question_id", "chunk_id").agg(F.round(F.sum("s"), DIGITS).alias("score"))
-    placed = summed.join(questions.select("question_id", *SCOPE), "question_id").join(chunks.select("chunk_id", *SCOPE, "doc_id", "ordinal"), ["chunk_id", *SCOPE])
-    return top(placed, k).where("score > 0")
+    """A quarter of the rank mass, a tenth of the own seed, and the neighbours' seeds by edge weight; no seeds, no rows.
+
+    Nodes that a question does not reach have the floor alone, so only the k highest floors of the scope can be among its best.
+    """
+    seeds = cut(seed_scores(questions, chunks), "seed_scores")
+    mass, floor = rank_masses(seeds, chunks, edges)
+    own = seeds.select("question_id", *SCOPE, "chunk_id", (fixed.SEED_SHARE * F.col("seed")).alias("s"))
+    around = seeds.join(edges.withColumnRenamed("src", "chunk_id"), [*SCOPE, "chunk_id"]).select("question_id", *SCOPE, F.col("dst").alias("chunk_id"), (F.col("seed") * F.col("weight")).alias("s"))
+    reached = mass.select("question_id", *SCOPE, "chunk_id", (fixed.RANK_SHARE * F.col("mass")).alias("s")).unionByName(own).unionByName(around).groupBy("question_id", *SCOPE, "chunk_id").agg(F.sum("s").alias("s"))
+    placed = chunks.select(*SCOPE, "chunk_id", "doc_id", "ordinal").join(floor, [*SCOPE, "chunk_id"], "left").withColumn("floor", fixed.RANK_SHARE * F.coalesce("floor", F.lit(0.0)))
+    scored = reached.join(placed, [*SCOPE, "chunk_id"]).withColumn("score", F.round(F.col("s") + F.col("floor"), DIGITS)).drop("s", "floor")
+    w = Window.partitionBy(*SCOPE).orderBy(F.desc("least"), "doc_id", "ordinal")
+    highest = placed.withColumn("least", F.round("floor", DIGITS)).withColumn("n", F.row_number().over(w)).where(F.col("n") <= k)
+    asked = seeds.select("question_id", *SCOPE).distinct()
+    others = asked.join(highest, SCOPE).join(reached.select("question_id", "chunk_id"), ["question_id", "chunk_id"], "left_anti").withColumn("score", F.col("least"))
+    return top(scored.unionByName(others.select(*scored.columns)), k).where("score > 0")
 
 
 # Fusion and reranking
@@ -223,27 +306,31 @@ def rerank_score(question: str = "question", text: str = "text", score: str = "s
     low = F.lower(F.col(text))
 
     def boost(acc: Column, t: Column) -> Column:
-        long_form = F.regexp_like(low, F.concat(F.lit(r"\b[a-z][a-z -]{3,}\s+\("), t, F.lit(r"\)")))
-        as_form = F.regexp_like(low, F.concat(F.lit(r"\b"), t, F.lit(r"\b[^.!?]{0,80}\bas\b")))
-        return acc + F.when(long_form, 0.35).otherwise(0.0) + F.when(as_form, 0.25).otherwise(0.0)
+        long_form = F.regexp_like(low, F.concat(F.lit(fixed.LONG_FORM), t, F.lit(r"\)")))
+        as_form = F.regexp_like(low, F.concat(F.lit(r"\b"), t, F.lit(fixed.AS_FORM)))
+        return acc + F.when(long_form, fixed.LONG_FORM_BOOST).otherwise(0.0) + F.when(as_form, fixed.AS_FORM_BOOST).otherwise(0.0)
 
-    asks = F.array_join(terms, " ").rlike(r"\b(what|define|definition|meaning)\b")
+    asks = F.array_join(terms, " ").rlike(fixed.ASKS_DEFINITION)
     phrase = reduce(lambda a, b: a | b, (low.contains(p) for p in fixed.RERANK_PHRASES))
-    boosted = F.least(F.lit(0.6), F.aggregate(content, F.lit(0.0), boost) + F.when(phrase, 0.2).otherwise(0.0))
-    full = 0.75 * coverage + 0.25 * density + F.when(asks, boosted).otherwise(0.0) + 0.05 * F.least(F.col(score), F.lit(1.0))
+    boosted = F.least(F.lit(fixed.MAX_BOOST), F.aggregate(content, F.lit(0.0), boost) + F.when(phrase, fixed.PHRASE_BOOST).otherwise(0.0))
+    full = fixed.COVERAGE * coverage + fixed.DENSITY * density + F.when(asks, boosted).otherwise(0.0) + fixed.FUSED_SHARE * F.least(F.col(score), F.lit(1.0))
     return F.when(F.size(content) == 0, F.col(score)).when(F.size(words) == 0, 0.0).otherwise(full)
 
 
-def rerank(cands: DataFrame, limit: int = fixed.TOP_K) -> DataFrame:
-    """By lexical rerank score, with the last slots kept for the best of the sparse lane; final rank in order of selection."""
-    scored = cands.withColumn("rerank_score", F.round(rerank_score(), DIGITS))
+def sparse_backfill(scored: DataFrame, limit: int = fixed.TOP_K) -> DataFrame:
+    """scored (question_id, rerank_score, sparse_score, rank): the best by rerank score, but the last slots by the sparse lane; final rank in order of selection."""
     by = lambda *c: F.row_number().over(Window.partitionBy("question_id").orderBy(*c))
     ranked = scored.withColumn("r1", by(F.desc("rerank_score"), "rank")).withColumn("r2", by(F.desc("sparse_score"), "rank"))
-    primary = max(0, limit - min(limit // 2, 4))
+    primary = max(0, limit - min(limit // 2, fixed.BACKFILL))
     key = F.when(F.col("r1") <= primary, F.struct(F.lit(0).alias("a"), F.col("r1").alias("b"))).otherwise(F.struct(F.lit(1).alias("a"), F.col("r2").alias("b")))
     return ranked.withColumn("rank", by(key)).where(F.col("rank") <= limit).drop("r1", "r2")
 
 
+def rerank(cands: DataFrame, limit: int = fixed.TOP_K) -> DataFrame:
+    """By lexical rerank score, with the last slots kept for the best of the sparse lane."""
+    return sparse_backfill(cands.withColumn("rerank_score", F.round(rerank_score(), DIGITS)), limit)
+
+
 def rerank_none(cands: DataFrame, limit: int = fixed.TOP_K) -> DataFrame:
     return cands.where(F.col("rank") <= limit)
 
@@ -255,9 +342,9 @@ def rerank_supplied(cands: DataFrame, scores: DataFrame, limit: int = fixed.TOP_
     return joined.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, graph: bool = True, limit: int = fixed.TOP_K, pattern: str = fixed.CONCEPT) -> DataFrame:
+def retrieve(questions: DataFrame, chunks: DataFrame, graph: bool = True, limit: int = fixed.TOP_K, pattern: str = fixed.CONCEPT, mode: str = "blake2b") -> DataFrame:
     """All lanes, fusion, candidate cut and reranking for a table of questions."""
-    lanes = [hash_dense_top_k(questions, chunks), bm25_top_k(questions, chunks)]
+    lanes = [hash_dense_top_k(questions, chunks, mode=mode), bm25_top_k(questions, chunks)]
     if graph:
         lanes.append(graph_top_k(questions, chunks, graph_edges(chunks, pattern)))
     return rerank(candidates(fuse(*lanes), questions, chunks), limit)

@@ -110,7 +110,8 @@ def dense_top_k(spark, d):
 
 @query("r50_dense_top_k_approx")
 def dense_top_k_approx(spark, d):
-    return out(L.dense_top_k_approx(*vectors(spark, d), 20))
+    """These vectors have no clusters, so a recall of 0.9 takes most of the cells (see the README)."""
+    return out(L.dense_top_k_approx(*vectors(spark, d), 20, share=0.8))
 
 
 @query("r51_postings", f"WITH {POSTINGS} SELECT tenant_id, matter_id, term, df, round(idf, 6) AS idf FROM term")
@@ -123,9 +124,21 @@ def bm25(spark, d):
     return out(L.bm25_top_k(*both(spark, d)))
 
 
+@query(
+    "r47b_with_embeddings",
+    f"WITH {CHUNK}, e AS (SELECT c.chunk_id, v.embedding::DOUBLE[] AS x FROM chunk c LEFT JOIN embeddings v ON v.vec_id = c.doc_id AND c.ordinal = 0) SELECT chunk_id, CASE WHEN x IS NOT NULL THEN round(list_aggregate([y / sqrt(list_inner_product(x, x)) FOR y IN x], 'sum'), 6) END AS total FROM e",
+)
+def with_embeddings(spark, d):
+    """Vectors that a model elsewhere made, here for the first chunk of some documents, as unit vectors."""
+    c = chunk_table(spark, d)
+    v = S.table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding").join(c.where("ordinal = 0").select("doc_id", "chunk_id"), "doc_id")
+    got = L.with_embeddings(c, v.select("chunk_id", "embedding"))
+    return got.select("chunk_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
 @query("r47_hash_dense_top_k", f"WITH {POSTINGS}, {DENSE} SELECT {COLS} FROM dense")
 def hash_dense(spark, d):
-    return out(L.hash_dense_top_k(*both(spark, d)))
+    return out(L.hash_dense_top_k(*both(spark, d), mode="md5"))
 
 
 @query("r54_adjacency_edges", f"WITH {CHUNK}, {EDGES} SELECT src, dst, weight FROM edge WHERE weight < 1")
@@ -157,7 +170,7 @@ def graph(spark, d):
 
 def fused(spark, d):
     q, c = both(spark, d)
-    return q, c, L.fuse(L.hash_dense_top_k(q, c), L.bm25_top_k(q, c), L.graph_top_k(q, c, L.graph_edges(c, CONCEPTS)))
+    return q, c, L.fuse(L.hash_dense_top_k(q, c, mode="md5"), L.bm25_top_k(q, c), L.graph_top_k(q, c, L.graph_edges(c, CONCEPTS)))
 
 
 @query("r59_rrf_fuse", f"WITH {LANES} SELECT question_id, chunk_id, round(score, 6) AS score, round(graph_score, 6) AS graph_score FROM fused")
@@ -186,7 +199,7 @@ def rerank_none(spark, d):
 @query("r66_retrieve", f"WITH {LANES} SELECT question_id, chunk_id, rank::INTEGER AS rank, round(rerank_score, 6) AS rerank_score FROM final")
 def retrieve(spark, d):
     q, c = both(spark, d)
-    return L.retrieve(q, c, pattern=CONCEPTS).select("question_id", "chunk_id", F.col("rank").cast("int").alias("rank"), F.round("rerank_score", 6).alias("rerank_score"))
+    return L.retrieve(q, c, pattern=CONCEPTS, mode="md5").select("question_id", "chunk_id", F.col("rank").cast("int").alias("rank"), F.round("rerank_score", 6).alias("rerank_score"))
 
 
 def recall_at(fused, k=8):
@@ -205,7 +218,7 @@ SELECT round((SELECT avg(h) FROM a), 6) AS with_graph, round((SELECT avg(h) FROM
 )
 def graph_lift(spark, d):
     q, c = both(spark, d)
-    dense, sparse = cut(L.hash_dense_top_k(q, c)), cut(L.bm25_top_k(q, c))
+    dense, sparse = cut(L.hash_dense_top_k(q, c, mode="md5")), cut(L.bm25_top_k(q, c))
     linked = recall_at(L.fuse(dense, sparse, L.graph_top_k(q, c, L.graph_edges(c, CONCEPTS))))
     plain = recall_at(L.fuse(dense, sparse)).withColumnRenamed("recall", "base")
     rows = linked.withColumn("k", F.lit(1)).join(plain.withColumn("k", F.lit(1)), "k")  # one row each

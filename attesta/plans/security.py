@@ -23,19 +23,26 @@ def scope_filter(spark, d):
     return S.questions(spark, d).join(chunk_table(spark, d), G.SCOPE).select("question_id", "chunk_id")
 
 
-@query("r16_doc_filter", f"WITH {CHUNK}, {QUESTION} SELECT q.question_id, c.chunk_id FROM question q JOIN chunk c USING (tenant_id, matter_id) WHERE q.question_id % 2 = 0 OR c.doc_id % 3 = 0")
+SELECTED = "sel AS (SELECT q.question_id, d.doc_id FROM question q JOIN documents d ON d.doc_id % 37 = q.question_id % 37 WHERE q.question_id % 2 <> 0)"
+
+
+def selecting(spark, d):
+    """Questions with odd ids select the documents whose ids have their remainder, of whatever scope; the others search all of theirs."""
+    docs = S.documents(spark, d).select((F.col("doc_id") % 37).alias("m"), F.col("doc_id").cast("string").alias("id"))
+    q = S.questions(spark, d).withColumn("m", F.col("question_id") % 37)
+    chosen = q.where("question_id % 2 <> 0").join(docs, "m").groupBy("question_id").agg(F.collect_set("id").alias("doc_ids"))
+    return q.drop("m").join(chosen, "question_id", "left").withColumn("doc_ids", F.coalesce("doc_ids", F.array().cast("array<string>")))
+
+
+@query("r16_doc_filter", f"WITH {CHUNK}, {QUESTION}, {SELECTED} SELECT q.question_id, c.chunk_id FROM question q JOIN chunk c USING (tenant_id, matter_id) WHERE q.question_id % 2 = 0 OR (q.question_id, c.doc_id) IN (SELECT (question_id, doc_id) FROM sel)")
 def doc_filter(spark, d):
-    """Questions with odd ids select documents; those without a selection search all."""
-    docs = S.documents(spark, d)
-    chosen = docs.where("doc_id % 3 = 0").groupBy(*G.SCOPE).agg(F.collect_set("doc_id").alias("ids"))
-    q = S.questions(spark, d).join(chosen, G.SCOPE, "left").withColumn("doc_ids", F.when(F.col("question_id") % 2 == 0, F.array().cast("array<long>")).otherwise(F.coalesce("ids", F.array(F.lit(-1)).cast("array<long>"))))
-    return q.select("question_id", *G.SCOPE, "doc_ids").join(chunk_table(spark, d), G.SCOPE).where((F.size("doc_ids") == 0) | F.array_contains("doc_ids", F.col("doc_id"))).select("question_id", "chunk_id")
+    return G.select_sources(selecting(spark, d), chunk_table(spark, d)).select("question_id", "chunk_id")
 
 
-@query("r17_no_sources", f"WITH {CHUNK}, {QUESTION}, n AS (SELECT tenant_id, matter_id, count(*) AS n FROM chunk WHERE length(text) > 600 GROUP BY ALL) SELECT question_id, CASE WHEN n.n IS NULL THEN 'no selected sources' END AS exit FROM question LEFT JOIN n USING (tenant_id, matter_id)")
+@query("r17_no_sources", f"WITH {CHUNK}, {QUESTION}, {SELECTED}, ok AS (SELECT DISTINCT q.question_id FROM question q JOIN chunk c USING (tenant_id, matter_id) WHERE q.question_id % 2 = 0 OR (q.question_id, c.doc_id) IN (SELECT (question_id, doc_id) FROM sel)) SELECT q.question_id, CASE WHEN ok.question_id IS NULL THEN 'no sources' END AS exit FROM question q LEFT JOIN ok USING (question_id)")
 def no_sources(spark, d):
-    n = chunk_table(spark, d).where(F.length("text") > 600).groupBy(*G.SCOPE).agg(F.count("*").alias("n"))
-    return S.questions(spark, d).join(n, G.SCOPE, "left").select("question_id", F.when(F.col("n").isNull(), "no selected sources").alias("exit"))
+    q = selecting(spark, d)
+    return G.without_sources(q, G.select_sources(q, chunk_table(spark, d)))
 
 
 @query("r19_scope_violations", "SELECT d.doc_id AS question_id, e.doc_id FROM documents d JOIN documents e ON e.doc_id = d.doc_id + 1 WHERE e.source <> d.source OR e.lang <> d.lang")
@@ -51,11 +58,13 @@ def validate_requests(spark, d):
     return G.validate_requests(r).select("conv_id", "turn", F.array_join("problems", ",").alias("problems"))
 
 
-@query("r22_effective_request", "SELECT event_id, coalesce(nullif(floor(value)::INTEGER % 5, 0), 8) AS top_k, coalesce(CASE WHEN event_id % 3 = 0 THEN event_type END, 'u' || user_id) AS tenant_id FROM events")
+@query("r22_effective_request", "SELECT event_id, coalesce(nullif(floor(value)::INTEGER % 5, 0), 8) AS top_k, coalesce(CASE WHEN event_id % 3 = 0 THEN event_type END, 'u' || user_id) AS tenant_id, coalesce(nullif(props, '{\"k\": 0}'), 'm') AS matter_id FROM events")
 def effective_request(spark, d):
-    e = S.table(spark, d, "events")
-    value = F.floor("value").cast("int") % 5
-    return e.select("event_id", F.coalesce(F.nullif(value, F.lit(0)), F.lit(8)).alias("top_k"), F.coalesce(F.when(F.col("event_id") % 3 == 0, F.col("event_type")), F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("tenant_id"))
+    e = S.table(spark, d, "events").select(
+        "event_id", F.when(F.col("event_id") % 3 == 0, F.col("event_type")).otherwise("").alias("tenant_id"), F.nullif(F.col("props"), F.lit('{"k": 0}')).alias("matter_id"), (F.floor("value").cast("int") % 5).alias("top_k"),
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session_tenant"), F.lit("m").alias("session_matter"),
+    )
+    return G.effective_request(e).select("event_id", "top_k", "tenant_id", "matter_id")
 
 
 @query(
@@ -79,6 +88,12 @@ def guard_questions(spark, d):
     return G.guard_questions(attacked(spark, d)).select("conv_id", "turn", "repaired", "rejected")
 
 
+@query("r41_scan_questions", f"WITH q AS (SELECT *, {ATTACK} AS question FROM conversations) SELECT conv_id, turn, question LIKE 'Please ignore%' AS injection, question LIKE '{{{{ system%' AS template, CASE WHEN question LIKE 'Please ignore%' OR question LIKE '{{{{ system%' THEN 'prompt-injection pattern detected' ELSE 'no prompt-injection pattern detected' END AS reason FROM q")
+def scan_questions(spark, d):
+    asked = attacked(spark, d).withColumn("question_id", F.struct("conv_id", "turn"))
+    return G.scan_questions(G.guard_questions(asked)).select("question_id.conv_id", "question_id.turn", "injection", "template", "reason")
+
+
 @query("r42_scan_chunks", "SELECT conv_id AS question_id, count(*) AS checked, (conv_id % 7 = 0 OR conv_id % 11 = 0) AS rejected, CASE WHEN conv_id % 7 = 0 OR conv_id % 11 = 0 THEN count(*) ELSE 0 END AS n_rejected FROM conversations GROUP BY conv_id")
 def scan_chunks(spark, d):
     t = attacked(spark, d).select(F.col("conv_id").alias("question_id"), F.lit("t").alias("tenant_id"), F.lit("m").alias("matter_id"), F.concat_ws(":", "conv_id", "turn").alias("chunk_id"), F.col("question").alias("text"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from attesta.functions import fixed
 from attesta.functions import text as T
 from attesta.operators import chunks as C
 from attesta.plans.registry import query
@@ -18,9 +19,7 @@ num AS (SELECT *, (row_number() OVER (PARTITION BY tenant_id, matter_id, doc_id
 chunk AS (SELECT sha256(concat_ws('|', tenant_id, matter_id, doc_id, ordinal)) AS chunk_id, * EXCLUDE (pos) FROM num)"""
 )
 TOKENS = "[lower(x) FOR x IN regexp_extract_all({0}, '[A-Za-z0-9_]+')]"
-EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
-SSN = r"\b\d{3}-\d{2}-\d{4}\b"
-PHONE = r"\b(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]\d{3}[-.\s]\d{4}\b"
+EMAIL, SSN, PHONE = (fixed.PII[e][0] for e in ("EMAIL_ADDRESS", "US_SSN", "PHONE_NUMBER"))
 CANON = """CASE WHEN length({0}) > 4 AND ends_with({0}, 'ies') THEN left({0}, -3) || 'y' WHEN length({0}) > 4 AND ends_with({0}, 'es') THEN left({0}, -2)
  WHEN length({0}) > 3 AND ends_with({0}, 's') AND NOT ends_with({0}, 'ss') THEN left({0}, -1) ELSE {0} END"""
 
@@ -148,9 +147,13 @@ def token_count(spark, d):
     return S.table(spark, d, "conversations").groupBy("conv_id").agg(F.greatest(F.lit(1), F.sum(T.word_count("text"))).cast("long").alias("n"))
 
 
-@query("r35_definition_targets", "SELECT item_id, lower(regexp_extract(text, '[A-Za-z]{3,}')) AS target, CASE WHEN length(regexp_extract(text, '[A-Za-z]{3,}')) <= 6 THEN upper(regexp_extract(text, '[A-Za-z]{3,}')) ELSE lower(regexp_extract(text, '[A-Za-z]{3,}')) END AS label FROM benchmark")
+ANY_WORD = "regexp_extract(text, '[A-Za-z]{3,}')"
+
+
+@query("r35_definition_targets", f"SELECT item_id, lower({ANY_WORD}) AS target, CASE WHEN length({ANY_WORD}) <= 6 THEN upper({ANY_WORD}) ELSE lower({ANY_WORD}) END AS label FROM benchmark")
 def definition_targets(spark, d):
-    q = F.concat(F.lit("So, What  is "), F.regexp_extract("text", "[A-Za-z]{3,}", 0), F.lit("?"))
+    """Whole passages that end with the question what their first word is."""
+    q = F.concat("text", F.lit(". So, What  is "), F.regexp_extract("text", "[A-Za-z]{3,}", 0), F.lit("?"))
     return S.table(spark, d, "benchmark").select("item_id", T.definition_object(q).alias("target"), T.definition_label(q).alias("label"))
 
 
@@ -159,8 +162,9 @@ W1 = "lower(regexp_extract(text, '[A-Za-z]{5,}'))"
 
 @query("r36_type_targets", f"SELECT item_id, CASE WHEN w IN ('there', 'types', 'kinds') THEN '' ELSE {CANON.format('w')} END AS targets FROM (SELECT item_id, {W1} AS w FROM benchmark)")
 def type_targets(spark, d):
-    q = F.concat(F.lit("Kinds of "), F.regexp_extract("text", "[A-Za-z]{5,}", 0), F.lit("?"))
-    return S.table(spark, d, "benchmark").select("item_id", F.array_join(T.type_targets(T.normalize_for_match(q)), " ").alias("targets"))
+    """Whole passages that end with a question for the kinds of one of their words."""
+    q = F.concat("text", F.lit(". Kinds of "), F.regexp_extract("text", "[A-Za-z]{5,}", 0), F.lit("?"))
+    return S.table(spark, d, "benchmark").withColumn("q", T.normalize_for_match(q)).select("item_id", F.array_join(T.type_targets(F.col("q")), " ").alias("targets"))
 
 
 PII_SQL = "\nUNION ALL ".join(f"SELECT doc_id, '{e}' AS entity_type, unnest(regexp_extract_all(text, '{p}')) AS v FROM documents" for e, p in (("EMAIL_ADDRESS", EMAIL), ("US_SSN", SSN), ("PHONE_NUMBER", PHONE)))
@@ -172,10 +176,13 @@ def detect_pii(spark, d):
     return e.groupBy("doc_id", "entity_type").agg(F.count("*").alias("n"), F.sum(F.col("end_offset") - F.col("start_offset")).cast("long").alias("chars"))
 
 
-@query("r09_list_pii", f"SELECT d.doc_id, e.entity_type, (instr(d.text, e.v) - 1)::INTEGER AS start_offset FROM documents d JOIN ({PII_SQL}) e USING (doc_id) QUALIFY row_number() OVER (PARTITION BY d.doc_id, e.entity_type ORDER BY instr(d.text, e.v)) = 1")
+@query(
+    "r09_list_pii",
+    "WITH RECURSIVE m AS (SELECT doc_id, entity_type, v, row_number() OVER () AS n FROM (" + PII_SQL + ")), k AS (SELECT doc_id, entity_type, list(v ORDER BY n) AS vs FROM m GROUP BY ALL), r AS (SELECT k.doc_id, entity_type, vs, 1 AS i, 0 AS off, d.text FROM k JOIN documents d USING (doc_id) UNION ALL SELECT doc_id, entity_type, vs, i + 1, off + instr(substr(text, off + 1), vs[i]) - 1 + length(vs[i]), text FROM r WHERE i <= len(vs)) SELECT doc_id, entity_type, (off - length(vs[i - 1]))::INTEGER AS start_offset, off::INTEGER AS end_offset FROM r WHERE i > 1",
+)
 def list_pii(spark, d):
-    e = C.detect_pii(S.documents(spark, d))
-    return e.groupBy("doc_id", "entity_type").agg(F.min("start_offset").alias("start_offset")).orderBy("doc_id", "start_offset")
+    """Every entity of every document with its place."""
+    return C.detect_pii(S.documents(spark, d)).orderBy("doc_id", "start_offset").select("doc_id", "entity_type", "start_offset", "end_offset")
 
 
 @query("r38_redact_pii", f"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '{EMAIL}', '<EMAIL>', 'g'), '{SSN}', '<SSN>', 'g'), '{PHONE}', '<PHONE>', 'g') AS text FROM documents")

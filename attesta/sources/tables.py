@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,5 +109,19 @@ def upsert_chunks(table: DataFrame, chunks: DataFrame) -> DataFrame:
     return others.unionByName(placed.select(*chunks.columns))
 
 
+EVAL_RECORD = ["id", "context_id", "split", "question", "program_answer", "original_answer", "context", "file_name"]
+
+
+def load_eval_records(spark: SparkSession, sources: dict[str, str]) -> DataFrame:
+    """JSON lines of several sources (name -> path): every field as text, a missing one empty, and the source's name."""
+    schema = ", ".join(f"{c} string" for c in EVAL_RECORD)  # numbers are read as their text
+
+    def one(name: str, path: str) -> DataFrame:
+        rows = spark.read.schema(schema).json(path)
+        return rows.select(F.lit(name).alias("source"), *(F.coalesce(c, F.lit("")).alias(c) for c in EVAL_RECORD))
+
+    return reduce(DataFrame.unionByName, [one(name, path) for name, path in sources.items()])
+
+
 def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("errorifexists").json(path)

@@ -10,30 +10,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
 
-from attesta.operators.audit import GENESIS, hasher
+from attesta.operators.audit import CHAINED, EVENT, GENESIS, linker
 from attesta.operators.chunks import chunk_pages, redact_pii
 from attesta.sources.scratch import cut, delete, exists
 from attesta.sources.tables import SCOPE, upsert_chunks, write_scope_partitions
 
-CHAINED = "id long, tenant_id string, actor string, event_type string, payload string, created_at string, previous_hash string, event_hash string"
 
+def append_chain_stream(events: DataFrame, chain: str = "tenant_id", redact: bool = True) -> DataFrame:
+    """Each event, redacted, linked to its chain's last hash, which is the state of the chain. Late events are appended as they arrive.
 
-def append_chain_stream(events: DataFrame, chain: str = "tenant_id") -> DataFrame:
-    """Each event linked to its chain's last hash, which is the state of the chain. Late events are appended as they arrive."""
-    hash_of, genesis = hasher(), GENESIS
-    names = ["id", "tenant_id", "actor", "event_type", "payload", "created_at"]
+    A task holds one chain's events of one batch; maxFilesPerTrigger bounds them.
+    """
+    names, link, genesis = list(EVENT), linker(redact), GENESIS
 
-    def link(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def chained(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         previous, out = (state.get[0] if state.exists else genesis), []
         rows = pd.concat(list(parts)).sort_values(["created_at", "id"])
         for r in rows.to_dict("records"):
-            digest = hash_of(r, previous)
+            r["payload"], digest = link(r, previous)
             out.append({**{n: r[n] for n in names}, "previous_hash": previous, "event_hash": digest})
             previous = digest
         state.update((previous,))
         yield pd.DataFrame(out, columns=[*names, "previous_hash", "event_hash"])
 
-    return events.select(*names).groupBy(chain).applyInPandasWithState(link, CHAINED, "last string", "append", GroupStateTimeout.NoTimeout)
+    return events.select(*names).groupBy(chain).applyInPandasWithState(chained, CHAINED, "last string", "append", GroupStateTimeout.NoTimeout)
 
 
 def rates_stream(events: DataFrame, by: str, minutes: int = 5, late: str = "10 minutes") -> DataFrame:
@@ -62,7 +62,7 @@ def ingest_stream(pages: DataFrame, chunks_path: str, checkpoint: str) -> Stream
         chunks = chunk_pages(redact_pii(batch)).withColumns({c: F.nullif(F.col(c), F.lit("")) for c in SCOPE})  # as partitions keep them
         merged = f"{checkpoint}/merged/{n}"
         if not exists(spark, f"{merged}/_SUCCESS"):
-            whole = upsert_chunks(spark.read.schema(chunks.schema).parquet(chunks_path), cut(chunks)) if exists(spark, chunks_path) else chunks
+            whole = upsert_chunks(spark.read.schema(chunks.schema).parquet(chunks_path), cut(chunks, "chunks")) if exists(spark, chunks_path) else chunks
             whole.write.mode("overwrite").parquet(merged)
         write_scope_partitions(spark.read.schema(chunks.schema).parquet(merged), chunks_path)
         delete(spark, f"{checkpoint}/merged/{n - 1}")
