@@ -21,6 +21,7 @@ from pyspark.sql.window import Window
 
 from attesta.functions import fixed
 from attesta.functions.text import canonical_tokens, concepts, tokenize
+from attesta.operators.guards import own_corpora, select_sources
 from attesta.sources.scratch import cut
 
 SCOPE = ["tenant_id", "matter_id"]
@@ -342,9 +343,24 @@ def rerank_supplied(cands: DataFrame, scores: DataFrame, limit: int = fixed.TOP_
     return joined.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, graph: bool = True, limit: int = fixed.TOP_K, pattern: str = fixed.CONCEPT, mode: str = "blake2b") -> DataFrame:
-    """All lanes, fusion, candidate cut and reranking for a table of questions."""
-    lanes = [hash_dense_top_k(questions, chunks, mode=mode), bm25_top_k(questions, chunks)]
+def retrieve(questions: DataFrame, chunks: DataFrame, graph: bool = True, limit: int = fixed.TOP_K, pattern: str = fixed.CONCEPT, mode: str = "blake2b", placement: str = "prefilter") -> DataFrame:
+    """All lanes, fusion, candidate cut and reranking for a table of questions.
+
+    Questions may select documents (doc_ids; an empty selection is none). Their lanes then search and count over the
+    selected documents only; with placement "parity" the dense lane searches the whole scope and drops other documents
+    after its cut.
+    """
+    selecting = "doc_ids" in questions.columns
+    asked, corpus = own_corpora(questions, chunks) if selecting else (questions, chunks)
+    scopes = questions.select("question_id", *SCOPE)
+    back = lambda lane: lane.drop(*SCOPE).join(scopes, "question_id") if selecting else lane
+    if selecting and placement == "parity":
+        every = hash_dense_top_k(questions, chunks, mode=mode)
+        kept = every.join(select_sources(questions, chunks).select("question_id", "chunk_id"), ["question_id", "chunk_id"], "left_semi")
+        dense = kept.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy("rank")))
+    else:
+        dense = back(hash_dense_top_k(asked, corpus, mode=mode))
+    lanes = [dense, back(bm25_top_k(asked, corpus))]
     if graph:
-        lanes.append(graph_top_k(questions, chunks, graph_edges(chunks, pattern)))
+        lanes.append(back(graph_top_k(asked, corpus, graph_edges(corpus, pattern))))
     return rerank(candidates(fuse(*lanes), questions, chunks), limit)

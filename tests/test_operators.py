@@ -128,21 +128,83 @@ def test_rerank_keeps_a_slot_for_the_sparse_lane(spark):
     assert "c9" in got and got[:2] == ["c0", "c1"] and len(got) == 4
 
 
-def answers(spark, *claims):
-    return spark.createDataFrame([(0, "The answer.", list(claims))], f"question_id int, answer string, claims {A.CLAIMS}")
+def answers(spark, *claims, answer="The answer."):
+    return spark.createDataFrame([(0, answer, list(claims))], f"question_id int, answer string, claims {A.CLAIMS}")
 
 
 def test_verification(spark):
-    hits = spark.createDataFrame([(0, "c1", "Revenue  rose by 5 percent.")], "question_id int, chunk_id string, text string")
+    hits = spark.createDataFrame([(0, "c1", "Revenue  rose by 5 percent.", "d1", "d1.txt", "t", "m", 3)], "question_id int, chunk_id string, text string, doc_id string, filename string, tenant_id string, matter_id string, page int")
     good, bad = ("Up.", [("c1", "revenue rose by 5 PERCENT")]), ("Down.", [("c1", "revenue fell")])
-    elsewhere = ("Else.", [("c2", "revenue")])
+    elsewhere, bare, mixed = ("Else.", [("c2", "revenue")]), ("Said.", []), ("  ", [("c1", " Revenue rose "), ("c1", "nothing"), ("c1", "5 percent.")])
     check = lambda *c: A.verify_answers(answers(spark, *c), hits, ask(spark, "What of revenue?")).first()
-    assert (check(good).status, check(good).answer) == ("accepted", "The answer.")
+    r = check(good)
+    assert (r.status, r.answer, r.reason) == ("accepted", "The answer.", "all returned claims have at least one verbatim citation")
+    c = r.claims[0].citations[0]
+    assert (c.chunk_id, c.doc_id, c.filename, c.tenant_id, c.matter_id, c.page) == ("c1", "d1", "d1.txt", "t", "m", 3)
     r = check(good, bad)
-    assert (r.status, r.answer, r.dropped_claims, r.dropped_citations) == ("repaired", "Up.", 1, 1)
-    assert check(bad).status == check(elsewhere).status == check().status == "rejected"
+    assert (r.status, r.answer, r.dropped_claims, r.dropped_citations, [c.text for c in r.claims]) == ("repaired", "Up.", 0, 1, ["Up."])
+    r = check(good, bare)  # a claim that cites nothing drops no citation, so the answer stands as it is
+    assert (r.status, r.answer, r.dropped_claims, r.dropped_citations, len(r.claims)) == ("accepted", "The answer.", 0, 0, 1)
+    r = check(good, mixed)
+    assert (r.status, r.answer, r.dropped_citations) == ("repaired", "Up. Revenue rose 5 percent.", 1)
+    for c in ((bad,), (elsewhere,), (bare,), ()):
+        r = check(*c)
+        assert (r.status, r.claims, r.dropped_claims) == ("rejected", [], 0) and r.answer.startswith("I could not verify")
     empty = A.verify_citations(answers(spark, ("x", [("c1", "")])), hits).first()
-    assert empty.verified and empty.empty_quote
+    assert empty.verified and empty.empty_quote and empty.filename == "d1.txt"
+
+
+def test_verification_of_types(spark):
+    text = "If you have a covered litter box and your cat is hesitant to walk inside it, try removing the cover."
+    hits = spark.createDataFrame([(0, "c1", text), (0, "c2", "The guide lists indoor cats and outdoor cats as types of cats.")], "question_id int, chunk_id string, text string")
+    asked = ask(spark, "what type of cats are there")
+    off = A.verify_answers(answers(spark, (text, [("c1", text)]), answer="The types of litter boxes available are covered and uncovered."), hits, asked).first()
+    assert (off.status, off.dropped_claims, off.dropped_citations, off.claims) == ("rejected", 1, 1, []) and off.reason == "no claim directly answered the type requested in the question"
+    on = A.verify_answers(answers(spark, ("Indoor and outdoor cats.", [("c2", "indoor cats and outdoor cats as types of cats")]), answer="Types of cats are indoor cats and outdoor cats."), hits, asked).first()
+    assert (on.status, on.dropped_claims) == ("accepted", 0)
+
+
+def test_definition_fallback_in_the_batch(spark):
+    q = ask(spark, "What is RAG?", "Who sold it?")
+    text = "We used it. Retrieval augmented generation (RAG) is a method that combines search and writing. It was sold by Ann."
+    h = spark.createDataFrame([(i, "t", "m", 1, "c1", text, "d1", "d1.txt", 1) for i in (0, 1)], "question_id int, tenant_id string, matter_id string, rank int, chunk_id string, text string, doc_id string, filename string, page int")
+    model = spark.createDataFrame([(0, "RAG is cloth.", [("RAG is cloth.", [("c1", "a piece of cloth")])]), (1, "Ann.", [("Ann.", [("c1", "sold by Ann")])])], f"question_id int, answer string, claims {A.CLAIMS}")
+    guarded = G.guard_questions(q)
+    flagged = G.scan_hits(h, G.guard_chunks(h.select("tenant_id", "matter_id", "chunk_id", "text").distinct()))
+    got = {r.question_id: r for r in A.answer_questions(q, h, guarded, flagged, model).collect()}
+    assert (got[0].status, got[0].previous_status, got[0].answer) == ("repaired", "rejected", "RAG is a method that combines search and writing.")
+    assert got[0].claims[0].citations[0].filename == "d1.txt"
+    assert (got[1].status, got[1].previous_status, got[1].answer) == ("accepted", None, "Ann.")
+
+
+def test_quotes_are_substrings(spark):
+    texts = ["Revenue grew by 5 percent in the year, and costs fell.", "日本語のテキスト and more", "a  b", "one two three four five six seven eightfold nine", "... !!", None, "", "x" * 3000 + " 😀z"]
+    quotes = ["enue grew", "日本語", "語のテ", "a b", "two three four five six seven eight", "ne two three four five six seven eightf", "grew by 5 percent", "!!", ".", "", None, "costs fell. and", "Straße", "REVENUE  grew", "😀z", "xx 😀"]
+    q = spark.createDataFrame(list(enumerate(quotes)), "quote_id int, quote string")
+    t = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    norm = lambda x: " ".join(x.split()).casefold()
+    want = {(i, j) for i, a in enumerate(quotes) if a for j, b in enumerate(texts) if b and norm(a) in norm(b)}
+    assert {(r.quote_id, r.id) for r in A.find_quotes(q, t).collect()} == want
+    assert A.find_quotes(q.limit(0), t).count() == 0 and A.find_quotes(q, t.limit(0)).count() == 0
+
+
+def test_quotes_are_located(spark):
+    text = "first line\nthe  quick\n\tbrown fox\r\njumps over\u00a0it\nlast \\E line"
+    cases = {"quick": (16, 21, 2, 2), " the quick brown ": (11, 28, 2, 3), "fox jumps over it": (29, 47, 3, 4), "\\E line": (53, 60, 5, 5), "slow": None, " ": None, None: None}
+    p = spark.createDataFrame([(i, text, q) for i, q in enumerate(cases)], "k int, text string, quote string")
+    got = {r.quote: r for r in A.source_excerpts(A.locate_quotes(p), around=1).collect()}
+    for q, want in cases.items():
+        r = got[q]
+        assert (None if r.start is None else (r.start, r.end, r.line_start, r.line_end)) == want, q
+    assert (got["quick"].excerpt_start, got["quick"].excerpt_end) == (1, 3) and got["quick"].excerpt == "first line\nthe  quick\n\tbrown fox"
+    assert (got["slow"].excerpt_start, got["slow"].excerpt_end) == (1, 5)
+
+
+def test_quotes_over_parts(spark):
+    parts = spark.createDataFrame([("d", 0, "one two"), ("d", 1, ""), ("d", 2, None), ("d", 3, "three  four"), ("d", 4, "five")], "doc_id string, pos int, text string")
+    q = spark.createDataFrame([("d", 1, "two three four five"), ("d", 2, "one"), ("d", 3, "six"), ("e", 4, "one")], "doc_id string, quote_id int, quote string")
+    got = sorted((r.quote_id, r.pos, r.part_start, r.part_end) for r in A.locate_quote_segments(q, parts).collect())
+    assert got == [(1, 0, 4, 7), (1, 1, 0, 0), (1, 2, 0, 0), (1, 3, 0, 11), (1, 4, 0, 4), (2, 0, 0, 3)]
 
 
 def test_definitions(spark):
@@ -154,15 +216,119 @@ def test_definitions(spark):
 
 
 def test_chain(spark):
-    e = spark.createDataFrame([(i, f"t{i % 2}", "a", "chat", '{"k":"v\\\\ü"}' if i % 3 else "plain \"x\"", "2024-01-01T00:00:00") for i in range(20)], "id long, tenant_id string, actor string, event_type string, payload string, created_at string")
-    c = U.append_chain(e)
-    assert U.verify_chain(c).count() == 0 and c.where("previous_hash = 'GENESIS'").count() == 2
-    broken = U.verify_chain(c.withColumn("payload", F.when(F.col("id") == 7, "x").otherwise(F.col("payload")))).collect()
-    assert [(r.tenant_id, r.id) for r in broken] == [("t1", 7)]
+    import hashlib
+    import json
+
+    payloads = ['{"k":"v\\\\ü","status":"ok"}', 'plain "x"', None, '{"status": "ü", "top_k": 3}']
+    rows = [(i, None if i % 7 == 0 else f"t{i % 2}", "a", "chat", payloads[i % 4], "2024-01-01T00:00:00") for i in range(40)]
+    e = spark.createDataFrame(rows, "id long, tenant_id string, actor string, event_type string, payload string, created_at string")
+    c = U.append_chain(e.repartition(3))
+    last = {}
+    for r in sorted(c.collect()):
+        before = last.get(r.tenant_id, "GENESIS")
+        body = {"actor": "a", "created_at": r.created_at, "event_type": "chat", "payload": r.payload, "previous_hash": before, "tenant_id": r.tenant_id}
+        last[r.tenant_id] = hashlib.sha256(json.dumps(body, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+        assert (r.previous_hash, r.event_hash) == (before, last[r.tenant_id])
+        assert r.payload == ['{"k":"[redacted]","status":"ok"}', '"[redacted]"', "{}", '{"status":"\\u00fc","top_k":3}'][r.id % 4]
+    named = c.where("tenant_id IS NOT NULL")
+    assert U.verify_chain(named).count() == 0
+    broken = U.verify_chain(named.withColumn("payload", F.when(F.col("id") == 9, "x").otherwise(F.col("payload")))).collect()
+    assert [(r.tenant_id, r.id) for r in broken] == [("t1", 9)]
+    assert U.append_chain(e.limit(0)).count() == 0
     m = F.create_map(F.lit("status"), F.lit("ok"), F.lit("prompt"), F.lit("secret"))
     assert spark.range(1).select(U.redact_payload(m).alias("m")).first().m == {"status": "ok", "prompt": "[redacted]"}
 
 
+def test_hashed_words_by_blake2b(spark):
+    from hashlib import blake2b
+
+    text = "The cat, the Dog und die Maus 12"
+    want = [0.0] * 384
+    for w in text.lower().replace(",", "").split():
+        h = blake2b(w.encode(), digest_size=8).digest()
+        want[int.from_bytes(h[:4], "big") % 384] += 1 if h[4] % 2 == 0 else -1
+    norm = sum(x * x for x in want) ** 0.5
+    t = spark.createDataFrame([(1, text), (2, "")], "id int, text string")
+    got = L.dense_vectors(L.hash_weights(t), 384).collect()
+    assert [r.id for r in got] == [1] and all(abs(a - b / norm) < 1e-12 for a, b in zip(got[0].embedding, want))
+    assert 'mode: str = "blake2b"' in __import__("inspect").getsource(L.retrieve)
+
+
+def test_zeros_fill_in_corpus_order(spark):
+    chunks = scope(spark, [f"text {i}" for i in range(30)])
+    q = ask(spark, "one", "two", "three")
+    hits = [(0, 5, 2.0), (0, 7, -1.0), (0, 0, -3.0), (1, 3, 1.0), (1, 4, 0.0)]
+    h = spark.createDataFrame([(k, "t", "m", f"c{i}", f"d{i}", 0, s) for k, i, s in hits], "question_id int, tenant_id string, matter_id string, chunk_id string, doc_id string, ordinal int, score double")
+    for k in (1, 3, 29, 30, 50):
+        got = sorted((r.question_id, r["rank"], r.chunk_id) for r in L.top_with_zeros(h, q, chunks, k).collect())
+        score = lambda n, i: dict(((a, b), s) for a, b, s in hits).get((n, i), 0.0)
+        want = [(n, p + 1, f"c{i}") for n in range(3) for p, i in enumerate(sorted(range(30), key=lambda i: (-score(n, i), f"d{i}"))[:k])]
+        assert got == sorted(want), k
+
+
+def test_selected_documents_are_a_corpus_of_their_own(spark):
+    texts = ["the cat sat here", "the dog sat on the cat log", "a bird sat", "the the cat", "cat and dog", "no such thing"]
+    chunks, q = scope(spark, texts), ask(spark, "the cat sat", "the cat sat").withColumn("doc_ids", F.when(F.col("question_id") == 0, F.array(*map(F.lit, ("d1", "d3", "d4")))).otherwise(F.array().cast("array<string>")))
+    rows = lambda df, k: [(r.chunk_id, r.rerank_score, r.sparse_score) for r in df.where(F.col("question_id") == k).orderBy("rank").collect()]
+    got = L.retrieve(q, chunks)
+    few = L.retrieve(q.drop("doc_ids"), chunks.where(F.col("doc_id").isin("d1", "d3", "d4")))
+    every = L.retrieve(q.drop("doc_ids"), chunks)
+    assert rows(got, 0) == rows(few, 0) and rows(got, 1) == rows(every, 1) and len(rows(got, 0)) == 3
+    parity = L.retrieve(q, chunks, placement="parity")
+    assert {c for c, *_ in rows(parity, 0)} == {"c1", "c3", "c4"} and set(r.matter_id for r in parity.collect()) == {"m"}
+
+
+def test_metrics(spark):
+    e = spark.createDataFrame([("t", "chat", "accepted", None, None, None), ("t", "chat", "rejected", None, None, None), ("t", "generate", "rejected", "p", "x", 5), ("u", "upload", None, None, None, None), ("t", "generate", "accepted", "p", "x", 7)], "tenant_id string, event_type string, status string, provider string, model string, tokens int")
+    got = {(r.metric, r.tenant_id, r.label): r.value for r in U.usage_counters(e).collect()}
+    assert got == {("chats", "t", "accepted"): 1, ("chats", "t", "rejected"): 1, ("tokens", "t", "p/x"): 12, ("uploads", "u", ""): 1, ("verification_failures", "t", ""): 1, ("audit_events", "t", "chat"): 2, ("audit_events", "t", "generate"): 2, ("audit_events", "u", "upload"): 1}
+    v = spark.createDataFrame([(x,) for x in (1.0, 2.0, 3.0, 8.0, 9.0)], "value double").withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000)))
+    assert abs(U.bucket_quantile(v, [5, 10], 0.5).first()["quantile"] - 5 * 2.5 / 3) < 1e-12 and abs(U.bucket_quantile(v, [5, 10], 0.9).first()["quantile"] - 8.75) < 1e-12
+    assert U.bucket_quantile(v, [5], 0.9).first()["quantile"] == 5
+    terms = lambda *t: F.array(*map(F.lit, t))
+    assert value(spark, U.contains_terms("a", terms("lease", "direct operating cost")), a="Direct operating lease costs") and not value(spark, U.contains_terms("a", terms("rent")), a="Direct")
+    rec = spark.createDataFrame([(0, "a.txt"), (1, "b.txt")], "question_id int, expected string")
+    hit = lambda *r: spark.createDataFrame(list(r), "question_id int, filename string, rank int")
+    res = spark.createDataFrame([(0, "accepted", [("c", [("c1", "q", None, None, None, None, None)])]), (1, "rejected", [])], f"question_id int, status string, claims {A.VERIFIED}")
+    m = U.evaluate(rec, res, hit((0, "a.txt", 1), (1, "b.txt", 8)), hit((0, "a.txt", 3), (1, "x.txt", 1))).first()
+    assert (m.recall_at_8, m.faithfulness, m.citation_valid, m.bm25_recall_at_1, m.bm25_recall_at_8, m.lift_at_1, m.lift_at_8) == (1.0, 0.5, 0.5, 0.0, 0.5, 1.0, 1.0)
+
+
+def test_rank_of_random_graphs(spark):
+    import random
+
+    random.seed(3)
+    n = 14
+    texts = [" ".join(f"section {random.randint(1, 9)} " for _ in range(random.randint(0, 2))) + random.choice(["alpha", "beta", "alpha beta", ""]) + f" w{i}" for i in range(n)]
+    chunks = scope(spark, texts)
+    edges = L.graph_edges(chunks).cache()
+    q = ask(spark, "alpha", "beta w3 w9", "w1")
+    seeds = L.seed_scores(q, chunks)
+    got = {(r.question_id, r.chunk_id): r.rank_mass for r in L.page_rank(seeds, chunks, edges).collect()}
+    top = {(r.question_id, r.chunk_id): r.score for r in L.graph_top_k(q, chunks, edges, 6).collect()}
+    out = {}
+    for r in edges.collect():
+        out.setdefault(r.src, {})[r.dst] = r.weight
+    nodes = [f"c{i}" for i in range(n)]
+    for k in range(3):
+        s = {r.chunk_id: r.seed for r in seeds.where(F.col("question_id") == k).collect()}
+        p = {x: s.get(x, 0) / sum(s.values()) for x in nodes}
+        mass = dict.fromkeys(nodes, 1 / n)
+        for _ in range(25):
+            new = {x: 0.15 * p[x] for x in nodes}
+            for x in nodes:
+                for m, w in (out.get(x) or {}).items():
+                    new[m] += 0.85 * mass[x] * w / sum(out[x].values())
+                if x not in out:
+                    for m in nodes:
+                        new[m] += 0.85 * mass[x] * p[m]
+            mass = new
+        assert all(abs(got[k, x] - mass[x]) < 1e-12 for x in nodes)
+        score = {x: round(0.25 * mass[x] + 0.1 * s.get(x, 0) + sum(s.get(y, 0) * w for y, w in (out.get(x) or {}).items()), 9) for x in nodes}
+        best = [x for x in sorted(nodes, key=lambda x: (-score[x], f"d{x[1:]}"))[:6] if score[x] > 0]
+        assert {x: round(v, 6) for (j, x), v in top.items() if j == k} == {x: round(score[x], 6) for x in best}
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b"fine \xff text")
     (tmp_path / "b.txt").write_bytes(b"  \n ")
@@ -172,6 +338,26 @@ def test_sources(spark, tmp_path):
     assert {(r.k, r.v) for r in S.upsert(old, spark.createDataFrame([(2, "c", 1), (3, "d", 1)], old.schema), ["k"], "version").collect()} == {(1, "a"), (2, "c"), (3, "d")}
 
 
+def test_eval_records(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"id": 7, "question": "q", "original_answer": 1.5}\n\n{"id": "8", "split": null}\n')
+    (tmp_path / "b.jsonl").write_text('{"id": "9", "other": true}\n')
+    got = sorted((r.source, r.id, r.split, r.question, r.original_answer) for r in S.load_eval_records(spark, {"A": str(tmp_path / "a.jsonl"), "B": str(tmp_path / "b.jsonl")}).collect())
+    assert got == [("A", "7", "", "q", "1.5"), ("A", "8", "", "", ""), ("B", "9", "", "", "")]
+
+
+def test_scratch_tables_go(spark):
+    from attesta.sources import scratch
+
+    with scratch.temporaries(spark):
+        first = scratch.cut(spark.range(5), "first")
+        path = scratch.last_table(spark)
+        second = scratch.cut(first.where("id > 1"), "second")
+    assert second.count() == 3 and not scratch.exists(spark, path) and scratch.exists(spark, scratch.last_table(spark))
+    kept = scratch.last_table(spark)
+    scratch.release(spark, [kept])
+    assert not scratch.exists(spark, kept)
+
+
 def test_no_cartesian_products(spark):
     chunks, q = scope(spark, ["a b c", "b c d"]), ask(spark, "b c")
     for df in (L.bm25_top_k(q, chunks), L.hash_dense_top_k(q, chunks), L.graph_edges(chunks)):

@@ -9,8 +9,7 @@ import pytest
 import __spark_entry__ as entry
 
 AT = "/root/testdata/sf0.001"
-SLOW = {"r59_rrf_fuse", "r60_candidates", "r61_rerank_scores", "r64_rerank_none", "r57_page_rank", "r58_graph_top_k"}  # parts of r66_retrieve
-NAMES = sorted(n for n in entry.oracle_sql() if n not in SLOW)
+NAMES = sorted(entry.oracle_sql())
 
 
 def rows(df):
@@ -36,7 +35,10 @@ def duck():
 
 @pytest.mark.parametrize("name", NAMES)
 def test_same_rows(spark, duck, name):
-    assert rows(entry.queries()[name](spark, AT).toPandas()) == rows(duck.execute(entry.oracle_sql()[name]).df())
+    df = entry.queries()[name](spark, AT)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert rows(df.toPandas()) == rows(duck.execute(entry.oracle_sql()[name]).df())
 
 
 def test_entry(spark):
