@@ -187,7 +187,7 @@ def candidates(spark, d):
 @query("r61_rerank_scores", f"WITH {LANES} SELECT question_id, chunk_id, round(rerank_score, 6) AS rerank_score FROM rs")
 def rerank_scores(spark, d):
     q, c, f = fused(spark, d)
-    return L.candidates(f, q, c).select("question_id", "chunk_id", F.round(L.rerank_score(), 6).alias("rerank_score"))
+    return L.candidates(f, q, c).select("question_id", "chunk_id", F.round(F.round(L.rerank_score(), L.DIGITS), 6).alias("rerank_score"))
 
 
 @query("r64_rerank_none", f"WITH {LANES} SELECT {COLS} FROM cand WHERE rank <= 8")
@@ -219,7 +219,8 @@ SELECT round((SELECT avg(h) FROM a), 6) AS with_graph, round((SELECT avg(h) FROM
 def graph_lift(spark, d):
     q, c = both(spark, d)
     dense, sparse = cut(L.hash_dense_top_k(q, c, mode="md5")), cut(L.bm25_top_k(q, c))
-    linked = recall_at(L.fuse(dense, sparse, L.graph_top_k(q, c, L.graph_edges(c, CONCEPTS))))
-    plain = recall_at(L.fuse(dense, sparse)).withColumnRenamed("recall", "base")
-    rows = linked.withColumn("k", F.lit(1)).join(plain.withColumn("k", F.lit(1)), "k")  # one row each
+    linked = recall_at(L.fuse(dense, sparse, L.graph_top_k(q, c, L.graph_edges(c, CONCEPTS)))).withColumn("lane", F.lit("graph"))
+    both_ = linked.unionByName(recall_at(L.fuse(dense, sparse)).withColumn("lane", F.lit("plain")))
+    of = lambda lane: F.max(F.when(F.col("lane") == lane, F.col("recall")))
+    rows = both_.agg(of("graph").alias("recall"), of("plain").alias("base"))
     return rows.select(F.round("recall", 6).alias("with_graph"), F.round("base", 6).alias("without_graph"), F.round(F.col("recall") - F.col("base"), 6).alias("difference"))
