@@ -5,7 +5,8 @@ than a window. Best-fit decreasing treats equal runs alike, so it needs only how
 most `window` counts, a proven bound, whatever the corpus. A segment tree indexed by remaining capacity finds the
 tightest open window for a length; a group of windows with equal contents is one entry, and equal runs fill it together.
 Executors then number the runs of each length (in salted parts, as one length may hold most runs) and look their places
-up. The salt is drawn when a run is written, so that equal rows part too; how many parts there are follows from the count.
+up. The salt is drawn when a run is written, so that equal rows part too; how many parts there are follows from the most
+frequent length, so that none of its parts is more than a task's share.
 
 Defined results: a null or empty text is one id, the end id; repeated rows are packed each; a null doc_id is kept;
 extra columns are ignored; an empty table gives an empty result. Ties are taken in order of doc_id, then of content.
@@ -160,10 +161,11 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, end_id: int =
     spark = prepare(docs.sparkSession)
     drawn = (F.rand(11) * SALTS).cast("int").alias("drawn")
     cut = materialize(pieces(docs, tokenizer_path, window, end_id).select("*", drawn), "pieces")
-    parts = max(1, -(-cut.count() // PART_RUNS))
-    salted = cut.withColumn("salt", F.col("drawn") % min(parts, SALTS))
+    by_length = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `window` rows
+    most, runs = max(by_length.values(), default=1), max(1, sum(by_length.values()))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    salted = cut.withColumn("salt", F.col("drawn") % min(SALTS, max(-(-most // PART_RUNS), -(-most * tasks // runs))))
     sized = materialize(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "sizes")
-    by_length = {r["length"]: r["n"] for r in sized.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `window` rows
     places = plan(by_length, window)
     used: dict[int, int] = {}
     segments = []
