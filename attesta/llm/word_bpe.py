@@ -29,7 +29,7 @@ from attesta.llm._common import prepare
 #: Of texts with only these characters, `re` and str.lower() split and fold as the tokenizers library does.
 PLAIN = re.compile(r"[\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-įĲ-ž‐-‧‰-›€]*")
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
-CACHE_WORDS, CACHE_CHARS = 100_000, 40
+CACHE_WORDS, CACHE_CHARS = 200_000, 40
 
 
 class WordBpe:
@@ -47,13 +47,15 @@ class WordBpe:
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.rank = {(self.packed(a), self.packed(b)): k for k, (a, b) in enumerate(pairs)}
         self.ids = {self.packed(t): i for t, i in self.vocab.items() if t not in self.added}
-        self.text = {i: t for t, i in {**self.vocab, **self.added}.items()}
+        text = {i: t for t, i in self.vocab.items()}
+        self.id_of = {t: str(i) for t, i in self.ids.items()}
+        self.text_of = {t: text[i] for t, i in self.ids.items()}
         self.compatible: dict[tuple[str, str], bool] = {}
         self.automaton = ahocorasick.Automaton()
         for t, i in self.ids.items():
             # only tokens that encode to themselves can stand in an encoding
             if self.merged(t) == [t]:
-                self.automaton.add_word(t, t)
+                self.automaton.add_word(t, (t, len(t)))
         self.automaton.make_automaton()
         # word -> number of ids, ids, token texts (each joined by a space): three tables for the new generation, one for the old
         self.counts: dict[str, int] = {}
@@ -88,20 +90,25 @@ class WordBpe:
         return parts
 
     def fits(self, a: str, b: str) -> bool:
-        if (known := self.compatible.get((a, b))) is None:
-            if len(self.compatible) > 1_000_000:
-                self.compatible.clear()
-            known = self.compatible[a, b] = self.merged(a + b) == [a, b]
+        """Whether two tokens' own text encodes to just them; remembered."""
+        if len(self.compatible) > 1_000_000:
+            self.compatible.clear()
+        known = self.compatible[a, b] = self.merged(a + b) == [a, b]
         return known
 
     def last_tokens(self, symbols: str) -> list[str]:
         """The tokens of a word's symbols: the last token of every prefix, then back-pointers."""
         last: list[str | None] = [None] * len(symbols)
-        for at, token in self.automaton.iter(symbols):
-            before = at - len(token)
+        known = self.compatible.get
+        for at, (token, size) in self.automaton.iter(symbols):
             # the automaton reports a position's suffixes from the longest; the first compatible one is the only one
-            if last[at] is None and (before < 0 or last[before] is not None and self.fits(last[before], token)):
-                last[at] = token
+            if last[at] is None:
+                if size > at:
+                    last[at] = token
+                elif (before := last[at - size]) is not None:
+                    fit = known((before, token))
+                    if self.fits(before, token) if fit is None else fit:
+                        last[at] = token
         out, at = [], len(symbols) - 1
         while at >= 0:
             token = last[at]
@@ -109,22 +116,24 @@ class WordBpe:
                 raise ValueError("the vocabulary lacks a base symbol")
             out.append(token)
             at -= len(token)
-        return out[::-1]
+        out.reverse()
+        return out
 
     def word(self, word: str) -> tuple[int, str, str]:
         """Number of ids, ids and token texts (each joined by a space) of a split word."""
-        letters = "".join(map(self.letter.__getitem__, word.encode("utf-8", "replace")))
-        symbols = letters[:-1] + chr(ord(letters[-1]) + 0xE000) if self.end else letters
-        ids = [self.ids[t] for t in self.last_tokens(symbols)]
-        return len(ids), " ".join(map(str, ids)), " ".join(self.text[i] for i in ids)
+        letters = word if word.isascii() and word.isalnum() else "".join(map(self.letter.__getitem__, word.encode("utf-8", "replace")))
+        tokens = self.last_tokens(letters[:-1] + chr(ord(letters[-1]) + 0xE000) if self.end else letters)
+        return len(tokens), " ".join(map(self.id_of.__getitem__, tokens)), " ".join(map(self.text_of.__getitem__, tokens))
 
     def learn(self, words: set[str]) -> list[str]:
         """Put words into the new generation; those too long to stay there are returned."""
-        new, old = (self.counts, self.id_texts, self.token_texts), self.old
+        counts, ids, tokens = self.counts, self.id_texts, self.token_texts
+        old_counts, old_ids, old_tokens = self.old
         for w in words:
-            got = (old[0][w], old[1][w], old[2][w]) if w in old[0] else self.word(w)
-            for table, value in zip(new, got):
-                table[w] = value
+            if w in old_counts:
+                counts[w], ids[w], tokens[w] = old_counts[w], old_ids[w], old_tokens[w]
+            else:
+                counts[w], ids[w], tokens[w] = self.word(w)
         return [w for w in words if len(w) > CACHE_CHARS]
 
     def forget(self, words: list[str]) -> None:
