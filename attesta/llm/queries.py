@@ -62,7 +62,26 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_html, op3_quality, op4_secrets, op5_simhash, op6_packing, op7_topk, op8_bpe, op9_nearest, op10_licenses, pipeline)}
 
+#: The patterns of secrets.py in the words of another engine, with quotes doubled for SQL.
+ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+IDENT = r"""(?i:access_?key(?:_?id)?|client_?id|user_?name|login|account)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9._@-]{3,}"""
+ENDPOINT = r"""[a-z][a-z0-9+]{1,9}://[A-Za-z0-9._~:/?#@!$&''()*+,;=%-]+"""
+
 ORACLE_SQL = {
+    # Matches by kind, their places one after another, then the interval join of weak spans with complementary ones.
+    "op4_secrets": rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+m AS (SELECT r, 0 AS kind, regexp_extract_all(text, '{ASSIGN}') AS vs FROM d UNION ALL SELECT r, 1, regexp_extract_all(text, 'AKIA[A-Z0-9]+') FROM d UNION ALL SELECT r, 2, regexp_extract_all(text, '[0-9a-f]{{32,}}') FROM d
+ UNION ALL SELECT r, 3, regexp_extract_all(text, '{IDENT}') FROM d UNION ALL SELECT r, 4, regexp_extract_all(text, '{ENDPOINT}') FROM d UNION ALL SELECT r, 5, regexp_extract_all(text, '[A-Za-z0-9+/_.=-]{{24,}}') FROM d),
+w AS (SELECT r, kind, vs, 1 AS i, 0 AS off FROM m WHERE len(vs) > 0 UNION ALL SELECT w.r, kind, vs, i + 1, off + instr(substr(text, off + 1), vs[i]) - 1 + length(vs[i]) FROM w JOIN d USING (r) WHERE i <= len(vs)),
+p AS (SELECT r, kind, vs[i - 1] AS v, off - length(vs[i - 1]) AS a, regexp_extract(vs[i - 1], '^([A-Za-z0-9+/]{{24,}}={{0,2}})(?:\.|$)', 1) AS bare FROM w WHERE i > 1),
+s AS (SELECT r, kind, a, a + length(CASE WHEN kind = 5 THEN bare ELSE v END) AS b FROM p
+ WHERE CASE kind WHEN 0 THEN length(regexp_extract(v, '{ASSIGN}', 1)) >= 8 WHEN 1 THEN length(v) >= 16 WHEN 5 THEN regexp_matches(bare, '[0-9]') AND regexp_matches(bare, '[A-Za-z]') ELSE true END),
+x AS (SELECT DISTINCT l.* FROM s l JOIN s o ON l.r = o.r AND l.kind >= 3 AND CASE WHEN l.kind = 5 THEN o.kind IN (1, 3, 4) ELSE o.kind IN (0, 2, 5) END AND (o.b <= l.a OR o.a >= l.b) AND abs(l.a - o.a) <= 400),
+t AS (SELECT *, ['assign', 'access', 'hex', 'ident', 'endpoint', 'bare'][kind + 1] || ':' || a || ':' || b AS name FROM (SELECT * FROM s WHERE kind < 3 UNION ALL SELECT * FROM x))
+SELECT doc_id, count(t.r) FILTER (kind = 0) AS n_assign, count(t.r) FILTER (kind = 1) AS n_access, count(t.r) FILTER (kind = 2) AS n_hex,
+ sha256(coalesce(string_agg(name, ',' ORDER BY a, kind, b) FILTER (kind < 3), '')) AS base_sha256, coalesce(string_agg(name, ',' ORDER BY a, kind, b), '') AS spans, count(t.r) FILTER (kind >= 3) AS n_linked
+FROM d LEFT JOIN t USING (r) GROUP BY d.r, doc_id""",
     "op7_topk": """
 WITH v AS (SELECT vec_id, [floor(64 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
            WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),

@@ -4,6 +4,7 @@ import hashlib
 import re
 from zlib import crc32
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from attesta.llm import exact_topk, html_text, licenses, nearest, packing, quality, secrets, simhash, toxicity, word_bpe
-from attesta.llm.queries import tokenizer_path
+from attesta.llm.queries import ORACLE_SQL, tokenizer_path
 
 ODD = [
     "", None, " \n\t ", "a", "x " * 40_000, "z" * 60_000, "same text of a few words", "same text of a few words", "Ünïcödé 日本語 😀 ǅ Σ", "<|endoftext|> in a text <|startoftext|>",
@@ -198,6 +199,9 @@ def test_linking_against_all_pairs(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = secrets.scan_secrets(df).collect()
     assert {r.doc_id: r.spans for r in got} == {i: slow(t) for i, t in enumerate(texts)}
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
+    assert sorted(map(tuple, got)) == sorted(con.execute(ORACLE_SQL["op4_secrets"]).fetchall())
     assert sum(r.n_linked for r in got) > 300 and any(r.n_linked == 0 for r in got)
     clean = {r.doc_id: r.text for r in secrets.redact_secrets(df).collect()}
     for i, t in enumerate(texts):
