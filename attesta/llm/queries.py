@@ -67,6 +67,9 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']
 IDENT = r"""(?i:access_?key(?:_?id)?|client_?id|user_?name|login|account)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9._@-]{3,}"""
 ENDPOINT = r"""[a-z][a-z0-9+]{1,9}://[A-Za-z0-9._~:/?#@!$&''()*+,;=%-]+"""
 
+LICENSES = ", ".join(f"({n}, '{phrase}', '{label}')" for n, (phrase, label) in enumerate(licenses.TEMPLATES))
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
 ORACLE_SQL = {
     # Matches by kind, their places one after another, then the interval join of weak spans with complementary ones.
     "op4_secrets": rf"""
@@ -82,6 +85,21 @@ t AS (SELECT *, ['assign', 'access', 'hex', 'ident', 'endpoint', 'bare'][kind +
 SELECT doc_id, count(t.r) FILTER (kind = 0) AS n_assign, count(t.r) FILTER (kind = 1) AS n_access, count(t.r) FILTER (kind = 2) AS n_hex,
  sha256(coalesce(string_agg(name, ',' ORDER BY a, kind, b) FILTER (kind < 3), '')) AS base_sha256, coalesce(string_agg(name, ',' ORDER BY a, kind, b), '') AS spans, count(t.r) FILTER (kind >= 3) AS n_linked
 FROM d LEFT JOIN t USING (r) GROUP BY d.r, doc_id""",
+    # Word pairs that texts share with templates, their diagonals, islands of near diagonals, and the longest chains in order.
+    "op10_licenses": rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+tpl AS (SELECT n, label, string_split(phrase, ' ') AS p FROM (VALUES {LICENSES}) v(n, phrase, label)), size AS (SELECT n, label, len(p) - 1 AS grams FROM tpl),
+tg AS (SELECT n, s AS spot, p[s + 1] || ' ' || p[s + 2] AS gram FROM (SELECT n, p, unnest(range(0, len(p) - 1)) AS s FROM tpl)),
+g AS (SELECT r, s AS pos, words[s + 1] || ' ' || words[s + 2] AS gram FROM (SELECT r, words, unnest(range(0, greatest(len(words) - 1, 0))) AS s FROM d)),
+h AS (SELECT DISTINCT r, n, pos, spot, pos - spot AS diag FROM g JOIN tg USING (gram)), ln AS (SELECT r, n, diag, count(*) AS votes FROM h GROUP BY ALL),
+isl AS (SELECT r, n, diag, votes, sum(new) OVER (PARTITION BY r, n ORDER BY diag) AS island FROM (SELECT *, CASE WHEN diag - lag(diag) OVER (PARTITION BY r, n ORDER BY diag) <= 2 THEN 0 ELSE 1 END AS new FROM ln)),
+mg AS (SELECT r, n, island, label, grams, max(diag) - min(diag) AS drift, bool_or(votes = grams) AS consecutive, count(*) FILTER (votes = grams AND n < {len(licenses.BASE)}) AS whole, min(diag) FILTER (votes = grams AND n < {len(licenses.BASE)}) AS low, max(diag) FILTER (votes = grams AND n < {len(licenses.BASE)}) AS high FROM isl JOIN size USING (n) GROUP BY ALL),
+hi AS (SELECT r, n, island, pos, spot FROM h JOIN isl USING (r, n, diag) JOIN mg USING (r, n, island) WHERE grams > 2 AND NOT consecutive),
+ch AS (SELECT *, 1 AS k FROM hi UNION SELECT b.*, k + 1 FROM ch a JOIN hi b ON a.r = b.r AND a.n = b.n AND a.island = b.island AND b.pos > a.pos AND b.spot > a.spot),
+best AS (SELECT r, n, island, max(k) AS chain FROM ch GROUP BY ALL),
+sp AS (SELECT mg.*, CASE WHEN consecutive THEN 1.0::DOUBLE WHEN chain / grams >= 0.8 AND drift <= greatest(2, grams // 2) THEN chain / grams END AS share FROM mg LEFT JOIN best USING (r, n, island))
+SELECT doc_id, len(words) AS n_words, coalesce(sum(whole), 0)::BIGINT AS n_base, min(low)::BIGINT AS first_word, max(high)::BIGINT AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (whole > 0), '') AS base_labels,
+ coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (share IS NOT NULL), '') AS labels, coalesce(max(share), 0)::DOUBLE AS score FROM d LEFT JOIN sp USING (r) GROUP BY d.r, doc_id, words""",
     "op7_topk": """
 WITH v AS (SELECT vec_id, [floor(64 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
            WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),

@@ -522,7 +522,11 @@ def test_licenses_verify_the_order(spark):
                     at = int(rng.integers(0, len(w)))
                     w = w[:at] + ["other"] + w[at + int(rng.integers(0, 2)) :]
             texts.append(" ".join(["some", "text", *w, "and", "more"]))
-    got = {r.doc_id: r.labels for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r.doc_id: r.labels for r in found}
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
+    assert sorted(map(tuple, found)) == sorted(con.execute(ORACLE_SQL["op10_licenses"]).fetchall())
 
     def slow(text):
         words, labels = re.findall("[a-z]+", text.lower()), set()
