@@ -56,6 +56,41 @@ def test_held_out_accuracy(spark, name, scores):
     assert (got.predicted == got.truth).mean() > 0.96
     ranks, ones = got.score.rank(), got.truth == 1
     assert (ranks[ones].mean() - (ones.sum() + 1) / 2) / (~ones).sum() > 0.95
+    if name == "toxic":  # calibrated: scores are shares of label 1
+        assert abs(got.score.mean() - got.truth.mean()) < 0.03 and got.truth[got.score < 0.2].mean() < 0.1 and got.truth[got.score > 0.8].mean() > 0.9
+
+
+def test_toxicity_features():
+    text, log = "You IDIOT! you id1ot, fine.", np.log1p
+    got = dict(zip(toxicity.FEATURES, toxicity.features_of(text, frozenset({"fine"}), frozenset({"idiot"}))))
+    want = {
+        "seed": 1 / 6, "terms": 1 / 6, "prefixes": 1 / 6, "hits": log(2), "any": 1, "near_you": 2 / 6, "you": 2 / 6, "caps": 6 / 19, "exclaim": 1 / 27, "punct": 3 / 27, "masked": 1 / 6,
+        "masked_hits": 0, "digits": 1 / 27, "length": log(27),
+    }
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    long = "m0r" + "o" * 60 + "n"
+    assert toxicity.features_of(long, frozenset(), frozenset())[toxicity.FEATURES.index("masked")] > 0
+
+
+def test_a_repeated_id_trains_once(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "b"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1), (4, 1), (None, 1)], "doc_id long, toxic int")
+    from attesta.llm._common import labelled_sample
+
+    got = sorted((r.doc_id, r.label, r.text) for r in labelled_sample(docs, labels, "toxic", 100).collect())
+    assert got == [(i, x, t) for i, x, t in ((1, 1, "text 0"), (2, 0, "b"), (3, 1, None)) if crc32(str(i).encode()) % 5]
+    assert labelled_sample(docs, labels, "toxic", 1).count() <= 1
+
+
+def test_quality_inputs():
+    at, values = quality.inputs_of("b a a\n", None, {})
+    slots = {crc32(w.encode()) % quality.HASHED: c for w, c in (("a", np.log1p(2)), ("b", np.log1p(1)))}
+    norm = sum(v * v for v in slots.values()) ** 0.5
+    assert at[:2] == sorted(slots) and np.allclose(values[:2], [slots[k] / norm for k in sorted(slots)])
+    assert values[2:] == [1.0] * len(quality.CUTS) and len(at) == len(values)
+    stats = dict(zip(quality.CUTS, ((i - quality.HASHED) % quality.STEPS for i in at[2:])))
+    assert (stats["log_chars"], stats["distinct"], stats["repeats"], stats["word_chars"], stats["line_words"]) == (0, 6, 5, 0, 1)
+    assert [(i - quality.HASHED) // quality.STEPS for i in at[2:]] == list(range(len(quality.CUTS)))
 
 
 def test_fm_identity():
