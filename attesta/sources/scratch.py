@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,10 +37,10 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{folder(spark)}/attesta/{uuid.uuid4().hex}/{name}"
-    made = _TABLES.setdefault(spark.sparkContext.applicationId, [])
-    if not made:
-        atexit.register(_release_all, spark)
-    made.append(path)
+    app = spark.sparkContext.applicationId
+    if app not in _TABLES:
+        atexit.register(_release_all, spark, app)
+    _TABLES.setdefault(app, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -58,20 +59,24 @@ def release(spark: SparkSession, tables: list[str] | None = None) -> None:
             made.remove(path)
 
 
-def _release_all(spark: SparkSession) -> None:
-    if spark.sparkContext._jsc is not None:  # a stopped session has nothing left to delete with
-        release(spark)
+def _release_all(spark: SparkSession, app: str) -> None:
+    """At the end of the process: what is left of the tables, as far as the session still runs, and the folder of our own."""
+    if spark.sparkContext._jsc is not None:
+        with suppress(Exception):  # the JVM may have ended before
+            release(spark)
+    if app in _OWN:
+        shutil.rmtree(_OWN[app], ignore_errors=True)
 
 
 @contextmanager
 def temporaries(spark: SparkSession) -> Iterator[None]:
     """Of the tables written inside, all but the last are deleted at the end."""
-    made = _TABLES.setdefault(spark.sparkContext.applicationId, [])
-    before = set(made)
+    made = lambda: _TABLES.get(spark.sparkContext.applicationId, [])
+    before = set(made())
     try:
         yield
     finally:
-        release(spark, [p for p in made if p not in before][:-1])
+        release(spark, [p for p in made() if p not in before][:-1])
 
 
 def _at(spark: SparkSession, path: str):
