@@ -96,7 +96,8 @@ def hash_weights(texts: DataFrame, dim: int = 384, mode: str = "blake2b") -> Dat
 
     blake2b runs over distinct words only; mode "md5" is another hash, for comparison with engines that lack blake2b.
     """
-    words = texts.select("id", F.explode(tokenize("text")).alias("word")).groupBy("id", "word").agg(F.count("*").alias("times"))
+    # Dealt by id, all counts of a text are made where it is.
+    words = texts.select("id", "text").repartition("id").select("id", F.explode(tokenize("text")).alias("word")).groupBy("id", "word").agg(F.count("*").alias("times"))
     if mode == "md5":
         h = F.md5("word")
         hashed = words.withColumns({"idx": F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dim, "sign": F.when(F.conv(F.substring(h, 9, 2), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)})
@@ -170,11 +171,12 @@ def dense_top_k_approx(questions: DataFrame, chunks: DataFrame, k: int, share: f
 
 def build_postings(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """postings (scope, term, chunk_id, doc_id, ordinal, tf, dl), terms (scope, term, df, idf), scopes (scope, n, avgdl)."""
-    # Tokens and postings are index tables: they are written once and read by all that follows.
-    tokens = cut(chunks.select(*SCOPE, "chunk_id", "doc_id", "ordinal", tokenize("text").alias("tokens")).withColumn("dl", F.size("tokens")), "tokens")
-    words = tokens.select(*SCOPE, "chunk_id", "doc_id", "ordinal", "dl", F.explode("tokens").alias("term"))
+    # Dealt by chunk, a chunk's words are counted where they are: texts are shuffled, which are smaller than their words.
+    tokens = chunks.select(*SCOPE, "chunk_id", "doc_id", "ordinal", "text").repartition("chunk_id").withColumn("tokens", tokenize("text"))
+    words = tokens.select(*SCOPE, "chunk_id", "doc_id", "ordinal", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
     postings = cut(words.groupBy(*SCOPE, "term", "chunk_id", "doc_id", "ordinal", "dl").agg(F.count("*").alias("tf")), "postings")
-    scopes = tokens.groupBy(*SCOPE).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    length = postings.groupBy(*SCOPE).agg(F.sum("tf").alias("length"))
+    scopes = chunks.groupBy(*SCOPE).agg(F.count("*").alias("n")).join(length, SCOPE, "left").select(*SCOPE, "n", (F.coalesce("length", F.lit(0)) / F.col("n")).alias("avgdl"))
     raw = postings.groupBy(*SCOPE, "term").agg(F.count("*").alias("df")).join(scopes, SCOPE).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy(*SCOPE).agg(F.avg("raw").alias("mean"))
     terms = raw.join(mean, SCOPE).select(*SCOPE, "term", "df", F.when(F.col("raw") < 0, fixed.BM25_EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
