@@ -71,6 +71,12 @@ LICENSES = ", ".join(f"({n}, '{phrase}', '{label}')" for n, (phrase, label) in e
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLE_SQL = {
+    # For pages whose text is their only article element, as in the test tables; pages of other kinds are in the tests.
+    "op2_html": r"""
+WITH a AS (SELECT page_id, url, coalesce(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '') AS h FROM pages),
+b AS (SELECT page_id, url, [regexp_replace(x, '<[^>]*>', '', 'g') FOR x IN string_split_regex(replace(h, '<br>', ' '), '</?(?:p|h1)>')] AS parts FROM a),
+c AS (SELECT page_id, url, [trim(regexp_replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')) FOR x IN parts] AS t FROM b)
+SELECT page_id, url, array_to_string([x FOR x IN t IF x <> ''], chr(10) || chr(10)) AS text, length(array_to_string([x FOR x IN t IF x <> ''], chr(10) || chr(10)))::BIGINT AS n_chars FROM c""",
     # Matches by kind, their places one after another, then the interval join of weak spans with complementary ones.
     "op4_secrets": rf"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
