@@ -183,9 +183,9 @@ def build_postings(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return postings, terms, scopes
 
 
-def bm25_top_k(questions: DataFrame, chunks: DataFrame, k: int = fixed.LANE_K) -> DataFrame:
-    """BM25 over the scope of each question; chunks without a question's terms score 0 and fill the list in corpus order."""
-    postings, terms, scopes = build_postings(chunks)
+def bm25_top_k(questions: DataFrame, chunks: DataFrame, k: int = fixed.LANE_K, index: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
+    """BM25 over the scope of each question; chunks without a question's terms score 0 and fill the list in corpus order. index: build_postings() of the chunks, if there is one."""
+    postings, terms, scopes = index or build_postings(chunks)
     asked = questions.select("question_id", *SCOPE, F.explode(tokenize("question")).alias("term")).groupBy("question_id", *SCOPE, "term").agg(F.count("*").alias("times"))
     held = postings.select(*SCOPE, "term", "chunk_id", "doc_id", "ordinal", "tf", "dl")
     hit = asked.join(terms, [*SCOPE, "term"]).join(held, [*SCOPE, "term"]).join(scopes, SCOPE)
@@ -213,11 +213,11 @@ def graph_edges(chunks: DataFrame, pattern: str = fixed.CONCEPT, max_degree: int
     return edges.select(*SCOPE, F.col("a").alias("src"), F.col("b").alias("dst"), "weight").unionByName(edges.select(*SCOPE, F.col("b").alias("src"), F.col("a").alias("dst"), "weight"))
 
 
-def seed_scores(questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """question_id, scope, chunk_id, seed: the share of the question's distinct terms that the chunk holds, if any."""
+def seed_scores(questions: DataFrame, chunks: DataFrame, postings: DataFrame | None = None) -> DataFrame:
+    """question_id, scope, chunk_id, seed: the share of the question's distinct terms that the chunk holds, if any. postings: those of the chunks, if there are."""
     q = questions.select("question_id", *SCOPE, F.array_distinct(tokenize("question")).alias("t"))
     asked = q.select("question_id", *SCOPE, F.size("t").alias("n_q"), F.explode("t").alias("term"))
-    held = chunks.select(*SCOPE, "chunk_id", F.explode(F.array_distinct(tokenize("text"))).alias("term"))
+    held = chunks.select(*SCOPE, "chunk_id", F.explode(F.array_distinct(tokenize("text"))).alias("term")) if postings is None else postings.select(*SCOPE, "chunk_id", "term")
     return asked.join(held, [*SCOPE, "term"]).groupBy("question_id", *SCOPE, "chunk_id", "n_q").agg(F.count("*").alias("n")).select("question_id", *SCOPE, "chunk_id", (F.col("n") / F.col("n_q")).alias("seed"))
 
 
@@ -255,12 +255,12 @@ def page_rank(seeds: DataFrame, chunks: DataFrame, edges: DataFrame, rounds: int
     return every.join(mass.select("question_id", "chunk_id", "mass"), ["question_id", "chunk_id"], "left").select("question_id", "chunk_id", (F.coalesce("mass", F.lit(0.0)) + F.coalesce("floor", F.lit(0.0))).alias("rank_mass"))
 
 
-def graph_top_k(questions: DataFrame, chunks: DataFrame, edges: DataFrame, k: int = fixed.LANE_K) -> DataFrame:
+def graph_top_k(questions: DataFrame, chunks: DataFrame, edges: DataFrame, k: int = fixed.LANE_K, postings: DataFrame | None = None) -> DataFrame:
     """A quarter of the rank mass, a tenth of the own seed, and the neighbours' seeds by edge weight; no seeds, no rows.
 
     Nodes that a question does not reach have the floor alone, so only the k highest floors of the scope can be among its best.
     """
-    seeds = cut(seed_scores(questions, chunks), "seed_scores")
+    seeds = cut(seed_scores(questions, chunks, postings), "seed_scores")
     mass, floor = rank_masses(seeds, chunks, edges)
     own = seeds.select("question_id", *SCOPE, "chunk_id", (fixed.SEED_SHARE * F.col("seed")).alias("s"))
     around = seeds.join(edges.withColumnRenamed("src", "chunk_id"), [*SCOPE, "chunk_id"]).select("question_id", *SCOPE, F.col("dst").alias("chunk_id"), (F.col("seed") * F.col("weight")).alias("s"))
@@ -362,7 +362,8 @@ def retrieve(questions: DataFrame, chunks: DataFrame, graph: bool = True, limit:
         dense = kept.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy("rank")))
     else:
         dense = back(hash_dense_top_k(asked, corpus, mode=mode))
-    lanes = [dense, back(bm25_top_k(asked, corpus))]
+    index = build_postings(corpus)
+    lanes = [dense, back(bm25_top_k(asked, corpus, index=index))]
     if graph:
-        lanes.append(back(graph_top_k(asked, corpus, graph_edges(corpus, pattern))))
+        lanes.append(back(graph_top_k(asked, corpus, graph_edges(corpus, pattern), postings=index[0])))
     return rerank(candidates(fuse(*lanes), questions, chunks), limit)
