@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import tempfile
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -77,3 +79,34 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
     rows = docs.where(~held_out(F.col("doc_id"))).join(F.broadcast(chosen), "doc_id")
     one = rows.groupBy("doc_id", "label").agg(F.min(F.struct("text", *rest)).alias("row"))
     return one.select("doc_id", "label", "row.*")
+
+
+def pieces(data: bytes, breaks: re.Pattern, size: int = 1 << 22) -> Iterator[bytes]:
+    """data cut behind bytes that `breaks` matches, into pieces of about `size`, so that a very long text is never a list of all its words."""
+    at = 0
+    while len(data) - at > size:
+        end = breaks.search(data, at + size)
+        if end is None:
+            break
+        yield data[at : end.end()]
+        at = end.end()
+    yield data[at:] if at else data
+
+
+def looked_up(rows: DataFrame, lookup: DataFrame, key: str, sizes: DataFrame | None = None) -> DataFrame:
+    """rows, left-joined with lookup (at most one row for each key); rows without a key meet nothing.
+
+    A key with more rows than a task's share is joined by broadcast: there are fewer such keys than shuffle partitions, so
+    what is broadcast is bounded, and no task gets all rows of such a key. sizes (key, n): keys with their number of
+    rows, if known; keys that hold one row may be missing. rows are read several times, so give a written table.
+    """
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = max(1, -(-rows.count() // partitions))
+    sizes = rows.groupBy(key).agg(F.count("*").alias("n")) if sizes is None else sizes
+    hot = materialize(sizes.where(F.col(key).isNotNull() & (F.col("n") > share)).select(key), "hot_keys")
+    columns = [c for c in lookup.columns if c != key]
+    out = rows.where(F.col(key).isNotNull()).join(F.broadcast(hot), key, "left_anti").join(lookup, key, "left")
+    heavy = rows.join(F.broadcast(hot.join(lookup, key, "left")), key)
+    bare = rows.where(F.col(key).isNull()).select("*", *(F.lit(None).cast(lookup.schema[c].dataType).alias(c) for c in columns))
+    names = [*rows.columns, *columns]
+    return out.select(*names).unionByName(heavy.select(*names)).unionByName(bare.select(*names))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import exact_topk, html_text, licenses, nearest, packing, quality, secrets, simhash, toxicity, word_bpe
+from attesta.llm import divergence, exact_topk, filter_audit, html_text, licenses, nearest, packing, quality, run_index, secrets, simhash, toxicity, word_bpe
 from attesta.llm._common import table
 
 
@@ -54,13 +54,25 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_index.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_html, op3_quality, op4_secrets, op5_simhash, op6_packing, op7_topk, op8_bpe, op9_nearest, op10_licenses, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_html, op3_quality, op4_secrets, op5_simhash, op6_packing, op7_topk, op8_bpe, op9_nearest, op10_licenses, op11_divergence, op12_filters, op13_repeats, pipeline)}
 
 #: The patterns of secrets.py in the words of another engine, with quotes doubled for SQL.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
@@ -118,4 +130,32 @@ WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
 s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    # Shares of every kept term in every group, by joins; whole numbers of any size.
+    "op11_divergence": rf"""
+WITH w AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents)),
+grp AS (SELECT DISTINCT coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+kt AS (SELECT lang, term, count(*) AS c FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 30), ln AS (SELECT lang, count(*) AS v, sum(c)::HUGEINT AS n FROM kt GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS c FROM w GROUP BY ALL), gc AS (SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c FROM grp g JOIN kt k USING (lang) LEFT JOIN c USING (lang, source, term)),
+gn AS (SELECT lang, source, sum(c)::HUGEINT AS n FROM gc GROUP BY ALL),
+p AS (SELECT lang, source, term, c, 1 + 1000000000::HUGEINT * (c + 5) // (gn.n + 5 * v) AS p FROM gc JOIN gn USING (lang, source) JOIN ln USING (lang)),
+q AS (SELECT lang, term, 1 + 1000000000::HUGEINT * (c + 5) // (n + 5 * v) AS q FROM kt JOIN ln USING (lang)),
+f AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0)::BIGINT AS value FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+ LEFT JOIN (SELECT a.lang, a.source AS s1, b.source AS s2, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) x ON x.lang = a.lang AND x.s1 = a.source AND x.s2 = b.source
+ UNION ALL SELECT p.lang, p.source, 'term', p.term, (p.p - q.q)::BIGINT FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE c > 0 AND p.p > q.q),
+r AS (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM f)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 50""",
+    # Documents by the filters that they fail; at each step of each order the first failing filter removes.
+    "op12_filters": r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+x AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS least FROM d),
+m AS (SELECT part, doc_id, CASE WHEN len(words) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' ELSE '' END || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) THEN 'C' ELSE '' END
+ || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > least THEN 'E' ELSE '' END AS fails FROM x),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY 1),
+s AS (SELECT part, fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n FROM m LEFT JOIN l USING (doc_id) GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS ord FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5), st AS (SELECT ord, k AS step, substr(ord, k, 1) AS f, left(ord, k - 1) AS done FROM o, (SELECT unnest(range(1, 6)) AS k)),
+t AS (SELECT part, ord, step, f, n, good, toxic, fails, contains(fails, f) AS failing, translate(fails, done, '') <> fails AS gone FROM s, st),
+a AS (SELECT part, ord, step, f, sum(n) FILTER (NOT gone AND NOT failing) AS kept, sum(n) FILTER (failing AND NOT gone) AS removed, sum(n) FILTER (failing AND gone) AS redundant, sum(n) FILTER (fails = f) AS alone, sum(n) FILTER (failing AND NOT gone AND good) AS good_lost, sum(n) FILTER (failing AND NOT gone AND toxic) AS toxic_lost FROM t GROUP BY ALL)
+SELECT part, ord AS filter_order, step::INTEGER AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(alone, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+ (sum(coalesce(removed, 0)) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM a""",
 }
