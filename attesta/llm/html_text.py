@@ -3,12 +3,14 @@
 A page is a sequence of text blocks, each with its root-to-leaf tag path, kept as a node of a trie. For every path the
 lengths and the punctuation of its blocks are added up and divided by its number of nodes; the two ratios are smoothed
 over neighbouring blocks and fused with what the path's parent holds in total. Paths that reach a threshold are content.
-The deepest element that holds most of the page's text is the article's; short blocks in it (headings, lists) belong to
-it, but the parts of it whose own ratios stay below the threshold, and lists of links, do not.
+The deepest element that holds most of the content is the article's, or one around it that holds hardly anything else; all
+of it is kept, short parts too, but lists of links without a heading of their own. Outside it, paths that reach the
+threshold are kept. Where only the page as a whole holds most of the content, its parts are judged by their own ratios.
 
-Elements that are never article text (navigation, scripts, ...) are left out by their tag or role before that. A class or
-id that speaks of what is around an article lowers the score, unless its element holds most of the page; an article
-element raises it. A page is read in one pass: the work grows with its length, not with its depth.
+Elements that are never article text (navigation, scripts, what is not shown, ...) are left out by their tag, role or style
+before that, and so is an element whose class or id speaks of what is around an article, however large it is, unless the
+page has no other text, or it holds most of the page and the title or an article element in it. An article element raises
+the score. A page is read in one pass: the work grows with its length, not with its depth.
 
 Defined results: null or empty html and pages without a content path have an empty text; a quote that is never closed
 ends its attribute at the tag's end; a tag that is cut off is left out up to the next tag; repeated rows are extracted
@@ -41,7 +43,8 @@ VOID = set("area base col embed img input link meta param source track wbr".spli
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math mfrac mi mn mo mover mrow msqrt msub msubsup msup mtext munder q rp rt ruby s samp semantics small span strike strong sub sup time tt u var".split())
 #: Elements and roles that mark what is around an article.
 AROUND = {"nav", "footer", "aside", "button", "menu", "dialog", "fieldset"}
-AROUND_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "form"}
+AROUND_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar", "form"}
+UNSHOWN = re.compile(r"(?i)(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)")
 #: Words in class or id that speak of what is around an article whatever stands beside them, and words that do so only beside words of the second and third kind.
 NAMED = set("nav navbar navigation breadcrumb breadcrumbs sidebar footer masthead gdpr popup modal disqus newsletter pagination pager toolbar advert adverts advertisement advertising sponsored commentlist".split())
 NAMED_BESIDE = set(
@@ -54,14 +57,17 @@ BESIDE = set(
 )
 HEADS = {"header", "head"}
 ARTICLE = {"article", "main"}
-#: Beginnings of class names that tell of a layout; weights of named elements and articles; the share of a page that no side part holds, and the share that the article's element holds.
+#: Beginnings of class names that tell of a layout; the weight of articles; the share of a page that a wrapper holds, the share of the content that the article's element holds, the share of content in an element that hardly holds anything else, and that of links in a list of links.
 LAYOUT = {"has", "no", "with", "without", "is", "not", "layout"}
-NAMED_WEIGHT, ARTICLE_WEIGHT, MOST, HOLDS, LINKED = 0.1, 1.25, 0.75, 0.6, 0.8
+ARTICLE_WEIGHT, MOST, HOLDS, PURE, LINKED = 1.25, 0.75, 0.6, 0.85, 0.8
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = set("article aside body div section main table ul ol dl nav footer header form blockquote td th figure html".split())
 #: Elements that part a page, and the heads of sections.
 PARTS = {"", "html", "body", "article", "main", "section", "div", "center", "form", "header"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Words of headings over what is not the article, and words that stand beside them.
+OFF_HEADINGS = set("more also next latest related recommended popular trending share comments follow subscribe newsletter".split())
+OFF_BESIDE = set("read see you may might like us our from on in this the and to stories articles posts links reading topics news".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，、؛؟]")
 SPACE = re.compile(r"\s+")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -136,7 +142,9 @@ def around(tag: str, values: dict[str, str]) -> bool:
     """Whether an element holds what stands around an article."""
     if tag in AROUND:
         return True
-    return bool(values) and tag not in ("body", "html") and ("hidden" in values or values.get("aria-hidden", "").lower() == "true" or values.get("role", "").lower() in AROUND_ROLES)
+    if not values or tag in ("body", "html"):
+        return False
+    return "hidden" in values or values.get("aria-hidden", "").lower() == "true" or values.get("role", "").lower() in AROUND_ROLES or "style" in values and UNSHOWN.search(values["style"]) is not None
 
 
 def speaks_of_around(name: str) -> bool:
@@ -152,6 +160,12 @@ def speaks_of_around(name: str) -> bool:
     return bool(HEADS & set(words)) and all(w in HEADS or w in {"page", "site", "main", "top", "global", "wrap", "wrapper", "container"} for w in words)
 
 
+def heads_around(text: str) -> bool:
+    """Whether a heading stands over what is around an article."""
+    words = [w.lower() for w in WORDS.findall(text)] if len(text) < 60 else []
+    return bool(OFF_HEADINGS & set(words)) and all(w in OFF_HEADINGS or w in OFF_BESIDE for w in words) or bool(words) and speaks_of_around(text)
+
+
 def named_around(tag: str, values: dict[str, str]) -> bool:
     if tag in ("body", "html"):
         return False
@@ -164,7 +178,9 @@ class Page:
     def __init__(self, html: str):
         self.steps, self.tags, self.parent, self.children = [""], [""], [0], {}  # the trie; node 0 is the page
         self.named_parent = [0]  # the tree of named elements; node 0 stands for none
-        self.blocks: list[tuple[int, str, int, int]] = []  # path, text, characters inside links, named element
+        self.titled: set[int] = set()  # named elements with the page's title or an article element in them
+        self.last_inside = [0]  # of each element that parts the page, in their order, the last one inside it
+        self.blocks: list[tuple[int, str, int, int, int]] = []  # path, text, characters inside links, named element, part
         self.read(html)
 
     def node(self, parent: int, tag: str, step: str) -> int:
@@ -177,8 +193,8 @@ class Page:
         return at
 
     def read(self, html: str) -> None:
-        # Open elements: tag, path, named element, whether around, whether in an article, and the places below of the last block element and the last scope.
-        stack: list[tuple[str, int, int, bool, bool, int, int]] = []
+        # Open elements: tag, path, named element, whether around, whether in an article, the places below of the last block element and the last scope, and the part.
+        stack: list[tuple[str, int, int, bool, bool, int, int, int]] = []
         open_at: dict[str, list[int]] = defaultdict(list)
         held: list[str] = []
         linked, links, at, size = 0, 0, 0, len(html)
@@ -190,8 +206,8 @@ class Page:
             if held:
                 text = SPACE.sub(" ", entities.unescape("".join(held))).strip()
                 if text:
-                    top = stack[-1] if stack else ("", 0, 0)
-                    self.blocks.append((top[1], text, min(linked, len(text)), top[2]))
+                    _, path, named, _, _, _, _, part = stack[-1] if stack else ("", 0, 0, False, False, -1, -1, 0)
+                    self.blocks.append((path, text, min(linked, len(text)), named, part))
             held, linked = [], 0
 
         def add(text: str) -> None:
@@ -204,8 +220,10 @@ class Page:
         def cut(depth: int) -> None:
             nonlocal links
             while len(stack) > depth:
-                tag = stack.pop()[0]
+                tag, *_, part = stack.pop()
                 open_at[tag].pop()
+                if tag in PARTS:
+                    self.last_inside[part] = len(self.last_inside) - 1
                 links -= tag == "a"
 
         while at < size:
@@ -261,8 +279,11 @@ class Page:
             if tag in RAW:
                 if tag == "head":
                     close()
-                    end = BODY.search(html, at)
-                    at = end.start() if end and end[0].lower().startswith("<body") else end.end() if end else at
+                    end = None if tag in unended else BODY.search(html, at)
+                    if end is None:
+                        unended.add(tag)
+                    else:
+                        at = end.start() if end[0].lower().startswith("<body") else end.end()
                 elif tag not in unended:
                     end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
                     if end is None:
@@ -286,7 +307,7 @@ class Page:
                     cut(open_at["a"][-1])
             if alone and tag not in ("p", "div", "article", "section"):
                 continue
-            _, path, named, under, article, block, scope = stack[-1] if stack else ("", 0, 0, False, False, -1, -1)
+            _, path, named, under, article, block, scope, part = stack[-1] if stack else ("", 0, 0, False, False, -1, -1, 0)
             place = len(stack)
             if inline:
                 under = under or bool(values) and around(tag, values)
@@ -299,10 +320,15 @@ class Page:
                 under = under or tag == "header" and not article or around(tag, values)
                 article = article or tag in ARTICLE
                 scope = place if tag in SCOPES else scope
+                if tag in PARTS:
+                    part = len(self.last_inside)
+                    self.last_inside.append(1 << 60)  # until it ends
                 if not under and named_around(tag, values):
                     self.named_parent.append(named)
                     named = len(self.named_parent) - 1
-            stack.append((tag, path, named, under, article, block, scope))
+                elif not under and (tag == "h1" or tag in ARTICLE):
+                    self.titled.add(named)
+            stack.append((tag, path, named, under, article, block, scope, part))
             open_at[tag].append(place)
             links += tag == "a"
         close()
@@ -330,15 +356,17 @@ def main_text(html: str | None, threshold: float = 0.25) -> str:
     at = np.array([b[0] for b in page.blocks])
     chars, linked = np.array([len(b[1]) for b in page.blocks], dtype=float), np.array([b[2] for b in page.blocks], dtype=float)
     named = np.array([b[3] for b in page.blocks])
-    # Characters in each named element; those that hold most of the page are not around anything.
-    inside_named = np.bincount(named, chars, len(page.named_parent))
+    # Named elements are sides, but for wrappers: they hold most of the page and its title or article.
+    inside_named, titled = np.bincount(named, chars, len(page.named_parent)), page.titled
     for k in range(len(inside_named) - 1, 0, -1):
         inside_named[page.named_parent[k]] += inside_named[k]
+        if k in titled:
+            titled.add(page.named_parent[k])
     sides = np.zeros(len(inside_named), dtype=int)
     for k in range(1, len(sides)):
-        sides[k] = sides[page.named_parent[k]] + (inside_named[k] < MOST * chars.sum())
+        sides[k] = sides[page.named_parent[k]] + (k not in titled or inside_named[k] < MOST * chars.sum())
     sides = sides[named]
-    weight = NAMED_WEIGHT**sides.astype(float)
+    weight = (sides == sides.min()).astype(float)
     own = np.maximum(0, chars - linked) * weight
     points = np.array([len(PUNCTUATION.findall(b[1])) for b in page.blocks], dtype=float)
     length, marks, nodes = np.bincount(at, own, paths), np.bincount(at, points, paths), np.bincount(at, minlength=paths).astype(float)
@@ -363,17 +391,44 @@ def main_text(html: str | None, threshold: float = 0.25) -> str:
     bar = threshold * best.max()
     if bar <= 0:
         return ""
-    # The deepest part that holds most of the text, and the parts below it whose own ratios are high enough.
-    holders = [k for k in range(paths) if tags[k] in PARTS and total[k] >= HOLDS * whole]
-    holder = max(holders, key=lambda k: depth[k], default=0)
-    part_ratio = path_ratio(*below)
+    # The article's element: the deepest part that holds most of the content, or one around it that holds hardly anything else.
+    content, every = np.bincount(at, own * (fused >= bar), paths), np.bincount(at, chars * weight, paths)
+    for x in (content, every):
+        for k in range(paths - 1, 0, -1):
+            x[parents[k]] += x[k]
+    holder = max((k for k in range(paths) if tags[k] in PARTS and content[k] >= HOLDS * content[0]), key=lambda k: depth[k], default=0)
+    outer = holder
+    while tags[outer := parents[outer]] not in top:
+        if tags[outer] == "article" or tags[outer] in PARTS and content[outer] >= PURE * every[outer]:
+            holder = outer
     good = [False] * paths
     good[holder] = True
-    for k in range(holder + 1, paths):
-        good[k] = good[parents[k]] and (tags[k] not in PARTS or part_ratio[k] >= threshold * part_ratio[holder])
-    of_links = (in_links >= LINKED * np.maximum(all_chars, 1)) & np.array([t not in HEADINGS for t in tags])
-    inside = np.array(good)[at] & ~of_links[at]
-    keep = (sides == sides.min()) & (inside | (fused >= bar))
+    if tags[holder] in top:
+        part_ratio = path_ratio(*below)
+        for k in range(holder + 1, paths):
+            good[k] = good[parents[k]] and (tags[k] not in PARTS or part_ratio[k] >= threshold * part_ratio[holder])
+    else:
+        for k in range(holder + 1, paths):
+            good[k] = good[parents[k]]
+    keep = (weight > 0) & (np.array(good)[at] | (fused >= bar))
+    of_links = in_links >= LINKED * np.maximum(all_chars, 1)
+    heading, off = None, None  # the heading right before a list of links; the part with a heading over what is not the article
+    for i, (path, text, _, _, part) in enumerate(page.blocks):
+        if not keep[i]:
+            continue
+        tag = tags[path]
+        if off is not None and off <= part <= page.last_inside[off] and not (tag in HEADINGS and not heads_around(text)):
+            keep[i] = False
+        elif tag in HEADINGS and tag != "h1":
+            heading, off = i, part if heads_around(text) and tags[parents[path]] in PARTS and parents[path] != holder and tags[parents[path]] not in (*top, *ARTICLE) else None
+            keep[i] = off is None
+        elif of_links[path] and tag != "p":
+            if heading is None or heads_around(page.blocks[heading][1]):
+                keep[i] = False
+                if heading is not None:
+                    keep[heading] = False
+        else:
+            heading = off = None
     return "\n\n".join(b[1] for b, yes in zip(page.blocks, keep) if yes)
 
 

@@ -149,6 +149,37 @@ def test_html_parts_of_articles(page, want):
     assert html_text.main_text(page) == want
 
 
+LINKS = "<ul><li><a href=a>First one</a></li><li><a href=b>Second one</a></li></ul>"
+READERS = "".join(f"<div><p>Reader {i} says: I liked this, very much, and it is good. Thanks, all, and more soon.</p></div>" for i in range(18))
+
+
+@pytest.mark.parametrize(
+    "inner,after,want",
+    [
+        ("<section><h2>Verdict</h2><p>Buy it.</p></section>", "", "Verdict\n\nBuy it."),
+        ("<div class=callout><p>Buy it now.</p></div><p>The end.</p>", "", "Buy it now.\n\nThe end."),
+        ("<div>Q: why?</div><div>A: so.</div><div>Q: who?</div>", "", "Q: why?\n\nA: so.\n\nQ: who?"),
+        ("<div>Line one</div><div>Line two</div>", "", "Line one\n\nLine two"),
+        (f"<h2>Sources</h2>{LINKS}", "", "Sources\n\nFirst one\n\nSecond one"),
+        (f"<h2>Related articles</h2>{LINKS}", "", ""),
+        ("<div><h3>You may also like</h3><p>This one.</p></div><div>The end.</div>", "", "The end."),
+        (LINKS, "", ""),
+        ("", f"<section id=comments class=comments>{READERS}</section>", ""),
+        ("", '<div role="alertdialog"><p>We use cookies, and more, so accept them. Thanks.</p></div>', ""),
+        ('<div style="color:red; display: none"><p>Unseen, text. Here.</p></div>', "", ""),
+    ],
+)
+@pytest.mark.parametrize("tag", ["article", "div class=story"])
+def test_html_keeps_the_whole_article(inner, after, want, tag):
+    page = f"<body><nav><a href=x>Home</a></nav><{tag}><h1>Title</h1>{STORY}{inner}</{tag.split()[0]}>{after}<footer>foot</footer></body>"
+    assert html_text.main_text(page) == "\n\n".join(x for x in ("Title", WANTED, want) if x)
+
+
+def test_html_sections_of_unequal_size():
+    page = f"<body><div id=page><div class=story><section><h1>T</h1>{STORY}</section><section><h2>Verdict</h2><p>Buy it.</p></section></div></div></body>"
+    assert html_text.main_text(page) == f"T\n\n{WANTED}\n\nVerdict\n\nBuy it."
+
+
 def test_html_without_ratios_is_empty(monkeypatch):
     page = f"<body><article>{STORY}</article></body>"
     assert html_text.main_text(page) == WANTED
@@ -156,7 +187,7 @@ def test_html_without_ratios_is_empty(monkeypatch):
     assert html_text.main_text(page) == ""
 
 
-@pytest.mark.parametrize("part", ["<div>", "<a '", "<p x='a\">text ", "<b><div></b></x>", "<svg>", "<a href=x>", "<foo><p>x", "<!-- ", "<a b=", "<td>x"])
+@pytest.mark.parametrize("part", ["<div>", "<a '", "<p x='a\">text ", "<b><div></b></x>", "<svg>", "<a href=x>", "<foo><p>x", "<!-- ", "<a b=", "<td>x", "<head>", "<h2>More</h2><div>"])
 def test_html_work_grows_with_length_only(part):
     from time import process_time
 
@@ -231,9 +262,11 @@ def test_linking_against_all_pairs(spark):
         fits = lambda a, b: b[1] in ((1, 3, 4) if a[1] == 5 else (0, 2, 5)) and (b[2] <= a[0] or b[0] >= a[2]) and abs(a[0] - b[0]) <= 400
         return ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(base_spans(text) + [w for w in weak if any(fits(w, x) for x in every)]))
 
+    texts += [f"password=abcdefgh1 {scheme}://u:p@h/x" for scheme in ("mongodb+srv", "x" * 40, "a", "9http", "Https", "+a1", "42", "z+9" * 5)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = secrets.scan_secrets(df).collect()
     assert {r.doc_id: r.spans for r in got} == {i: slow(t) for i, t in enumerate(texts)}
+    assert [r.spans for r in sorted(got)][-8:] == [f"assign:0:18,endpoint:19:{19 + n}" for n in (22, 51, 12, 16, 16, 14)] + ["assign:0:18", "assign:0:18,endpoint:19:45"]
     con = duckdb.connect()
     con.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
     assert sorted(map(tuple, got)) == sorted(con.execute(ORACLE_SQL["op4_secrets"]).fetchall())
