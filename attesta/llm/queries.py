@@ -77,7 +77,7 @@ QUERIES = {f.__name__: f for f in (op1_toxicity, op2_html, op3_quality, op4_secr
 #: The patterns of secrets.py in the words of another engine, with quotes doubled for SQL.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 IDENT = r"""(?i:access_?key(?:_?id)?|client_?id|user_?name|login|account)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9._@-]{3,}"""
-ENDPOINT = r"""[a-z][a-z0-9+]{1,9}://[A-Za-z0-9._~:/?#@!$&''()*+,;=%-]+"""
+ENDPOINT = r"""[0-9+]*[A-Za-z][A-Za-z0-9+]*://[A-Za-z0-9._~:/?#@!$&''()*+,;=%-]+"""
 
 LICENSES = ", ".join(f"({n}, '{phrase}', '{label}')" for n, (phrase, label) in enumerate(licenses.TEMPLATES))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

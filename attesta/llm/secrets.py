@@ -30,7 +30,8 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"
 #: The method's own patterns.
 IDENT = r"""((?i)access_?key(?:_?id)?|client_?id|user_?name|login|account)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,})"""
-ENDPOINT = r"""[a-z][a-z0-9+]{1,9}://[A-Za-z0-9._~:/?#@!$&'()*+,;=%-]+"""
+#: A scheme is a whole run of letters, digits and plus signs with a letter in it, however long.
+ENDPOINT = r"""(?<![A-Za-z0-9+])[0-9+]*+[A-Za-z][A-Za-z0-9+]*+://[A-Za-z0-9._~:/?#@!$&'()*+,;=%-]+"""
 BARE = r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/]{24,}+={0,2}+(?![A-Za-z0-9+/_=-])"
 KINDS = ["assign", "access", "hex", "ident", "endpoint", "bare"]
 SPANS = "array<struct<start:int,kind:int,end:int>>"
@@ -99,6 +100,13 @@ def linked(rows: DataFrame, near: int) -> DataFrame:
     return kept.select("part_key", "start", "kind", "end").distinct().groupBy("part_key").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("extra"))
 
 
+def with_linked(rows: DataFrame, near: int) -> DataFrame:
+    """rows with `extra`, their linked weak spans. Rows without weak spans, which have no key, are not shuffled."""
+    none = F.array().cast(SPANS)
+    some = rows.where(F.col("part_key").isNotNull()).join(linked(rows, near), "part_key", "left").withColumn("extra", F.coalesce("extra", none))
+    return rows.where(F.col("part_key").isNull()).withColumn("extra", none).unionByName(some.select(*rows.columns, "extra"))
+
+
 def joined(spans: Column) -> Column:
     names = F.array(*map(F.lit, KINDS))
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))))
@@ -106,16 +114,14 @@ def joined(spans: Column) -> Column:
 
 def scan_secrets(docs: DataFrame, near: int = 400) -> DataFrame:
     """docs (doc_id, text, ...): doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked."""
-    rows = materialize(with_spans(docs.select("doc_id", "text")).drop("text"), "secret_spans")
-    out = rows.join(linked(rows, near), "part_key", "left")
+    out = with_linked(materialize(with_spans(docs.select("doc_id", "text")).drop("text"), "secret_spans"), near)
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
-    extra = F.coalesce("extra", F.array().cast(SPANS))
     return out.select(
         "doc_id",
         *(count(k).alias(f"n_{KINDS[k]}") for k in range(3)),
         F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
-        joined(F.array_sort(F.concat("base", extra))).alias("spans"),
-        F.size(extra).cast("long").alias("n_linked"),
+        joined(F.array_sort(F.concat("base", "extra"))).alias("spans"),
+        F.size("extra").cast("long").alias("n_linked"),
     )
 
 
@@ -143,9 +149,7 @@ def redact_secrets(docs: DataFrame, near: int = 400, mark: str = "[secret]") ->
     """docs with every span, base or linked, replaced by a mark (overlapping spans by one), and n_chars, if there, counted anew."""
     columns = docs.columns
     rows = materialize(with_spans(docs.select(F.struct(*columns).alias("row"), "doc_id", "text")), "secret_texts")
-    some, extra = rows.where(F.col("part_key").isNotNull()), linked(rows, near)
-    none = F.array().cast(SPANS)
-    every = rows.where(F.col("part_key").isNull()).withColumn("extra", none).unionByName(some.join(extra, "part_key", "left").withColumn("extra", F.coalesce("extra", none)).select(*rows.columns, "extra"))
+    every = with_linked(rows, near)
     spans = F.array_sort(F.concat("base", "extra"))
     text = F.when(F.size(spans) > 0, bound(spans, lambda s: without_spans(F.col("text"), s, mark))).otherwise(F.col("text"))
     cut = every.select("row", (F.size(spans) > 0).alias("changed"), text.alias("text"))
