@@ -15,7 +15,9 @@ match is at least `length` long are chained to what they match; all of a chain b
 An anchor with more than `crowd` different contents would make too large a bucket. Its strings are dealt one by one,
 by their own 128-bit hash, in the same way as runs.
 
-Texts that are whole copies of the text of a smaller doc_id are found by their SHA-256 before all this.
+A text that more rows hold than a task's share is taken in once, before all this; its copies of larger doc_ids are covered
+as a whole. There are fewer such texts than shuffle partitions, so they are told by a broadcast. Texts are named by 64 bits
+beside their doc_id.
 
 Defined results: a null text is empty; earlier means a smaller (doc_id, start), so rows that share a doc_id are one
 document in which equal starts are not earlier; a null doc_id is larger than all others; repeated rows have equal
@@ -46,7 +48,7 @@ BUCKET_BYTES, CROWD = 1 << 20, 4096
 _RANDOM = np.random.default_rng(13)
 _BYTE = _RANDOM.integers(0, 1 << 63, size=256, dtype=np.uint64)
 _ODD = _RANDOM.integers(0, 1 << 62, size=16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-RUN = "h long, c long, d long, t string, start int, strings int"
+RUN = "h long, c long, d long, t long, start int, strings int"
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -104,7 +106,7 @@ def document_runs(data: bytes, length: int, gram: int) -> tuple[np.ndarray, ...]
 
 
 def find_runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """texts (d, t, text) to RUN rows; those without an anchor (h null) are repeats inside their text."""
+    """texts (d, t, text) to RUN rows; those without a content (c null) are repeats inside their text, under a hash of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -114,7 +116,7 @@ def find_runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
                 if n:
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([*h.view(np.int64).tolist(), *[None] * m], pa.int64()), pa.array([*c.view(np.int64).tolist(), *[None] * m], pa.int64()), pa.array([d] * (n + m), pa.int64()), pa.array([t] * (n + m), pa.string()),
+                            pa.array(np.concatenate([h.view(np.int64), again ^ t]), pa.int64()), pa.array([*c.view(np.int64).tolist(), *[None] * m], pa.int64()), pa.array([d] * (n + m), pa.int64()), pa.array([t] * (n + m), pa.int64()),
                             pa.array(np.concatenate([start, again]), pa.int32()), pa.array(np.concatenate([strings, more]), pa.int32()),
                         ],
                         names=["h", "c", "d", "t", "start", "strings"],
@@ -137,6 +139,11 @@ def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     several = False  # whether the last anchor has several contents
 
     for b in batches:
+        inside = b.column("c").is_null()
+        if inside.true_count:
+            again = b.filter(inside)
+            yield run_rows(pa.nulls(again.num_rows, pa.int64()), again)
+            b = b.filter(b.column("c").is_valid())
         if not b.num_rows:
             continue
         h, c, d, start = (b.column(x).to_numpy() for x in ("h", "c", "d", "start"))
@@ -288,13 +295,13 @@ def contents(texts: DataFrame, length: int) -> DataFrame:
                 data = text.encode("utf-8")
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([r["h"] for r in runs], pa.int64()), pa.array([d] * len(runs), pa.int64()), pa.array([t] * len(runs), pa.string()), pa.array([r["start"] for r in runs], pa.int32()),
+                        pa.array([r["h"] for r in runs], pa.int64()), pa.array([d] * len(runs), pa.int64()), pa.array([t] * len(runs), pa.int64()), pa.array([r["start"] for r in runs], pa.int32()),
                         pa.array([data[r["start"] : r["start"] + r["strings"] + length - 1] for r in runs], pa.binary()),
                     ],
                     names=["h", "d", "t", "start", "content"],
                 )
 
-    return texts.select("d", "t", "text", "runs").mapInArrow(run, "h long, d long, t string, start int, content binary")
+    return texts.select("d", "t", "text", "runs").mapInArrow(run, "h long, d long, t long, start int, content binary")
 
 
 def strings_of(texts: DataFrame, length: int) -> DataFrame:
@@ -307,7 +314,7 @@ def strings_of(texts: DataFrame, length: int) -> DataFrame:
                 at = np.concatenate([np.arange(r["start"], r["start"] + r["strings"]) for r in runs])
                 both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[a : a + length]) for a in at.tolist()), dtype="<i8").reshape(-1, 2)
                 one = np.ones(len(at), dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array([d] * len(at), pa.int64()), pa.array([t] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(one)], names=["h", "c", "d", "t", "start", "strings"])
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array([d] * len(at), pa.int64()), pa.array([t] * len(at), pa.int64()), pa.array(at, pa.int32()), pa.array(one)], names=["h", "c", "d", "t", "start", "strings"])
 
     return texts.select("d", "t", "text", "runs").mapInArrow(run, RUN)
 
@@ -358,7 +365,7 @@ def bucket_repeats(length: int):
 
 
 def kept_parts(texts: DataFrame, length: int) -> DataFrame:
-    """Of texts (d, t, text, marks array<struct<start, strings>> or null): (d, t, n_removed, n_spans, kept_sha256)."""
+    """Of texts (doc_id, text, times, marks array<struct<start, strings>> or null): (doc_id, n_bytes, n_removed, n_spans, kept_sha256, times)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -376,11 +383,13 @@ def kept_parts(texts: DataFrame, length: int) -> DataFrame:
                     digest.update(data[at:start])
                     at = end
                 digest.update(data[at:])
-                out.append((sum(z - a for a, z in spans), len(spans), digest.hexdigest()))
-            removed, number, digests = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column("d"), b.column("t"), pa.array(removed, pa.int64()), pa.array(number, pa.int64()), pa.array(digests, pa.string())], names=["d", "t", "n_removed", "n_spans", "kept_sha256"])
+                out.append((len(data), sum(z - a for a, z in spans), len(spans), digest.hexdigest()))
+            size, removed, number, digests = zip(*out) if out else ((), (), (), ())
+            counts = [pa.array(x, pa.int64()) for x in (size, removed, number)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *counts, pa.array(digests, pa.string()), b.column("times")], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "times"])
 
-    return texts.select("d", "t", "text", "marks").mapInArrow(run, "d long, t string, n_removed long, n_spans long, kept_sha256 string")
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return texts.select("doc_id", "text", "times", "marks").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, times long")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, crowd: int = CROWD) -> DataFrame:
@@ -389,28 +398,29 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
         raise ValueError("gram must be a power of two and not exceed length")
     spark = prepare(docs.sparkSession)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    last = F.lit((1 << 63) - 1)
-    named = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), last).alias("d"), text.alias("text")).withColumn("t", F.sha2("text", 256))
-    rows = materialize(named.select("doc_id", "d", "t", F.octet_length("text").cast("long").alias("n_bytes")), "texts_by_hash")
-    copies = rows.groupBy("t").agg(F.min("d").alias("least"), F.count("*").alias("n")).where("n > 1")
-    placed = materialize(looked_up(rows, copies.select("t", "least"), "t", copies), "placed")
-    copied = F.col("d") > F.coalesce("least", "d")
-    long_ = F.col("n_bytes") >= length
-    # Whole copies, and texts too short to hold a string, are done; a text stays once for each doc_id.
-    nothing = F.sha2(F.lit(""), 256)
-    done = placed.where(copied | ~long_).select(
-        "doc_id", "n_bytes", F.when(long_, F.col("n_bytes")).otherwise(F.lit(0)).alias("n_removed"), F.when(long_, F.lit(1)).otherwise(F.lit(0)).cast("long").alias("n_spans"), F.when(long_, nothing).otherwise(F.col("t")).alias("kept_sha256")
-    )
-    open_ = materialize(placed.where(~copied & long_).groupBy("d", "t", "n_bytes").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("times")), "open")
-    texts = materialize(once(named, open_, placed.count() // partitions + 1), "texts")
-    runs = materialize(find_runs(texts, length, gram), "runs")
-    found = materialize(judge(runs.where("h IS NOT NULL")), "judged")
+    text, last = F.coalesce(F.col("text"), F.lit("")), F.lit((1 << 63) - 1)
+    named = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), last).alias("d"), text.alias("text"))
+    named = named.select("*", F.xxhash64("text").alias("t"), F.xxhash64(F.lit(7), F.col("text")).alias("t2"), F.lit(1).cast("long").alias("times"))
+    rows = materialize(named.select("d", "t", "t2"), "names")
+    hot = materialize(rows.groupBy("t", "t2").agg(F.min("d").alias("least"), F.count("*").alias("n")).where(F.col("n") > rows.count() // partitions + 1), "hot_texts")
+    texts, done = named.drop("t2"), None
+    if not hot.isEmpty():
+        # Fewer texts than partitions: each stays once, for its smallest doc_id; rows of larger ones are whole copies.
+        among = named.join(F.broadcast(hot), ["t", "t2"])
+        first = rows.join(F.broadcast(hot), ["t", "t2"]).where("d = least").groupBy("t", "t2").agg(F.count("*").alias("times"))
+        once = among.where("d = least").drop("times").dropDuplicates(["t", "t2"]).join(first, ["t", "t2"])
+        texts = materialize(named.join(F.broadcast(hot), ["t", "t2"], "left_anti").select(*texts.columns).unionByName(once.select(*texts.columns)), "texts")
+        size = F.octet_length("text").cast("long")
+        long_ = size >= length
+        done = among.where("d > least").select(
+            "doc_id", size.alias("n_bytes"), F.when(long_, size).otherwise(0).alias("n_removed"), F.when(long_, 1).otherwise(0).cast("long").alias("n_spans"), F.sha2(F.when(long_, "").otherwise(F.col("text")), 256).alias("kept_sha256")
+        )
+    found = materialize(judge(find_runs(texts, length, gram)), "judged")
     alike = found.where("h IS NOT NULL")
     sizes = materialize(alike.groupBy("h").agg(F.count("*").alias("n"), F.sum(F.col("strings") + length - 1).alias("bytes")), "anchors")
     buckets = max(1, math.ceil((sizes.agg(F.sum("bytes").alias("b")).first()["b"] or 0) / bucket_bytes))
     crowded = sizes.where(F.col("n") > crowd)
-    marks = runs.where("h IS NULL").select("d", "t", "start", "strings").unionByName(found.where("h IS NULL").select("d", "t", "start", "strings"))
+    marks = found.where("h IS NULL").select("d", "t", "start", "strings")
     if not crowded.isEmpty():
         parted = materialize(looked_up(alike, crowded.select("h", F.lit(True).alias("crowded")), "h", sizes.select("h", "n")), "crowded")
         each = judge(materialize(strings_of(with_runs(texts, parted.where("crowded"), "inner", "h", "start", "strings"), length), "strings"))
@@ -418,24 +428,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
         alike = parted.where("crowded IS NULL")
     dealt = contents(with_runs(texts, alike, "inner", "h", "start", "strings"), length).withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)).cast("int"))
     sorted_ = dealt.repartition(partitions, "bucket").sortWithinPartitions("bucket", "d", "start", "t")
-    marks = marks.unionByName(sorted_.mapInArrow(bucket_repeats(length), "d long, t string, start int, strings int"))
-    results = kept_parts(with_runs(texts, materialize(marks, "marks"), "left", "start", "strings"), length)
-    whole = open_.join(results, ["d", "t"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    return done.select(*columns).unionByName(whole.select(*columns))
-
-
-def once(named: DataFrame, wanted: DataFrame, share: int) -> DataFrame:
-    """The rows (d, t, text) of named that are wanted (d, t, times), each once, however often it stands there."""
-    keys = ["d", "t"]
-    of = lambda some, hint: named.select(*keys, "text").join(some.select(*keys).hint(hint), keys, "left_semi")
-    out = of(wanted.where("times = 1"), "shuffle_hash")
-    repeated = wanted.where("times > 1")
-    if repeated.isEmpty():
-        return out
-    # Fewer rows than partitions repeat so often that they would fill a task.
-    often = materialize(repeated.where(F.col("times") > share), "often")
-    return out.unionByName(of(repeated.where(F.col("times") <= share), "shuffle_hash").dropDuplicates(keys)).unionByName(of(often, "broadcast").dropDuplicates(keys))
+    marks = marks.unionByName(sorted_.mapInArrow(bucket_repeats(length), "d long, t long, start int, strings int"))
+    whole = kept_parts(with_runs(texts, materialize(marks, "marks"), "left", "start", "strings"), length)
+    whole = whole.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).drop("copy", "times")
+    return whole if done is None else whole.unionByName(done)
 
 
 def with_runs(texts: DataFrame, runs: DataFrame, how: str, *columns: str) -> DataFrame:
