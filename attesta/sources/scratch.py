@@ -36,13 +36,32 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     The table stays until release(), the end of temporaries() or the end of the driver's process.
     """
     spark = df.sparkSession
-    path = f"{folder(spark)}/attesta/{uuid.uuid4().hex}/{name}"
-    app = spark.sparkContext.applicationId
+    path = place(spark, name)
+    with _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):  # shuffled rows go when the table is there
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def place(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder for files that others write; it goes when the tables of cut() do."""
+    path, app = f"{folder(spark)}/attesta/{uuid.uuid4().hex}/{name}", spark.sparkContext.applicationId
     if app not in _TABLES:
         atexit.register(_release_all, spark, app)
     _TABLES.setdefault(app, []).append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def last_table(spark: SparkSession) -> str:
@@ -89,6 +108,22 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(at)
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file as a whole."""
+    files, at = _at(spark, path)
+    opened = files.open(at)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(opened)).decode()
+    finally:
+        opened.close()
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The names of the folders in a folder."""
+    files, at = _at(spark, path)
+    return [f.getPath().getName() for f in files.listStatus(at) if f.isDirectory()]
+
+
 def delete(spark: SparkSession, path: str) -> None:
     files, at = _at(spark, path)
     files.delete(at, True)
