@@ -51,31 +51,27 @@ _ODD = _RANDOM.integers(0, 1 << 62, size=16, dtype=np.uint64) * np.uint64(2) + n
 RUN = "h long, c long, d long, t long, start int, strings int"
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(31))
-    x *= np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
-
-
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    """A hash of each substring of `gram` (a power of two) bytes, made by doubling."""
+    """A hash of each substring of `gram` (a power of two) bytes, made by doubling and mixed at the end."""
     h, size, k = _BYTE[data], 1, 0
     while size < gram:
-        h = mixed(h[:-size] * _ODD[k] + h[size:])
+        h = h[:-size] * _ODD[k] + h[size:]
         size, k = size * 2, k + 1
+    h ^= h >> np.uint64(31)
+    h *= _ODD[-1]
+    h ^= h >> np.uint64(29)
     return h
 
 
 def leftmost_least(h: np.ndarray, width: int) -> np.ndarray:
-    """For each window of `width` values the place of the leftmost least one."""
-    at, size = np.arange(len(h)), 1
-    value = h
+    """For each window of `width` values the place of the leftmost one whose upper 32 bits are least."""
+    # The place below the value: of equal values the left one is less.
+    key, size = h & np.uint64(0xFFFFFFFF00000000) | np.arange(len(h), dtype=np.uint64), 1
     while size < width:
         step = min(size, width - size)
-        later = value[step:] < value[:-step]  # of equal values the left one stays
-        at, value = np.where(later, at[step:], at[:-step]), np.where(later, value[step:], value[:-step])
+        key = np.minimum(key[:-step], key[step:])
         size += step
-    return at
+    return (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def runs_of(data: bytes, length: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
