@@ -21,6 +21,8 @@ from pyspark.sql.window import Window
 
 from attesta.functions import fixed
 from attesta.functions.text import canonical_tokens, concepts, tokenize
+from attesta.operators import graph as G
+from attesta.operators.graph import Graph
 from attesta.operators.guards import own_corpora, select_sources
 from attesta.sources.scratch import cut
 
@@ -114,12 +116,15 @@ def dense_vectors(weights: DataFrame, dim: int) -> DataFrame:
     return weights.groupBy("id").agg(m.alias("m")).select("id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("m", i.cast("long")), F.lit(0.0))).alias("embedding"))
 
 
-def hash_dense_top_k(questions: DataFrame, chunks: DataFrame, k: int = fixed.LANE_K, dim: int = 384, mode: str = "blake2b") -> DataFrame:
-    """The dense lane over hashed words: a sparse product by an equi-join on (scope, idx); other chunks of the scope score 0."""
+def hash_dense_top_k(questions: DataFrame, chunks: DataFrame, k: int = fixed.LANE_K, dim: int = 384, mode: str = "blake2b", weights: DataFrame | None = None) -> DataFrame:
+    """The dense lane over hashed words: a sparse product by an equi-join on (scope, idx); other chunks of the scope score 0. weights: those of the chunks, if an index has them."""
     q = hash_weights(questions.select(F.col("question_id").alias("id"), F.col("question").alias("text")), dim, mode).withColumnRenamed("id", "question_id").withColumnRenamed("weight", "q")
-    c = hash_weights(chunks.select(F.col("chunk_id").alias("id"), "text"), dim, mode).withColumnRenamed("id", "chunk_id")
     asked = questions.select("question_id", *SCOPE).join(q, "question_id")
-    held = chunks.select("chunk_id", *SCOPE, "doc_id", "ordinal").join(c, "chunk_id")
+    if weights is None:
+        c = hash_weights(chunks.select(F.col("chunk_id").alias("id"), "text"), dim, mode).withColumnRenamed("id", "chunk_id")
+        held = chunks.select("chunk_id", *SCOPE, "doc_id", "ordinal").join(c, "chunk_id")
+    else:
+        held = weights
     score = (F.round(F.sum(F.col("q") * F.col("weight")), DIGITS) + 0.0).alias("score")
     hits = asked.join(held, [*SCOPE, "idx"]).groupBy("question_id", *SCOPE, "chunk_id", "doc_id", "ordinal").agg(score)
     return top_with_zeros(hits, questions, chunks, k)
@@ -177,10 +182,14 @@ def build_postings(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     postings = cut(words.groupBy(*SCOPE, "term", "chunk_id", "doc_id", "ordinal", "dl").agg(F.count("*").alias("tf")), "postings")
     length = postings.groupBy(*SCOPE).agg(F.sum("tf").alias("length"))
     scopes = chunks.groupBy(*SCOPE).agg(F.count("*").alias("n")).join(length, SCOPE, "left").select(*SCOPE, "n", (F.coalesce("length", F.lit(0)) / F.col("n")).alias("avgdl"))
-    raw = postings.groupBy(*SCOPE, "term").agg(F.count("*").alias("df")).join(scopes, SCOPE).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    return postings, inverse_frequencies(postings.groupBy(*SCOPE, "term").agg(F.count("*").alias("df")), scopes), scopes
+
+
+def inverse_frequencies(frequencies: DataFrame, scopes: DataFrame) -> DataFrame:
+    """frequencies (scope, term, df) with idf; that of very common terms is a share of the scope's mean."""
+    raw = frequencies.join(scopes, SCOPE).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy(*SCOPE).agg(F.avg("raw").alias("mean"))
-    terms = raw.join(mean, SCOPE).select(*SCOPE, "term", "df", F.when(F.col("raw") < 0, fixed.BM25_EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return postings, terms, scopes
+    return raw.join(mean, SCOPE).select(*SCOPE, "term", "df", F.when(F.col("raw") < 0, fixed.BM25_EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
 def bm25_top_k(questions: DataFrame, chunks: DataFrame, k: int = fixed.LANE_K, index: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
@@ -197,12 +206,12 @@ def bm25_top_k(questions: DataFrame, chunks: DataFrame, k: int = fixed.LANE_K, i
 # Graph lane
 
 
-def graph_edges(chunks: DataFrame, pattern: str = fixed.CONCEPT, max_degree: int | None = None) -> DataFrame:
-    """Edges in both directions (scope, src, dst, weight): neighbours in a document, and pairs that share a concept."""
+def graph_edges(chunks: DataFrame, pattern: str = fixed.CONCEPT, max_degree: int | None = None, held: DataFrame | None = None) -> DataFrame:
+    """Edges in both directions (scope, src, dst, weight): neighbours in a document, and pairs that share a concept. held: the concepts of the chunks, if an index has them."""
     w = Window.partitionBy(*SCOPE, "doc_id").orderBy("ordinal")
     following = chunks.select(*SCOPE, F.col("chunk_id").alias("a"), F.lead("chunk_id").over(w).alias("b"), "ordinal", F.lead("ordinal").over(w).alias("next"))
     near = following.where("next = ordinal + 1").select(*SCOPE, "a", "b", F.lit(fixed.ADJACENT_WEIGHT).alias("weight"))
-    held = chunks.select(*SCOPE, "chunk_id", F.explode(concepts("text", pattern)).alias("concept"))
+    held = chunks.select(*SCOPE, "chunk_id", F.explode(concepts("text", pattern)).alias("concept")) if held is None else held.select(*SCOPE, "chunk_id", "concept")
     if max_degree is not None:
         common = held.groupBy(*SCOPE, "concept").count().where(F.col("count") > max_degree).select(*SCOPE, "concept")
         held = held.join(common, [*SCOPE, "concept"], "left_anti")
@@ -221,21 +230,27 @@ def seed_scores(questions: DataFrame, chunks: DataFrame, postings: DataFrame | N
     return asked.join(held, [*SCOPE, "term"]).groupBy("question_id", *SCOPE, "chunk_id", "n_q").agg(F.count("*").alias("n")).select("question_id", *SCOPE, "chunk_id", (F.col("n") / F.col("n_q")).alias("seed"))
 
 
-def rank_masses(seeds: DataFrame, chunks: DataFrame, edges: DataFrame, rounds: int = fixed.ROUNDS, every: int = 5) -> tuple[DataFrame, DataFrame]:
+def rank_masses(seeds: DataFrame, chunks: DataFrame, edges: DataFrame | Graph, rounds: int = fixed.ROUNDS, every: int = 5) -> tuple[DataFrame, DataFrame]:
     """Personalised PageRank in its sparse form: (question_id, scope, chunk_id, mass) of nodes that a question's seeds reach, and (scope, chunk_id, floor) of linked nodes.
 
-    A node's rank is the sum of both. The recursion is linear: what remains of the uniform start is the same for every
+    edges: pairs of graph_edges(), or a Graph, which has none. A node's rank is the sum of both. The recursion is linear: what remains of the uniform start is the same for every
     question (the floor, one more walk), and seeds spread over edges only. The mass of unlinked nodes goes back to the
     seeds p; with the share r = damping * (p on unlinked nodes), a round's factor of p has the closed form below.
     """
-    linked = edges.groupBy(*SCOPE, "src").agg(F.sum("weight").alias("out"))
-    steps = cut(edges.join(linked, [*SCOPE, "src"]).select(*SCOPE, F.col("src").alias("chunk_id"), "dst", (F.col("weight") / F.col("out") * fixed.DAMPING).alias("share")), "steps")
+    if isinstance(edges, Graph):
+        linked = edges.nodes.where("out > 0").select(*SCOPE, F.col("chunk_id").alias("src"), "out")
+    else:
+        linked = edges.groupBy(*SCOPE, "src").agg(F.sum("weight").alias("out"))
     nodes = chunks.select(*SCOPE, "chunk_id").join(linked.select(*SCOPE, F.col("src").alias("chunk_id"), F.lit(1).alias("linked")), [*SCOPE, "chunk_id"], "left")
     size = nodes.groupBy(*SCOPE).agg(F.count("*").alias("n"), F.count("linked").alias("n_linked"))
     with_p = seeds.join(seeds.groupBy("question_id").agg(F.sum("seed").alias("total")), "question_id").withColumn("p", F.col("seed") / F.col("total")).join(nodes, [*SCOPE, "chunk_id"])
     back = with_p.groupBy("question_id", *SCOPE).agg((F.sum(F.when(F.col("linked").isNull(), F.col("p")).otherwise(0.0)) * fixed.DAMPING).alias("r")).join(size, SCOPE)
     start = (1 - fixed.DAMPING) + fixed.DAMPING * (1 - F.col("n_linked") / F.col("n"))
     given = cut(with_p.select("question_id", *SCOPE, "chunk_id", "p").join(back.select("question_id", *SCOPE, "r", start.alias("c0")), ["question_id", *SCOPE]), "seeds")
+    if isinstance(edges, Graph):
+        now = G.rank_masses(given, edges, rounds)
+        return now.where("question_id IS NOT NULL"), now.where("question_id IS NULL").select(*SCOPE, "chunk_id", F.col("mass").alias("floor"))
+    steps = cut(edges.join(linked, [*SCOPE, "src"]).select(*SCOPE, F.col("src").alias("chunk_id"), "dst", (F.col("weight") / F.col("out") * fixed.DAMPING).alias("share")), "steps")
     uniform = nodes.where("linked IS NOT NULL").join(size, SCOPE).select(F.lit(None).cast(seeds.schema["question_id"].dataType).alias("question_id"), *SCOPE, "chunk_id", (1 / F.col("n")).alias("mass"))
     now = uniform
     for t in range(rounds):
@@ -248,14 +263,14 @@ def rank_masses(seeds: DataFrame, chunks: DataFrame, edges: DataFrame, rounds: i
     return now.where("question_id IS NOT NULL"), now.where("question_id IS NULL").select(*SCOPE, "chunk_id", F.col("mass").alias("floor"))
 
 
-def page_rank(seeds: DataFrame, chunks: DataFrame, edges: DataFrame, rounds: int = fixed.ROUNDS) -> DataFrame:
+def page_rank(seeds: DataFrame, chunks: DataFrame, edges: DataFrame | Graph, rounds: int = fixed.ROUNDS) -> DataFrame:
     """The rank of every node of a question's scope: question_id, chunk_id, rank_mass. Only this result has a row for each; the walk has not."""
     mass, floor = rank_masses(seeds, chunks, edges, rounds)
     every = seeds.select("question_id", *SCOPE).distinct().join(chunks.select(*SCOPE, "chunk_id").join(floor, [*SCOPE, "chunk_id"], "left"), SCOPE)
     return every.join(mass.select("question_id", "chunk_id", "mass"), ["question_id", "chunk_id"], "left").select("question_id", "chunk_id", (F.coalesce("mass", F.lit(0.0)) + F.coalesce("floor", F.lit(0.0))).alias("rank_mass"))
 
 
-def graph_top_k(questions: DataFrame, chunks: DataFrame, edges: DataFrame, k: int = fixed.LANE_K, postings: DataFrame | None = None) -> DataFrame:
+def graph_top_k(questions: DataFrame, chunks: DataFrame, edges: DataFrame | Graph, k: int = fixed.LANE_K, postings: DataFrame | None = None) -> DataFrame:
     """A quarter of the rank mass, a tenth of the own seed, and the neighbours' seeds by edge weight; no seeds, no rows.
 
     Nodes that a question does not reach have the floor alone, so only the k highest floors of the scope can be among its best.
@@ -263,7 +278,10 @@ def graph_top_k(questions: DataFrame, chunks: DataFrame, edges: DataFrame, k: in
     seeds = cut(seed_scores(questions, chunks, postings), "seed_scores")
     mass, floor = rank_masses(seeds, chunks, edges)
     own = seeds.select("question_id", *SCOPE, "chunk_id", (fixed.SEED_SHARE * F.col("seed")).alias("s"))
-    around = seeds.join(edges.withColumnRenamed("src", "chunk_id"), [*SCOPE, "chunk_id"]).select("question_id", *SCOPE, F.col("dst").alias("chunk_id"), (F.col("seed") * F.col("weight")).alias("s"))
+    if isinstance(edges, Graph):
+        around = G.spread(seeds.select("question_id", *SCOPE, "chunk_id", F.col("seed").alias("v")), edges).withColumnRenamed("v", "s")
+    else:
+        around = seeds.join(edges.withColumnRenamed("src", "chunk_id"), [*SCOPE, "chunk_id"]).select("question_id", *SCOPE, F.col("dst").alias("chunk_id"), (F.col("seed") * F.col("weight")).alias("s"))
     reached = mass.select("question_id", *SCOPE, "chunk_id", (fixed.RANK_SHARE * F.col("mass")).alias("s")).unionByName(own).unionByName(around).groupBy("question_id", *SCOPE, "chunk_id").agg(F.sum("s").alias("s"))
     placed = chunks.select(*SCOPE, "chunk_id", "doc_id", "ordinal").join(floor, [*SCOPE, "chunk_id"], "left").withColumn("floor", fixed.RANK_SHARE * F.coalesce("floor", F.lit(0.0)))
     scored = reached.join(placed, [*SCOPE, "chunk_id"]).withColumn("score", F.round(F.col("s") + F.col("floor"), DIGITS)).drop("s", "floor")
@@ -292,7 +310,8 @@ def fuse(dense: DataFrame, sparse: DataFrame, graph: DataFrame | None = None) ->
 
 def candidates(fused: DataFrame, questions: DataFrame, chunks: DataFrame, n: int = fixed.RERANK_INPUT) -> DataFrame:
     """With the bonus for shared terms, the first n of each question; ties by lane order, then rank in the lane. Adds question and text."""
-    joined = fused.join(questions.select("question_id", "question"), "question_id").join(chunks.select("chunk_id", *SCOPE, "filename", "text"), ["chunk_id", *SCOPE])
+    own = ["top_k"] if "top_k" in questions.columns else []
+    joined = fused.join(questions.select("question_id", "question", *own), "question_id").join(chunks.select("chunk_id", *SCOPE, "filename", "text"), ["chunk_id", *SCOPE])
     overlap = F.size(F.array_intersect(F.array_distinct(tokenize("question")), F.array_distinct(tokenize("text"))))
     scored = joined.withColumn("score", F.round(F.col("score") + F.least(overlap, F.lit(fixed.OVERLAP_CAP)) * fixed.OVERLAP_BONUS, DIGITS))
     w = Window.partitionBy("question_id").orderBy(F.desc("score"), "place")
@@ -320,13 +339,19 @@ def rerank_score(question: str = "question", text: str = "text", score: str = "s
     return F.when(F.size(content) == 0, F.col(score)).when(F.size(words) == 0, 0.0).otherwise(full)
 
 
+def slots(scored: DataFrame, limit: int) -> Column:
+    """How many results a question gets: its own top_k where it has one, else `limit`."""
+    return F.coalesce(F.col("top_k"), F.lit(limit)) if "top_k" in scored.columns else F.lit(limit)
+
+
 def sparse_backfill(scored: DataFrame, limit: int = fixed.TOP_K) -> DataFrame:
-    """scored (question_id, rerank_score, sparse_score, rank): the best by rerank score, but the last slots by the sparse lane; final rank in order of selection."""
+    """scored (question_id, rerank_score, sparse_score, rank, perhaps top_k): the best by rerank score, but the last slots by the sparse lane; final rank in order of selection."""
     by = lambda *c: F.row_number().over(Window.partitionBy("question_id").orderBy(*c))
     ranked = scored.withColumn("r1", by(F.desc("rerank_score"), "rank")).withColumn("r2", by(F.desc("sparse_score"), "rank"))
-    primary = max(0, limit - min(limit // 2, fixed.BACKFILL))
+    n = slots(scored, limit)
+    primary = F.greatest(F.lit(0), n - F.least(F.floor(n / 2).cast("int"), F.lit(fixed.BACKFILL)))
     key = F.when(F.col("r1") <= primary, F.struct(F.lit(0).alias("a"), F.col("r1").alias("b"))).otherwise(F.struct(F.lit(1).alias("a"), F.col("r2").alias("b")))
-    return ranked.withColumn("rank", by(key)).where(F.col("rank") <= limit).drop("r1", "r2")
+    return ranked.withColumn("rank", by(key)).where(F.col("rank") <= n).drop("r1", "r2")
 
 
 def rerank(cands: DataFrame, limit: int = fixed.TOP_K) -> DataFrame:
@@ -335,24 +360,27 @@ def rerank(cands: DataFrame, limit: int = fixed.TOP_K) -> DataFrame:
 
 
 def rerank_none(cands: DataFrame, limit: int = fixed.TOP_K) -> DataFrame:
-    return cands.where(F.col("rank") <= limit)
+    return cands.where(F.col("rank") <= slots(cands, limit))
 
 
 def rerank_supplied(cands: DataFrame, scores: DataFrame, limit: int = fixed.TOP_K) -> DataFrame:
     """scores (question_id, chunk_id, rerank_score) from a model that ran elsewhere."""
     w = Window.partitionBy("question_id").orderBy(F.desc("rerank_score"), "first")
     joined = cands.withColumnRenamed("rank", "first").join(scores, ["question_id", "chunk_id"])
-    return joined.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    return joined.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= slots(cands, limit))
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, graph: bool = True, limit: int = fixed.TOP_K, pattern: str = fixed.CONCEPT, mode: str = "blake2b", placement: str = "prefilter") -> DataFrame:
-    """All lanes, fusion, candidate cut and reranking for a table of questions.
+def retrieve(questions: DataFrame, chunks: DataFrame | None, graph: bool = True, limit: int = fixed.TOP_K, pattern: str = fixed.CONCEPT, mode: str = "blake2b", placement: str = "prefilter", index=None) -> DataFrame:
+    """All lanes, fusion, candidate cut and reranking for a table of questions, each with its top_k if it has one.
 
-    Questions may select documents (doc_ids; an empty selection is none). Their lanes then search and count over the
+    index: a standing Index instead of chunks; its tables are read, and its mode and pattern hold. Questions may select documents (doc_ids; an empty selection is none). Their lanes then search and count over the
     selected documents only; with placement "parity" the dense lane searches the whole scope and drops other documents
     after its cut.
     """
+    if index is not None:
+        chunks, pattern, mode = index.chunks(), index.pattern, index.mode
     selecting = "doc_ids" in questions.columns
+    standing = index is not None and not selecting
     asked, corpus = own_corpora(questions, chunks) if selecting else (questions, chunks)
     scopes = questions.select("question_id", *SCOPE)
     back = lambda lane: lane.drop(*SCOPE).join(scopes, "question_id") if selecting else lane
@@ -361,9 +389,10 @@ def retrieve(questions: DataFrame, chunks: DataFrame, graph: bool = True, limit:
         kept = every.join(select_sources(questions, chunks).select("question_id", "chunk_id"), ["question_id", "chunk_id"], "left_semi")
         dense = kept.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy("rank")))
     else:
-        dense = back(hash_dense_top_k(asked, corpus, mode=mode))
-    index = build_postings(corpus)
-    lanes = [dense, back(bm25_top_k(asked, corpus, index=index))]
+        dense = back(hash_dense_top_k(asked, corpus, mode=mode, weights=index.weights() if standing else None))
+    words = index.postings() if standing else build_postings(corpus)
+    lanes = [dense, back(bm25_top_k(asked, corpus, index=words))]
     if graph:
-        lanes.append(back(graph_top_k(asked, corpus, graph_edges(corpus, pattern), postings=index[0])))
+        edges = G.concept_graph(corpus, pattern, index.concepts() if standing else None)
+        lanes.append(back(graph_top_k(asked, corpus, edges, postings=words[0])))
     return rerank(candidates(fuse(*lanes), questions, chunks), limit)

@@ -9,7 +9,7 @@ from attesta.operators import answers as A
 from attesta.operators import guards as G
 from attesta.operators import lanes as L
 from attesta.plans.registry import query
-from attesta.plans.retrieval import CONCEPTS, LANES, SPARSE, both
+from attesta.plans.retrieval import LANES, SPARSE, both, standing
 from attesta.plans.texts import CHUNK, SPLIT, chunk_table
 from attesta.sources import tables as S
 
@@ -25,7 +25,7 @@ LOW = "trim(regexp_replace(lower({0}), '\\s+', ' ', 'g'))"
 
 def hits(spark, d):
     q, c = both(spark, d)
-    top = L.bm25_top_k(q, c, 8)
+    top = L.bm25_top_k(q, c, 8, standing(spark, d).postings())
     return q, top.join(q.select("question_id", "question"), "question_id").join(c.select("chunk_id", "text", "filename", "page"), "chunk_id")
 
 
@@ -177,11 +177,17 @@ def attacked_fifth(q):
 @query("r80_answer_questions", f"WITH {HYBRID} {ANSWERS}")
 def answer_questions(spark, d):
     """The whole batch over the hits of the hybrid search."""
-    q, c = both(spark, d)
-    found = L.retrieve(q, c, pattern=CONCEPTS, mode="md5").join(c.select("chunk_id", "page"), "chunk_id")
+    q, found = hybrid_hits(spark, d)
     return answered(attacked_fifth(q), found).select("question_id", "status", "answer", F.get(F.flatten(F.transform("claims", lambda c: c["citations"])), 0)["chunk_id"].alias("cited"))
 
 
+def hybrid_hits(spark, d, q=None):
+    """Questions and the chunks that the hybrid search over the standing index finds for them."""
+    _, c = both(spark, d)
+    q = S.questions(spark, d) if q is None else q
+    return q, L.retrieve(q, None, index=standing(spark, d)).join(c.select("chunk_id", "page"), "chunk_id")
+
+
 def answered(asked, h):
     """Questions guarded and answered from their hits."""
     guarded = G.guard_questions(asked)
@@ -262,5 +268,5 @@ def definition_support(spark, d):
 )
 def sparse_backfill(spark, d):
     """BM25 hits with rerank scores as a model might supply them: the last slots go to the sparse lane."""
-    sparse = L.bm25_top_k(*both(spark, d)).withColumn("rerank_score", F.md5("chunk_id")).withColumn("sparse_score", F.col("score"))
+    sparse = L.bm25_top_k(*both(spark, d), index=standing(spark, d).postings()).withColumn("rerank_score", F.md5("chunk_id")).withColumn("sparse_score", F.col("score"))
     return L.sparse_backfill(sparse).select("question_id", "chunk_id", F.col("rank").cast("int").alias("rank"))

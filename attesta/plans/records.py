@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from attesta.functions import text as T
@@ -12,10 +10,10 @@ from attesta.operators import guards as G
 from attesta.operators import lanes as L
 from attesta.plans.answers import HIT, QUOTED, QUOTES, answered, attacked_fifth, hits
 from attesta.plans.registry import query
-from attesta.plans.retrieval import CONCEPTS, LANES, SPARSE, both
+from attesta.plans.retrieval import LANES, SPARSE, both, standing
 from attesta.plans.texts import TOKENS
 from attesta.sources import tables as S
-from attesta.sources.scratch import cut, folder
+from attesta.sources.scratch import cut, place
 
 RAW_EVENT = "event AS (SELECT event_id AS id, 'u' || user_id AS tenant_id, event_type AS actor, event_type, {0} AS payload, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS created_at FROM events)"
 #: A payload's status is kept, its other keys are redacted.
@@ -38,7 +36,7 @@ def events(spark, d):
 @query("r11_eval_records", "SELECT source, doc_id::VARCHAR AS id, coalesce(lang, '') AS split, '' AS program_answer, n_chars::VARCHAR AS original_answer, md5(text) AS context FROM documents")
 def eval_records(spark, d):
     """The documents, written as JSON lines for each tenth source and the rest, and read as evaluation records; numbers become text, missing fields empty."""
-    at = f"{folder(spark)}/json/{uuid.uuid4().hex}"
+    at = place(spark, "json")
     docs = S.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("split"), F.col("n_chars").alias("original_answer"), F.col("text").alias("context"), "source")
     parts = {"a": docs.where("source LIKE '%1'"), "b": docs.where("NOT source LIKE '%1'")}
     for name, rows in parts.items():
@@ -173,8 +171,9 @@ SELECT round(r8, 6) AS recall_at_8, round(good, 6) AS faithfulness, round(good,
 def evaluate(spark, d):
     """The hybrid search and its answers against BM25 alone; every fifth question is an attack and is not answered."""
     q, c = both(spark, d)
-    found = cut(L.retrieve(q, c, pattern=CONCEPTS, mode="md5"))
-    sparse = L.bm25_top_k(q, c, 8).join(c.select("chunk_id", "filename", "text", "page"), "chunk_id")
+    i = standing(spark, d)
+    found = cut(L.retrieve(q, None, index=i))
+    sparse = L.bm25_top_k(q, c, 8, i.postings()).join(c.select("chunk_id", "filename", "text", "page"), "chunk_id")
     m = A.evaluate(expected_files(spark, d), answered(attacked_fifth(q), sparse), found, sparse)
     return m.select(*(F.round(n, 6).alias(n) for n in m.columns))
 
@@ -206,7 +205,7 @@ def sample_records(spark, d):
 
 @query("r96_gate_check", f"WITH {SPARSE} SELECT 'positive' AS metric, round(avg((score > 0)::INTEGER), 6) AS value, 0.5::DOUBLE AS threshold, avg((score > 0)::INTEGER) >= 0.5 AS passed FROM sparse")
 def gate_check(spark, d):
-    m = L.bm25_top_k(*both(spark, d)).agg(F.avg((F.col("score") > 0).cast("int")).alias("v")).select(F.lit("positive").alias("metric"), F.round("v", 6).alias("value"))
+    m = L.bm25_top_k(*both(spark, d), index=standing(spark, d).postings()).agg(F.avg((F.col("score") > 0).cast("int")).alias("v")).select(F.lit("positive").alias("metric"), F.round("v", 6).alias("value"))
     return A.gate_check(m, spark.createDataFrame([("positive", 0.5)], "metric string, threshold double"))
 
 
@@ -239,7 +238,7 @@ def vector_upsert(spark, d):
 
 @query("r12_write_json", "SELECT item_id, text FROM benchmark")
 def write_json(spark, d):
-    at = f"{folder(spark)}/json/{uuid.uuid4().hex}"
+    at = place(spark, "json")
     b = S.table(spark, d, "benchmark").select("item_id", "text")
     S.write_json(b, at)
     return spark.read.schema(b.schema).json(at)

@@ -6,12 +6,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from attesta.operators import lanes as L
+from attesta.operators.graph import concept_graph
+from attesta.operators.index import Index, build_index
 from attesta.plans.registry import query
 from attesta.plans.security import QUESTION
 from attesta.plans.texts import CHUNK, DOC, TOKENS, chunk_table
 from attesta.sources import tables as S
-from attesta.sources.scratch import cut
+from attesta.sources.scratch import cut, exists, place
 
+_STANDING: dict[tuple[str, str], Index] = {}
 CONCEPTS = r"(?i)\b(version \d+(?:\.\d+)?|license)\b"
 DIM = 384
 POSTINGS = f"""{CHUNK}, tok AS (SELECT *, {TOKENS.format('text')} AS tokens FROM chunk),
@@ -69,17 +72,28 @@ RERANKED = f"""rr AS (SELECT *, [x FOR x IN {TOKENS.format('question')} IF NOT l
 rs AS (SELECT *, round(CASE WHEN len(content) = 0 THEN score WHEN len(words) = 0 THEN 0 ELSE 0.75 * len(list_intersect({CANON_SET.format('content')}, {CANON_SET.format('words')})) / len({CANON_SET.format('content')})
  + 0.25 * len([w FOR w IN words IF list_contains({CANON_SET.format('content')}, w)]) / len(words) + 0.05 * least(score, 1) END, 9) AS rerank_score FROM rr),
 rk AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rerank_score DESC, rank) AS r1, row_number() OVER (PARTITION BY question_id ORDER BY sparse_score DESC, rank) AS r2 FROM rs),
-final AS (SELECT * FROM (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY question_id ORDER BY CASE WHEN r1 <= 4 THEN r1 ELSE 1000 + r2 END) AS rank FROM rk) WHERE rank <= 8)"""
+final AS (SELECT * FROM (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY question_id ORDER BY CASE WHEN r1 <= TOPK - least(TOPK // 2, 4) THEN r1 ELSE 1000 + r2 END) AS rank FROM rk) WHERE rank <= TOPK)"""
+#: How many results the registered query asks for, by question.
+TOP_K = "(1 + question_id % 20)"
 COLS = "question_id, chunk_id, rank::INTEGER AS rank, round(score, 6) AS score"
-LANES = f"{SPARSE}, {DENSE}, {GRAPH}, {FUSED}, {CANDS}, {RERANKED}"
+LANES = f"{SPARSE}, {DENSE}, {GRAPH}, {FUSED}, {CANDS}, {RERANKED.replace('TOPK', '8')}"
+OWN_LANES = f"{SPARSE}, {DENSE}, {GRAPH}, {FUSED}, {CANDS}, {RERANKED.replace('TOPK', TOP_K)}"
 
 
 def out(df):
     return df.select("question_id", "chunk_id", F.col("rank").cast("int").alias("rank"), F.round("score", 6).alias("score"))
 
 
+def standing(spark, d) -> Index:
+    """The index of the documents, built by the first query of a session that needs it."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _STANDING or not exists(spark, _STANDING[key].store.root):
+        _STANDING[key] = build_index(chunk_table(spark, d), place(spark, "index"), dim=DIM, mode="md5", pattern=CONCEPTS)
+    return _STANDING[key]
+
+
 def both(spark, d):
-    return S.questions(spark, d), cut(chunk_table(spark, d))
+    return S.questions(spark, d), standing(spark, d).chunks()
 
 
 @query("r46_hash_embed", f"WITH {DOC}, {weights('dv', 'SELECT doc_id AS id, unnest(' + TOKENS.format('text') + ') AS w FROM documents')} SELECT id, idx, round(weight, 6) AS weight FROM dv WHERE weight <> 0")
@@ -116,12 +130,12 @@ def dense_top_k_approx(spark, d):
 
 @query("r51_postings", f"WITH {POSTINGS} SELECT tenant_id, matter_id, term, df, round(idf, 6) AS idf FROM term")
 def postings(spark, d):
-    return L.build_postings(chunk_table(spark, d))[1].select(*L.SCOPE, "term", "df", F.round("idf", 6).alias("idf"))
+    return standing(spark, d).postings()[1].select(*L.SCOPE, "term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("r52_bm25_top_k", f"WITH {SPARSE} SELECT {COLS} FROM sparse")
 def bm25(spark, d):
-    return out(L.bm25_top_k(*both(spark, d)))
+    return out(L.bm25_top_k(*both(spark, d), index=standing(spark, d).postings()))
 
 
 @query(
@@ -138,7 +152,7 @@ def with_embeddings(spark, d):
 
 @query("r47_hash_dense_top_k", f"WITH {POSTINGS}, {DENSE} SELECT {COLS} FROM dense")
 def hash_dense(spark, d):
-    return out(L.hash_dense_top_k(*both(spark, d), mode="md5"))
+    return out(L.hash_dense_top_k(*both(spark, d), mode="md5", weights=standing(spark, d).weights()))
 
 
 @query("r54_adjacency_edges", f"WITH {CHUNK}, {EDGES} SELECT src, dst, weight FROM edge WHERE weight < 1")
@@ -153,24 +167,34 @@ def concept(spark, d):
 
 @query("r56_seed_scores", f"WITH {POSTINGS}, {SEEDS} SELECT question_id, chunk_id, round(seed, 6) AS seed FROM seed")
 def seeds(spark, d):
-    return L.seed_scores(*both(spark, d)).select("question_id", "chunk_id", F.round("seed", 6).alias("seed"))
+    return L.seed_scores(*both(spark, d), standing(spark, d).postings()[0]).select("question_id", "chunk_id", F.round("seed", 6).alias("seed"))
 
 
 @query("r57_page_rank", f"WITH {POSTINGS}, {EDGES}, {SEEDS}, {rank_sql()} SELECT question_id, chunk_id, round(mass, 6) AS mass FROM m25 WHERE p IS NOT NULL")
 def page_rank(spark, d):
     q, c = both(spark, d)
-    return L.page_rank(L.seed_scores(q, c), c, L.graph_edges(c, CONCEPTS)).select("question_id", "chunk_id", F.round("rank_mass", 6).alias("mass"))
+    i = standing(spark, d)
+    return L.page_rank(L.seed_scores(q, c, i.postings()[0]), c, concept_graph(c, held=i.concepts())).select("question_id", "chunk_id", F.round("rank_mass", 6).alias("mass"))
 
 
 @query("r58_graph_top_k", f"WITH {POSTINGS}, {GRAPH} SELECT {COLS} FROM graph")
 def graph(spark, d):
     q, c = both(spark, d)
-    return out(L.graph_top_k(q, c, L.graph_edges(c, CONCEPTS)))
+    i = standing(spark, d)
+    return out(L.graph_top_k(q, c, concept_graph(c, held=i.concepts()), postings=i.postings()[0]))
 
 
-def fused(spark, d):
+def lanes(spark, d):
+    """Questions, chunks and the three lanes over the standing index."""
     q, c = both(spark, d)
-    return q, c, L.fuse(L.hash_dense_top_k(q, c, mode="md5"), L.bm25_top_k(q, c), L.graph_top_k(q, c, L.graph_edges(c, CONCEPTS)))
+    i = standing(spark, d)
+    words = i.postings()
+    return q, c, [L.hash_dense_top_k(q, c, mode="md5", weights=i.weights()), L.bm25_top_k(q, c, index=words), L.graph_top_k(q, c, concept_graph(c, held=i.concepts()), postings=words[0])]
+
+
+def fused(spark, d):
+    q, c, found = lanes(spark, d)
+    return q, c, L.fuse(*found)
 
 
 @query("r59_rrf_fuse", f"WITH {LANES} SELECT question_id, chunk_id, round(score, 6) AS score, round(graph_score, 6) AS graph_score FROM fused")
@@ -196,10 +220,11 @@ def rerank_none(spark, d):
     return out(L.rerank_none(L.candidates(f, q, c)))
 
 
-@query("r66_retrieve", f"WITH {LANES} SELECT question_id, chunk_id, rank::INTEGER AS rank, round(rerank_score, 6) AS rerank_score FROM final")
+@query("r66_retrieve", f"WITH {OWN_LANES} SELECT question_id, chunk_id, rank::INTEGER AS rank, round(rerank_score, 6) AS rerank_score FROM final")
 def retrieve(spark, d):
-    q, c = both(spark, d)
-    return L.retrieve(q, c, pattern=CONCEPTS, mode="md5").select("question_id", "chunk_id", F.col("rank").cast("int").alias("rank"), F.round("rerank_score", 6).alias("rerank_score"))
+    """Questions ask for 1 to 20 chunks each."""
+    q = S.questions(spark, d).withColumn("top_k", (1 + F.col("question_id") % 20).cast("int"))
+    return L.retrieve(q, None, index=standing(spark, d)).select("question_id", "chunk_id", F.col("rank").cast("int").alias("rank"), F.round("rerank_score", 6).alias("rerank_score"))
 
 
 def recall_at(fused, k=8):
@@ -217,9 +242,9 @@ b AS (SELECT question_id, max((doc_id % 10 = 1)::INTEGER) AS h FROM (SELECT *, r
 SELECT round((SELECT avg(h) FROM a), 6) AS with_graph, round((SELECT avg(h) FROM b), 6) AS without_graph, round((SELECT avg(h) FROM a) - (SELECT avg(h) FROM b), 6) AS difference""",
 )
 def graph_lift(spark, d):
-    q, c = both(spark, d)
-    dense, sparse = cut(L.hash_dense_top_k(q, c, mode="md5")), cut(L.bm25_top_k(q, c))
-    linked = recall_at(L.fuse(dense, sparse, L.graph_top_k(q, c, L.graph_edges(c, CONCEPTS)))).withColumn("lane", F.lit("graph"))
+    _, _, (dense, sparse, graph) = lanes(spark, d)
+    dense, sparse = cut(dense), cut(sparse)
+    linked = recall_at(L.fuse(dense, sparse, graph)).withColumn("lane", F.lit("graph"))
     both_ = linked.unionByName(recall_at(L.fuse(dense, sparse)).withColumn("lane", F.lit("plain")))
     of = lambda lane: F.max(F.when(F.col("lane") == lane, F.col("recall")))
     rows = both_.agg(of("graph").alias("recall"), of("plain").alias("base"))
