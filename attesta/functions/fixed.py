@@ -109,4 +109,9 @@ REASONS = {
     "all hold": "all returned claims have at least one verbatim citation",
     "dropped": "dropped unsupported citations, claims, or off-question claims",
 }
+# The guards of a request, in their order, and what they say.
+GUARDS = {"normalization": "input_normalization", "injection": "input_prompt_injection", "retrieved": "retrieved_content_guard", "citations": "verbatim_citation_verifier"}
+NORMAL_REASONS = {"repaired": "removed zero-width/control confusables", "accepted": "input unchanged"}
+RETRIEVED_REASONS = {"rejected": "retrieved chunk matched indirect-injection or banned-topic pattern", "accepted": "retrieved chunks passed indirect-injection scan"}
+FALLBACK_REASON = "replaced model answer with extractive definition answer"
 SCAN_REASONS = {"rejected": "prompt-injection pattern detected", "accepted": "no prompt-injection pattern detected"}

@@ -244,24 +244,39 @@ def source_excerpts(located: DataFrame, around: int = 2, preview: int = 120) ->
     return with_range.withColumn("excerpt", F.array_join(F.slice(lines, F.col("excerpt_start"), F.col("excerpt_end") - F.col("excerpt_start") + 1), "\n"))
 
 
-def locate_segments(matches: DataFrame, parts: DataFrame) -> DataFrame:
-    """matches (doc_id, start, end) in the text of parts (doc_id, pos, text) joined by spaces: doc_id, pos, part_start, part_end. Empty parts add no space."""
-    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+def locate_segments(matches: DataFrame, parts: DataFrame, bin_size: int = 1024) -> DataFrame:
+    """matches (doc_id, start, end; perhaps page) in the text of parts (doc_id, pos, text; perhaps page) joined by spaces: the columns of matches, pos, part_start, part_end. Empty parts add no space.
+
+    Where both have a page, each page is a text of its own. Matches and parts meet in bins of `bin_size` characters of a
+    document: in each bin that a match touches it meets the parts that begin there, and the part that covers the
+    bin's beginning, so a document with many of both does not pair them all.
+    """
+    keys = ["doc_id", *(["page"] if "page" in parts.columns and "page" in matches.columns else [])]
+    w = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     own = F.length(F.coalesce("text", F.lit("")))
     before = F.coalesce(F.sum(F.when(F.col("n") > 0, F.col("n") + 1).otherwise(0)).over(w), F.lit(0))
     placed = parts.withColumn("n", own).withColumn("before", before).withColumn("from", F.when((F.col("n") == 0) & (F.col("before") > 0), F.col("before") - 1).otherwise(F.col("before"))).withColumn("to", F.col("from") + F.col("n"))
-    hit = matches.join(placed, "doc_id").where((F.col("from") < F.col("end")) & (F.col("to") > F.col("start")))
+    # A range [a, b) takes the bins from its first character's to its last one's, an empty one that of its place.
+    bins = lambda a, b: F.sequence(F.floor(a / bin_size), F.floor(F.greatest(b - 1, a) / bin_size))
+    names = {k: F.col(k).alias(f"_{k}") for k in keys}
+    held = placed.select(*names.values(), "pos", "n", "from", "to", F.explode(bins(F.col("from"), F.col("to"))).alias("_bin"), (F.floor(F.col("from") / bin_size)).alias("_first"))
+    asked = matches.select("*", F.explode(bins(F.col("start"), F.col("end"))).alias("bin"), (F.floor(F.col("start") / bin_size)).alias("first"))
+    same = reduce(lambda a, b: a & b, (asked[k].eqNullSafe(held[f"_{k}"]) for k in keys)) & (asked["bin"] == held["_bin"])
+    # A pair that shares several bins counts in the first of them.
+    once = F.col("bin") == F.greatest("first", "_first")
+    hit = asked.join(held, same & once & (F.col("from") < F.col("end")) & (F.col("to") > F.col("start")))
     return hit.select(*matches.columns, "pos", F.greatest(F.col("start") - F.col("from"), F.lit(0)).alias("part_start"), F.least(F.col("end") - F.col("from"), F.col("n")).alias("part_end"))
 
 
 def locate_quote_segments(quotes: DataFrame, parts: DataFrame) -> DataFrame:
-    """quotes (doc_id, quote, ...) in the joined parts (doc_id, pos, text) of their document: the ranges of the parts that they touch.
+    """quotes (doc_id, quote, ...) in the joined parts (doc_id, pos, text) of their document (or of their page, where both have a page): the ranges of the parts that they touch.
 
     A quote may run over the border of two parts.
     """
+    keys = ["doc_id", *(["page"] if "page" in parts.columns and "page" in quotes.columns else [])]
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: F.coalesce(x["text"], F.lit("")))
-    whole = parts.groupBy("doc_id").agg(F.array_join(F.filter(ordered, lambda t: t != ""), " ").alias("text"))
-    found = locate_quotes(quotes.join(whole, "doc_id")).where("start IS NOT NULL").drop("text", "line_start", "line_end")
+    whole = parts.groupBy(*keys).agg(F.array_join(F.filter(ordered, lambda t: t != ""), " ").alias("text"))
+    found = locate_quotes(quotes.join(whole, keys)).where("start IS NOT NULL").drop("text", "line_start", "line_end")
     return locate_segments(found, parts)
 
 

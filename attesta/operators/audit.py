@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from attesta.functions import fixed
 from attesta.functions.text import canonical_tokens, tokenize
+from attesta.sources.scratch import cut
 
 GENESIS = fixed.GENESIS
 FIELDS = fixed.EVENT_FIELDS
@@ -99,26 +100,81 @@ def append_chain(events: DataFrame, chain: str = "tenant_id", redact: bool = Tru
     return dealt.mapInArrow(run, CHAINED)
 
 
-def verify_chain(chained: DataFrame, chain: str = "tenant_id") -> DataFrame:
-    """The first broken event of each chain, if any: chain, id, expected, actual. Rows are checked in parallel."""
-    w = Window.partitionBy(chain).orderBy("id")
-    stored = F.coalesce(F.lag("event_hash").over(w), F.lit(GENESIS))
-    checked = chained.withColumn("before", stored).withColumn("expected", event_digest(F.col("before")))
+def verify_chain(chained: DataFrame, chain: str = "tenant_id", rows: int = 1_000_000) -> DataFrame:
+    """The first broken event of each chain, if any: chain, id, expected, actual.
+
+    Each event is checked against the hash stored before it, so a chain is checked in ranges of ids, of about `rows`
+    events, by as many tasks. A range's first event needs the last hash of the range before it; these are one row for
+    each range and chain, exchanged in a step of their own.
+    """
+    spark = chained.sparkSession
+    ranges = max(1, -(-chained.count() // rows), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    at = f"{chain}_range"
+    # Dealt by (chain, id): a chain of many events goes over many partitions, in the order of its ids.
+    placed = cut(chained.repartitionByRange(ranges, chain, "id").withColumn(at, F.spark_partition_id()), "ranges")
+    inside = Window.partitionBy(at, chain).orderBy("id")
+    place = F.struct(F.col("id").isNotNull().alias("named"), "id")  # events without an id come first
+    last = placed.groupBy(at, chain).agg(F.max_by("event_hash", place).alias("tail"))
+    boundary = last.withColumn("carried", F.lag("tail").over(Window.partitionBy(chain).orderBy(at))).select(F.col(at).alias("_range"), F.col(chain).alias("_chain"), "carried")
+    linked = placed.withColumn("inner", F.lag("event_hash").over(inside))
+    both = linked.join(boundary, (linked[at] == boundary["_range"]) & linked[chain].eqNullSafe(boundary["_chain"]), "left")
+    checked = both.withColumn("before", F.coalesce("inner", "carried", F.lit(GENESIS))).withColumn("expected", event_digest(F.col("before")))
     bad = checked.where((F.col("expected") != F.col("event_hash")) | (F.col("before") != F.col("previous_hash")))
-    first = Window.partitionBy(chain).orderBy("id")
-    return bad.withColumn("n", F.row_number().over(first)).where("n = 1").select(chain, "id", "expected", F.col("event_hash").alias("actual"))
+    one = F.min_by(F.struct("id", "expected", F.col("event_hash").alias("actual")), place).alias("e")
+    return bad.groupBy(chain).agg(one).select(chain, "e.*")
 
 
 def recent(events: DataFrame, n: int) -> DataFrame:
     return events.orderBy(F.desc("id")).limit(n)
 
 
+def decisions(answered: DataFrame, guarded: DataFrame, flagged: DataFrame) -> DataFrame:
+    """answered (answer_questions) with `guardrails`: array<struct<name, status, reason>> of the guards that each question met before its exit.
+
+    guarded: guard_questions(); flagged: scan_hits() of what was retrieved.
+    """
+    own = guarded.select("question_id", F.col("repaired").alias("_repaired"), F.col("rejected").alias("_bad_input"))
+    joined = answered.join(own, "question_id", "left").join(flagged.select("question_id", F.col("rejected").alias("_bad_hits")), "question_id", "left")
+    status, exit_ = F.col("status"), fixed.EXITS
+    named = lambda guard, state, reason: F.struct(F.lit(fixed.GUARDS[guard]).alias("name"), state.alias("status"), reason.alias("reason"))
+    pick = lambda bad, yes, no, reasons: (F.when(bad, yes).otherwise(no), F.when(bad, reasons[yes]).otherwise(reasons[no]))
+    reason = F.when(status == "accepted", fixed.REASONS["all hold"]).when(status == "rejected", fixed.REASONS["no quote"]).when(F.col("previous_status").isNotNull(), fixed.FALLBACK_REASON).otherwise(fixed.REASONS["dropped"])
+    first = F.array(named("normalization", *pick(F.col("_repaired"), "repaired", "accepted", fixed.NORMAL_REASONS)), named("injection", *pick(F.col("_bad_input"), "rejected", "accepted", fixed.SCAN_REASONS)))
+    early = status.isin("input rejected", "no sources")
+    stopped = status.isin([k for k in exit_ if k != "rejected"])
+    none = F.slice(first, 1, 0)
+    more = F.when(early, none).otherwise(F.array(named("retrieved", *pick(F.col("_bad_hits"), "rejected", "accepted", fixed.RETRIEVED_REASONS))))
+    last = F.when(stopped, none).otherwise(F.array(named("citations", status, reason)))
+    return joined.withColumn("guardrails", F.concat(first, more, last)).drop("_repaired", "_bad_input", "_bad_hits")
+
+
 def emit_audit(responses: DataFrame) -> DataFrame:
-    """responses (request_id, status, guardrails array<string>): rows retrieve, guardrail (each), generate, chat in that order."""
-    step = lambda t: F.struct(F.lit(t).alias("event_type"), F.lit(None).cast("string").alias("guardrail"))
-    guards = F.transform("guardrails", lambda g: F.struct(F.lit("guardrail").alias("event_type"), g.alias("guardrail")))
-    steps = F.concat(F.array(step("retrieve")), guards, F.array(step("generate"), step("chat")))
-    return responses.select("request_id", F.posexplode(steps).alias("step", "e")).select("request_id", "step", "e.event_type", "e.guardrail")
+    """responses (request_id, status, guardrails array<struct<name, status, reason>>): the events of each request up to its exit, as request_id, step, event_type, guardrail, status, payload (JSON).
+
+    A request that is stopped before it retrieves has its guards only; one that is stopped by what it retrieved has a
+    retrieve event before them; all others go on with generate and chat. The payloads take what responses have of
+    chunk_ids, doc_ids, matter_id, top_k, model_provider and model_version; tenant_id and actor stay beside them.
+    """
+    have = lambda c, kind: (F.col(c) if c in responses.columns else F.lit(None)).cast(kind)
+    names = {"retrieved_chunk_ids": have("chunk_ids", "array<string>"), "selected_doc_ids": F.sort_array(have("doc_ids", "array<string>")), "matter_id": have("matter_id", "string"), "top_k": have("top_k", "int")}
+    model = {"model_provider": have("model_provider", "string"), "model_version": have("model_version", "string")}
+    json = lambda **parts: F.to_json(F.struct(*(v.alias(k) for k, v in parts.items())))
+    event = lambda kind, guard, status, payload: F.struct(F.lit(kind).alias("event_type"), guard.cast("string").alias("guardrail"), status.cast("string").alias("status"), payload.alias("payload"))
+    null, status = F.lit(None), F.col("status")
+    guards = F.transform("guardrails", lambda g: event("guardrail", g["name"], g["status"], json(guardrail=g["name"], status=g["status"], reason=g["reason"])))
+    nothing = F.slice(guards, 1, 0)
+    retrieved, whole = ~status.isin("input rejected", "no sources"), ~status.isin([k for k in fixed.EXITS if k != "rejected"])
+    before = F.when(retrieved, F.array(event("retrieve", null, null, json(**names)))).otherwise(nothing)
+    request = {"request_id": F.col("request_id").cast("string"), "status": F.lit("ok"), "matter_id": names["matter_id"], **model}
+    after = F.when(whole, F.array(event("generate", null, status, json(**model, status=status)), event("chat", null, F.lit("ok"), json(**request)))).otherwise(nothing)
+    beside = [c for c in ("tenant_id", "actor") if c in responses.columns]
+    each = responses.select("request_id", *beside, F.posexplode(F.concat(before, guards, after)).alias("step", "e"))
+    return each.select("request_id", *beside, "step", "e.*")
+
+
+def emit_uploads(documents: DataFrame) -> DataFrame:
+    """documents (doc_id, tenant_id, matter_id, filename, chunk_count, pii_entities_redacted): one upload event each, as tenant_id, event_type, payload."""
+    return documents.select("tenant_id", F.lit("upload").alias("event_type"), F.to_json(F.struct("doc_id", "matter_id", "filename", "chunk_count", "pii_entities_redacted")).alias("payload"))
 
 
 def find_audit(events: DataFrame, guardrail: str, status: str) -> DataFrame:

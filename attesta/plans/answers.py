@@ -188,10 +188,14 @@ def hybrid_hits(spark, d, q=None):
     return q, L.retrieve(q, None, index=standing(spark, d)).join(c.select("chunk_id", "page"), "chunk_id")
 
 
+def guards(asked, h):
+    """The decisions on questions and on what was retrieved for them."""
+    return G.guard_questions(asked), G.scan_hits(h, G.guard_chunks(h.select(*G.SCOPE, "chunk_id", "text").distinct()))
+
+
 def answered(asked, h):
     """Questions guarded and answered from their hits."""
-    guarded = G.guard_questions(asked)
-    flagged = G.scan_hits(h, G.guard_chunks(h.select(*G.SCOPE, "chunk_id", "text").distinct()))
+    guarded, flagged = guards(asked, h)
     return A.answer_questions(guarded.withColumn("question", F.col("normal")), h.drop("question"), guarded, flagged)
 
 

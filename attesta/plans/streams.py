@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from attesta.operators import lanes as L
-from attesta.plans.answers import ANSWERS, QUOTES, answered, attacked_fifth
+from attesta.operators.index import Index
+from attesta.plans.answers import ANSWERS, HYBRID, answered, attacked_fifth, hybrid_hits
 from attesta.plans.records import CHAIN, payload
 from attesta.plans.registry import query
-from attesta.plans.retrieval import both
+from attesta.plans.retrieval import DIM, standing
 from attesta.plans.texts import CHUNK, EMAIL, PHONE, SSN
-from attesta.sources import tables as S
-from attesta.sources.scratch import folder
+from attesta.sources import scratch
+from attesta.sources.versions import Versions
 from attesta.streaming import streams as R
 
 
 def place(spark):
-    at = f"{folder(spark)}/streams/{uuid.uuid4().hex}"
+    at = scratch.place(spark, "stream")
     return f"{at}/out", f"{at}/checkpoint"
 
 
@@ -51,14 +49,33 @@ def ingest_stream(spark, d):
     return spark.read.parquet(out).select("chunk_id", "doc_id", "text")
 
 
-@query("r98_answer_stream", f"WITH {QUOTES} {ANSWERS}")
+@query(
+    "r97b_upload_stream",
+    "WITH " + CHUNK.replace("trim(regexp_replace(text, ", f"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '{EMAIL}', '<EMAIL>', 'g'), '{SSN}', '<SSN>', 'g'), '{PHONE}', '<PHONE>', 'g'), ")
+    + f""", d AS (SELECT doc_id, any_value(text) AS text, any_value(source) AS tenant_id, any_value(lang) AS matter_id FROM documents GROUP BY 1), n AS (SELECT doc_id, count(*) AS n FROM chunk GROUP BY 1),
+x AS (SELECT d.*, trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '' AS good FROM d)
+SELECT x.doc_id, x.tenant_id, CASE WHEN good THEN sha256(x.text) END AS sha256, CASE WHEN good THEN coalesce(n, 0) END AS chunk_count, CASE WHEN NOT good THEN 'document has no extractable text' END AS reason, count(DISTINCT c.chunk_id) AS indexed FROM x LEFT JOIN n USING (doc_id) LEFT JOIN chunk c USING (doc_id) GROUP BY ALL""",
+)
+def upload_stream(spark, d):
+    """The documents as uploaded files: what became of each one, and how many of its chunks the index has."""
+    out, checkpoint = place(spark)
+    index = Index(Versions(spark, out), DIM, "md5")
+    files = stream(spark, d, "documents").select("doc_id", F.col("source").alias("tenant_id"), F.col("lang").alias("matter_id"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"), F.lit("text/plain").alias("content_type"), F.encode("text", "UTF-8").alias("content"))
+    R.upload_stream(files, index, checkpoint).awaitTermination()
+    good = index.store.read("documents").select("doc_id", "tenant_id", "sha256", "chunk_count", F.lit(None).cast("string").alias("reason"))
+    bad = index.store.read("rejections").select("doc_id", "tenant_id", F.lit(None).cast("string").alias("sha256"), F.lit(None).cast("long").alias("chunk_count"), "reason")
+    held = index.chunks().groupBy("doc_id").agg(F.count("*").alias("indexed"))
+    return good.unionByName(bad).join(held, "doc_id", "left").fillna(0, ["indexed"])
+
+
+@query("r98_answer_stream", f"WITH {HYBRID} {ANSWERS}")
 def answer_stream(spark, d):
     out, checkpoint = place(spark)
-    _, chunks = both(spark, d)
+    standing(spark, d)  # before the stream starts, so that batches only read it
 
     def answer(batch):
-        top = L.bm25_top_k(batch, chunks, 8).join(chunks.select("chunk_id", "text", "filename", "page"), "chunk_id")
-        return answered(attacked_fifth(batch), top.join(batch.select("question_id", "question"), "question_id"))
+        asked = scratch.cut(batch)
+        return answered(attacked_fifth(asked), hybrid_hits(spark, d, asked)[1])
 
     i = F.col("item_id")
     matter = F.element_at(F.array(*map(F.lit, ("en", "de", "fr", "es"))), (F.floor(i / 20) % 4 + 1).cast("int"))

@@ -56,9 +56,10 @@ def load_paged(docs: DataFrame) -> DataFrame:
 
 
 def metadata(files: DataFrame, pages: DataFrame) -> DataFrame:
-    """doc_id, sha256 of the bytes, page_count (null if no page is numbered)."""
+    """doc_id, what files have of filename, content_type and created_at, sha256 of the bytes, page_count (null if no page is numbered)."""
     count = pages.groupBy("doc_id").agg(F.max(F.coalesce("page", F.lit(0))).alias("m"))
-    return files.select("doc_id", F.sha2("content", 256).alias("sha256")).join(count, "doc_id", "left").select("doc_id", "sha256", F.nullif(F.col("m"), F.lit(0)).alias("page_count"))
+    own = [c for c in ("filename", "content_type", "created_at") if c in files.columns]
+    return files.select("doc_id", *own, F.sha2("content", 256).alias("sha256")).join(count, "doc_id", "left").select("doc_id", *own, "sha256", F.nullif(F.col("m"), F.lit(0)).alias("page_count"))
 
 
 def admit(files: DataFrame, pages: DataFrame, max_bytes: int = fixed.MAX_UPLOAD_BYTES) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The same work over streams: chains, ingestion, answers, rates and alerts."""
+"""The same work over streams: chains, uploads, answers, rates and alerts."""
 
 from __future__ import annotations
 
@@ -9,11 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.window import Window
 
 from attesta.operators.audit import CHAINED, EVENT, GENESIS, linker
-from attesta.operators.chunks import chunk_pages, redact_pii
+from attesta.operators.chunks import chunk_pages, detect_pii, redact_pii
+from attesta.operators.index import Index
 from attesta.sources.scratch import cut, delete, exists
-from attesta.sources.tables import SCOPE, upsert_chunks, write_scope_partitions
+from attesta.sources.tables import SCOPE, admit, load_text, metadata, upsert_chunks, write_scope_partitions
+from attesta.sources.versions import Change, scope_key
 
 
 def append_chain_stream(events: DataFrame, chain: str = "tenant_id", redact: bool = True) -> DataFrame:
@@ -70,6 +73,56 @@ def ingest_stream(pages: DataFrame, chunks_path: str, checkpoint: str) -> Stream
     return pages.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def replaced(index: Index, name: str, rows: DataFrame, docs: DataFrame, scopes: DataFrame) -> Change:
+    """rows (with scope_key and doc_id) take the place of what the table held of docs (scope_key, doc_id); only the scopes are read and written."""
+    if name in index.store.state()["schemas"]:
+        held = index.store.read(name).join(scopes, "scope_key", "left_semi").select(*rows.columns)
+        rows = held.join(docs, ["scope_key", "doc_id"], "left_anti").unionByName(rows)
+    return Change(rows, scopes=scopes)
+
+
+def take_uploads(batch: DataFrame, number: int, index: Index, extract: Callable[[DataFrame], DataFrame] = load_text, writer: str = "uploads") -> int:
+    """One batch of uploads (doc_id, scope, filename, content_type, content, perhaps created_at) into all tables of the index, as one version.
+
+    Rejected files go to `rejections`; of the others, the document, its personal data (offsets, no values) and its
+    redacted chunks take the place of what its scope had under its doc_id, in `documents`, `pii` and the index. Of several
+    files of a document in a batch that with the largest hash counts; files without a doc_id are documents of their
+    own. extract: pages (doc_id, page, text) of files (doc_id, content, ...); by default each is a text.
+    """
+    spark = batch.sparkSession
+    if index.store.state()["batches"].get(writer, -1) >= number:
+        return index.store.state()["version"]
+    keyed = batch.withColumn("scope_key", scope_key(*SCOPE)).withColumn("sha256", F.sha2("content", 256))
+    one = F.row_number().over(Window.partitionBy("scope_key", "doc_id").orderBy(F.desc("sha256"), "filename"))
+    files = keyed.withColumn("n", one).where("n = 1 OR doc_id IS NULL").drop("n", "sha256").withColumn("file", F.expr("uuid()"))
+    files = cut(files, "files")
+    named = files.drop("doc_id").withColumnRenamed("file", "doc_id")
+    pages = cut(extract(named.select("doc_id", "content", "content_type", "filename")).select("doc_id", "page", "text"), "pages")
+    checked = cut(admit(named, pages), "checked")
+    taken = files.join(checked.where("rejected IS NULL").select(F.col("doc_id").alias("file")), "file", "left_semi")
+    info = metadata(named, pages).withColumnRenamed("doc_id", "file").select("file", "sha256", "page_count")
+    found = cut(detect_pii(pages).withColumnRenamed("doc_id", "file"), "pii")
+    ids = cut(taken.drop("content"), "taken")
+    texts = redact_pii(pages.withColumnRenamed("doc_id", "file").join(ids, "file"))
+    chunks = cut(chunk_pages(texts.select("doc_id", *SCOPE, "filename", "page", "text")), "chunks")
+    counted = chunks.groupBy(scope_key(*SCOPE).alias("scope_key"), "doc_id").agg(F.count("*").alias("chunk_count"))
+    entities = found.groupBy("file").agg(F.count("*").alias("pii_entities_redacted"))
+    named_count = (ids["scope_key"] == counted["scope_key"]) & ids["doc_id"].eqNullSafe(counted["doc_id"])
+    documents = ids.join(info, "file", "left").join(entities, "file", "left").join(counted, named_count, "left").select(ids["scope_key"], ids["doc_id"], *(ids[c] for c in ids.columns if c not in ("scope_key", "doc_id", "file")), "sha256", "page_count", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.coalesce("pii_entities_redacted", F.lit(0)).alias("pii_entities_redacted"))
+    pii = found.join(ids.select("file", "scope_key", "doc_id", *SCOPE), "file").drop("file")
+    docs, scopes = cut(ids.select("scope_key", "doc_id").where("doc_id IS NOT NULL").distinct(), "docs"), ids.select("scope_key").distinct()
+    bad = checked.where("rejected IS NOT NULL").select(F.col("doc_id").alias("file"), F.col("rejected").alias("reason"))
+    rejections = files.drop("content").join(bad, "file").drop("file")
+    also = {"documents": replaced(index, "documents", cut(documents, "documents"), docs, scopes), "pii": replaced(index, "pii", cut(pii, "pii_rows"), docs, scopes), "rejections": Change(rejections, add=True)}
+    removed = ids.select("doc_id", *SCOPE)
+    return index.upsert(chunks, removed, writer, number, also)
+
+
+def upload_stream(uploads: DataFrame, index: Index, checkpoint: str, extract: Callable[[DataFrame], DataFrame] = load_text) -> StreamingQuery:
+    """Uploads become documents, rejections, personal data, chunks and index, each batch as one version: all tables have it or none, and a batch that runs again changes nothing."""
+    return uploads.writeStream.foreachBatch(lambda batch, n: take_uploads(batch, n, index, extract) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def answer_stream(questions: DataFrame, answer: Callable[[DataFrame], DataFrame], out_path: str, checkpoint: str) -> StreamingQuery:
     """Each batch of questions is answered by `answer` (questions -> answers) against the index tables."""
 

@@ -363,3 +363,50 @@ def test_no_cartesian_products(spark):
     for df in (L.bm25_top_k(q, chunks), L.hash_dense_top_k(q, chunks), L.graph_edges(chunks)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_audit_events_follow_the_exits(spark):
+    import json
+
+    rows = [(1, "input rejected", None), (2, "no sources", None), (3, "retrieved rejected", None), (4, "accepted", None), (5, "repaired", "rejected"), (6, "rejected", None)]
+    answered = spark.createDataFrame(rows, "question_id long, status string, previous_status string")
+    guarded = spark.createDataFrame([(i, i == 4, i == 1) for i, *_ in rows], "question_id long, repaired boolean, rejected boolean")
+    flagged = spark.createDataFrame([(i, i == 3) for i, *_ in rows if i > 2], "question_id long, rejected boolean")
+    done = U.decisions(answered, guarded, flagged).withColumns({"request_id": F.col("question_id"), "chunk_ids": F.array(F.lit("c1")), "doc_ids": F.array(F.lit("d2"), F.lit("d1")), "top_k": F.lit(3), "tenant_id": F.lit("t"), "matter_id": F.lit("m"), "model_provider": F.lit("p")})
+    events = U.emit_audit(done).orderBy("request_id", "step").collect()
+    of = lambda i: [(e.event_type, e.guardrail and e.guardrail.split("_")[0], e.status) for e in events if e.request_id == i]
+    assert of(1) == [("guardrail", "input", "accepted"), ("guardrail", "input", "rejected")]
+    assert of(2) == [("guardrail", "input", "accepted"), ("guardrail", "input", "accepted")]
+    assert of(3) == [("retrieve", None, None), ("guardrail", "input", "accepted"), ("guardrail", "input", "accepted"), ("guardrail", "retrieved", "rejected")]
+    assert of(4)[1] == ("guardrail", "input", "repaired") and of(4)[-3:] == [("guardrail", "verbatim", "accepted"), ("generate", None, "accepted"), ("chat", None, "ok")]
+    assert of(6)[-2:] == [("generate", None, "rejected"), ("chat", None, "ok")] and len(of(5)) == 7
+    payload = {(e.request_id, e.step): json.loads(e.payload) for e in events}
+    assert payload[3, 0] == {"retrieved_chunk_ids": ["c1"], "selected_doc_ids": ["d1", "d2"], "matter_id": "m", "top_k": 3}
+    assert payload[5, 4]["reason"] == "replaced model answer with extractive definition answer" and payload[4, 6]["request_id"] == "4"
+    assert U.find_audit(U.emit_audit(done).withColumnRenamed("payload", "payload_json"), "retrieved_content_guard", "rejected").count() == 1
+    up = spark.createDataFrame([(1, "t", "m", "f.txt", 3, 2)], "doc_id long, tenant_id string, matter_id string, filename string, chunk_count long, pii_entities_redacted long")
+    assert json.loads(U.emit_uploads(up).first().payload) == {"doc_id": 1, "matter_id": "m", "filename": "f.txt", "chunk_count": 3, "pii_entities_redacted": 2}
+
+
+def test_one_chain_over_many_ranges(spark):
+    """A single chain is checked in ranges; a broken first event of a range is found by the hash before it."""
+    rows = [(i, "t", "a", "chat", "{}", "2024-01-01T00:00:00") for i in range(200)]
+    c = U.append_chain(spark.createDataFrame(rows, "id long, tenant_id string, actor string, event_type string, payload string, created_at string")).cache()
+    assert U.verify_chain(c, rows=10).count() == 0
+    for at in (0, 1, 57, 199):
+        spoiled = c.withColumn("actor", F.when(F.col("id") == at, "b").otherwise(F.col("actor")))
+        assert [(r.tenant_id, r.id) for r in U.verify_chain(spoiled, rows=10).collect()] == [("t", at)]
+        lost = U.verify_chain(c.where(F.col("id") != at), rows=10).collect()
+        assert [r.id for r in lost] == ([at + 1] if at < 199 else [])
+
+
+def test_segments_of_very_many_parts_and_matches(spark):
+    """Ten thousand parts and matches in one document: each match meets the parts of its own bins."""
+    n = 10_000
+    parts = spark.range(n).select(F.lit(1).alias("doc_id"), F.col("id").cast("int").alias("pos"), F.concat(F.lit("part "), F.lpad(F.col("id").cast("string"), 5, "0")).alias("text"))
+    matches = spark.range(n).select(F.lit(1).alias("doc_id"), (F.col("id") * 11 + 5).alias("start"), (F.col("id") * 11 + 13).alias("end"))  # the number of a part and two characters of the next
+    got = A.locate_segments(matches, parts)
+    assert got.groupBy("part_start", "part_end").count().orderBy("part_start").collect() == [(0, 2, n - 1), (5, 10, n)]
+    paged = spark.createDataFrame([("d", 1, 0, "one"), ("d", 1, 1, "two"), ("d", 2, 0, "one two")], "doc_id string, page int, pos int, text string")
+    q = spark.createDataFrame([("d", 1, "one two"), ("d", 2, "two"), ("d", 3, "one")], "doc_id string, page int, quote string")
+    assert sorted((r.page, r.pos, r.part_start, r.part_end) for r in A.locate_quote_segments(q, paged).collect()) == [(1, 0, 0, 3), (1, 1, 0, 3), (2, 0, 4, 7)]

@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from attesta.operators import chunks as C
+from attesta.operators.index import Index
+from attesta.sources.versions import Versions
 from attesta.streaming import streams as R
 
 PAGES = "doc_id long, tenant_id string, matter_id string, filename string, page int, text string"
@@ -55,3 +57,70 @@ def test_ingest_like_one_batch(spark, tmp_path):
     got = ingest(spark, str(tmp_path), *[[r] for r in rows])
     want = C.chunk_pages(C.redact_pii(spark.createDataFrame(rows, PAGES)))
     assert sorted((r.chunk_id, r.text) for r in got.collect()) == sorted((r.chunk_id, r.text) for r in want.collect())
+
+
+FILES = "doc_id long, tenant_id string, matter_id string, filename string, content_type string, content binary"
+
+
+def upload(spark, at, *files, batches=1):
+    """The files arrive and are taken in on the same checkpoint, so many a batch."""
+    for rows in files:
+        spark.createDataFrame([(i, t, "m", f"{i}.txt", "text/plain", c) for i, t, c in rows], FILES).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    index = Index(Versions(spark, f"{at}/tables"))
+    R.upload_stream(spark.readStream.schema(FILES).option("maxFilesPerTrigger", batches).parquet(f"{at}/in"), index, f"{at}/checkpoint").awaitTermination()
+    return index
+
+
+def held(index):
+    """What the tables hold, without what is made up anew."""
+    read = lambda name, *columns: sorted((tuple(r) for r in index.store.read(name).select(*columns).collect()), key=str)
+    return {
+        "documents": read("documents", "doc_id", "tenant_id", "filename", "content_type", "page_count", "chunk_count", "pii_entities_redacted"),
+        "rejections": read("rejections", "doc_id", "tenant_id", "reason"),
+        "pii": read("pii", "doc_id", "tenant_id", "entity_type", "start_offset", "replacement"),
+        "chunks": sorted((tuple(r) for r in index.chunks().select("doc_id", "tenant_id", "ordinal", "text").collect()), key=str),
+        "terms": sorted((r.tenant_id, r.term, r.df) for r in index.postings()[1].collect()),
+        "scopes": sorted((r.tenant_id, r.n, round(r.avgdl, 6)) for r in index.postings()[2].collect()),
+    }
+
+
+def test_uploads_in_two_batches_and_again(spark, tmp_path):
+    index = upload(spark, str(tmp_path), [(1, "t", b"first a@b.de here"), (2, "t", b" \n "), (7, "u", b"other")], [(1, "t", b"first again"), (3, "t", b"call 212-555-0101"), (None, "t", b"bare")])
+    got = held(index)
+    assert got["documents"] == [(1, "t", "1.txt", "text/plain", None, 1, 0), (3, "t", "3.txt", "text/plain", None, 1, 1), (7, "u", "7.txt", "text/plain", None, 1, 0), (None, "t", "None.txt", "text/plain", None, 1, 0)]
+    assert got["rejections"] == [(2, "t", "document has no extractable text")]
+    assert got["pii"] == [(3, "t", "PHONE_NUMBER", 5, "<PHONE>")]
+    assert got["chunks"] == [(1, "t", 0, "first again"), (3, "t", 0, "call <PHONE>"), (7, "u", 0, "other"), (None, "t", 0, "bare")]
+    assert ("t", "again", 1) in got["terms"] and ("t", "here", 1) not in got["terms"] and got["scopes"] == [("t", 3, 1.666667), ("u", 1, 1.0)]
+    version = index.store.state()["version"]
+    assert version == 2 and index.store.state()["batches"] == {"uploads": 1}
+    # a batch that runs again changes nothing
+    again = spark.createDataFrame([(9, "t", "m", "9.txt", "text/plain", b"late")], FILES)
+    assert R.take_uploads(again, 1, index) == version and held(index) == got
+    assert R.take_uploads(again, 2, index) == version + 1 and (9, "t", 0, "late") in held(index)["chunks"]
+
+
+def test_an_upload_that_fails_is_taken_in_whole_later(spark, tmp_path, monkeypatch):
+    index = upload(spark, str(tmp_path), [(1, "t", b"first")])
+    before = held(index)
+
+    def fails(*_):
+        raise OSError("stopped")
+
+    monkeypatch.setattr(Versions, "_publish", fails)
+    try:
+        upload(spark, str(tmp_path), [(1, "t", b"second a@b.de"), (2, "t", b"")])
+    except Exception as e:
+        assert "stopped" in str(e)
+    assert held(index) == before
+    monkeypatch.undo()
+    got = held(upload(spark, str(tmp_path)))
+    assert got["chunks"] == [(1, "t", 0, "second <EMAIL>")] and len(got["pii"]) == 1 and got["rejections"] == [(2, "t", "document has no extractable text")]
+
+
+def test_uploads_by_another_extractor(spark, tmp_path):
+    """Pages made elsewhere: here a page for each line."""
+    index = Index(Versions(spark, f"{tmp_path}/tables"))
+    lines = lambda files: files.select("doc_id", F.posexplode(F.split(F.col("content").cast("string"), "\n")).alias("page", "text")).withColumn("page", F.col("page") + 1)
+    R.take_uploads(spark.createDataFrame([(1, "t", "m", "1.x", "x", b"one\ntwo\nthree"), (1, "t", "m", "1.x", "x", b"smaller hash or not")], FILES).limit(1), 0, index, lines)
+    assert [(r.page, r.text) for r in index.chunks().orderBy("ordinal").collect()] == [(1, "one"), (2, "two"), (3, "three")] and index.store.read("documents").first().page_count == 3
