@@ -12,8 +12,8 @@ the text positions at the runs' heads and the lengths of their matches (RunIndex
 these samples alone: a position takes the statistics of the next sampled one, moved by their distance. Positions whose
 match is at least `length` long are chained to what they match; all of a chain but its earliest are marked.
 
-An anchor with more than `crowd` different contents would make too large a bucket. Its strings are dealt one by one,
-by their own 128-bit hash, in the same way as runs.
+An anchor with more than `crowd` different contents would make too large a bucket. Its strings get anchors of twice as
+many bytes, in the same way; those of anchors that are still crowded are dealt one by one, by their own 128-bit hash.
 
 A text that more rows hold than a task's share is taken in once, before all this; its copies of larger doc_ids are covered
 as a whole. There are fewer such texts than shuffle partitions, so they are told by a broadcast. Texts are named by 64 bits
@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import sha256
 
 import numpy as np
@@ -121,6 +122,28 @@ def find_runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
     return texts.select("d", "t", "text").mapInArrow(run, RUN)
 
 
+def find_finer_runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    """The same as find_runs() for the strings of some runs only: texts (d, t, text, runs array<struct<h, start, strings>>)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for d, t, text, runs in zip(*(b.column(x).to_pylist() for x in ("d", "t", "text", "runs"))):
+                data, spans = text.encode("utf-8"), []
+                for start, end in sorted((r["start"], r["start"] + r["strings"]) for r in runs):
+                    if spans and start <= spans[-1][1]:
+                        spans[-1][1] = max(spans[-1][1], end)
+                    else:
+                        spans.append([start, end])
+                made = []
+                for start, end in spans:
+                    h, c, first, strings, again, more = document_runs(data[start : end + length - 1], length, gram)
+                    made.append((np.concatenate([h.view(np.int64), (again + start) ^ t]), np.concatenate([c.view(np.int64), np.zeros(len(again), dtype=np.int64)]), np.concatenate([first, again]) + start, np.concatenate([strings, more]), np.arange(len(first) + len(again)) >= len(first)))
+                h, c, start, strings, inside = (np.concatenate(x) for x in zip(*made))
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c, pa.int64(), mask=inside), pa.array([d] * len(h), pa.int64()), pa.array([t] * len(h), pa.int64()), pa.array(start, pa.int32()), pa.array(strings, pa.int32())], names=["h", "c", "d", "t", "start", "strings"])
+
+    return texts.select("d", "t", "text", "runs").mapInArrow(run, RUN)
+
+
 def run_rows(h: pa.Array, b: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([h, *b.columns[1:]], names=b.schema.names)
 
@@ -412,16 +435,22 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
             "doc_id", size.alias("n_bytes"), F.when(long_, size).otherwise(0).alias("n_removed"), F.when(long_, 1).otherwise(0).cast("long").alias("n_spans"), F.sha2(F.when(long_, "").otherwise(F.col("text")), 256).alias("kept_sha256")
         )
     found = materialize(judge(find_runs(texts, length, gram)), "judged")
-    alike = found.where("h IS NOT NULL")
-    sizes = materialize(alike.groupBy("h").agg(F.count("*").alias("n"), F.sum(F.col("strings") + length - 1).alias("bytes")), "anchors")
-    buckets = max(1, math.ceil((sizes.agg(F.sum("bytes").alias("b")).first()["b"] or 0) / bucket_bytes))
-    crowded = sizes.where(F.col("n") > crowd)
     marks = found.where("h IS NULL").select("d", "t", "start", "strings")
-    if not crowded.isEmpty():
-        parted = materialize(looked_up(alike, crowded.select("h", F.lit(True).alias("crowded")), "h", sizes.select("h", "n")), "crowded")
-        each = judge(materialize(strings_of(with_runs(texts, parted.where("crowded"), "inner", "h", "start", "strings"), length), "strings"))
-        marks = marks.unionByName(each.where("h IS NULL").select("d", "t", "start", "strings"))
-        alike = parted.where("crowded IS NULL")
+    parts, crowded, held = [], found.where("h IS NOT NULL"), 0
+    for finer in [2 * gram] * (2 * gram <= length) + [None]:
+        sizes = materialize(crowded.groupBy("h").agg(F.count("*").alias("n"), F.sum(F.col("strings") + length - 1).alias("bytes")), "anchors")
+        held += sizes.agg(F.sum("bytes").alias("b")).first()["b"] or 0
+        many = sizes.where(F.col("n") > crowd)
+        if many.isEmpty():
+            parts.append(crowded)
+            break
+        parted = materialize(looked_up(crowded, many.select("h", F.lit(True).alias("crowded")), "h", sizes.select("h", "n")), "crowded")
+        parts.append(parted.where("crowded IS NULL").drop("crowded"))
+        some = with_runs(texts, parted.where("crowded"), "inner", "h", "start", "strings")
+        again = materialize(judge(find_finer_runs(some, length, finer) if finer else strings_of(some, length)), "finer")
+        marks = marks.unionByName(again.where("h IS NULL").select("d", "t", "start", "strings"))
+        crowded = again.where("h IS NOT NULL")  # none, where each string is a run
+    alike, buckets = reduce(DataFrame.unionByName, parts), max(1, math.ceil(held / bucket_bytes))
     dealt = contents(with_runs(texts, alike, "inner", "h", "start", "strings"), length).withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)).cast("int"))
     sorted_ = dealt.repartition(partitions, "bucket").sortWithinPartitions("bucket", "d", "start", "t")
     marks = marks.unionByName(sorted_.mapInArrow(bucket_repeats(length), "d long, t long, start int, strings int"))
