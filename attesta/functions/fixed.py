@@ -109,9 +109,15 @@ REASONS = {
     "all hold": "all returned claims have at least one verbatim citation",
     "dropped": "dropped unsupported citations, claims, or off-question claims",
 }
+# What a model is told before its question.
+INSTRUCTIONS = (
+    "Use the sources below and nothing else. Reply with one JSON object: answer (text) and claims, each with text and citations; a citation has chunk_id, doc_id, filename, page and quote."
+    " A quote is a verbatim piece of a source, as short as supports its claim. Say what the question asks for: a definition if it wants one, types only if a source lists types of that very subject."
+)
 # The guards of a request, in their order, and what they say.
 GUARDS = {"normalization": "input_normalization", "injection": "input_prompt_injection", "retrieved": "retrieved_content_guard", "citations": "verbatim_citation_verifier"}
 NORMAL_REASONS = {"repaired": "removed zero-width/control confusables", "accepted": "input unchanged"}
 RETRIEVED_REASONS = {"rejected": "retrieved chunk matched indirect-injection or banned-topic pattern", "accepted": "retrieved chunks passed indirect-injection scan"}
 FALLBACK_REASON = "replaced model answer with extractive definition answer"
+REJECTS = {"no text": "response holds no text", "no answer": "text is not an answer"}
 SCAN_REASONS = {"rejected": "prompt-injection pattern detected", "accepted": "no prompt-injection pattern detected"}

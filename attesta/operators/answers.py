@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from attesta.functions import fixed
-from attesta.functions.text import canonical_word, clean_ends, content_terms, definition_label, definition_object, normalize_for_match, sentences, topic_terms, type_objects, type_targets
+from attesta.functions.text import canonical_word, clean_ends, content_terms, definition_label, definition_object, normalize_for_match, sentences, topic_terms, type_objects, type_targets, word_count
 from attesta.sources.scratch import cut
 
 CITATION = "array<struct<chunk_id:string,quote:string>>"
@@ -35,12 +35,44 @@ def quote_answers(hits: DataFrame) -> DataFrame:
     return out.select("question_id", "quote", "answer", claims.alias("claims"))
 
 
-def prompt_pack(hits: DataFrame) -> DataFrame:
-    """One prompt per question: the question and its chunks as JSON, in rank order."""
-    chunks = F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "filename", "text")))
+PACKED = ["chunk_id", "doc_id", "filename", "page", "text"]
+
+
+def prompt_pack(hits: DataFrame, instructions: str = fixed.INSTRUCTIONS) -> DataFrame:
+    """One prompt per question: instructions, the question and its chunks as JSON, in rank order. A doc_id or page that hits lack or that is null is left out."""
+    own = [c for c in PACKED if c in hits.columns]
+    chunks = F.array_sort(F.collect_list(F.struct("rank", *own)))
     packed = hits.groupBy("question_id", "question").agg(chunks.alias("chunks"))
-    body = F.to_json(F.transform("chunks", lambda c: F.struct(c["chunk_id"].alias("chunk_id"), c["filename"].alias("filename"), c["text"].alias("text"))))
-    return packed.select("question_id", F.concat(F.lit("Question: "), "question", F.lit("\nSources: "), body).alias("prompt"))
+    body = F.to_json(F.transform("chunks", lambda c: F.struct(*(c[n].alias(n) for n in own))))
+    return packed.select("question_id", F.concat(F.lit(f"{instructions}\n\nQuestion: "), "question", F.lit("\nSources: "), body).alias("prompt"))
+
+
+def approx_tokens(questions: DataFrame, hits: DataFrame) -> DataFrame:
+    """question_id, tokens: the words of the question and of its chunks, at least 1."""
+    of_chunks = hits.groupBy("question_id").agg(F.sum(word_count("text")).alias("n"))
+    return questions.join(of_chunks, "question_id", "left").select("question_id", F.greatest(F.lit(1), word_count("question") + F.coalesce("n", F.lit(0))).cast("long").alias("tokens"))
+
+
+#: What the answers of model services look like around their text.
+ENVELOPE = "output_text string, output array<struct<content:array<struct<text:string>>>>, choices array<struct<message:struct<content:string>>>"
+
+
+def response_text(envelope: Column) -> Column:
+    """The text in a service's response (JSON): its output_text, else the first text of its output's contents, else the first message of its choices; null if there is none."""
+    parsed = F.from_json(envelope, ENVELOPE, {"mode": "PERMISSIVE"})
+    texts = F.flatten(F.transform(F.filter(parsed["output"], lambda o: o["content"].isNotNull()), lambda o: F.transform(o["content"], lambda c: c["text"])))
+    messages = F.transform(parsed["choices"], lambda c: c["message"]["content"])
+    first = lambda xs: F.get(F.filter(xs, lambda x: x.isNotNull()), 0)
+    return F.coalesce(parsed["output_text"], first(texts), first(messages))
+
+
+def unwrap_responses(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """raw (question_id, response): answers for parse_answers (question_id, json), and the rejected ones (question_id, reason, response): without text, or with a text that is no answer."""
+    found = raw.withColumn("json", response_text(F.col("response")))
+    answer = F.get_json_object("json", "$.answer")
+    reason = F.when(F.col("json").isNull(), fixed.REJECTS["no text"]).when(answer.isNull(), fixed.REJECTS["no answer"])
+    marked = found.withColumn("reason", reason)
+    return marked.where("reason IS NULL").select("question_id", "json"), marked.where("reason IS NOT NULL").select("question_id", "reason", "response")
 
 
 def parse_answers(raw: DataFrame) -> DataFrame:
@@ -189,13 +221,12 @@ def find_quotes(quotes: DataFrame, texts: DataFrame, words: int = 6) -> DataFram
     """Pairs (quote_id, id) where texts (id, text) hold a quote as a substring (both normalized).
 
     Candidates come from equi-joins with what each text surely holds if it holds the quote: the run of a quote's inner
-    words (its first and last may be cut out of longer ones), its longest inner word if there are few, or its first
-    characters if there is none. A null or empty quote is found nowhere.
+    words (its first and last may be cut out of longer ones), the one of them that the fewest texts hold if there are few, or
+    its first characters if there is none. A null or empty quote is found nowhere.
     """
     split = lambda c: F.regexp_extract_all(F.col(c), F.lit(WORD_RUN), F.lit(0))
     q = quotes.select("quote_id", normalize_for_match("quote").alias("nq")).where("nq <> ''").withColumn("w", split("nq"))
     inner = F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0)))
-    longest = F.element_at(F.array_sort(F.transform("inner", lambda w, i: F.struct((-F.length(w)).alias("n"), i.alias("i"), w.alias("w")))), 1)["w"]
     q = cut(q.withColumn("inner", inner).withColumn("tier", F.when(F.size("inner") >= words, F.lit(0)).when(F.size("inner") > 0, F.lit(-1)).otherwise(F.least(F.length("nq"), F.lit(3)))), "quotes")
     tiers = {r["tier"] for r in q.select("tier").distinct().collect()}  # at most five kinds
     t = cut(texts.select("id", normalize_for_match("text").alias("nt")).where("nt <> ''").withColumn("w", split("nt")), "texts")
@@ -207,8 +238,12 @@ def find_quotes(quotes: DataFrame, texts: DataFrame, words: int = 6) -> DataFram
             runs = F.transform(F.sequence(F.lit(1), F.size("w") - words + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, words), " ")))
             keys = t.where(F.size("w") >= words).select("id", F.explode(F.array_distinct(runs)).alias("key"))
         elif tier == -1:
-            asked = asked.withColumn("key", longest)
-            keys = t.select("id", F.explode(F.array_distinct("w")).alias("key"))
+            keys = cut(t.select("id", F.explode(F.array_distinct("w")).alias("key")), "words")
+            # A word that no text holds is the rarest: its quotes are found nowhere.
+            known = keys.groupBy("key").agg(F.count("*").alias("df"))
+            words_of = asked.select("quote_id", "nq", F.explode("inner").alias("key")).join(known, "key", "left")
+            rarest = F.min_by("key", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "key"))
+            asked = words_of.groupBy("quote_id", "nq").agg(rarest.alias("key"))
         else:
             asked = asked.withColumn("key", F.substring("nq", F.lit(1), F.lit(tier)))
             keys = t.select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.col("nt"), F.lit("(?s)(?=(.{%d}))" % tier), F.lit(1)))).alias("key"))

@@ -6,8 +6,6 @@ which Spark adds them up decides nothing.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
 from functools import reduce
 from hashlib import blake2b
 
@@ -16,7 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from attesta.functions import fixed
@@ -139,36 +137,87 @@ def with_embeddings(chunks: DataFrame, vectors: DataFrame, dim: int | None = Non
     return chunks.join(vectors.select("chunk_id", F.when(fits, unit).alias("embedding")), "chunk_id", "left")
 
 
-def dense_top_k_approx(questions: DataFrame, chunks: DataFrame, k: int, share: float = 0.1, max_sample: int = 20_000) -> DataFrame:
-    """Approximate: chunks are dealt to the nearest of about sqrt(chunks) centres, and questions probe a `share` of the cells.
-
-    The centres are k-means of a sample of at most max_sample chunks (which bounds their number to a fortieth of it);
-    every chunk is dealt to a cell.
+def means(x: np.ndarray, words: int, rounds: int = 8) -> np.ndarray:
+    """Centres of so many clusters of the rows."""
+    centres = x[np.random.default_rng(7).permutation(len(x))[:words]]
+    for _ in range(rounds):
+        near = codes_of(x, centres[None])[:, 0]
+        sums, n = np.zeros_like(centres), np.bincount(near, minlength=len(centres))
+        np.add.at(sums, near, x)
+        centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
+    return centres
+
+
+def codebooks(sample: np.ndarray, part: int = 2, words: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Product quantisation of a sample (rows of unit vectors): centres, and of what is left beyond the nearest one, for each `part` dimensions, the means of clusters, as (parts, words, part)."""
+    centres = means(sample, min(words, len(sample)))
+    left, books = sample - centres[codes_of(sample, centres[None])[:, 0]], []
+    for at in range(0, sample.shape[1], part):
+        found = means(left[:, at : at + part], words)
+        books.append(np.pad(found, ((0, words - len(found)), (0, part - found.shape[1]))))
+    return centres, np.stack(books)
+
+
+def codes_of(x: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """The nearest word of each part of each row."""
+    out, part = np.empty((len(x), len(books)), dtype=np.uint8), books.shape[2]
+    for m, words in enumerate(books):
+        mine = x[:, m * part : (m + 1) * part]
+        words = words[:, : mine.shape[1]]
+        out[:, m] = np.argmax(mine @ words.T - (words * words).sum(1) / 2, axis=1)
+    return out
+
+
+def unit_rows(vectors: list, dim: int) -> np.ndarray:
+    """Vectors as rows of length 1 (or 0), filled up with zeros; a null component counts as 0."""
+    out = np.zeros((len(vectors), dim))
+    for i, v in enumerate(vectors):
+        out[i, : len(v)] = [0.0 if e is None else e for e in v] if None in v else v
+    norm = np.linalg.norm(out, axis=1, keepdims=True)
+    return out / np.where(norm > 0, norm, 1.0)
+
+
+def dense_top_k_approx(questions: DataFrame, chunks: DataFrame, k: int, rerank: int = 5, max_sample: int = 20_000, rows: int = 50_000, block: int = 4096) -> DataFrame:
+    """Approximate: all chunks of the scope are scored by their product codes, and the `rerank` * k best of each salt by their vectors.
+
+    A code is the nearest of some centres and, of what is left, a byte for each two dimensions; a question scores it by
+    adding up entries of a table, one for each byte. Centres and code books are means of at most max_sample chunks; every chunk is coded. Chunks are dealt to salts of about
+    `rows` and the questions of a scope to blocks, so a task holds one of each.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
     held = chunks.where(F.col("embedding").isNotNull()).withColumn("embedding", F.col("embedding").cast("array<double>"))
-    n = held.count()
-    cells = max(1, min(math.isqrt(n), max_sample // 40))
-    sample = held.orderBy(F.xxhash64("chunk_id")).limit(max_sample).select(array_to_vector("embedding").alias("features"))
-    centres = np.array(KMeans(k=cells, seed=7, maxIter=10).fit(sample).clusterCenters()) if n else np.zeros((1, 1))
-    shared = chunks.sparkSession.sparkContext.broadcast(centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-300))
-
-    def placed(rows: DataFrame, vector: str, nearest: int) -> DataFrame:
-        names = rows.columns
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                x = np.array(b.column(vector).to_pylist(), dtype=float).reshape(b.num_rows, -1)
-                near = np.argsort(-(x @ shared.value.T), axis=1, kind="stable")[:, :nearest] if b.num_rows else np.zeros((0, nearest), dtype=int)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near.tolist(), pa.list_(pa.int32()))], names=[*names, "cells"])
-
-        return rows.mapInArrow(run, StructType([*rows.schema, StructField("cells", ArrayType(IntegerType()))])).withColumn("cell", F.explode("cells")).drop("cells")
-
-    asked = placed(questions.select("question_id", *SCOPE, F.col("q_vector").cast("array<double>").alias("q_vector")), "q_vector", max(1, math.ceil(share * cells)))
-    pairs = asked.join(placed(held, "embedding", 1), [*SCOPE, "cell"])
-    return top(pairs.withColumn("score", F.round(cosine(F.col("q_vector"), F.col("embedding")), DIGITS)).drop("q_vector", "embedding", "cell"), k)
+    asked = questions.select("question_id", *SCOPE, F.col("q_vector").cast("array<double>").alias("q_vector")).where("q_vector IS NOT NULL")
+    size = held.agg(F.count("*").alias("n"), F.coalesce(F.greatest(F.max(F.size("embedding")), F.lit(1)), F.lit(1)).alias("dim")).first()
+    dim = max(size["dim"], asked.agg(F.coalesce(F.max(F.size("q_vector")), F.lit(1)).alias("d")).first()["d"])
+    sample = unit_rows([r["embedding"] for r in held.orderBy(F.xxhash64("chunk_id")).limit(max_sample).select("embedding").collect()], dim)
+    centres, books = codebooks(sample if len(sample) else np.zeros((1, dim)))
+    salts = max(1, -(-size["n"] // rows))
+    most = asked.groupBy(*SCOPE).count().agg(F.max("count").alias("m")).first()["m"] or 1
+    blocks = -(-most // block)
+    left = asked.select("*", F.pmod(F.xxhash64("question_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    place = ["chunk_id", "doc_id", "ordinal"]
+    right = held.select(*SCOPE, *place, "embedding", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int").alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    best = rerank * k
+
+    def search(q: pa.Table, c: pa.Table) -> pa.Table:
+        n = len(c) if len(q) else 0
+        x, y = unit_rows(q["q_vector"].to_pylist(), dim), unit_rows(c["embedding"].to_pylist() if n else [], dim)
+        cell, part, found = codes_of(y, centres[None])[:, 0], books.shape[2], []
+        codes = codes_of(y - centres[cell], books)
+        padded = np.pad(x, ((0, 0), (0, len(books) * part - dim)))
+        for i in range(len(x) if n else 0):
+            table = np.einsum("mwp,mp->mw", books, padded[i].reshape(len(books), part))
+            about = (centres @ x[i])[cell] + table[np.arange(len(books)), codes].sum(1)
+            mine = np.argpartition(-about, best - 1)[:best] if n > best else np.arange(n)
+            found.append((np.full(len(mine), i), mine, y[mine] @ x[i]))
+        i, j, score = (np.concatenate(z) for z in zip(*found)) if found else (np.zeros(0, dtype=int),) * 2 + (np.zeros(0),)
+        rows_of = lambda t, names, at: {name: t[name].take(pa.array(at)) for name in names}
+        return pa.table({**rows_of(q, ["question_id", *SCOPE], i), **rows_of(c, place, j), "score": score})
+
+    kinds = {f.name: f for f in [*asked.schema.fields, *held.schema.fields]}
+    schema = StructType([*(kinds[c] for c in ["question_id", *SCOPE, *place]), StructField("score", DoubleType())])
+    keys = [*SCOPE, "salt", "block"]
+    scored = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, schema)
+    return top(scored.withColumn("score", F.round("score", DIGITS)), k)
 
 
 # Sparse lane

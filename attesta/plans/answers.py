@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from attesta.functions import fixed
 from attesta.functions import text as T
 from attesta.operators import answers as A
 from attesta.operators import guards as G
@@ -36,17 +37,29 @@ def quote_answers(spark, d):
     return A.verify_citations(A.quote_answers(h), h).select("question_id", "chunk_id", "quote", "verified")
 
 
-@query("r68_prompt_pack", f"WITH {HIT} SELECT question_id, md5('Question: ' || any_value(question) || chr(10) || 'Sources: ') AS head, string_agg(chunk_id || ' ' || filename || ' ' || md5(text), ',' ORDER BY rank) AS sources FROM hit GROUP BY question_id")
+INSTRUCTED = fixed.INSTRUCTIONS.replace("'", "''")
+
+
+@query("r68_prompt_pack", f"WITH {HIT} SELECT h.question_id, md5('{INSTRUCTED}' || chr(10) || chr(10) || 'Question: ' || any_value(h.question) || chr(10) || 'Sources: ') AS head, string_agg(h.chunk_id || ' ' || c.doc_id || ' ' || h.filename || ' ' || md5(h.text), ',' ORDER BY rank) AS sources FROM hit h JOIN chunk c USING (chunk_id) GROUP BY h.question_id")
 def prompt_pack(spark, d):
     """The head of each prompt, and what its JSON holds of each chunk, in order."""
     _, h = hits(spark, d)
     p = A.prompt_pack(h)
     tail = F.substring_index("prompt", "\nSources: ", -1)
-    chunks = F.from_json(tail, "array<struct<chunk_id:string,filename:string,text:string>>")
-    each = F.transform(chunks, lambda c: F.concat_ws(" ", c["chunk_id"], c["filename"], F.md5(c["text"])))
+    chunks = F.from_json(tail, "array<struct<chunk_id:string,doc_id:long,filename:string,page:int,text:string>>")
+    each = F.transform(chunks, lambda c: F.concat_ws(" ", c["chunk_id"], c["doc_id"].cast("string"), c["filename"], F.md5(c["text"])))
     return p.select("question_id", F.md5(F.substring("prompt", F.lit(1), F.length("prompt") - F.length(tail))).alias("head"), F.array_join(each, ",").alias("sources"))
 
 
+COUNTED = "len([x FOR x IN string_split_regex({0}, '\\s+') IF x <> ''])"
+
+
+@query("r34b_request_tokens", f"WITH {HIT} SELECT q.question_id, greatest(1, {COUNTED.format('q.question')} + coalesce((SELECT sum({COUNTED.format('h.text')}) FROM hit h WHERE h.question_id = q.question_id), 0))::BIGINT AS tokens FROM question q")
+def request_tokens(spark, d):
+    """The words of each question and of the chunks retrieved for it."""
+    return A.approx_tokens(*hits(spark, d))
+
+
 @query("r69_parse_answers", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN text END AS answer, CASE WHEN turn % 2 = 0 THEN text || '>c' || conv_id || '>' || text ELSE '' END AS claims, turn % 2 <> 0 AS malformed FROM conversations")
 def parse_answers(spark, d):
     """Whole answers with a claim and a citation, broken JSON, and JSON of another shape."""
@@ -56,6 +69,14 @@ def parse_answers(spark, d):
     bad = F.when(F.col("turn") % 4 == 1, F.concat(F.lit("{broken "), "text")).otherwise(F.to_json(F.struct(F.col("text").alias("reply"))))
     raw = c.select(F.struct("conv_id", "turn").alias("question_id"), F.when(F.col("turn") % 2 == 0, good).otherwise(bad).alias("json"))
     flat = F.array_join(F.flatten(F.transform("claims", lambda x: F.transform(x["citations"], lambda y: F.concat_ws(">", x["text"], y["chunk_id"], y["quote"])))), ",")
+    # Answers come in the envelopes of three kinds of services; what holds no answer is rejected and parsed as it is.
+    text = F.struct(F.col("json").alias("text"))
+    output = F.to_json(F.struct(F.array(F.struct(F.lit(None).cast("array<struct<text:string>>").alias("content")), F.struct(F.array(text).alias("content"))).alias("output")))
+    choices = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("json").alias("content")).alias("message"))).alias("choices")))
+    k = F.col("question_id.conv_id") % 3
+    wrapped = raw.withColumn("response", F.when(k == 0, F.to_json(F.struct(F.col("json").alias("output_text")))).when(k == 1, output).otherwise(choices))
+    taken, rejected = A.unwrap_responses(wrapped)
+    raw = taken.unionByName(rejected.select("question_id", F.col("response").alias("json")))
     return A.parse_answers(raw).select("question_id.conv_id", "question_id.turn", "answer", flat.alias("claims"), "malformed")
 
 

@@ -100,10 +100,10 @@ def upsert_chunks(table: DataFrame, chunks: DataFrame) -> DataFrame:
     same = lambda a, b: a["tenant_id"].eqNullSafe(b["tenant_id"]) & a["matter_id"].eqNullSafe(b["matter_id"])
     scopes, docs = chunks.select(*SCOPE).distinct(), chunks.select(*SCOPE, "doc_id").distinct()
     # Only equality prunes partitions; scopes with a null are looked up apart.
-    held = table.join(F.broadcast(scopes), SCOPE, "left_semi").unionByName(table.where("tenant_id IS NULL OR matter_id IS NULL").join(F.broadcast(scopes), same(table, scopes), "left_semi"))
+    held = table.join(scopes, SCOPE, "left_semi").unionByName(table.where("tenant_id IS NULL OR matter_id IS NULL").join(scopes, same(table, scopes), "left_semi"))
     others = held.join(docs, same(held, docs) & (held["doc_id"] == docs["doc_id"]), "left_anti")
     after = held.where("doc_id IS NULL").groupBy(*SCOPE).agg((F.max("ordinal") + 1).alias("after"))
-    placed = chunks.join(F.broadcast(after), same(chunks, after), "left").select(*(chunks[c] for c in chunks.columns), "after")
+    placed = chunks.join(after, same(chunks, after), "left").select(*(chunks[c] for c in chunks.columns), "after")
     moved = F.col("doc_id").isNull() & F.col("after").isNotNull()
     placed = placed.withColumn("ordinal", F.when(moved, F.col("ordinal") + F.col("after")).otherwise(F.col("ordinal")))
     placed = placed.withColumn("chunk_id", F.when(moved, chunk_id()).otherwise(F.col("chunk_id")))

@@ -410,3 +410,14 @@ def test_segments_of_very_many_parts_and_matches(spark):
     paged = spark.createDataFrame([("d", 1, 0, "one"), ("d", 1, 1, "two"), ("d", 2, 0, "one two")], "doc_id string, page int, pos int, text string")
     q = spark.createDataFrame([("d", 1, "one two"), ("d", 2, "two"), ("d", 3, "one")], "doc_id string, page int, quote string")
     assert sorted((r.page, r.pos, r.part_start, r.part_end) for r in A.locate_quote_segments(q, paged).collect()) == [(1, 0, 0, 3), (1, 1, 0, 3), (2, 0, 4, 7)]
+
+
+def test_responses_in_their_envelopes(spark):
+    ok = '{\\"answer\\": \\"x\\"}'
+    rows = [
+        (1, f'{{"output_text": "{ok}"}}'), (2, f'{{"output": [{{"type": "a"}}, {{"content": [{{"kind": 1}}, {{"text": "{ok}"}}]}}]}}'), (3, f'{{"choices": [{{}}, {{"message": {{"content": "{ok}"}}}}]}}'),
+        (4, '{"output": []}'), (5, "no json"), (6, '{"output_text": "plain words"}'), (7, None), (8, '{"choices": [{"message": {"content": "{}"}}]}'),
+    ]
+    taken, rejected = A.unwrap_responses(spark.createDataFrame(rows, "question_id long, response string"))
+    assert sorted(map(tuple, taken.collect())) == [(i, '{"answer": "x"}') for i in (1, 2, 3)]
+    assert sorted((r.question_id, r.reason) for r in rejected.collect()) == [(i, "text is not an answer" if i in (6, 8) else "response holds no text") for i in range(4, 9)]
