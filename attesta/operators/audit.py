@@ -182,9 +182,9 @@ def find_audit(events: DataFrame, guardrail: str, status: str) -> DataFrame:
     return events.where((F.col("event_type") == "guardrail") & (at("guardrail") == guardrail) & (at("status") == status))
 
 
-def rate_by_window(events: DataFrame, by: str | list[str], minutes: int = 5, amount: str | None = None) -> DataFrame:
-    """Per window and label(s): window_start, labels, n, and the rate per second of events, or of the sum of `amount`."""
-    labels, w = [by] if isinstance(by, str) else list(by), F.window("ts", f"{minutes} minutes")
+def rate_by_window(events: DataFrame, by: str | list[str], minutes: int = 5, amount: str | None = None, slide: int | None = None) -> DataFrame:
+    """Per window and label(s): window_start, labels, n, and the rate per second of events, or of the sum of `amount`. slide: minutes from one window's start to the next, if they overlap."""
+    labels, w = [by] if isinstance(by, str) else list(by), F.window("ts", f"{minutes} minutes", f"{slide or minutes} minutes")
     much = F.sum(amount) if amount else F.count("*")
     return events.groupBy(w.alias("w"), *labels).agg(F.count("*").alias("n"), much.alias("much")).select(F.col("w.start").alias("window_start"), *labels, "n", (F.col("much") / (minutes * 60)).alias("rate"))
 

@@ -139,6 +139,15 @@ def rate_by_window(spark, d):
     return A.rate_by_window(S.table(spark, d, "events"), "event_type").withColumn("rate", F.round("rate", 6))
 
 
+SLIDING = "SELECT time_bucket(INTERVAL 5 MINUTE, ts) - k * INTERVAL 5 MINUTE AS window_start, event_type, count(*) AS n, round(count(*) / 900.0, 6) AS rate FROM events, range(3) r(k) GROUP BY ALL"
+
+
+@query("r88c_sliding_rate", SLIDING)
+def sliding_rate(spark, d):
+    """Rates over the last quarter of an hour, every five minutes."""
+    return A.rate_by_window(S.table(spark, d, "events"), "event_type", 15, slide=5).withColumn("rate", F.round("rate", 6))
+
+
 @query("r89_latency_quantile", "SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, round(quantile_cont(value, 0.95), 4) AS quantile FROM events GROUP BY ALL")
 def latency_quantile(spark, d):
     return A.latency_quantile(S.table(spark, d, "events")).withColumn("quantile", F.round("quantile", 4))

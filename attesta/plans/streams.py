@@ -91,6 +91,13 @@ def rates_stream(spark, d):
     return spark.read.parquet(out).withColumn("window_start", F.col("window_start").cast("timestamp_ntz")).groupBy("window_start", "event_type").agg(F.max("n").alias("n"))
 
 
+@query("r99b_sliding_rates_stream", "SELECT time_bucket(INTERVAL 5 MINUTE, ts) - k * INTERVAL 5 MINUTE AS window_start, event_type, count(*) AS n FROM events, range(3) r(k) GROUP BY ALL")
+def sliding_rates_stream(spark, d):
+    out, checkpoint = place(spark)
+    R.run_to_table(R.rates_stream(stream(spark, d, "events"), "event_type", 15, slide=5), out, checkpoint, "update")
+    return spark.read.parquet(out).withColumn("window_start", F.col("window_start").cast("timestamp_ntz")).groupBy("window_start", "event_type").agg(F.max("n").alias("n"))
+
+
 @query("r100_alert_stream", "SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, count(*) AS failures FROM events WHERE value > 90 GROUP BY ALL")
 def alert_stream(spark, d):
     out, checkpoint = place(spark)

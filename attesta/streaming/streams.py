@@ -39,9 +39,9 @@ def append_chain_stream(events: DataFrame, chain: str = "tenant_id", redact: boo
     return events.select(*names).groupBy(chain).applyInPandasWithState(chained, CHAINED, "last string", "append", GroupStateTimeout.NoTimeout)
 
 
-def rates_stream(events: DataFrame, by: str, minutes: int = 5, late: str = "10 minutes") -> DataFrame:
-    """Counts by tumbling window; rows later than the watermark are dropped."""
-    w = F.window("ts", f"{minutes} minutes")
+def rates_stream(events: DataFrame, by: str, minutes: int = 5, late: str = "10 minutes", slide: int | None = None) -> DataFrame:
+    """Counts by window, tumbling or (with a slide of so many minutes) sliding; rows later than the watermark are dropped."""
+    w = F.window("ts", f"{minutes} minutes", f"{slide or minutes} minutes")
     return events.withWatermark("ts", late).groupBy(w.alias("w"), by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), by, "n", (F.col("n") / (minutes * 60)).alias("rate"))
 
 

@@ -124,3 +124,20 @@ def test_uploads_by_another_extractor(spark, tmp_path):
     lines = lambda files: files.select("doc_id", F.posexplode(F.split(F.col("content").cast("string"), "\n")).alias("page", "text")).withColumn("page", F.col("page") + 1)
     R.take_uploads(spark.createDataFrame([(1, "t", "m", "1.x", "x", b"one\ntwo\nthree"), (1, "t", "m", "1.x", "x", b"smaller hash or not")], FILES).limit(1), 0, index, lines)
     assert [(r.page, r.text) for r in index.chunks().orderBy("ordinal").collect()] == [(1, "one"), (2, "two"), (3, "three")] and index.store.read("documents").first().page_count == 3
+
+
+def test_rows_behind_the_watermark_are_dropped(spark, tmp_path):
+    """Sliding windows over three batches; a row that comes ten minutes after its windows closed counts in none."""
+    at = str(tmp_path)
+    for rows in ([("2024-01-01 10:00:00", "a"), ("2024-01-01 10:07:00", "a")], [("2024-01-01 11:00:00", "a")], [("2024-01-01 10:01:00", "a"), ("2024-01-01 10:58:00", "a")]):
+        spark.createDataFrame(rows, "t string, kind string").select(F.to_timestamp("t").alias("ts"), "kind").coalesce(1).write.mode("append").parquet(f"{at}/in")
+        events = spark.readStream.schema("ts timestamp, kind string").parquet(f"{at}/in")
+        R.run_to_table(R.rates_stream(events, "kind", 10, "10 minutes", 5), f"{at}/out", f"{at}/checkpoint", "update")
+    seen = {}
+    for b in range(8):
+        try:
+            found = spark.read.parquet(f"{at}/out/batch={b}").collect()
+        except Exception:
+            continue
+        seen.update({r.window_start.strftime("%H:%M"): r.n for r in found})
+    assert seen == {"09:55": 1, "10:00": 2, "10:05": 1, "10:50": 1, "10:55": 2, "11:00": 1}
