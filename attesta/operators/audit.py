@@ -193,6 +193,21 @@ def latency_quantile(events: DataFrame, q: float = 0.95, minutes: int = 5) -> Da
     return events.groupBy(F.window("ts", f"{minutes} minutes").alias("w")).agg(F.percentile("value", q).alias("quantile")).select(F.col("w.start").alias("window_start"), "quantile")
 
 
+def quantile_sketches(events: DataFrame, by: list[str] | None = None, minutes: int = 1, k: int = 200) -> DataFrame:
+    """Per window and label(s) a KLL sketch of `value`: window_start, labels, sketch, n. Sketches are added up later, so events are read once, whatever windows are asked for."""
+    labels = list(by or [])
+    held = events.where(F.col("value").isNotNull())
+    return held.groupBy(F.window("ts", f"{minutes} minutes").alias("w"), *labels).agg(F.kll_sketch_agg_double(F.col("value").cast("double"), k).alias("sketch"), F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), *labels, "sketch", "n")
+
+
+def sketched_quantile(sketches: DataFrame, q: float = 0.95, by: list[str] | None = None, minutes: int = 5, slide: int | None = None) -> DataFrame:
+    """quantile_sketches() merged over longer windows: window_start, labels, n, quantile. Its rank is off by about 1.3 % of the window's events at most (k = 200)."""
+    labels = list(by or [])
+    w = F.window("window_start", f"{minutes} minutes", f"{slide or minutes} minutes")
+    merged = sketches.groupBy(w.alias("w"), *labels).agg(F.expr("kll_merge_agg_double(sketch)").alias("sketch"), F.sum("n").alias("n"))
+    return merged.select(F.col("w.start").alias("window_start"), *labels, "n", F.expr(f"kll_sketch_get_quantile_double(sketch, {float(q)}D)").alias("quantile"))
+
+
 def bucket_quantile(events: DataFrame, bounds: list[float], q: float = 0.95, minutes: int = 5) -> DataFrame:
     """The quantile of a histogram with these upper bounds (and one without): linear within its bucket, the last bound beyond it.
 

@@ -153,6 +153,16 @@ def latency_quantile(spark, d):
     return A.latency_quantile(S.table(spark, d, "events")).withColumn("quantile", F.round("quantile", 4))
 
 
+@query("r89c_sketched_quantile", "SELECT event_type, time_bucket(INTERVAL 60 MINUTE, ts) AS window_start, count(value) AS n, true AS near FROM events GROUP BY ALL HAVING count(value) > 0")
+def sketched_quantile(spark, d):
+    """Sketches of each minute, added up over hours; near: the share of an hour's values below the quantile is within 0.05 (or one value) of 0.95."""
+    e = S.table(spark, d, "events")
+    found = A.sketched_quantile(A.quantile_sketches(e, ["event_type"]), 0.95, ["event_type"], 60)
+    hours = e.where("value IS NOT NULL").select(F.window("ts", "60 minutes")["start"].alias("window_start"), "event_type", "value").join(found, ["window_start", "event_type"])
+    share = F.sum((F.col("value") <= F.col("quantile")).cast("int")) / F.count("*")
+    return hours.groupBy("event_type", "window_start").agg(F.first("n").alias("n"), (F.abs(share - 0.95) <= F.greatest(F.lit(0.05), 1 / F.count("*"))).alias("near"))
+
+
 BUCKETS = [5, 10, 25, 50, 75, 100, 200, 400]
 
 
