@@ -74,30 +74,38 @@ def event_digest(previous: Column) -> Column:
     return F.sha2(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")), 256)
 
 
-def append_chain(events: DataFrame, chain: str = "tenant_id", redact: bool = True) -> DataFrame:
+def append_chain(events: DataFrame, chain: str = "tenant_id", redact: bool = True, tails: DataFrame | None = None, order: tuple[str, ...] = ("id",)) -> DataFrame:
     """events (id, tenant_id, actor, event_type, payload, created_at), redacted, with previous_hash and event_hash, one chain per `chain`.
 
-    A chain is sequential by nature, so one chain is one task; chains run in parallel. A task reads its events sorted and
+    tails (chain, tail, length): the last hash and the number of events of chains that go on; events then have their
+    place in the chain as well (`place`, from 1). A chain is sequential by nature, so one chain is one task; chains run in parallel. A task reads its events sorted and
     batch by batch, and holds the last hash only.
     """
     names, link, genesis, out = list(EVENT), linker(redact), GENESIS, [*EVENT, "previous_hash", "event_hash"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, previous = object(), genesis
+        key, previous, place = object(), genesis, 0
         for b in batches:
-            rows, before, after = b.to_pylist(), [], []
+            rows, before, after, places = b.to_pylist(), [], [], []
             for r in rows:
                 if r[chain] != key:
-                    key, previous = r[chain], genesis
+                    key, previous, place = r[chain], r.pop("tail", None) or genesis, r.pop("length", None) or 0
                 r["payload"], digest = link(r, previous)
+                place += 1
+                places.append(place)
                 before.append(previous)
                 after.append(digest)
                 previous = digest
             kept = [pa.array([r["payload"] for r in rows], pa.string()) if n == "payload" else b.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(before, pa.string()), pa.array(after, pa.string())], names=out)
-
-    dealt = events.select(*names).repartition(F.col(chain)).sortWithinPartitions(chain, "id")
-    return dealt.mapInArrow(run, CHAINED)
+            hashes = [pa.array(before, pa.string()), pa.array(after, pa.string())]
+            yield pa.RecordBatch.from_arrays([*kept, *hashes, pa.array(places, pa.int64())], names=[*out, "place"])
+
+    dealt = events.select(*names)
+    if tails is not None:
+        known = tails.select(F.col(chain).alias("_chain"), "tail", "length")
+        dealt = dealt.join(known, dealt[chain].eqNullSafe(known["_chain"]), "left").drop("_chain")
+    linked = dealt.repartition(F.col(chain)).sortWithinPartitions(chain, *order).mapInArrow(run, f"{CHAINED}, place long")
+    return linked.drop("place") if tails is None else linked
 
 
 def verify_chain(chained: DataFrame, chain: str = "tenant_id", rows: int = 1_000_000) -> DataFrame:

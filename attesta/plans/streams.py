@@ -37,8 +37,9 @@ def events(spark, d):
 @query("r93_append_chain_stream", f"{CHAIN.replace('PARTITION BY tenant_id ORDER BY id', 'PARTITION BY tenant_id ORDER BY created_at, id')} SELECT id, tenant_id, previous_hash, event_hash FROM chain")
 def append_chain_stream(spark, d):
     out, checkpoint = place(spark)
-    R.run_to_table(R.append_chain_stream(events(spark, d)), out, checkpoint)
-    return spark.read.parquet(out).select("id", "tenant_id", "previous_hash", "event_hash")
+    store = Versions(spark, out)
+    R.chain_stream(events(spark, d), store, checkpoint).awaitTermination()
+    return store.read("events").select("id", "tenant_id", "previous_hash", "event_hash")
 
 
 @query("r97_ingest_stream", "WITH " + CHUNK.replace("trim(regexp_replace(text, ", f"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '{EMAIL}', '<EMAIL>', 'g'), '{SSN}', '<SSN>', 'g'), '{PHONE}', '<PHONE>', 'g'), ") + " SELECT chunk_id, doc_id, text FROM chunk")

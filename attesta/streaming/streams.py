@@ -2,41 +2,47 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from attesta.operators.audit import CHAINED, EVENT, GENESIS, linker
+from attesta.operators.audit import EVENT, append_chain
 from attesta.operators.chunks import chunk_pages, detect_pii, redact_pii
 from attesta.operators.index import Index
 from attesta.sources.scratch import cut, delete, exists
 from attesta.sources.tables import SCOPE, admit, load_text, metadata, upsert_chunks, write_scope_partitions
-from attesta.sources.versions import Change, scope_key
+from attesta.sources.versions import Change, Versions, scope_key
 
 
-def append_chain_stream(events: DataFrame, chain: str = "tenant_id", redact: bool = True) -> DataFrame:
-    """Each event, redacted, linked to its chain's last hash, which is the state of the chain. Late events are appended as they arrive.
+def take_events(batch: DataFrame, number: int, store: Versions, chain: str = "tenant_id", redact: bool = True, writer: str = "events", parts: int = 64) -> int:
+    """One batch of events, each redacted and linked to its chain's last hash, as one version of the tables `events` (with their place in the chain) and `tails` (chain, tail, length).
 
-    A task holds one chain's events of one batch; maxFilesPerTrigger bounds them.
+    A batch's events are linked in the order of created_at and id; late ones are appended as they arrive. A task reads its
+    chains sorted, batch by batch of rows, and holds one hash, however many events a chain has. Chains are kept in
+    `parts` partitions; a batch reads and writes the tails of those that it touches.
     """
-    names, link, genesis = list(EVENT), linker(redact), GENESIS
-
-    def chained(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        previous, out = (state.get[0] if state.exists else genesis), []
-        rows = pd.concat(list(parts)).sort_values(["created_at", "id"])
-        for r in rows.to_dict("records"):
-            r["payload"], digest = link(r, previous)
-            out.append({**{n: r[n] for n in names}, "previous_hash": previous, "event_hash": digest})
-            previous = digest
-        state.update((previous,))
-        yield pd.DataFrame(out, columns=[*names, "previous_hash", "event_hash"])
-
-    return events.select(*names).groupBy(chain).applyInPandasWithState(chained, CHAINED, "last string", "append", GroupStateTimeout.NoTimeout)
+    state = store.state()
+    if state["batches"].get(writer, -1) >= number:
+        return state["version"]
+    part = F.format_string("p%05d", F.pmod(F.xxhash64(F.col(chain)), F.lit(parts))).alias("scope_key")
+    events = cut(batch.select(*EVENT), "events")
+    tails = batch.sparkSession.createDataFrame([], StructType([batch.schema[chain], *(StructField(n, t) for n, t in (("tail", StringType()), ("length", LongType()), ("scope_key", StringType())))]))
+    if "tails" in state["schemas"]:
+        tails = store.read("tails").join(events.select(part).distinct(), "scope_key", "left_semi").select(*tails.columns)
+    chained = cut(append_chain(events, chain, redact, tails, ("created_at", "id")).select("*", part), "chained")
+    last = chained.groupBy(chain, "scope_key").agg(F.max_by("event_hash", "place").alias("tail"), F.max("place").alias("length"))
+    both = tails.withColumn("new", F.lit(0)).unionByName(last.withColumn("new", F.lit(1)))
+    now = both.groupBy(chain, "scope_key").agg(F.max_by(F.struct("tail", "length"), "new").alias("x")).select(chain, "scope_key", "x.*")
+    return store.commit({"events": Change(chained, add=True), "tails": Change(now)}, writer, number)
+
+
+def chain_stream(events: DataFrame, store: Versions, checkpoint: str, chain: str = "tenant_id", redact: bool = True) -> StreamingQuery:
+    """Events are appended to their chains batch by batch, each batch as one version; one that runs again changes nothing."""
+    return events.writeStream.foreachBatch(lambda batch, n: take_events(batch, n, store, chain, redact) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def rates_stream(events: DataFrame, by: str, minutes: int = 5, late: str = "10 minutes", slide: int | None = None) -> DataFrame:

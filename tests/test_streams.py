@@ -141,3 +141,30 @@ def test_rows_behind_the_watermark_are_dropped(spark, tmp_path):
             continue
         seen.update({r.window_start.strftime("%H:%M"): r.n for r in found})
     assert seen == {"09:55": 1, "10:00": 2, "10:05": 1, "10:50": 1, "10:55": 2, "11:00": 1}
+
+
+def test_chains_over_batches(spark, tmp_path):
+    """The chain of three batches, with a late event and one chain that holds nearly all, is that of one batch in the order of arrival; it goes on where it ended."""
+    from attesta.operators import audit as U
+
+    event = "id long, tenant_id string, actor string, event_type string, payload string, created_at string"
+    rows = [(i, "hot" if i % 9 else None if i % 18 else "other", "a", "chat", '{"status":"ok","k":"v"}', f"2024-01-01T00:00:{i % 60:02d}") for i in range(400)]
+    store = Versions(spark, f"{tmp_path}/tables")
+    for part in (rows[:150], rows[150:151], rows[151:]):
+        spark.createDataFrame(part, event).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        R.chain_stream(spark.readStream.schema(event).parquet(f"{tmp_path}/in"), store, f"{tmp_path}/checkpoint").awaitTermination()
+    got = store.read("events").collect()
+    assert len(got) == 400 and store.state()["batches"]["events"] == 2
+    # the same events numbered by arrival, as one batch
+    arrival = [r[0] for part in (rows[:150], rows[150:151], rows[151:]) for r in sorted(part, key=lambda r: (r[5], r[0]))]
+    link, last, place = U.linker(True), {}, {}
+    held = {r.id: r for r in got}
+    for i in arrival:
+        r = dict(zip(U.EVENT, rows[i]))
+        before = last.get(r["tenant_id"], U.GENESIS)
+        _, last[r["tenant_id"]] = link(r, before)
+        place[r["tenant_id"]] = place.get(r["tenant_id"], 0) + 1
+        assert (held[i].previous_hash, held[i].event_hash, held[i].place) == (before, last[r["tenant_id"]], place[r["tenant_id"]])
+    assert {r.tenant_id: (r.tail, r.length) for r in store.read("tails").collect()} == {t: (last[t], place[t]) for t in last}
+    version = store.state()["version"]
+    assert R.take_events(spark.createDataFrame(rows[:5], event), 2, store) == version and store.read("events").count() == 400
