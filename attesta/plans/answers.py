@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attesta.functions import fixed
+from attesta.functions import hooks as H
 from attesta.functions import text as T
 from attesta.operators import answers as A
 from attesta.operators import guards as G
@@ -241,6 +242,19 @@ def rerank_supplied(spark, d):
     return L.rerank_supplied(h, scores, 5).select("question_id", "chunk_id", F.col("rank").cast("int").alias("rank"))
 
 
+def long_words():
+    """A reranker for the query: how many characters a text has beyond those of the question."""
+    return lambda pairs: [float(len(text) - len(question)) for question, text in pairs]
+
+
+@query("r65b_rerank_with", f"WITH {HIT} SELECT * FROM (SELECT question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY length(text) - length(question) DESC, rank)::INTEGER AS rank FROM hit) WHERE rank <= 5")
+def rerank_with(spark, d):
+    """Hits reranked by a model that each task makes once."""
+    _, h = hits(spark, d)
+    scores = H.rerank_with(h.select("question_id", "chunk_id", "question", "text"), long_words).select("question_id", "chunk_id", "rerank_score")
+    return L.rerank_supplied(h, scores, 5).select("question_id", "chunk_id", F.col("rank").cast("int").alias("rank"))
+
+
 @query(
     "r71_support_score",
     rf"""WITH b AS (SELECT item_id, {LONG_WORD} AS w, {LOW.format("text || CASE item_id % 4 WHEN 0 THEN '. ' || " + LONG_WORD + " || ' is good.' WHEN 1 THEN '. ' || " + LONG_WORD + " || ' is a method.' WHEN 2 THEN '. It uses ink.' ELSE '' END")} AS t FROM benchmark), x AS (SELECT *, list_distinct(regexp_extract_all(t, '[a-z0-9]+')) AS own FROM b)

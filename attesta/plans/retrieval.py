@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from attesta.functions import hooks as H
 from attesta.operators import lanes as L
 from attesta.operators.graph import concept_graph
 from attesta.operators.index import Index, build_index
@@ -150,6 +151,17 @@ def with_embeddings(spark, d):
     return got.select("chunk_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
+def vowels():
+    """An encoder for the query: how often a text has each vowel."""
+    return lambda texts: [[float(t.count(v)) for v in "aeiou"] for t in texts]
+
+
+@query("r47c_encode", f"WITH {CHUNK} SELECT chunk_id, [length(text) - length(replace(text, v, '')) FOR v IN ['a','e','i','o','u']]::DOUBLE[] AS embedding FROM chunk")
+def encode(spark, d):
+    """Vectors of all chunks by a model that each task makes once."""
+    return H.encode(standing(spark, d).chunks().select("chunk_id", "text"), vowels, 5).select("chunk_id", "embedding")
+
+
 @query("r47_hash_dense_top_k", f"WITH {POSTINGS}, {DENSE} SELECT {COLS} FROM dense")
 def hash_dense(spark, d):
     return out(L.hash_dense_top_k(*both(spark, d), mode="md5", weights=standing(spark, d).weights()))

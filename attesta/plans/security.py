@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from attesta.functions import hooks as H
 from attesta.operators import guards as G
 from attesta.plans.registry import query
 from attesta.plans.texts import CHUNK, chunk_table
@@ -106,6 +107,24 @@ def scan_risks(spark, d):
     return G.scan_risks(S.table(spark, d, "documents").select(F.col("source").alias("question_id"), F.col("doc_id").alias("text_id")), risks)
 
 
+def digits():
+    """A scanner for the query: the share of digits is the risk of a text."""
+
+    def scan(texts):
+        shares = [sum(c in "0123456789" for c in t) / max(1, len(t)) for t in texts]
+        return [(s <= 0.02, s) for s in shares]
+
+    return scan
+
+
+@query("r43b_scan_with", "SELECT doc_id, length(regexp_replace(text, '[^0-9]', '', 'g')) / greatest(1, length(text)) > 0.02 AS rejected, round(length(regexp_replace(text, '[^0-9]', '', 'g')) / greatest(1, length(text)), 6) AS max_risk FROM documents")
+def scan_with(spark, d):
+    """Whole texts scanned by a model that each task makes once."""
+    t = S.table(spark, d, "documents").select(F.col("doc_id").alias("question_id"), F.col("doc_id").alias("text_id"), "text")
+    found = G.scan_risks(t.select("question_id", "text_id"), H.scan_with(t, digits).select("text_id", "valid", "risk"))
+    return found.select(F.col("question_id").alias("doc_id"), "rejected", F.round("max_risk", 6).alias("max_risk"))
+
+
 @query("r44_probe_suite", "SELECT suite, 3 * n AS blocked, 3 * n AS total FROM (SELECT unnest(['garak','pyrit']) AS suite), (SELECT count(*) AS n FROM benchmark)")
 def probe_suite(spark, d):
     """Every attack text hidden at the end of every benchmark passage; the six attacks are a fixed, small table."""

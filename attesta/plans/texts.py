@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attesta.functions import fixed
+from attesta.functions import hooks as H
 from attesta.functions import text as T
 from attesta.operators import chunks as C
 from attesta.plans.registry import query
@@ -48,6 +49,19 @@ def load_paged(spark, d):
     return S.load_paged(turns(spark, d))
 
 
+def pages_at_feeds():
+    """An extractor for the query: pages end at form feeds."""
+    return lambda contents: [list(enumerate(bytes(c).decode("utf-8").split("\f"), 1)) for c in contents]
+
+
+@query("r02b_extract_pages", "WITH t AS (SELECT conv_id, string_split(string_agg(text, chr(12) ORDER BY turn), chr(12)) AS parts FROM conversations GROUP BY 1), e AS (SELECT conv_id, unnest(parts) AS text, generate_subscripts(parts, 1) AS page FROM t) SELECT conv_id AS doc_id, page::INTEGER AS page, text FROM e WHERE trim(text) <> ''")
+def extract_pages(spark, d):
+    """Binary files (a conversation each) opened by an extractor that each task makes once."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
+    files = S.table(spark, d, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.encode(F.array_join(ordered, "\f"), "UTF-8").alias("content"))
+    return H.extract_pages(files, pages_at_feeds)
+
+
 @query("r03_metadata", "SELECT conv_id AS doc_id, sha256(string_agg(text, chr(12) ORDER BY turn)) AS sha256, count(*)::INTEGER AS page_count FROM conversations GROUP BY conv_id")
 def metadata(spark, d):
     t = turns(spark, d)
