@@ -108,7 +108,11 @@ def verify_citations(spark, d):
     return A.verify_citations(one, h).select("question_id", "chunk_id", "verified", "filename", "doc_id", "tenant_id")
 
 
-@query("r75_answers_type", "SELECT item_id, item_id % 3 <> 2 AS ok FROM benchmark")
+@query(
+    "r75_answers_type",
+    rf"""WITH b AS (SELECT item_id, {LONG_WORD} AS w, lower(text || '. ' || CASE item_id % 3 WHEN 0 THEN 'There are hard and soft ' || {LONG_WORD} || ' varieties.' WHEN 1 THEN 'They sell hard and soft ' || {LONG_WORD} || '.' ELSE 'There are many kinds of zebra and ' || {LONG_WORD} || '.' END) AS t FROM benchmark)
+SELECT item_id, regexp_matches(t, '\b[a-z]{{3,}} and [a-z]{{3,}} ' || w || '\b') AND NOT regexp_matches(t, '\bkinds of [a-z]+ and ' || w || '\b') AS ok FROM b""",
+)
 def answers_type(spark, d):
     """Asks for the kinds of a word of each passage; the answer and quote are the passage and a sentence that states kinds, sells some, or speaks of others."""
     w, k = F.lower(F.regexp_extract("text", "[A-Za-z]{7,}", 0)), F.col("item_id") % 3
@@ -290,7 +294,11 @@ def citation_scope(spark, d):
     return G.scope_violations(cited, q).select("question_id", "chunk_id")
 
 
-@query("r72_definition_support", f"SELECT item_id, item_id % 3 <> 1 AS supported FROM benchmark")
+@query(
+    "r72_definition_support",
+    r"""WITH b AS (SELECT item_id, lower(text || CASE item_id % 3 WHEN 0 THEN '. Zebrawood is good.' ELSE '.' END) AS t, CASE item_id % 3 WHEN 2 THEN 'who sold something' ELSE 'what is zebrawood?' END AS q FROM benchmark)
+SELECT item_id, NOT starts_with(q, 'what is') OR regexp_matches(t, '\bzebrawood\s+(?:is|are|was|were|means|refers\s+to)\b') AS supported FROM b""",
+)
 def definition_support(spark, d):
     """Whether a cited quote (the passage, with or without a sentence that defines a word put for all its own) defines what is asked; questions that ask for no definition need none."""
     k = F.col("item_id") % 3
