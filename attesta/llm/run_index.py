@@ -12,8 +12,10 @@ the text positions at the runs' heads and the lengths of their matches (RunIndex
 these samples alone: a position takes the statistics of the next sampled one, moved by their distance. Positions whose
 match is at least `length` long are chained to what they match; all of a chain but its earliest are marked.
 
-An anchor with more than `crowd` different contents would make too large a bucket. Its strings get anchors of twice as
-many bytes, in the same way; those of anchors that are still crowded are dealt one by one, by their own 128-bit hash.
+An anchor with more than `crowd` different contents would make too large a bucket (a passage that very many texts share
+makes such ones at its ends, where each text goes on in its own way). Its runs are cut into blocks of BLOCK strings by
+their distance from the anchor, which are shuffled and judged as runs are; the strings of blocks that are still of
+several contents are dealt one by one, by their own 128-bit hash.
 
 A text that more rows hold than a task's share is taken in once, before all this; its copies of larger doc_ids are covered
 as a whole. There are fewer such texts than shuffle partitions, so they are told by a broadcast. Texts are named by 64 bits
@@ -28,8 +30,8 @@ empty result.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Iterator
-from functools import reduce
 from hashlib import sha256
 
 import numpy as np
@@ -45,6 +47,8 @@ LENGTH, GRAM = 100, 32
 STRETCH = 1 << 20
 #: Bytes of a bucket's contents, and the different contents of one anchor beyond which its strings are dealt one by one.
 BUCKET_BYTES, CROWD = 1 << 20, 4096
+#: Strings of a block of a crowded run.
+BLOCK = 8
 #: Odd multipliers and a table that make hashes of bytes.
 _RANDOM = np.random.default_rng(13)
 _BYTE = _RANDOM.integers(0, 1 << 63, size=256, dtype=np.uint64)
@@ -122,28 +126,6 @@ def find_runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
     return texts.select("d", "t", "text").mapInArrow(run, RUN)
 
 
-def find_finer_runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """The same as find_runs() for the strings of some runs only: texts (d, t, text, runs array<struct<h, start, strings>>)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for d, t, text, runs in zip(*(b.column(x).to_pylist() for x in ("d", "t", "text", "runs"))):
-                data, spans = text.encode("utf-8"), []
-                for start, end in sorted((r["start"], r["start"] + r["strings"]) for r in runs):
-                    if spans and start <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], end)
-                    else:
-                        spans.append([start, end])
-                made = []
-                for start, end in spans:
-                    h, c, first, strings, again, more = document_runs(data[start : end + length - 1], length, gram)
-                    made.append((np.concatenate([h.view(np.int64), (again + start) ^ t]), np.concatenate([c.view(np.int64), np.zeros(len(again), dtype=np.int64)]), np.concatenate([first, again]) + start, np.concatenate([strings, more]), np.arange(len(first) + len(again)) >= len(first)))
-                h, c, start, strings, inside = (np.concatenate(x) for x in zip(*made))
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c, pa.int64(), mask=inside), pa.array([d] * len(h), pa.int64()), pa.array([t] * len(h), pa.int64()), pa.array(start, pa.int32()), pa.array(strings, pa.int32())], names=["h", "c", "d", "t", "start", "strings"])
-
-    return texts.select("d", "t", "text", "runs").mapInArrow(run, RUN)
-
-
 def run_rows(h: pa.Array, b: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([h, *b.columns[1:]], names=b.schema.names)
 
@@ -323,19 +305,47 @@ def contents(texts: DataFrame, length: int) -> DataFrame:
     return texts.select("d", "t", "text", "runs").mapInArrow(run, "h long, d long, t long, start int, content binary")
 
 
-def strings_of(texts: DataFrame, length: int) -> DataFrame:
-    """Of texts as in contents(): each string of their runs as a RUN row of its own, known by its 128-bit hash."""
+def blocks_of(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    """Of contents (h, d, t, start, content): the blocks of their runs, as RUN rows under an anchor and a distance from it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for d, t, text, runs in zip(*(b.column(x).to_pylist() for x in ("d", "t", "text", "runs"))):
-                data = text.encode("utf-8")
-                at = np.concatenate([np.arange(r["start"], r["start"] + r["strings"]) for r in runs])
-                both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[a : a + length]) for a in at.tolist()), dtype="<i8").reshape(-1, 2)
-                one = np.ones(len(at), dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array([d] * len(at), pa.int64()), pa.array([t] * len(at), pa.int64()), pa.array(at, pa.int32()), pa.array(one)], names=["h", "c", "d", "t", "start", "strings"])
+            out: list[tuple[int, int, int, int, int, int]] = []
+            for h, d, t, start, content in zip(*(b.column(x).to_pylist() for x in ("h", "d", "t", "start", "content"))):
+                n = len(content) - length + 1
+                place = int(leftmost_least(gram_hashes(np.frombuffer(content, dtype=np.uint8)[:length], gram), length - gram + 1)[0])
+                low = 0
+                while low < n:
+                    far = (place - low) // BLOCK
+                    high = min(n, place - far * BLOCK + 1)  # all strings of a block are as many blocks away from the anchor
+                    name = xxhash.xxh3_64_intdigest(b"%d %d" % (h, far))
+                    out.append((name, xxhash.xxh3_64_intdigest(content[low : high + length - 1]), d, t, start + low, high - low))
+                    low = high
+            h, c, d, t, start, strings = zip(*out) if out else ((),) * 6
+            signed = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([signed(h), signed(c), pa.array(d, pa.int64()), pa.array(t, pa.int64()), pa.array(start, pa.int32()), pa.array(strings, pa.int32())], names=["h", "c", "d", "t", "start", "strings"])
+
+    return rows.select("h", "d", "t", "start", "content").mapInArrow(run, RUN)
+
+
+def strings_of(rows: DataFrame, length: int) -> DataFrame:
+    """Of (d, t, pieces array<struct<start, content>>, runs array<struct<start, strings>> in them): each string of the runs as a RUN row of its own, known by its 128-bit hash."""
 
-    return texts.select("d", "t", "text", "runs").mapInArrow(run, RUN)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for d, t, pieces, runs in zip(*(b.column(x).to_pylist() for x in ("d", "t", "pieces", "runs"))):
+                pieces.sort(key=lambda x: x["start"])
+                starts, at, digests = [x["start"] for x in pieces], [], []
+                for r in runs:
+                    piece = pieces[bisect_right(starts, r["start"]) - 1]  # runs of a text do not overlap
+                    for i in range(r["start"], r["start"] + r["strings"]):
+                        at.append(i)
+                        digests.append(xxhash.xxh3_128_digest(piece["content"][i - piece["start"] : i - piece["start"] + length]))
+                both = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
+                n = len(at)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array([d] * n, pa.int64()), pa.array([t] * n, pa.int64()), pa.array(at, pa.int32()), pa.array(np.ones(n, dtype=np.int32))], names=["h", "c", "d", "t", "start", "strings"])
+
+    return rows.select("d", "t", "pieces", "runs").mapInArrow(run, RUN)
 
 
 def bucket_repeats(length: int):
@@ -436,22 +446,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
         )
     found = materialize(judge(find_runs(texts, length, gram)), "judged")
     marks = found.where("h IS NULL").select("d", "t", "start", "strings")
-    parts, crowded, held = [], found.where("h IS NOT NULL"), 0
-    for finer in [2 * gram] * (2 * gram <= length) + [None]:
-        sizes = materialize(crowded.groupBy("h").agg(F.count("*").alias("n"), F.sum(F.col("strings") + length - 1).alias("bytes")), "anchors")
-        held += sizes.agg(F.sum("bytes").alias("b")).first()["b"] or 0
-        many = sizes.where(F.col("n") > crowd)
-        if many.isEmpty():
-            parts.append(crowded)
-            break
-        parted = materialize(looked_up(crowded, many.select("h", F.lit(True).alias("crowded")), "h", sizes.select("h", "n")), "crowded")
-        parts.append(parted.where("crowded IS NULL").drop("crowded"))
-        some = with_runs(texts, parted.where("crowded"), "inner", "h", "start", "strings")
-        again = materialize(judge(find_finer_runs(some, length, finer) if finer else strings_of(some, length)), "finer")
-        marks = marks.unionByName(again.where("h IS NULL").select("d", "t", "start", "strings"))
-        crowded = again.where("h IS NOT NULL")  # none, where each string is a run
-    alike, buckets = reduce(DataFrame.unionByName, parts), max(1, math.ceil(held / bucket_bytes))
-    dealt = contents(with_runs(texts, alike, "inner", "h", "start", "strings"), length).withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)).cast("int"))
+    alike = materialize(contents(with_runs(texts, found.where("h IS NOT NULL"), "inner", "h", "start", "strings"), length), "contents")
+    sizes = materialize(alike.groupBy("h").agg(F.count("*").alias("n"), F.sum(F.octet_length("content")).alias("bytes")), "anchors")
+    many = sizes.where(F.col("n") > crowd)
+    if not many.isEmpty():
+        parted = materialize(looked_up(alike, many.select("h", F.lit(True).alias("crowded")), "h", sizes.select("h", "n")), "crowded")
+        alike, crowded = parted.where("crowded IS NULL"), parted.where("crowded")
+        blocks = materialize(judge(blocks_of(crowded, length, gram)), "blocks")
+        pieces = crowded.groupBy("d", "t").agg(F.collect_list(F.struct("start", "content")).alias("pieces"))
+        mixed = blocks.where("h IS NOT NULL").groupBy("d", "t").agg(F.collect_list(F.struct("start", "strings")).alias("runs"))
+        each = materialize(judge(strings_of(pieces.join(mixed, ["d", "t"]), length)), "strings")
+        covered = lambda x: x.where("h IS NULL").select("d", "t", "start", "strings")
+        marks = marks.unionByName(covered(blocks)).unionByName(covered(each))
+    buckets = max(1, math.ceil((sizes.agg(F.sum("bytes").alias("b")).first()["b"] or 0) / bucket_bytes))
+    dealt = alike.select("h", "d", "t", "start", "content", F.pmod(F.xxhash64("h"), F.lit(buckets)).cast("int").alias("bucket"))
     sorted_ = dealt.repartition(partitions, "bucket").sortWithinPartitions("bucket", "d", "start", "t")
     marks = marks.unionByName(sorted_.mapInArrow(bucket_repeats(length), "d long, t long, start int, strings int"))
     whole = kept_parts(with_runs(texts, materialize(marks, "marks"), "left", "start", "strings"), length)
