@@ -291,7 +291,7 @@ def policy(spark, d):
 @query("r53_scope_rebuild", "SELECT source AS tenant_id, lang AS matter_id, CASE WHEN source = 'src3' THEN 'new' ELSE 'old' END AS state, count(*) AS n FROM documents GROUP BY ALL")
 def scope_rebuild(spark, d):
     """All scopes are written, then those of one tenant again; the others keep what they had."""
-    at = f"{folder(spark)}/scopes/{uuid.uuid4().hex}"
+    at = place(spark, "scopes")
     docs = S.documents(spark, d).select("doc_id", "tenant_id", "matter_id")
     S.write_scope_partitions(docs.withColumn("state", F.lit("old")), at)
     S.write_scope_partitions(docs.where("tenant_id = 'src3'").withColumn("state", F.lit("new")), at)
