@@ -8,13 +8,15 @@ returns a spanning forest of its links, never all pairs. Components follow from
 
 To keep one document of each group of near copies (five words, a similarity of 0.8), 64 bits are too coarse: texts of
 that similarity differ in 5 to 15 of them, and so do unrelated texts of a large corpus. `keep_one` therefore compares
-fingerprints of WIDE bits over the distinct shingles, in blocks keyed by bands of min-hashes, in the same tiles; blocks
-that have the same smallest node are one. Pairs within the `sure` radius link at once (as a forest). Pairs between that
-and the `doubtful` radius link if the shingle sets themselves are as similar as asked: the cell names the rows in doubt,
-their sets are brought to it, and pairs that links have not joined already are compared there. Fingerprints of a few
-shingles scatter more, so pairs with a text of up to SMALL shingles never link unseen, have a wider doubtful radius, and
-blocks of more and shorter bands. Only forests leave a cell, never pairs. The blocks miss a pair at exactly 0.8 with a
-probability of 0.00007 (3e-8 for texts of up to SMALL shingles), and more similar ones far less often still.
+fingerprints of WIDE bits over the distinct shingles, in blocks keyed by prefixes: with all shingles in one order, two
+sets of similarity s share one of the first n - ceil(s * n) + 1 of each, so no pair is missed, whatever the order. The
+order is by a count of COUNTERS slots that the shingles of all texts fall in, least first, so that passages of very many
+texts are in the prefix of those alone that hold little else. Blocks that have the same smallest node are one. Pairs
+within the `sure` radius link at once (as a forest). Pairs between that and the `doubtful` radius link if the shingle
+sets themselves are as similar as asked: the cell names the rows in doubt, their sets are brought to it, and pairs that
+links have not joined already are compared there. Both radii lie MARGIN deviations from the mean at that similarity: a
+pair is misjudged with a probability of about 1e-12. Fingerprints of a few shingles scatter more, so pairs with a text
+of up to SMALL shingles never link unseen and have a wider doubtful radius. Only forests leave a cell, never pairs.
 
 Defined results: a null or empty text, or one without words, has fingerprint zero and links like any other; a text of
 fewer words than a shingle is one shingle; repeated rows have equal rows in the result; a null doc_id is never the
@@ -37,14 +39,16 @@ from attesta.llm._common import materialize, prepare
 from attesta.sources.scratch import last_table, release
 
 TILE, SHORT = 2048, 8
-#: Of wide fingerprints: bits, bands of min-hashes, min-hashes in a band (long and small texts), nodes of a tile, and shingles in the sets that a tile of verification holds.
-WIDE, BANDS, ROWS, SMALL_ROWS, WIDE_TILE, TILE_SHINGLES = 1024, 24, 5, 3, 2048, 4 << 20
-#: Shingles of a small text, and the doubtful radius of such: five deviations above the mean of four and five shingles, the pair at 0.8 that scatters most.
-SMALL, SMALL_RADIUS = 25, 256
+#: Of wide fingerprints: bits, nodes of a tile, and shingles in the sets that a tile of verification holds.
+WIDE, WIDE_TILE, TILE_SHINGLES = 1024, 2048, 4 << 20
+#: Shingles of a small text, and the doubtful radius of such: above the mean of four and five shingles, the pair at 0.8 that scatters most, by as many deviations.
+SMALL, SMALL_RADIUS = 25, 296
 #: Deviations from the mean number of differing bits that the sure radius lies below and the doubtful one above.
-MARGIN = 4
+MARGIN = 7
+#: Slots that shingles are counted in, a power of two: what is broadcast is this large, whatever the table.
+COUNTERS = 1 << 20
 #: Odd multipliers that make further hashes out of one.
-_MULTIPLIERS = np.random.default_rng(42).integers(0, 1 << 63, size=WIDE // 64 + BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MULTIPLIERS = np.random.default_rng(42).integers(0, 1 << 63, size=WIDE // 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: The most parts that the rows of one key are dealt to.
 MAX_SALTS = 64
 
@@ -72,27 +76,49 @@ def fingerprint_of(text: str | None, shingle: int = 4) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def wide_fingerprint(text: str | None, shingle: int = 5, similarity: float = 0.8) -> tuple[np.ndarray, np.ndarray, int]:
-    """WIDE bits as uint64 words (bit b is 1 if set in over half of the distinct shingles' hashes), block keys, and the number of distinct shingles.
-
-    A text may be similar to another of `similarity` times its size, so those about SMALL have the keys of both kinds.
-    """
-    hashes = np.unique(shingle_hashes(text, shingle))
-    lanes = WIDE // 64
-    counts, least = np.zeros(WIDE, dtype=np.int64), np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """WIDE bits as uint64 words: bit b is 1 if set in over half of the distinct shingles' hashes."""
+    counts = np.zeros(WIDE, dtype=np.int64)
     for at in range(0, len(hashes), 4080):
-        h = hashes[at : at + 4080, None]
-        x = h * _MULTIPLIERS[:lanes]
+        x = hashes[at : at + 4080, None] * _MULTIPLIERS
         x ^= x >> np.uint64(32)
         x *= _MULTIPLIERS[:1]
         x ^= x >> np.uint64(29)
         bits = np.unpackbits(x.view(np.uint8), axis=1, bitorder="little")
         for k in range(0, len(bits), 255):  # 255 ones fit a byte
             counts += np.add.reduce(bits[k : k + 255], axis=0, dtype=np.uint8)
-        np.minimum(least, (h * _MULTIPLIERS[lanes:]).min(0), out=least)
-    kinds = [ROWS] * (len(hashes) >= SMALL) + [SMALL_ROWS] * (len(hashes) * similarity < SMALL)
-    keys = np.array([xxhash.xxh64_intdigest(least[k * rows : (k + 1) * rows].tobytes(), k) for rows in kinds for k in range(BANDS)], dtype=np.uint64)
-    return np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8"), keys, len(hashes)
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")
+
+
+def slots_of(hashes: np.ndarray, slots: int) -> np.ndarray:
+    return (hashes % np.uint64(slots)).astype(np.int64)
+
+
+def prefix_of(hashes: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """Of distinct hashes those of which any set of that similarity has one in its own prefix: the first ones by count, then hash."""
+    n = len(hashes)
+    size = min(n, n - math.ceil(similarity * n - 1e-9) + 1)
+    return hashes[np.lexsort((hashes, counts[slots_of(hashes, len(counts))]))[:size]]
+
+
+def shingle_counts(docs: DataFrame, shingle: int = 5) -> np.ndarray:
+    """In how many texts of docs (text) the distinct shingles of each of COUNTERS slots are; a task adds up its own first."""
+    slots = COUNTERS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(slots, dtype=np.int64)
+        for b in batches:
+            for text in b.column("text").to_pylist():
+                np.add.at(total, slots_of(np.unique(shingle_hashes(text, shingle)), slots), 1)
+        used = np.flatnonzero(total)
+        for at in range(0, len(used), 65536):
+            part = used[at : at + 65536]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["slot", "n"])
+
+    got = docs.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most COUNTERS rows
+    counts = np.zeros(slots, dtype=np.int64)
+    counts[got["slot"].to_numpy()] = got["n"].to_numpy()
+    return counts
 
 
 def wide_radius(similarity: float, deviations: float) -> int:
@@ -102,20 +128,23 @@ def wide_radius(similarity: float, deviations: float) -> int:
 
 
 def with_wide_fingerprints(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Of docs (doc_id, row_key, text): doc_id, row_key, the wide fingerprint `bits` (binary), its population count `ones`, block `keys`, and `n` distinct shingles."""
+    """Of docs (doc_id, row_key, text): doc_id, row_key, a name `fp` of the set of shingles, its wide fingerprint `bits` (binary), their population count `ones`, block `keys` (its prefix), and `n` distinct shingles."""
+    counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [wide_fingerprint(t, shingle, similarity) for t in b.column("text").to_pylist()]
-            bits = pa.array([x.tobytes() for x, _, _ in got], pa.binary())
-            ones = pa.array([int(np.bitwise_count(x).sum()) for x, _, _ in got], pa.int32())
-            keys = pa.array([k.view(np.int64).tolist() for _, k, _ in got], pa.list_(pa.int64()))
-            sizes = pa.array([n for _, _, n in got], pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_key"), bits, ones, keys, sizes], names=["doc_id", "row_key", "bits", "ones", "keys", "n"])
+            rows = []
+            for text in b.column("text").to_pylist():
+                hashes = np.unique(shingle_hashes(text, shingle))
+                bits = wide_fingerprint(hashes)
+                keys = prefix_of(hashes, counts.value, similarity)
+                rows.append((xxhash.xxh64_intdigest(hashes.tobytes(), 7), bits.tobytes(), int(np.bitwise_count(bits).sum()), keys.view(np.int64), len(hashes)))
+            fp, bits, ones, keys, n = zip(*rows) if rows else ((),) * 5
+            columns = [pa.array(np.array(fp, dtype=np.uint64).view(np.int64)), pa.array(bits, pa.binary()), pa.array(ones, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(n, pa.int32())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_key"), *columns], names=["doc_id", "row_key", "fp", "bits", "ones", "keys", "n"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    made = docs.select("doc_id", "row_key", "text").mapInArrow(run, f"doc_id {kind}, row_key string, bits binary, ones int, keys array<long>, n int")
-    return made.withColumn("fp", F.xxhash64("bits"))
+    return docs.select("doc_id", "row_key", "text").mapInArrow(run, f"doc_id {kind}, row_key string, fp long, bits binary, ones int, keys array<long>, n int")
 
 
 def with_fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
@@ -411,7 +440,7 @@ def members(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Of docs (doc_id, row_key, text): (fp, component_id) for each different wide fingerprint; component_id is the first row (bare, doc_id, row_key) reachable by links between texts of that similarity.
+    """Of docs (doc_id, row_key, text): (fp, component_id) for each different set of shingles; component_id is the first row (bare, doc_id, row_key) reachable by links between texts of that similarity.
 
     First is the smallest doc_id, and of rows that share it the smallest row_key; rows without a doc_id (bare) come last.
     """

@@ -420,15 +420,12 @@ def test_a_centre_with_most_links(spark):
 
 
 def test_wide_fingerprint_of_odd_texts():
-    for text in (None, "", " \n "):
-        bits, keys, n = simhash.wide_fingerprint(text)
-        assert n == 0 and not bits.any() and (keys == simhash.wide_fingerprint("")[1]).all()
-    once, twice = simhash.wide_fingerprint("a b c d e f"), simhash.wide_fingerprint("A b  c d e f")
-    assert (once[0] == twice[0]).all() and (once[1] == twice[1]).all()
-    long = " ".join(f"w{i}" for i in range(20_000))
-    assert np.bitwise_count(simhash.wide_fingerprint(long)[0]).sum() > 300
-    h = simhash.shingle_hashes("a b c d e f g a b c d e f g a b c d e f g", 5)
-    assert len(h) == 17 and len(np.unique(h)) == 7
+    sets = lambda text: np.unique(simhash.shingle_hashes(text, 5))
+    for text in (None, "", " \t\n"):
+        assert len(sets(text)) == 0 and not simhash.wide_fingerprint(sets(text)).any()
+    assert (simhash.wide_fingerprint(sets("a b c d e f")) == simhash.wide_fingerprint(sets("A B  c d e f"))).all()
+    long = " ".join(f"w{i}" for i in range(200_000))
+    assert np.bitwise_count(simhash.wide_fingerprint(sets(long))).sum() > 300
 
 
 def test_packing(spark, docs):
@@ -637,3 +634,46 @@ def test_licenses(spark, docs):
         assert {x for x in r.base_labels.split(",") if x} <= set(r.labels.split(",")) and 0 <= r.score <= 1
     assert {r.labels for r in got if r.doc_id == 105} == {"mit"}
     assert licenses.scan_licenses(df.limit(0)).count() == 0
+
+
+def test_prefixes_of_similar_sets_meet():
+    """Sets of a similarity of 0.8 and more share a key under any counts, also exactly at 0.8."""
+    rng = np.random.default_rng(23)
+    counts = rng.integers(0, 50, 64)
+    for _ in range(3000):
+        n = int(rng.integers(1, 120))
+        own = rng.integers(0, 1 << 63, 2 * n + 2, dtype=np.uint64)
+        a, rest = own[:n], own[n:]
+        gone = int(rng.integers(0, n // 5 + 1))
+        b = np.concatenate([a[gone:], rest[: int(rng.integers(0, n // 4 + 1))]])
+        both = len(np.intersect1d(a, b))
+        if both >= 0.8 * (len(a) + len(b) - both):
+            assert len(np.intersect1d(simhash.prefix_of(np.unique(a), counts, 0.8), simhash.prefix_of(np.unique(b), counts, 0.8)))
+    assert len(simhash.prefix_of(np.zeros(0, dtype=np.uint64), counts, 0.8)) == 0
+
+
+def test_shingle_counts(spark):
+    """Counts of texts by slot, repeats within a text once; empty and null texts have none."""
+    simhash.prepare(spark)
+    texts = ["a b c d e f a b c d e f", "a b c d e f", None, "", "x"]
+    counts = simhash.shingle_counts(spark.createDataFrame([(t,) for t in texts], "text string"))
+    slow = np.zeros(simhash.COUNTERS, dtype=np.int64)
+    for t in texts:
+        for h in set(simhash.shingle_hashes(t, 5).tolist()):
+            slow[h % simhash.COUNTERS] += 1
+    assert (counts == slow).all() and counts.sum() == 2 + 5 + 1 + 1
+    assert simhash.shingle_counts(spark.createDataFrame([], "text string")).sum() == 0
+
+
+def test_texts_that_share_most_of_their_passages_stay(spark):
+    """Very frequent passages beside words of their own; only texts made of nothing else, and alike, go."""
+    rng = np.random.default_rng(29)
+    passages = [[f"p{k}x{i}" for i in range(40)] for k in range(6)]
+    texts = []
+    for i in range(600):
+        chosen = rng.permutation(6)[:3]
+        own = [f"o{i}x{x}" for x in range(int(rng.integers(0, 60)))]
+        texts.append(" ".join([*(w for k in sorted(chosen) for w in passages[k]), *own]))
+    kept = sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    roots = slow_components([shingle_set(t) for t in texts], slow_alike)
+    assert kept == [i for i, r in enumerate(roots) if i == r]
