@@ -123,3 +123,19 @@ def test_nothing_is_indexed(spark, tmp_path):
     assert not index.exists()
     index.upsert(chunked(spark, (1, "t", " ")))
     assert index.exists() and index.chunks().count() == 0 and [t.count() for t in index.postings()] == [0, 0, 0]
+
+
+def test_words_are_counted_where_their_text_is(spark):
+    """Terms and weights are those of grouped words, without an exchange; few asked rows do not move the postings."""
+    from attesta.functions.text import tokenize
+    from attesta.sources.scratch import few
+
+    t = spark.createDataFrame([(1, "a b A é b_1"), (2, ""), (3, None), (4, "c " * 500), (5, "x y z x")], "id long, text string")
+    shown = lambda df: sorted(map(str, df.collect()))
+    words = t.select("id", F.size(tokenize("text")).cast("long").alias("dl"), F.explode(tokenize("text")).alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    assert shown(L.words_in_rows(t)) == shown(words)
+    for mode in ("md5", "blake2b"):
+        assert shown(L.words_in_rows(t, 384, mode)) == shown(L.hash_weights(t, 384, mode))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(L.words_in_rows(t, 384))
+    assert "BroadcastHashJoin" in plan(few(t.select("id")).join(t, "id"))
