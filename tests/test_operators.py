@@ -200,6 +200,20 @@ def test_quotes_are_located(spark):
     assert (got["slow"].excerpt_start, got["slow"].excerpt_end) == (1, 5)
 
 
+def test_quotes_are_looked_for_once(spark):
+    """A filter of the places does not make them anew, and places over code points and lines are right where white space differs."""
+    text = "Ünïcode 😀 line\none\n\ttwo  three\nfour a.b\\Ec end"
+    quotes = [" line one two\u00a0three ", "two  three", "four a.b\\Ec", "end", "nowhere", "  ", None, "Ünïcode"]
+    p = spark.createDataFrame([(i, text, q) for i, q in enumerate(quotes)] + [(8, None, "x")], "id int, text string, quote string")
+    found = A.locate_quotes(p).where("start IS NOT NULL")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == 1
+    assert plan.count("instr(") == 1
+    got = {r.id: (r.start, r.end, r.line_start, r.line_end) for r in found.collect()}
+    at = {i: (text.index(w), text.index(w) + len(w)) for i, w in ((0, "line\none\n\ttwo  three"), (1, "two  three"), (2, "four a.b\\Ec"), (3, "end"), (7, "Ünïcode"))}
+    assert got == {i: (a, b, text[:a].count("\n") + 1, text[: b - 1].count("\n") + 1) for i, (a, b) in at.items()}
+
+
 def test_quotes_over_parts(spark):
     parts = spark.createDataFrame([("d", 0, "one two"), ("d", 1, ""), ("d", 2, None), ("d", 3, "three  four"), ("d", 4, "five")], "doc_id string, pos int, text string")
     q = spark.createDataFrame([("d", 1, "two three four five"), ("d", 2, "one"), ("d", 3, "six"), ("e", 4, "one")], "doc_id string, quote_id int, quote string")
