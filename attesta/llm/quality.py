@@ -118,18 +118,18 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, fa
         return base.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted"), *also)
     # Inputs that few training rows hold would only be learned by heart, so they do not count; at most SIZE numbers.
     least = min(MIN_ROWS, max(1, sum(classes.values()) // 50))
-    common = frozenset(r["slot"] for r in known.select(F.explode("at").alias("slot")).groupBy("slot").count().where(F.col("count") >= least).select("slot").collect())
+    common = sorted(r["slot"] for r in known.select(F.explode("at").alias("slot")).groupBy("slot").count().where(F.col("count") >= least).select("slot").collect())
+    # Numbered anew, so that each round sends and adds up numbers of these inputs only, not of all SIZE.
+    number = {slot: i for i, slot in enumerate(common)}
 
     @F.udf(VectorUDT())
     def vector(at, values):
-        return Vectors.sparse(SIZE, sorted((a, v) for a, v in zip(at, values) if a in common))
+        return Vectors.sparse(len(number), sorted((number[a], v) for a, v in zip(at, values) if a in number))
 
     ready = materialize(known.select(F.col("label").cast("double").alias("label"), vector("at", "vals").alias("features")), "quality_vectors").coalesce(2)
     model = FMClassifier(labelCol="label", featuresCol="features", factorSize=factor_size, maxIter=rounds, stepSize=0.1, initStd=0.01, regParam=1e-3, seed=7, solver="adamW").fit(ready)
-    intercept, linear, factors = float(model.intercept), np.array(model.linear.toArray()), np.array(model.factors.toArray())
-    unknown = np.ones(SIZE, dtype=bool)
-    unknown[sorted(common)] = False
-    linear[unknown], factors[unknown] = 0, 0  # such slots still bear the numbers that they were set up with
+    intercept, linear, factors = float(model.intercept), np.zeros(SIZE), np.zeros((SIZE, factor_size))
+    linear[common], factors[common] = model.linear.toArray(), model.factors.toArray()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, int] = {}

@@ -82,6 +82,23 @@ def test_a_repeated_id_trains_once(spark):
     assert labelled_sample(docs, labels, "toxic", 1).count() <= 1
 
 
+def test_quality_trains_on_inputs_that_count(spark, monkeypatch):
+    """The machine's vectors are as long as the inputs that count, each of which some row holds: what a round sends and adds up is no longer."""
+    seen = []
+
+    class Watched(quality.FMClassifier):
+        def fit(self, df):
+            rows = [r.features for r in df.collect()]
+            seen.append(({v.size for v in rows}, {int(i) for v in rows for i in v.indices}))
+            return super().fit(df)
+
+    monkeypatch.setattr(quality, "FMClassifier", Watched)
+    at = "/root/testdata/sf0.001"
+    quality.quality_scores(spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet"), rounds=2).count()
+    (sizes, used), = seen
+    assert sizes == {len(used)} and used == set(range(len(used))) and len(used) < quality.SIZE
+
+
 def test_quality_inputs():
     at, values = quality.inputs_of("b a a\n", None, {})
     slots = {crc32(w.encode()) % quality.HASHED: c for w, c in (("a", np.log1p(2)), ("b", np.log1p(1)))}
