@@ -139,3 +139,56 @@ def test_words_are_counted_where_their_text_is(spark):
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan(L.words_in_rows(t, 384))
     assert "BroadcastHashJoin" in plan(few(t.select("id")).join(t, "id"))
+
+
+def test_words_are_not_counted_again_for_their_frequencies(spark, tmp_path, monkeypatch):
+    """Document frequencies come from the postings that are written; sums of one version are not added up when they are read."""
+    from attesta.operators import index as module
+
+    asked = []
+    monkeypatch.setattr(module, "words_in_rows", lambda *a: asked.append(a) or L.words_in_rows(*a))
+    index = build_index(chunked(spark, *((i, "t", f"common word{i % 3}") for i in range(9))), f"{tmp_path}/a")
+    assert len(asked) == 2  # postings and weights
+    plan = index.sums("terms")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and sorted((r.term, r.df) for r in index.sums("terms").collect()) == [("common", 9), ("word0", 3), ("word1", 3), ("word2", 3)]
+    index.upsert(chunked(spark, (3, "t", "common other")))
+    assert sorted((r.term, r.df) for r in index.sums("terms").collect()) == [("common", 9), ("other", 1), ("word0", 2), ("word1", 3), ("word2", 3)]
+    assert {(r.n, r.length) for r in index.sums("scopes").collect()} == {(9, 18)}
+
+
+def test_postings_are_written_without_a_sort(spark, tmp_path, monkeypatch):
+    """The files of the few scopes of a partition are written side by side, so that no task sorts all its words."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    write, writers = DataFrameWriter.parquet, {}
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: (writers.update({path.split("/")[-2]: spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")}), write(self, path, *a, **k))[1])
+    index = build_index(chunked(spark, *((i, f"t{i % 5}", f"common word{i}") for i in range(20))), f"{tmp_path}/a")
+    assert (writers["postings"], writers["weights"], writers["chunks"]) == ("16", "16", "0")
+    found = index.store.read("postings").groupBy("tenant_id").count().collect()
+    assert sorted((r.tenant_id, r["count"]) for r in found) == [(f"t{i}", 8) for i in range(5)]
+
+
+def test_a_table_made_from_what_the_version_wrote(spark, tmp_path):
+    table = V.Versions(spark, str(tmp_path))
+    for at in (1, 2):
+        more = V.Change(lambda fresh: fresh("docs").groupBy("scope_key", "tenant_id").agg(F.count("*").alias("n")), add=True)
+        table.commit({"docs": V.Change(keyed(spark, *((i, "a", "x", 1) for i in range(at))), add=True), "more": more})
+    assert sorted((r.tenant_id, r.n, r.version) for r in table.read("more").collect()) == [("a", 1, 1), ("a", 2, 2)]
+
+
+def test_a_given_sparse_lane_is_not_searched_again(spark, tmp_path, monkeypatch):
+    index = build_index(chunked(spark, *((i, "t", f"alpha beta word{i % 4} section {i % 3}.") for i in range(15))), f"{tmp_path}/a")
+    ask = spark.createDataFrame([(1, "t", "m", "alpha word1"), (2, "t", "m", "what is section 1")], "question_id long, tenant_id string, matter_id string, question string")
+    shown = lambda df: sorted((r.question_id, r["rank"], r.chunk_id, round(r.rerank_score, 9)) for r in df.collect())
+    want, lane = shown(L.retrieve(ask, None, index=index)), scratch.cut(L.bm25_top_k(ask, index.chunks(), index=index.postings()))
+    monkeypatch.setattr(L, "bm25_top_k", None)
+    assert shown(L.retrieve(ask, None, index=index, sparse=lane)) == want
+
+
+def test_rerank_score_makes_its_words_once(spark):
+    """A question's and a text's words are taken apart once each, not anew for every word of the text."""
+    df = spark.createDataFrame([("what is a graph", "Graphs are a graph of nodes", 0.5), ("the", "x", 0.25), ("graph", "", 0.25)], "question string, text string, score double")
+    for definitions in (True, False):
+        scored = df.select(L.rerank_score(definitions=definitions).alias("s"))
+        assert scored._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 2
+    assert [round(r.s, 9) for r in scored.collect()] == [round(0.75 + 0.25 / 6 * 1 + 0.025, 9), 0.25, 0.0]
