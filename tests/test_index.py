@@ -192,3 +192,16 @@ def test_rerank_score_makes_its_words_once(spark):
         scored = df.select(L.rerank_score(definitions=definitions).alias("s"))
         assert scored._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 2
     assert [round(r.s, 9) for r in scored.collect()] == [round(0.75 + 0.25 / 6 * 1 + 0.025, 9), 0.25, 0.0]
+
+
+def test_weights_and_concepts_are_made_when_they_are_read(spark, tmp_path):
+    """A search by BM25 needs neither; made later, after an upsert, they are those of an index that had them from the start."""
+    docs = [(i, "t" if i % 3 else "u", f"common word{i % 3} section {i % 2}") for i in range(9)]
+    index = build_index(chunked(spark, *docs), f"{tmp_path}/a", later=("weights", "concepts"))
+    assert not {"weights", "concepts"} & set(index.store.state()["schemas"])
+    index.upsert(chunked(spark, (3, "u", "common other section 5")))
+    want = build_index(chunked(spark, *(d for d in docs if d[0] != 3), (3, "u", "common other section 5")), f"{tmp_path}/b")
+    assert state(index) == state(want) and {"weights", "concepts"} <= set(index.store.state()["schemas"])
+    for i in (index, want):
+        i.upsert(chunked(spark, (4, "t", "quite new section 7")))
+    assert state(index) == state(want)
