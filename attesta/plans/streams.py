@@ -72,8 +72,7 @@ def upload_stream(spark, d):
 @query("r98_answer_stream", f"WITH {HYBRID} {ANSWERS}")
 def answer_stream(spark, d):
     out, checkpoint = place(spark)
-    index = standing(spark, d)  # whole before the stream starts, so that batches only read it
-    index.weights(), index.concepts()
+    standing(spark, d)  # whole before the stream starts, so that batches only read it
 
     def answer(batch):
         asked = scratch.cut(batch)
