@@ -79,3 +79,12 @@ def test_sums_without_postings(spark, tmp_path):
     for i in (index, want):  # both keep postings now
         i.upsert(chunked(spark, (4, "t", "new again")))
     assert shown(index) == shown(want)
+
+
+def test_a_text_is_cleaned_once(spark):
+    """The filter of empty texts does not clean them anew."""
+    pages = spark.createDataFrame([(1, "t", "m", "f", None, " a  b " * 40), (2, "t", "m", "f", None, " \n "), (3, "t", "m", "f", None, None)], "doc_id long, tenant_id string, matter_id string, filename string, page int, text string")
+    cut = C.chunk_pages(pages.repartition(2), 60, 10)
+    assert cut._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+    whole = ("a b " * 40).strip()
+    assert [r.text for r in cut.orderBy("ordinal").collect()] == [whole[i : i + 60].strip() for i in range(0, 150, 50)]
