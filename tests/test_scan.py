@@ -88,3 +88,15 @@ def test_a_text_is_cleaned_once(spark):
     assert cut._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
     whole = ("a b " * 40).strip()
     assert [r.text for r in cut.orderBy("ordinal").collect()] == [whole[i : i + 60].strip() for i in range(0, 150, 50)]
+
+
+@pytest.mark.parametrize("name", ["r60_candidates", "r61_rerank_scores", "r95_graph_lift", "r98_answer_stream"])
+def test_queries_of_all_lanes_write_no_words(spark, tmp_path, name):
+    """The rows of the SQL, and nothing of single words beside the sums in the index that the query builds."""
+    from attesta.plans.retrieval import standing
+    from test_queries import AT, same, written
+
+    docs = [{"doc_id": i, "text": f"{t} License terms, version {i % 3}.", "lang": "en", "source": f"src{i % 2}", "n_chars": 0} for i, t in enumerate(["the Alpha one.", "Beta of it.", "alpha and beta both.", "", "gamma, the last."] * 3)]
+    con = written(AT, tmp_path, documents=docs, benchmark={"item_id": [0, 1, 20], "text": ["alpha of the license", "beta version 1", "gamma"]})
+    assert same(spark, con, name, tmp_path)
+    assert set(standing(spark, str(tmp_path)).store.state()["schemas"]) == {"chunks", "terms", "scopes", "gone"}
